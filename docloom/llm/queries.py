@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .secrets import op2_secret_scans
+from .token_counts import op3_token_counts
+from .transport import op9_transport_streams
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> f(spark, sf_dir)."""
-    return {"op2_secret_scans": op2_secret_scans}
+    return {f.__name__: f for f in (op2_secret_scans, op3_token_counts, op9_transport_streams)}
 
 
 def oracle_sql() -> dict[str, str]:
