@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op6_language_id
 from .secrets import op2_secret_scans
 from .token_counts import op3_token_counts
 from .transport import op9_transport_streams
@@ -13,7 +14,7 @@ from .transport import op9_transport_streams
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> f(spark, sf_dir)."""
-    return {f.__name__: f for f in (op2_secret_scans, op3_token_counts, op9_transport_streams)}
+    return {f.__name__: f for f in (op2_secret_scans, op3_token_counts, op6_language_id, op9_transport_streams)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -107,14 +108,13 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text") -> dict
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and n_tokens of every row; path: a tokenizers .json with a byte-level pre-tokenizer."""
     src = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(src, path))
+    frequent, token = docs.sparkSession.sparkContext.broadcast(frequent_lengths(src, path)), uuid.uuid4().hex
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = f"{path}:{frequent.id if hasattr(frequent, 'id') else id(frequent)}"
-        lengths = _WORKER.get(key)
+        lengths = _WORKER.get(token)
         if lengths is None:
             _WORKER.clear()
-            lengths = _WORKER[key] = Lengths(path, frequent.value)
+            lengths = _WORKER[token] = Lengths(path, frequent.value)
         for batch in batches:
             n = [lengths.count(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
