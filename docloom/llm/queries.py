@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op6_language_id
+from .packing import op8_best_fit_packing
 from .secrets import op2_secret_scans
 from .token_counts import op3_token_counts
 from .transport import op9_transport_streams
+from .url_filter import op10_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> f(spark, sf_dir)."""
-    return {f.__name__: f for f in (op2_secret_scans, op3_token_counts, op6_language_id, op9_transport_streams)}
+    return {f.__name__: f for f in (op2_secret_scans, op3_token_counts, op6_language_id, op8_best_fit_packing, op9_transport_streams, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
