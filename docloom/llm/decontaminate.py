@@ -1,16 +1,16 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, exactly verified.
 
 An item is contained in a document when at least CONTAINED percent of the item's distinct shingles
-(five words; a shorter text is one shingle) are among the document's. Items are partitioned by the
-size of their shingle sets, in powers of two. Each item's sketch is a bottom-k MinHash: its k least
-shingle hashes, with k from the upper size of its partition so large that an item misses all k only
-if it is not contained. Search keeps the documents that hold a sketch value; recall is exactly one.
-(Banded MinHash on both sides loses short items in long documents: their Jaccard similarity tends
-to nothing.) Every candidate pair is then verified on the shingles' texts.
+(five words; an item of fewer words is one shingle of that many) are in the document. Items are
+partitioned by the size of their shingle sets, in powers of two. Each item's sketch is a bottom-k
+MinHash: its k least shingle hashes, with k from the upper size of its partition so large that an
+item misses all k only if it is not contained. Search keeps the documents that hold a sketch value;
+recall is exactly one. (Banded MinHash on both sides loses short items in long documents: their
+Jaccard similarity tends to nothing.) Every candidate pair is then verified on the shingles' texts.
 
 Everything is built from Spark's own functions. Where the sketches are few (checked), they go into
-the plan as one literal and the search needs no shuffle at all; beyond that, documents' shingle
-hashes are joined with the sketch table by a shuffle.
+the plan as one literal and the search needs no shuffle; beyond that, documents' shingle hashes are
+joined with the sketch table by a shuffle.
 
 Nulls and texts without a word: no shingles, contained in nothing and containing nothing. Rows
 whose ids repeat are searched each; equal result rows may repeat then. Other input columns are
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import materialize, table, text_or_empty
 
 WORDS = 5
 CONTAINED = 75  # percent
@@ -30,60 +30,63 @@ CONTAINED = 75  # percent
 LITERAL = 20_000
 
 
-def _lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def words_of(text: Column) -> Column:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return F.filter(F.split(_lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Lower-cased words between ASCII white space."""
+    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _starts(words: Column) -> Column:
-    """Indexes of the shingles of an array of words: one for a short text, none without words."""
-    return F.when(F.size(words) > 0, F.sequence(F.lit(1), F.greatest(F.size(words) - (WORDS - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+def _bound(value: Column, body) -> Column:
+    """body(value) with value worked out once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def shingles(words: Column) -> Column:
-    """Distinct shingles as texts."""
-    return F.array_distinct(F.transform(_starts(words), lambda i: F.array_join(F.slice(words, i, WORDS), " ")))
+def _starts(words: Column, length: int) -> Column:
+    """0-based starts of the shingles of that many words."""
+    last = F.size(words) - length
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def shingle_hashes(words: Column, starts: Column) -> Column:
-    """A hash of each shingle, with repeats. A shingle of fewer words hashes its nulls too."""
-    return F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i - 1 + k) for k in range(WORDS))))
+def shingle_hashes(words: Column, length: int) -> Column:
+    """A hash of each shingle of that many words, with repeats."""
+    return F.transform(_starts(words, length), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(length))))
 
 
 def sketches(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, texts, partition (power of two of its size) and sketch (the k least hashes, ascending) of every item with words."""
+    """item_id, length, texts, partition (power of two of the set's size) and sketch (the k least hashes, ascending) of every item with words."""
     w = items.select(F.col(id_col).alias("item_id"), words_of(text_or_empty(text_col)).alias("w")).where(F.size("w") > 0)
-    h = w.select("item_id", shingles(F.col("w")).alias("texts"), F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), _starts(F.col("w"))))).alias("hashes"))
-    part = F.ceil(F.log2(F.size("texts"))).cast("int")
+    w = w.withColumn("length", F.least(F.size("w"), F.lit(WORDS)))
+    of = lambda f: F.coalesce(*(F.when(F.col("length") == n, f(n)) for n in range(1, WORDS + 1)))
+    texts = lambda n: F.array_distinct(F.transform(_starts(F.col("w"), n), lambda i: F.array_join(F.slice("w", i + 1, n), " ")))
+    hashes = lambda n: F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), n)))
+    h = w.select("item_id", "length", of(texts).alias("texts"), of(hashes).alias("hashes")).withColumn("partition", F.ceil(F.log2(F.size("texts"))).cast("int"))
     upper = F.pow(F.lit(2), F.col("partition")).cast("int")
     k = upper - F.ceil(upper * CONTAINED / 100).cast("int") + 1  # of the partition's largest size: enough for all its items
-    return h.withColumn("partition", part).select("item_id", "texts", "partition", F.slice("hashes", F.lit(1), F.least(k, F.size("hashes"))).alias("sketch"))
+    return h.select("item_id", "length", "texts", "partition", F.slice("hashes", F.lit(1), F.least(k, F.size("hashes"))).alias("sketch"))
 
 
 def search(docs: DataFrame, items: DataFrame, literal: int = LITERAL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_item and n_shared (distinct shingles) of all contained pairs."""
-    sk = sketches(items)
-    values = sk.select(F.explode("sketch").alias("h")).distinct()
-    d = docs.select(F.col(id_col).alias("doc_id"), words_of(text_or_empty(text_col)).alias("w"))
-    hashed = d.select("doc_id", "w", shingle_hashes(F.col("w"), _starts(F.col("w"))).alias("hashes"))
-    few = [r["h"] for r in values.limit(literal + 1).collect()]
+    sk = materialize(sketches(items), "sketches")  # small beside the documents; worked out once
+    values = sk.select("length", F.explode("sketch").alias("hit"), "item_id")
+    lengths = sorted(r["length"] for r in sk.select("length").distinct().collect())
+    d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    few = values.select("length", "hit").distinct().limit(literal + 1).collect()
+    words = words_of(F.col("text"))
+    all_hashes = lambda w: F.concat(*(shingle_hashes(w, n) for n in lengths)) if lengths else F.array().cast("array<bigint>")
     if len(few) <= literal:
-        # the documents' rows stay whole: sketch hits, then the items of each hit, then verification
-        lookup = F.broadcast(sk.select(F.explode("sketch").alias("hit"), "item_id", "texts", "sketch"))
-        hits = hashed.select("doc_id", "w", F.array_intersect("hashes", F.lit(few).cast("array<bigint>") if few else F.array().cast("array<bigint>")).alias("hits"))
-        near = hits.where(F.size("hits") > 0).withColumn("hit", F.explode("hits")).join(lookup, "hit")
-        # an item is verified once, at its first sketch value that the document holds
-        near = near.where(F.col("hit") == F.get(F.array_intersect("sketch", "hits"), 0))
-        shared = F.size(F.array_intersect("texts", shingles(F.col("w"))))
-        found = near.select("doc_id", "item_id", F.size("texts").alias("n_item"), shared.alias("n_shared"))
+        wanted = {n: [r["hit"] for r in few if r["length"] == n] for n in lengths}
+        hits = lambda w: F.concat(*(F.filter(shingle_hashes(w, n), lambda h: h.isin(wanted[n])) for n in lengths)) if lengths else F.array().cast("array<bigint>")  # noqa: E731,B023
+        found = materialize(d.select("doc_id", "text", F.array_distinct(_bound(words, hits)).alias("hits")).where(F.size("hits") > 0), "hits")
+        pairs = found.select("doc_id", "text", F.explode("hits").alias("hit")).join(F.broadcast(values.select("hit", "item_id")), "hit")
+        near = pairs.groupBy("doc_id", F.xxhash64("text").alias("h"), "item_id").agg(F.first("text").alias("text"))
     else:
-        hit = hashed.select("doc_id", F.explode(F.array_distinct("hashes")).alias("hit")).join(sk.select(F.explode("sketch").alias("hit"), "item_id"), "hit").select("doc_id", "item_id").distinct()
-        near = hit.join(d, hit["doc_id"].eqNullSafe(d["doc_id"])).select(hit["doc_id"], "item_id", "w").join(sk.select("item_id", "texts"), "item_id")
-        found = near.select("doc_id", "item_id", F.size("texts").alias("n_item"), F.size(F.array_intersect("texts", shingles(F.col("w")))).alias("n_shared"))
+        hit = d.select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(_bound(words, all_hashes))).alias("hit")).join(values.select("hit", "item_id"), "hit").select("doc_id", "h", "item_id").distinct()
+        t = d.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), "text").dropDuplicates(["_id", "_h"])
+        near = hit.join(t, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # exact: each of the item's shingles, between blanks, in the document's words, between blanks
+    spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    shared = _bound(spaced, lambda t: F.size(F.filter("texts", lambda s: F.contains(t, F.concat(F.lit(" "), s, F.lit(" "))))))
+    found = near.join(sk.select("item_id", "texts"), "item_id").select("doc_id", "item_id", F.size("texts").alias("n_item"), shared.alias("n_shared"))
     return found.where(F.col("n_shared") * 100 >= F.col("n_item") * CONTAINED)
 
 
@@ -100,16 +103,15 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_SETS = """{name}_words AS (
-  SELECT {id}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
-  FROM {source}),
-{name} AS (
-  SELECT DISTINCT {id}, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS s
-  FROM {name}_words WHERE len(w) > 0)"""
-
-OP1_SQL = f"""WITH {_SETS.format(name="docs", id="doc_id", source="documents")},
-{_SETS.format(name="items", id="item_id", source="benchmark")},
-sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id)
+OP1_SQL = """WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+sizes AS (SELECT item_id, w, least(len(w), 5) AS n FROM items WHERE len(w) > 0),
+needles AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS s FROM sizes),
+counts AS (SELECT item_id, count(*) AS n_item FROM needles GROUP BY item_id),
+straws AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS s
+  FROM docs, (SELECT DISTINCT n FROM sizes) WHERE len(w) >= n)
 SELECT doc_id, item_id, n_item::INTEGER AS n_item, count(*)::INTEGER AS n_shared
-FROM docs JOIN items USING (s) JOIN sizes USING (item_id)
+FROM straws JOIN needles USING (s) JOIN counts USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 75"""
