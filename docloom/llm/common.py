@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch: long texts stay within a Python worker's memory.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+#: Rows (of a few numbers) of a table that may be broadcast.
+FEW_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(table: DataFrame, weight=None) -> DataFrame:
+    """A materialized table, marked for broadcast if it is small (checked); otherwise as it is, to be joined by a shuffle."""
+    rows = table.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(table) if rows <= FEW_ROWS else table
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,6 +11,7 @@ from .jaccard_join import op7_ngram_jaccard_join
 from .language import op6_language_id
 from .packing import op8_best_fit_packing
 from .secrets import op2_secret_scans
+from .suffix_dedup import op4_suffix_array_dedup
 from .token_counts import op3_token_counts
 from .transport import op9_transport_streams
 from .url_filter import op10_url_filters
@@ -18,7 +19,7 @@ from .url_filter import op10_url_filters
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> f(spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_token_counts, op6_language_id, op7_ngram_jaccard_join, op8_best_fit_packing, op9_transport_streams, op10_url_filters)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_token_counts, op4_suffix_array_dedup, op6_language_id, op7_ngram_jaccard_join, op8_best_fit_packing, op9_transport_streams, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
