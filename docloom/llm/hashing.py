@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -115,9 +116,19 @@ def _short(words: np.ndarray) -> np.ndarray:
     return mix((words * _PLACES[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)) if n else words
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Of each text the sorted distinct hashes of its five-word shingles; fewer words are one shingle, none are none."""
+def word_lists(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the hashes of its words, in order."""
     out: list[np.ndarray] = []
+    for words, ends in _grouped(texts):
+        begin = 0
+        for end in ends:
+            out.append(words[begin:end])
+            begin = end
+    return out
+
+
+def _grouped(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Word hashes of short texts together, and where each text ends among them."""
     at = 0
     while at < len(texts):
         group, size = [], 0
@@ -127,12 +138,22 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
             at += 1
         if len(group) == 1:
             words = word_hashes(group[0])
-            ends = np.array([len(words)])
-        else:
+            yield words, [len(words)]
+        elif size < SEGMENT:
             words, starts = _words(np.frombuffer(b" ".join(group).lower(), np.uint8))
-            ends = np.searchsorted(starts, np.cumsum([len(g) + 1 for g in group]))
+            yield words, np.searchsorted(starts, np.cumsum([len(g) + 1 for g in group])).tolist()
+        else:  # a long text came last
+            for g in group:
+                words = word_hashes(g)
+                yield words, [len(words)]
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its five-word shingles; fewer words are one shingle, none are none."""
+    out: list[np.ndarray] = []
+    for words, ends in _grouped(texts):
         shingles, begin = _shingles(words), 0
-        for end in ends.tolist():
+        for end in ends:
             out.append(distinct(shingles[begin : end - SHINGLE + 1].copy()) if end - begin >= SHINGLE else _short(words[begin:end]))
             begin = end
     return out

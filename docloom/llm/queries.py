@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .class_model import op5_class_model
 from .decontaminate import OP1_SQL, op1_benchmark_decontamination
 from .jaccard_join import op7_ngram_jaccard_join
 from .language import op6_language_id
@@ -19,7 +20,7 @@ from .url_filter import op10_url_filters
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> f(spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_token_counts, op4_suffix_array_dedup, op6_language_id, op7_ngram_jaccard_join, op8_best_fit_packing, op9_transport_streams, op10_url_filters)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_token_counts, op4_suffix_array_dedup, op5_class_model, op6_language_id, op7_ngram_jaccard_join, op8_best_fit_packing, op9_transport_streams, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
