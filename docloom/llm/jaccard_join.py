@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialize, partitions, table
+from .common import bound_batches, few, materialize, partitions, table
 from .graph import components
 from .hashing import mix, shingle_sets
 
@@ -188,7 +188,8 @@ class Join:
         sizes = {r["n"]: r["count"] for r in self.classes.groupBy("n").count().collect()}
         total = sum(n * c for n, c in sizes.items())
         again = self.repeated.agg(F.sum(F.col("times").cast("double") * (F.col("times") - 1))).first()[0] or 0.0
-        self.light = light = boundary(sizes, min(again, 100.0 * total) / max(1, total))
+        again -= float((frequent["times"].astype(float) * (frequent["times"] - 1)).sum()) if len(frequent) else 0.0  # those stand last and are rarely posted
+        self.light = light = boundary(sizes, again / max(1, total))
         shingles = frequent["shingle"].to_numpy(np.int64).view(np.uint64) if len(frequent) else np.zeros(0, np.uint64)
         order = np.argsort(shingles)
         rank = np.arange(len(shingles))[::-1]  # the most frequent is last in every set
@@ -196,9 +197,15 @@ class Join:
 
         def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table_, rank_ = shared.value
+            seen = set()  # a task posts each of its classes once, so that copies do not make long lists
             for batch in batches:
-                sets = shingle_sets(batch.column("text").to_pylist())
-                node = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
+                sets, node = [], []
+                for s in shingle_sets(batch.column("text").to_pylist()):
+                    name = xxhash.xxh3_64_intdigest(s.tobytes())
+                    if name not in seen:
+                        seen.add(name)
+                        sets.append(s)
+                        node.append(name)
                 keys = [keys_of(s, table_, rank_, light) for s in sets]
                 for at in range(0, len(keys), 500):
                     part = keys[at : at + 500]
@@ -208,10 +215,7 @@ class Join:
                         names=["key", "n", "node"],
                     )
 
-        copies = self.members.join(self.classes.select(F.col("doc_id").alias("first"), "node"), "node").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id").distinct()
-        copies = copies.join(self.classes.select(F.col("doc_id").alias("first")), F.col("doc_id").eqNullSafe(F.col("first")), "left_anti")
-        firsts = self.docs.where(F.col("text").isNotNull()).join(copies, self.docs["doc_id"].eqNullSafe(copies["doc_id"]), "left_anti")
-        return firsts.select("text").mapInArrow(posted, "key long, n int, node long")
+        return self.docs.where(F.col("text").isNotNull()).select("text").mapInArrow(posted, "key long, n int, node long")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of classes that link: signatures first, then whole sets."""
@@ -232,8 +236,8 @@ class Join:
                 keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "n", "set"])
 
-        wanted = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.classes.select("node", "doc_id"), "node")
-        texts = self.docs.join(wanted.select(F.col("doc_id").alias("_id")), self.docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
+        wanted = materialize(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.classes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("_id")), "wanted")
+        texts = self.docs.join(few(wanted), self.docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
         whole = materialize(texts.mapInArrow(sets, "node long, n int, set binary").dropDuplicates(["node"]), "sets")
 
         def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
