@@ -1,4 +1,4 @@
-"""The registered queries of the reference-side operators and their SQL."""
+"""The registered queries of the document-records operators and their SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import text_queries
+
+_MODULES = (text_queries,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> f(spark, sf_dir)."""
-    return {}
+    return {name: f for m in _MODULES for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}

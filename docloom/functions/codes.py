@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean, fold_accents, normalize, numeric_ocr, text
+from .text import clean, fold_accents, let, normalize, numeric_ocr, text
 
 # The parts of the two code families and the month names.
 PLAN_UNIT, PLAN_PROCESS = "UGPA", "251"
@@ -26,17 +26,19 @@ def _number(c: Column) -> Column:
 
 def canonical_plan_code(group: Column, sequence: Column, year: Column, month: Column) -> Column:
     """The code in its one spelling (sequence of two digits or more, month of two); '' if a part is out of range."""
-    n, m, y = _number(sequence), _number(month), numeric_ocr(year)
-    good = group.isin("1", "2") & n.between(1, 999) & y.rlike(r"\A20[0-9]{2}\z") & m.between(1, 12)
     two = lambda v: F.lpad(v.cast("string"), F.greatest(F.length(v.cast("string")), F.lit(2)), F.lit("0"))
-    return F.when(good, F.concat(F.lit("UGPA-RGI"), group, F.lit("-"), two(n), F.lit("-PRO-251-"), y, F.lit("-"), two(m))).otherwise("")
+
+    def spelled(p: Column) -> Column:
+        good = p["g"].isin("1", "2") & p["n"].between(1, 999) & p["y"].rlike(r"\A20[0-9]{2}\z") & p["m"].between(1, 12)
+        return F.when(good, F.concat(F.lit("UGPA-RGI"), p["g"], F.lit("-"), two(p["n"]), F.lit("-PRO-251-"), p["y"], F.lit("-"), two(p["m"]))).otherwise("")
+
+    return let(F.struct(group.alias("g"), _number(sequence).alias("n"), numeric_ocr(year).alias("y"), _number(month).alias("m")), spelled)
 
 
 def plan_code(c: Column | str) -> Column:
     """First plan code of a text, canonical; '' if there is none."""
-    t = F.upper(clean(c))
-    part = lambda k: F.regexp_extract(t, PLAN_CODE, k)
-    return canonical_plan_code(part(1), part(2), part(3), part(4))
+    part = lambda t, k: F.regexp_extract(t, PLAN_CODE, k)
+    return let(F.upper(clean(c)), lambda t: canonical_plan_code(part(t, 1), part(t, 2), part(t, 3), part(t, 4)))
 
 
 def plan_codes(c: Column | str) -> Column:
@@ -47,16 +49,15 @@ def plan_codes(c: Column | str) -> Column:
 
 def agreement_code(c: Column | str) -> Column:
     """First agreement code of a text, canonical; '' if there is none."""
-    t = F.upper(clean(c))
-    part = lambda k: F.regexp_extract(t, AGREEMENT_CODE, k)
-    n, m = (F.coalesce(part(k).try_cast("int"), F.lit(0)) for k in (2, 4))
-    return F.when((part(1) != "") & (n > 0), F.concat(part(1), F.lit("-RGI2-"), n.cast("string"), F.lit("-PRO-134-"), part(3), F.lit("-"), F.lpad(m.cast("string"), 2, "0"))).otherwise("")
+    part = lambda t, k: F.regexp_extract(t, AGREEMENT_CODE, k)
+    number = lambda t, k: F.coalesce(part(t, k).try_cast("int"), F.lit(0))
+    spelled = lambda t: F.concat(part(t, 1), F.lit("-RGI2-"), number(t, 2).cast("string"), F.lit("-PRO-134-"), part(t, 3), F.lit("-"), F.lpad(number(t, 4).cast("string"), 2, "0"))
+    return let(F.upper(clean(c)), lambda t: F.when((part(t, 1) != "") & (number(t, 2) > 0), spelled(t)).otherwise(""))
 
 
 def is_plan_code(c: Column | str) -> Column:
     """Whether a text is a valid plan code; sequence 0 is not."""
-    t = F.upper(clean(c))
-    return t.rlike(r"\AUGPA-RGI[12]-[0-9]{2,3}-PRO-251-20[0-9]{2}-(0[1-9]|1[0-2])\z") & ~t.rlike(r"-0+-PRO")
+    return let(F.upper(clean(c)), lambda t: t.rlike(r"\AUGPA-RGI[12]-[0-9]{2,3}-PRO-251-20[0-9]{2}-(0[1-9]|1[0-2])\z") & ~t.rlike(r"-0+-PRO"))
 
 
 def period_of(c: Column | str) -> Column:
@@ -78,21 +79,21 @@ def strict_date(year: Column, month: Column, day: Column) -> Column:
 
 def spanish_date(c: Column | str) -> Column:
     """struct(iso, original): the date of a signing clause, else of any "d de mes de Y", else d/m/Y; strict calendar, '' if none."""
-    t = clean(c)
     word = r"([0-9]{1,2})\s+(?:d[ií]as?\s+)?(?:del?\s+mes\s+)?de\s+([A-Za-zÁÉÍÓÚáéíóú]+|[0-9]{1,2})\s+del?\s+(?:a[ñn]o\s+)?(20[0-9]{2})"
     patterns = (rf"(?iu)a\s+los\s+{word}", rf"(?iu)(?<![0-9]){word}", r"(?<![0-9])([0-9]{1,2})[/\-]([0-9]{1,2})[/\-](20[0-9]{2})(?![0-9])")
-    options = []
-    for p in patterns:
-        part = lambda k, p=p: F.regexp_extract(t, p, k)
-        date = strict_date(part(3).try_cast("int"), month_number(part(2)), part(1).try_cast("int"))
-        options.append(F.when(date.isNotNull(), F.struct(F.date_format(date, "yyyy-MM-dd").alias("iso"), part(0).alias("original"))))
-    return F.coalesce(*options, F.struct(F.lit("").alias("iso"), F.lit("").alias("original")))
+
+    def found(t: Column) -> Column:
+        part = lambda p, k: F.regexp_extract(t, p, k)
+        tries = F.array(*(F.struct(strict_date(part(p, 3).try_cast("int"), month_number(part(p, 2)), part(p, 1).try_cast("int")).alias("date"), part(p, 0).alias("original")) for p in patterns))
+        first = F.get(F.filter(tries, lambda x: x["date"].isNotNull()), 0)
+        return F.struct(F.coalesce(F.date_format(first["date"], "yyyy-MM-dd"), F.lit("")).alias("iso"), F.coalesce(first["original"], F.lit("")).alias("original"))
+
+    return let(clean(c), found)
 
 
 def loose_date(c: Column | str) -> Column:
     """struct(year, month, day) of a planned date, without a calendar check: ISO, "d de mes de Y", "mes d de Y", "mes Y" (day 1), "Y" (1 January); null if none."""
-    t = normalize(c)
-    of = lambda pattern, y, m, d: F.struct(
+    of = lambda t, pattern, y, m, d: F.struct(
         F.regexp_extract(t, pattern, y).try_cast("int").alias("year"),
         (month_number(F.regexp_extract(t, pattern, m)) if m else F.lit(1)).cast("int").alias("month"),
         (F.regexp_extract(t, pattern, d).try_cast("int") if d else F.lit(1)).alias("day"),
@@ -106,7 +107,7 @@ def loose_date(c: Column | str) -> Column:
         (rf"\b{name} (?:del? )?(20[0-9]{{2}})\b", 2, 1, 0),
         (r"\b(20[0-9]{2})\b", 1, 0, 0),
     ]
-    return F.coalesce(*(F.when(t.rlike(p), of(p, y, m, d)) for p, y, m, d in tries))
+    return let(normalize(c), lambda t: F.coalesce(*(F.when(t.rlike(p), of(t, p, y, m, d)) for p, y, m, d in tries)))
 
 
 def date_number(d: Column) -> Column:

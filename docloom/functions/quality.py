@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .codes import is_plan_code
-from .text import EDGE_AFTER, EDGE_BEFORE, clean, fold_accents, normalize
+from .text import EDGE_AFTER, EDGE_BEFORE, clean, fold_accents, let, normalize
 
 #: Phrases (normalized) that show that a field holds text of another part of the form.
 FOREIGN_PHRASES = (
@@ -35,8 +35,8 @@ def has_phrase(key: Column, *phrases: str) -> Column:
 
 def has_mixed_content(c: Column | str, longest: int = 700) -> Column:
     """Whether a field is too long or holds headings or phrases of other parts of the form."""
-    t, key = clean(c), normalize(c)
-    return (t != "") & ((F.length(t) > longest) | has_phrase(key, *FOREIGN_PHRASES) | key.rlike(FOREIGN_HEADING))
+    foreign = let(normalize(c), lambda key: has_phrase(key, *FOREIGN_PHRASES) | key.rlike(FOREIGN_HEADING))
+    return let(clean(c), lambda t: (t != "") & ((F.length(t) > longest) | foreign))
 
 
 def value_score(c: Column | str) -> Column:
@@ -47,12 +47,16 @@ def value_score(c: Column | str) -> Column:
 def text_quality(c: Column | str) -> Column:
     """0 to 24 by length, less 80 for foreign content, 35 for a document code, 20 for unreadable characters; -1000 for no text."""
     raw = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    t, key = clean(c), normalize(c)
-    score = F.least(F.lit(24), F.ceil(F.length(t) / 10)).cast("int")
-    score -= F.when(has_phrase(key, *FOREIGN_PHRASES) | key.rlike(FOREIGN_HEADING), 80).otherwise(0)
-    score -= F.when(F.upper(t).rlike(EDGE_BEFORE + "UGPA-RGI[12]" + EDGE_AFTER), 35).otherwise(0)
-    score -= F.when(raw.rlike("[�￾]"), 20).otherwise(0)
-    return F.when(t == "", -1000).otherwise(score)
+    foreign = let(normalize(c), lambda key: has_phrase(key, *FOREIGN_PHRASES) | key.rlike(FOREIGN_HEADING))
+
+    def scored(t: Column) -> Column:
+        score = F.least(F.lit(24), F.ceil(F.length(t) / 10)).cast("int")
+        score -= F.when(foreign, 80).otherwise(0)
+        score -= F.when(F.upper(t).rlike(EDGE_BEFORE + "UGPA-RGI[12]" + EDGE_AFTER), 35).otherwise(0)
+        score -= F.when(raw.rlike("[�￾]"), 20).otherwise(0)
+        return F.when(t == "", -1000).otherwise(score)
+
+    return let(clean(c), scored)
 
 
 def field_quality(kind: str, c: Column) -> Column:
@@ -71,20 +75,12 @@ def field_quality(kind: str, c: Column) -> Column:
 
 def signal_score(c: Column | str, weights: dict[str, int]) -> Column:
     """Sum of the weights of the phrases (normalized) that a text holds."""
-    key = normalize(c)
-    out = F.lit(0)
-    for phrase, weight in weights.items():
-        out = out + F.when(has_phrase(key, phrase), weight).otherwise(0)
-    return out
+    return let(normalize(c), lambda key: sum((F.when(has_phrase(key, phrase), weight).otherwise(0) for phrase, weight in weights.items()), F.lit(0)))
 
 
 def markers(c: Column | str, patterns: tuple[str, ...]) -> Column:
     """How many of the patterns (Java, on accent-folded lower-case text) a text matches."""
-    t = F.lower(fold_accents(c))
-    out = F.lit(0)
-    for p in patterns:
-        out = out + t.rlike(p).cast("int")
-    return out
+    return let(F.lower(fold_accents(c)), lambda t: sum((t.rlike(p).cast("int") for p in patterns), F.lit(0)))
 
 
 def readable(c: Column | str, least: int, patterns: tuple[str, ...], hits: int) -> Column:

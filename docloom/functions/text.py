@@ -6,6 +6,7 @@ An absent text is the empty text: every function here maps null to ``''``, as ex
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +35,11 @@ SPACE = r"[\s ]"
 EDGE_BEFORE, EDGE_AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once a row, however often the body names it; keeps generated code small."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def text(c: Column | str) -> Column:
     """The column as text, '' for null."""
     c = F.col(c) if isinstance(c, str) else c
