@@ -21,22 +21,19 @@ FOREIGN_PHRASES = (
     "formacion docente",
 )
 #: A numbered heading of sections 3 to 8.
-FOREIGN_HEADING = r"\b[3-8] (evaluacion(es)?|evaluaciones?|resumen|indicador(es)?|actividad(es)?|impacto|vision)\b"
+FOREIGN_HEADING = "[3-8] (?:evaluacion(?:es)?|evaluaciones?|resumen|indicador(?:es)?|actividad(?:es)?|impacto|vision)"
+#: Either of them in a normalized text, as whole words.
+FOREIGN = "(?:\\A| )(?:" + "|".join((*FOREIGN_PHRASES, FOREIGN_HEADING)) + ")(?: |\\z)"
 
 
 def has_phrase(key: Column, *phrases: str) -> Column:
     """Whether a normalized text holds one of the phrases, as whole words."""
-    padded = F.concat(F.lit(" "), key, F.lit(" "))
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(padded, F.lit(f" {p} "))
-    return out
+    return key.rlike("(?:\\A| )(?:" + "|".join(phrases) + ")(?: |\\z)")
 
 
 def has_mixed_content(c: Column | str, longest: int = 700) -> Column:
     """Whether a field is too long or holds headings or phrases of other parts of the form."""
-    foreign = let(normalize(c), lambda key: has_phrase(key, *FOREIGN_PHRASES) | key.rlike(FOREIGN_HEADING))
-    return let(clean(c), lambda t: (t != "") & ((F.length(t) > longest) | foreign))
+    return (F.length(clean(c)) > longest) | normalize(c).rlike(FOREIGN)
 
 
 def value_score(c: Column | str) -> Column:
@@ -47,7 +44,7 @@ def value_score(c: Column | str) -> Column:
 def text_quality(c: Column | str) -> Column:
     """0 to 24 by length, less 80 for foreign content, 35 for a document code, 20 for unreadable characters; -1000 for no text."""
     raw = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    foreign = let(normalize(c), lambda key: has_phrase(key, *FOREIGN_PHRASES) | key.rlike(FOREIGN_HEADING))
+    foreign = normalize(c).rlike(FOREIGN)
 
     def scored(t: Column) -> Column:
         score = F.least(F.lit(24), F.ceil(F.length(t) / 10)).cast("int")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean, js_round, normalize
+from .groups import per_group
 
 # Votes of the engines.
 ENGINE_WEIGHTS = {"MANUAL": 12, "ENCABEZADO": 8, "TABLA_TEXTUAL": 7, "DIGITAL_LINEAL": 6, "DIGITAL_POSICIONAL": 6, "OCR_ESTRUCTURADO": 5, "OCR": 4, "IA_LOCAL": 3}
@@ -135,18 +136,12 @@ def aligned_rows(rows: DataFrame) -> DataFrame:
 
     The group of a document is bounded by its table; documents spread over the shuffle partitions.
     """
-    columns = rows.columns
-
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["engine_idx", "ord"], kind="stable").reset_index(drop=True)
-        engines, index = [], []
-        for (_, name), part in pdf.groupby(["engine_idx", "engine"], sort=True):
-            engines.append((name, int(part["weight"].iloc[0]), [dict(r, order=r["ord"]) for r in part.to_dict("records")]))
-            index.append(part.index.tolist())
-        pdf["slot"] = -1
-        for slot, group in enumerate(align_rows(engines)):
-            for k, j in group:
-                pdf.loc[index[k][j], "slot"] = slot
-        return pdf[pdf["slot"] >= 0][[*columns, "slot"]]
-
-    return rows.groupBy("doc_id").applyInPandas(grouped, rows.selectExpr("*", "cast(0 as int) as slot").schema)
+
+    def placed(found: list[dict]) -> list[dict]:
+        by_engine: dict[tuple, list[dict]] = {}
+        for r in found:
+            by_engine.setdefault((r["engine_idx"], r["engine"]), []).append(dict(r, order=r["ord"]))
+        engines = [(name, int(part[0]["weight"]), part) for (_, name), part in sorted(by_engine.items())]
+        return [dict(engines[k][2][j], slot=slot) for slot, group in enumerate(align_rows(engines)) for k, j in group]
+
+    return per_group(rows, ["doc_id"], ["engine_idx", "ord"], placed, T.StructType([*rows.schema.fields, T.StructField("slot", T.IntegerType())]))

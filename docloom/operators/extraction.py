@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codes import agreement_code, month_number, period_of, plan_code, spanish_date
-from ..functions.text import EDGE_AFTER, EDGE_BEFORE, SPACE, clean, compact, fold_accents, lines, normalize, smart_case, text
+from ..functions.text import EDGE_AFTER, EDGE_BEFORE, SPACE, clean, compact, fold_accents, let, lines, normalize, smart_case, text
 
 # The kinds of training in the order in which they are looked for.
 KIND_WORDS = ("APROBACIÓN", "CERTIFICACIÓN", "ASISTENCIA", "CURSO", "TALLER", "SEMINARIO", "CONGRESO", "DIPLOMADO", "CAPACITACIÓN")
@@ -88,22 +88,25 @@ def blocks(rows: DataFrame, key: str, pos: str = "pos", line: str = "line", larg
 
 def table_row(c: Column | str) -> Column:
     """struct(ordinal, name, hours, start, end, kind) of one table row as text: the kind and the date range are taken off, the last number before them is the hours, the rest is the name."""
-    t = compact(c)
-    kind = find_kind(t)
     pattern = r"(?iu)(?<![A-Za-z0-9_])desde\s+(.*?)\s+(?:hasta|al)\s+(.*?)(?=\s+(?:" + "|".join(KIND_WORDS) + r")(?![A-Za-z0-9_])|\z)"
-    before = F.trim(F.when(t.rlike(pattern), F.regexp_extract(t, r"(?isu)\A(.*?)(?<![A-Za-z0-9_])desde\s", 1)).otherwise(t))
-    ordinal = F.regexp_extract(before, r"\A([0-9]{1,2})[.)]?\s", 1).try_cast("int")
-    body = F.trim(F.regexp_replace(before, r"\A[0-9]{1,2}[.)]?\s+", ""))
-    number = F.regexp_extract(body, r"([0-9]{1,4})(?:\s*(?:h|hs|horas?))?\s*\z", 1)
-    hours = number.try_cast("int")
-    good = F.coalesce(hours.between(1, 1000), F.lit(False))
-    name = F.trim(F.when(good, F.regexp_replace(body, r"\s*[0-9]{1,4}(?:\s*(?:h|hs|horas?))?\s*\z", "")).otherwise(body))
-    return F.struct(F.coalesce(ordinal, F.lit(0)).alias("ordinal"), name.alias("name"), F.when(good, hours).otherwise(0).alias("hours"), F.regexp_extract(t, pattern, 1).alias("start"), F.regexp_extract(t, pattern, 2).alias("end"), kind.alias("kind"))
+    tail = r"\s*([0-9]{1,4})(?:\s*(?:h|hs|horas?))?\s*\z"
+
+    def cells(t: Column) -> Column:
+        before = F.trim(F.regexp_replace(t, r"(?isu)(?<![A-Za-z0-9_])desde\s.*\z", ""))
+        return F.struct(F.regexp_extract(before, r"\A([0-9]{1,2})[.)]?\s", 1).try_cast("int").alias("ordinal"), F.trim(F.regexp_replace(before, r"\A[0-9]{1,2}[.)]?\s+", "")).alias("body"), F.regexp_extract(t, pattern, 1).alias("start"), F.regexp_extract(t, pattern, 2).alias("end"), find_kind(t).alias("kind"))
+
+    def row(x: Column) -> Column:
+        hours = F.regexp_extract(x["body"], tail, 1).try_cast("int")
+        good = F.coalesce(hours.between(1, 1000), F.lit(False))
+        name = F.trim(F.when(good, F.regexp_replace(x["body"], tail, "")).otherwise(x["body"]))
+        return F.struct(F.coalesce(x["ordinal"], F.lit(0)).alias("ordinal"), name.alias("name"), F.when(good, hours).otherwise(0).alias("hours"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+
+    return let(let(compact(c), cells), row)
 
 
 def inline_rows(c: Column | str) -> Column:
     """Table rows that stand on one line: array of :func:`table_row`, cut before each ordinal that a capital letter follows."""
-    parts = F.filter(F.split(compact(c), r"\s+(?=[0-9]{1,2}[.)]?\s+[A-ZÁÉÍÓÚÑ][^0-9]*\s[0-9]{1,4}\s)"), lambda x: x != "")
+    parts = F.filter(F.split(compact(c), r"\s+(?=[0-9]{1,2}[.)]?\s+(?!(?:Desde|DESDE)\s)[A-ZÁÉÍÓÚÑ][^0-9]*\s[0-9]{1,4}\s)"), lambda x: x != "")
     return F.transform(parts, table_row)
 
 

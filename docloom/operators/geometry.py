@@ -6,15 +6,13 @@ The greedy steps depend on the order of the words; they run on one page at a tim
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize, text
+from .groups import per_group
 
 PAGE = ["doc_id", "page"]
 # Right ends of the first four of the five table columns, as shares of the width.
@@ -71,19 +69,15 @@ def cluster_lines(centers: list[float], tolerances: list[float]) -> list[int]:
     return [place[k] for k in of]
 
 
-def _by_page(words: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], extra: list[T.StructField]) -> DataFrame:
-    return words.groupBy(*PAGE).applyInPandas(f, T.StructType([*words.schema.fields, *extra]))
-
-
 def visual_lines(words: DataFrame, tolerance: float | None = None) -> DataFrame:
     """Adds visual_line (0-based, downwards). tolerance None: by the height of each word, 2.5 to 7."""
 
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["text"].fillna("").str.strip() != ""].sort_values(["center_y", "left"], kind="stable")
-        near = [tolerance] * len(pdf) if tolerance is not None else (pdf["height"].fillna(10.0) * 0.55).clip(2.5, 7.0).tolist()
-        return pdf.assign(visual_line=pd.array(cluster_lines(pdf["center_y"].tolist(), near), dtype="int32"))
+    def lined(found: list[dict]) -> list[dict]:
+        near = [tolerance if tolerance is not None else min(7.0, max(2.5, (w["height"] or 10.0) * 0.55)) for w in found]
+        return [dict(w, visual_line=n) for w, n in zip(found, cluster_lines([w["center_y"] for w in found], near))]
 
-    return _by_page(words, grouped, [T.StructField("visual_line", T.IntegerType())])
+    shown = words.where(F.trim(text("text")) != "")
+    return per_group(shown, PAGE, ["center_y", "left"], lined, T.StructType([*words.schema.fields, T.StructField("visual_line", T.IntegerType())]))
 
 
 def line_text(lined: DataFrame, line: str = "visual_line") -> DataFrame:
@@ -109,11 +103,8 @@ def row_anchors(words: DataFrame) -> DataFrame:
     number = F.regexp_extract(F.trim("text"), r"\A([0-9]{1,2})\z", 1).try_cast("int")
     near = words.withColumn("number", number).where((F.col("center_x") / F.col("page_width") <= ANCHOR_REACH) & F.col("number").between(1, 30))
 
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["center_y", "left"], kind="stable")
-        return pdf.iloc[pick_anchors(list(zip(pdf["center_y"], pdf["confidence"])))]
-
-    return _by_page(near, grouped, [])
+    picked = lambda found: [found[k] for k in pick_anchors([(w["center_y"], w["confidence"]) for w in found])]
+    return per_group(near, PAGE, ["center_y", "left"], picked, near.schema)
 
 
 def row_bands(anchors: DataFrame) -> DataFrame:
@@ -134,11 +125,11 @@ def column_of(ratio: Column) -> Column:
 
 
 def table_cells(words: DataFrame) -> DataFrame:
-    """PAGE, number and the text of the five cells of each table row."""
-    bands = row_bands(row_anchors(words))
+    """PAGE, ordinal and the text of the five cells of each table row."""
+    bands = row_bands(row_anchors(words)).withColumnRenamed("number", "ordinal")
     placed = words.join(bands, PAGE).where((F.col("center_y") >= F.col("band_top")) & (F.col("center_y") < F.col("band_bottom")))
     parts = F.array_sort(F.collect_list(F.struct("center_y", "left", "text")))
-    cells = placed.withColumn("cell", column_of(F.col("center_x") / F.col("page_width"))).groupBy(*PAGE, "number").pivot("cell", [*COLUMN_ENDS, LAST_COLUMN]).agg(F.array_join(F.transform(parts, lambda x: x["text"]), " "))
+    cells = placed.withColumn("cell", column_of(F.col("center_x") / F.col("page_width"))).groupBy(*PAGE, "ordinal").pivot("cell", [*COLUMN_ENDS, LAST_COLUMN]).agg(F.array_join(F.transform(parts, lambda x: x["text"]), " "))
     return cells.fillna("", [*COLUMN_ENDS, LAST_COLUMN])
 
 

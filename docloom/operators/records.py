@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codes import is_plan_code
 from ..functions.quality import text_quality, value_score
 from ..functions.similarity import edit_ratio_of_keys
 from ..functions.text import clean, normalize
+from .groups import per_group
 
 # Weights of the duplicate score and its threshold.
 NAME, CAREER, TRAINING = 0.5, 0.2, 0.3
@@ -163,14 +164,9 @@ def consolidated(records: DataFrame, block: str = "block") -> DataFrame:
     """
     rows = records.select("id", "seq", block, F.coalesce("hash", F.lit("")).alias("hash"), clean("code").alias("code"), clean("period").alias("period"), normalize("name").alias("name"), normalize("career").alias("career"), F.transform("trainings", normalize).alias("trainings"), is_plan_code("code").alias("valid"), F.coalesce("alias", F.lit(False)).alias("alias"))
 
-    def folded(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        of = fold(pdf.to_dict("records"))
-        ids = pdf["id"].tolist()
+    def folded(found: list[dict]) -> list[dict]:
         first: dict[int, object] = {}
-        for i, at in zip(ids, of):
-            first.setdefault(at, i)
-        return pd.DataFrame({"id": ids, "kept_id": [first[at] for at in of]})
+        return [{"id": r["id"], "kept_id": first.setdefault(at, r["id"])} for r, at in zip(found, fold(found))]
 
-    kind = records.schema["id"].dataType.simpleString()
-    return rows.groupBy(block).applyInPandas(folded, f"id {kind}, kept_id {kind}")
+    kind = records.schema["id"].dataType
+    return per_group(rows, [block], ["seq"], folded, T.StructType([T.StructField("id", kind), T.StructField("kept_id", kind)]))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import date_number, is_plan_code, loose_date, period_of
-from ..functions.quality import has_mixed_content, has_phrase
-from ..functions.text import clean, js_round, normalize
+from ..functions.quality import FOREIGN, has_mixed_content, has_phrase
+from ..functions.text import clean, js_round, let, normalize
 
 # Layers of the summary and the kinds of training.
 LAYERS = ("lectura", "estructura", "campos", "cruzada", "semantica", "consenso", "plantilla", "duplicados", "manual")
@@ -40,9 +40,8 @@ def warning(path: str, when: Column, category: str, layer: str) -> Rule:
 
 def first_per_path(issues: Column) -> Column:
     """Issues without nulls; of those with the same path and severity the first."""
-    found = F.array_compact(issues)
     same = lambda x, y: (x["path"] == y["path"]) & (x["severity"] == y["severity"])
-    return F.transform(F.array_compact(F.transform(found, lambda x, i: F.when(~F.exists(F.slice(found, F.lit(1), i), lambda y: same(x, y)), x))), lambda x: x)
+    return let(F.array_compact(issues), lambda found: F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: same(x, y))))
 
 
 def issues(rules: list[Rule]) -> Column:
@@ -50,12 +49,14 @@ def issues(rules: list[Rule]) -> Column:
     return first_per_path(F.array(*(r.issue() for r in rules)))
 
 
+def _mixed(t: Column, key: Column, longest: int) -> Column:
+    """As quality.has_mixed_content, for a cleaned text and its key."""
+    return (F.length(t) > longest) | key.rlike(FOREIGN)
+
+
 def required_text(path: str, c: Column, longest: int, layer: str = "campos") -> list[Rule]:
     t = clean(c)
-    return [
-        Rule(path, t == "", layer=layer),
-        Rule(path, (F.length(t) > longest) | has_mixed_content(t, longest), "invalid", layer="semantica"),
-    ]
+    return [Rule(path, t == "", layer=layer), Rule(path, _mixed(t, normalize(c), longest), "invalid", layer="semantica")]
 
 
 def code_rules(path: str, c: Column, template: Column) -> list[Rule]:
@@ -93,13 +94,13 @@ def hours_rules(path: str, hours: Column) -> list[Rule]:
 def name_rules(path: str, c: Column) -> list[Rule]:
     t, key = clean(c), normalize(c)
     mixed = has_phrase(key, "desde", "hasta", "aprobacion", "horas de capacitacion", "hora de capacitacion", "fecha de propuesta")
-    return [Rule(path, t == ""), Rule(path, (F.length(t) > 220) | mixed | has_mixed_content(t, 220), "invalid", layer="semantica")]
+    return [Rule(path, t == ""), Rule(path, mixed | _mixed(t, key, 220), "invalid", layer="semantica")]
 
 
-def date_rules(path: str, c: Column, as_of_year: int) -> list[Rule]:
-    """as_of_year stands for the present: years more than ten later are doubtful."""
-    t, key, d = clean(c), normalize(c), loose_date(c)
-    polluted = (F.length(t) > 140) | has_mixed_content(t, 140) | has_phrase(key, "aprobacion", "horas de capacitacion", "hora de capacitacion")
+def date_rules(path: str, c: Column, as_of_year: int, d: Column | None = None) -> list[Rule]:
+    """as_of_year stands for the present: years more than ten later are doubtful. d: the date that c names, if known."""
+    t, key, d = clean(c), normalize(c), loose_date(c) if d is None else d
+    polluted = _mixed(t, key, 140) | has_phrase(key, "aprobacion", "horas de capacitacion", "hora de capacitacion")
     return [
         Rule(path, t == ""),
         Rule(path, (t != "") & polluted, "invalid", layer="semantica"),
@@ -109,16 +110,15 @@ def date_rules(path: str, c: Column, as_of_year: int) -> list[Rule]:
 
 
 def date_order_rule(path: str, start: Column, end: Column) -> Rule:
-    a, b = date_number(loose_date(start)), date_number(loose_date(end))
+    """start and end: dates as loose_date gives them."""
+    a, b = date_number(start), date_number(end)
     return Rule(path, (a > 0) & (b > 0) & (b < a), "invalid", "contenido", "cruzada")
 
 
 def kind_rules(path: str, c: Column) -> list[Rule]:
     t, key = clean(c), normalize(c)
-    known = F.lit(False)
-    for k in TRAINING_KINDS:
-        known = known | key.contains(k)
-    return [Rule(path, t == ""), Rule(path, (F.length(t) > 60) | has_mixed_content(t, 60) | ~known, "invalid", layer="semantica")]
+    known = key.rlike("|".join(TRAINING_KINDS))
+    return [Rule(path, t == ""), Rule(path, _mixed(t, key, 60) | ~known, "invalid", layer="semantica")]
 
 
 def list_rules(path: str, c: Column) -> list[Rule]:
@@ -129,8 +129,12 @@ def list_rules(path: str, c: Column) -> list[Rule]:
 
 def training_issues(t: Column, index: Column, as_of_year: int) -> Column:
     """Issues of one training (struct name, hours, start, end, kind); paths carry its index."""
-    rules = [*name_rules("nombre", t["name"]), *hours_rules("horas", t["hours"]), *date_rules("fecha_inicio_propuesta", t["start"], as_of_year), *date_rules("fecha_fin_propuesta", t["end"], as_of_year), date_order_rule("fecha_fin_propuesta", t["start"], t["end"]), *kind_rules("tipo", t["kind"])]
-    return F.transform(issues(rules), lambda x: x.withField("path", F.concat(F.lit("capacitaciones."), index.cast("string"), F.lit("."), x["path"])))
+    def checked(dates: Column) -> Column:
+        a, b = dates["a"], dates["b"]
+        return issues([*name_rules("nombre", t["name"]), *hours_rules("horas", t["hours"]), *date_rules("fecha_inicio_propuesta", t["start"], as_of_year, a), *date_rules("fecha_fin_propuesta", t["end"], as_of_year, b), date_order_rule("fecha_fin_propuesta", a, b), *kind_rules("tipo", t["kind"])])
+
+    found = let(F.struct(loose_date(t["start"]).alias("a"), loose_date(t["end"]).alias("b")), checked)
+    return F.transform(found, lambda x: x.withField("path", F.concat(F.lit("capacitaciones."), index.cast("string"), F.lit("."), x["path"])))
 
 
 DIAGNOSIS = {
