@@ -33,7 +33,7 @@ def split_runs(runs: DataFrame) -> DataFrame:
     units = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) + F.size(words) - 1
     before = F.transform(words, lambda w, i: F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x) + 1))
     each = runs.withColumn("unit", F.col("width") / F.greatest(units, F.lit(1))).withColumn("height", F.greatest("height", F.lit(5.0))).select(*PAGE, "run", "left", "top", "height", "unit", F.posexplode(F.arrays_zip(words.alias("w"), before.alias("b"))).alias("pos", "x"))
-    boxes = each.select(*PAGE, "run", "pos", F.col("x")["0"].alias("text"), (F.col("left") + F.col("x")["1"] * F.col("unit")).alias("left"), "top", (F.length(F.col("x")["0"]) * F.col("unit")).alias("width"), "height", F.lit(100.0).alias("confidence"))
+    boxes = each.select(*PAGE, "run", "pos", F.col("x")["w"].alias("text"), (F.col("left") + F.col("x")["b"] * F.col("unit")).alias("left"), "top", (F.length(F.col("x")["w"]) * F.col("unit")).alias("width"), "height", F.lit(100.0).alias("confidence"))
     return with_box(boxes)
 
 
