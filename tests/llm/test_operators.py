@@ -1,0 +1,350 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.llm import class_model, decontaminate, hashing, jaccard_join, language, packing, secrets, suffix_dedup, token_counts, transport, url_filter
+from docloom.llm.graph import components
+
+
+def words(t):
+    return (t or "").encode().lower().split()
+
+
+def fold(i, n):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % n
+
+
+# --- 1 ---
+
+
+@pytest.mark.parametrize("literal", [20_000, 0])
+def test_decontamination(spark, docs, corpus, literal):
+    rng = random.Random(2)
+    source = next(t for i, t, *_ in corpus if t and len(t.split()) > 100)
+    w = source.split()
+    items = [(1, " ".join(w[10:40])), (2, "uno dos tres cuatro"), (3, None), (4, ""), (5, "nothing of this is there at all"), (6, " ".join(w[20:50]).upper()), (7, " ".join(rng.sample(w, 30)))]
+    got = decontaminate.search(docs, spark.createDataFrame(items, "item_id int, text string"), literal).distinct().collect()
+    want = set()
+    for i, t, *_ in corpus:
+        d = (t or "").lower().split()
+        for k, u in items:
+            q = (u or "").lower().split()
+            n = min(5, len(q))
+            if n:
+                grams = {tuple(q[a : a + n]) for a in range(len(q) - n + 1)}
+                both = grams & {tuple(d[a : a + n]) for a in range(len(d) - n + 1)}
+                if 100 * len(both) >= 75 * len(grams):
+                    want.add((i, k, len(grams), len(both)))
+    assert {tuple(r) for r in got} == want and {k for _, k, *_ in want} >= {1, 2, 6}
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame(items, "item_id int, text string"))
+    assert left.count() == sum(i not in {x[0] for x in want} for i, *_ in corpus) and left.columns == docs.columns
+
+
+# --- 2 ---
+
+
+def test_secrets_base_and_structure():
+    import base64
+
+    find = lambda t: secrets.order(secrets.base_spans(t) + secrets.structural_spans(t))
+    assert find("") == [] and find("password=short") == []
+    assert find('Password" : "hunter22 rest') == [("assign", 0, 21)]
+    assert find("AKIA" + "A" * 16) == [("access", 0, 20)] and find("AKIA" + "A" * 15) == []
+    assert find("f" * 24) == [("hex", 0, 24)]
+    token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"sub":"1"}', b"signature"))
+    assert ("jwt", 2, 2 + len(token)) in find("x " + token)
+    assert not any(k == "jwt" for k, *_ in find(token.replace("eyJhbGci", "eyJhbGcx")))
+    hidden = base64.b64encode(b"api_key=abcdef0123456789").decode()
+    assert ("encoded", 2, 2 + len(hidden)) in find("a " + hidden)
+    assert find("a " + base64.b64encode(b"only some plain words here").decode()) == []
+    key = bytes([0x30, 0x11, 0x02, 0x01, 0x00]) + bytes([0x02, 0x01, 0x05]) * 0 + bytes([0x04, 0x0C]) + b"k" * 12
+    assert secrets.is_private_key(bytes([0x30, 0x15, 0x02, 0x01, 0x01, 0x04, 0x10]) + b"k" * 16) and not secrets.is_private_key(key[:-1])
+
+
+def test_secret_query(spark, docs, corpus, folder):
+    rows = [(0, "token: abcdef123", "x"), (1, None, "y"), (2, "", "z")]
+    out = {r["doc_id"]: r for r in secrets.op2_secret_scans(spark, folder(documents=spark.createDataFrame(rows, "doc_id long, text string, base_spans string"))).collect()}
+    assert out[0]["n_assign"] == 1 and out[0]["base_sha256"] == hashlib.sha256(b"assign:0:16").hexdigest() and out[0]["spans"] == "assign:0:16"
+    assert out[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() == out[2]["base_sha256"]
+    red = secrets.redact_secrets(docs)
+    assert red.count() == len(corpus) and red.columns == docs.columns
+    one = secrets.redact_secrets(spark.createDataFrame([(1, "a token: abcdef123 b", 0)], "doc_id long, text string, n_chars long")).first()
+    assert (one["text"], one["n_chars"]) == ("a [assign] b", 12)
+
+
+# --- 3 ---
+
+
+def test_token_counts(spark, docs, corpus):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    more = [(1000 + k, t, "es", "s", 0) for k, t in enumerate(["<|endoftext|> a", "日本語 text", "a\u3000b", "don't  stop\n\n ok ", "ǅ ǆ ٣", "\u200b\ufeff", "x" * 5000])]
+    rows = [*corpus, *more]
+    got = token_counts.count_tokens(docs.union(spark.createDataFrame(more, docs.schema)), path).collect()
+    want = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_token_counts_of_nothing(no_docs):
+    import public_tokenizers
+
+    assert token_counts.count_tokens(no_docs, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
+
+
+# --- 4 ---
+
+
+def test_suffix_array():
+    rng = random.Random(1)
+    for _ in range(400):
+        s = [rng.randint(1, rng.randint(1, 4)) for _ in range(rng.randint(0, 40))] + [0]
+        assert suffix_dedup.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+@pytest.mark.parametrize("held", [20_000, 1])
+def test_suffix_dedup(docs, corpus, held, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs).collect())
+    data = [(t or "").encode() for _, t, *_ in corpus]
+    count = Counter(b[p : p + 400] for b in data for p in range(len(b) - 399))
+    want = Counter()
+    for (i, *_), b in zip(corpus, data):
+        mark = bytearray(len(b))
+        for p in range(len(b) - 399):
+            if count[b[p : p + 400]] > 1:
+                mark[p : p + 400] = b"\1" * 400
+        want[i, len(b), mark.count(1), (b"\0" + bytes(mark)).count(b"\0\1"), bytes(x for x, m in zip(b, mark) if not m)] += 1
+    assert got == want and sum(k[2] for k in want) > 3000
+
+
+def test_suffix_dedup_of_nothing(no_docs):
+    assert suffix_dedup.remove_repeats(no_docs).collect() == []
+
+
+# --- 5 ---
+
+
+@pytest.mark.parametrize("size", [200_000, 5])
+def test_class_model(docs, corpus, size, monkeypatch):
+    monkeypatch.setattr(class_model, "DICTIONARY", size)
+    from docloom.llm.common import fold as column
+
+    model, counts = class_model.learn(docs.where(column() % 10 != 0))
+    got = class_model.score_texts(docs, model, counts).collect()
+    train = [t for i, t, *_ in corpus if fold(i, 10)]
+    c = Counter(w for t in train for w in words(t))
+    total, kinds = sum(c.values()) + len(train), len(c) + 1
+    assert model.tokens == total and len(got) == len(corpus)
+    known = defaultdict(list)
+    for i, t, *_ in corpus:
+        known[i].append((len(words(t)) + 1, sum(c[w] > 0 for w in words(t)) + 1, sum(math.log10((n + 0.1) / (total + 0.1 * (kinds + 1))) for n in [*(c[w] for w in words(t)), len(train)])))
+    for r in got:
+        assert any((r["n_tokens"], r["n_known"]) == k[:2] and math.isclose(r["base_score"], k[2], rel_tol=1e-9) for k in known[r["doc_id"]]) and r["score"] < 0
+
+
+def test_class_model_is_a_distribution(docs):
+    model, _ = class_model.learn(docs)
+    assert np.allclose((10.0**model.step).sum(axis=1), 1.0)
+    for k in set(model.cls[:-1].tolist()):
+        assert math.isclose(sum(10.0 ** model.emit[:-1][model.cls[:-1] == k]), 1.0, rel_tol=1e-9)
+
+
+def test_class_model_of_nothing(no_docs, docs):
+    model, counts = class_model.learn(no_docs)
+    out = class_model.score_texts(docs, model, counts).collect()
+    assert all(r["n_known"] == 0 and abs(r["base_score"]) < 1e-9 for r in out)
+
+
+# --- 6 ---
+
+
+def test_language(spark, no_docs):
+    rng = random.Random(3)
+    vocabulary = {"es": "casa perro que niño los señor está mañana".split(), "en": "house dog that child the mister this tomorrow".split(), "de": "haus hund dass kind der herr straße morgen".split()}
+    rows = [(i, " ".join(rng.choices(vocabulary[k], k=30)), k) for i, k in enumerate(rng.choices(list(vocabulary), k=300))]
+    odd = [(900, None, "es"), (901, "", "en"), (902, "123 !!", "de"), (903, rows[0][1], None), (None, rows[1][1], "en")]
+    data = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in language.identify(data, language.learn(language.training_rows(data))).collect()}
+    held = [i for i, *_ in rows if fold(i, 5) == 0]
+    assert sum(out[i]["lang_pred"] == rows[i][2] for i in held) >= 0.98 * len(held)
+    assert [out[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3 and out[902]["score"] == 0.0
+    assert language.reject_unidentified(data).count() == 302
+    assert language.identify(data, language.learn(no_docs.selectExpr("lang as label", "text", "0D as draw"))).where("lang_pred <> 'und'").count() == 0
+
+
+# --- 7 ---
+
+
+def brute_components(rows):
+    sets = []
+    for i, t, *_ in rows:
+        w = words(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return Counter((i, len(s), least.get(find(k))) for k, ((i, *_), s) in enumerate(zip(rows, sets)))
+
+
+@pytest.mark.parametrize("limit", [256, 2])
+def test_jaccard_join(docs, corpus, limit, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIST", limit)
+    out = jaccard_join.near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(corpus)
+
+
+def test_jaccard_join_random_chains(spark):
+    rng = random.Random(9)
+    rows, serial = [], 0
+    for _ in range(12):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(6, 60))]
+        for _ in range(rng.randint(1, 12)):  # chains of small edits drift apart
+            rows.append((serial, " ".join(w)))
+            serial += 1
+            w = list(w)
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+    rng.shuffle(rows)
+    out = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(rows)
+
+
+@pytest.mark.parametrize("light", [0, 10, 1000])
+def test_linked_sets_share_a_key(light):
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(2, 40))
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([rng.permutation(x)[: max(1, int(len(x) * rng.uniform(0.7, 1)))], rng.integers(0, 2**63, int(rng.integers(0, 6)), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 75 * (len(x) + len(y) - both) and not np.array_equal(x, y):
+            none = np.zeros(0, np.uint64)
+            assert len(np.intersect1d(*(jaccard_join.keys_of(s, none, none.astype(int), light) for s in (x, y))))
+            assert jaccard_join.difference_bound(jaccard_join.signature(x), jaccard_join.signature(y)) <= len(x) + len(y) - 2 * both
+
+
+def test_jaccard_join_of_nothing(no_docs):
+    assert jaccard_join.near_duplicates(no_docs).collect() == []
+
+
+def test_keep_one(docs, corpus):
+    kept = jaccard_join.keep_one(docs)
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    want = {i for (i, n, c) in brute_components(corpus) if n == 0 or i == c}
+    assert ids == want and kept.columns == docs.columns
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
+    root = list(range(200))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: find(k) for a, b in edges if a != b for k in (a, b)}
+
+
+def test_shingle_sets(corpus):
+    texts = [t for _, t, *_ in corpus]
+    for t, s in zip(texts, hashing.shingle_sets(texts)):
+        w = words(t)
+        assert len(s) == (len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if w else 0)
+        assert np.array_equal(s, hashing.shingle_set(t))
+    assert len(hashing.shingle_set("a" * (1 << 20) + "b c d e f g")) == 2
+
+
+# --- 8 ---
+
+
+def test_packing(docs, corpus):
+    out = packing.pack_documents(docs, (64, 128, 256)).collect()
+    sizes = Counter()
+    bins = defaultdict(list)
+    for r in out:
+        sizes[r["doc_id"]] += r["length"]
+        bins[r["bin_id"]].append(r)
+    want = Counter()
+    for i, t, *_ in corpus:
+        want[i] += len(words(t)) + 1
+    assert sizes == want
+    for rows in bins.values():
+        rows.sort(key=lambda r: r["bin_offset"])
+        assert [r["bin_offset"] for r in rows] == [sum(x["length"] for x in rows[:k]) for k in range(len(rows))]
+        assert sum(r["length"] for r in rows) == rows[0]["bin_used"] <= rows[0]["bin_capacity"] == packing.downsized(rows[0]["bin_used"], (64, 128, 256))
+
+
+def test_packing_takes_the_cheapest_policy():
+    lengths = sorted((random.Random(1).randint(1, 4096) for _ in range(400)), reverse=True)
+    of, used = packing.pack(lengths)
+    price = lambda u: sum(packing.cost(packing.downsized(x)) for x in u)
+    assert price(used) == min(price(packing._fit(lengths, packing.CAPACITIES, k)[1]) for k in (0, *packing.CAPACITIES)) and len(of) == 400
+
+
+# --- 9 ---
+
+
+def test_transport_round_trip(docs, corpus):
+    out = transport.read_streams(transport.write_streams(docs)).collect()
+    want = Counter((i, hashlib.sha256(transport.pad((t or "").encode())).hexdigest()) for i, t, *_ in corpus)
+    assert Counter((r["doc_id"], r["payload_sha256"]) for r in out) == want
+    assert all(r["continuity_errors"] == 0 and len(r["media"]) == 188 * r["packets"] and r["timestamps"] == sorted(r["timestamps"]) for r in out)
+
+
+def test_transport_sees_damage():
+    media = transport.multiplex(transport.pad(b"x" * 5000))
+    assert transport.demultiplex(media)["payload"] == transport.pad(b"x" * 5000)
+    cut = media[: 188 * 5] + media[188 * 6 :]
+    with pytest.raises(ValueError):
+        transport.demultiplex(cut)
+    with pytest.raises(ValueError):
+        transport.demultiplex(media[:-1])
+
+
+# --- 10 ---
+
+
+def test_url_filter(spark):
+    rows = [(1, "HTTP://Sub.Example.ORG/es/9?x", "<p>a</p>"), (2, "http://example.org/en/12", ""), (3, "http://a.com/fr/x#y", None), (4, "x://b.com/de/", ""), (5, "http://notexample.orgx/es/", ""), (6, None, ""), (7, "nothing", ""), (8, "http://cheappills.net/win", ""), (9, "http://example.org", "")]
+    out = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[k]["rule"] for k in range(1, 10)] == ["example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None, None, None, None]
+    assert [out[k]["verdict"] for k in range(1, 5)] == ["block", "block", "allow", "block"]
+    assert (out[1]["host"], out[1]["path"], out[6]["host"], out[7]["path"], out[9]["path"]) == ("sub.example.org", "/es/9", "", "", "")
+    assert out[8]["host_words"] == "cheap pills net" and {r["verdict"] for r in out.values()} == {"allow", "block"}
+
+
+def test_url_filter_of_nothing(spark):
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_segmenter():
+    s = url_filter.Segmenter({"cheap": 5, "pills": 5, "che": 1, "ap": 1})
+    assert s.host_words("cheappills-2.x") == ["cheap", "pills", "x"]
+    assert re.sub(" ", "", " ".join(s.host_words("unknownname"))) == "unknownname"
