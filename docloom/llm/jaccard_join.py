@@ -9,9 +9,9 @@ Light sets (few shingles) enumerate all pairs of that longer prefix and meet oth
 Heavy sets post their prefix to inverted lists, which are scanned; light sets near the boundary post
 there, too. The boundary is the size of least cost under the sizes and repeats seen in all documents.
 
-A list is not turned into all its pairs: first its members are linked to its first member; the links
-that hold (an exact check follows) form components; then only pairs of a list across components are
-tried. Parity signatures, whose difference bounds the sets' difference from below, dismiss most
+A list is not turned into all its pairs: first its members are compared with its first member (a set
+with the head it meets most often); the links that hold (an exact check follows) form components;
+then only the other pairs of a list across components are tried. Parity signatures, whose difference bounds the sets' difference from below, dismiss most
 candidates without reading a text; the rest is checked on whole sets. No link that could join two
 components is lost.
 
@@ -38,6 +38,8 @@ from .hashing import mix, shingle_sets
 SIMILAR = 75  # percent
 #: Entries of the broadcast table of frequent shingles.
 FREQUENT = 200_000
+#: Members of a list whose pairs are enumerated in place; longer lists are joined.
+LIST = 256
 #: Signature bits for each shingle, about; and the least number of bits.
 SIGNATURE_BITS, LEAST_BITS = 4, 256
 #: Cost of a candidate against that of a key.
@@ -49,6 +51,11 @@ def needed(n: int) -> int:
     return -(-SIMILAR * n // 100)
 
 
+def needed_by_larger(n: int) -> int:
+    """Least overlap of a set of n with a set it links to that is no smaller."""
+    return -(-2 * SIMILAR * n // (100 + SIMILAR))
+
+
 def signature(shingles: np.ndarray) -> bytes:
     """Parities of the set's counts in hash ranges; a power of two of bits."""
     bits = max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(1, SIGNATURE_BITS * len(shingles))))))
@@ -73,12 +80,11 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def repeats() -> pa.RecordBatch:
         h = np.concatenate(held)
+        held.clear()
         h.sort()
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        times = np.diff(np.append(first, len(h)))
-        many = times > 1
-        n = int(many.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int32()), pa.array(h[first[many]].view(np.int64)), pa.nulls(n, pa.binary()), pa.array(times[many].astype(np.int32))], names=["doc_id", "n", "node", "sig", "times"])
+        again, times = np.unique(h[1:][h[1:] == h[:-1]], return_counts=True)
+        n = len(again)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int32()), pa.array(again.view(np.int64)), pa.nulls(n, pa.binary()), pa.array((times + 1).astype(np.int32))], names=["doc_id", "n", "node", "sig", "times"])
 
     for batch in batches:
         kind = batch.column("doc_id").type
@@ -90,9 +96,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         held += sets
         count += sum(map(len, sets))
-        if count > 1 << 23:
+        if count > 1 << 21:
             yield repeats()
-            held, count = [], 0
+            count = 0
     if count:
         yield repeats()
 
@@ -114,28 +120,38 @@ def boundary(sizes: dict[int, int], repeats: float) -> int:
     return cut
 
 
-def keys_of(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, light: int) -> np.ndarray:
-    """Keys of a set: pairs of its prefix if it is light, prefix shingles if a heavy set may link to it."""
+def keys_of(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set (pairs of its prefix if it is light, prefix shingles if a heavy set may link to it), and which of them hold when it is the smaller of a pair.
+
+    A set that links to one no smaller shares more with it, so its prefix is shorter then.
+    """
     n = len(shingles)
     if n < 2:
-        return shingles[:0]  # only an equal set links
+        return shingles[:0], np.zeros(0, bool)  # only an equal set links
     order = np.zeros(n, np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
         order = np.where(frequent[at] == shingles, rank[at] + 1, 0)
     front = shingles[np.argsort(order, kind="stable")[: n - needed(n) + 2]]
-    out = []
+    short = n - needed_by_larger(n)
+    keys, small = [], []
     if n <= light:
         i, j = np.triu_indices(len(front), 1)
         low, high = np.minimum(front[i], front[j]), np.maximum(front[i], front[j])
-        out.append(mix(low * np.uint64(0x9E3779B97F4A7C15) ^ high))
+        keys.append(mix(low * np.uint64(0x9E3779B97F4A7C15) ^ high))
+        small.append(j < short + 2)
     if 100 * n > SIMILAR * light:
-        out.append(front[: n - needed(n) + 1])
-    return np.concatenate(out)
+        keys.append(front[: n - needed(n) + 1])
+        small.append(np.arange(len(keys[-1])) < short + 1)
+    return np.concatenate(keys), np.concatenate(small)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, n, node) sorted by these: (hub, member) of each list, and the rows of lists of three or more members."""
+    """From rows (key, n, node) sorted by these: (head, member) of each list, and the rows of lists of three or more members.
+
+    n is twice the size, one more where the key does not hold for the smaller of a pair. Such rows are
+    no heads, and those before a list's head have no partner in it.
+    """
     kept, flagged = np.zeros((3, 0), np.int64), False  # the first rows of the list at hand; whether they were given out
     last = None
     for batch in batches:
@@ -151,11 +167,20 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not total:
             continue
         start = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+        heads = np.cumsum(rows[1] & 1 == 0)
+        headed = heads - np.repeat(np.append(0, heads)[start], np.diff(np.append(start, total))) > 0
+        if not headed.all():  # the rows kept from before begin with a head
+            rows = rows[:, headed]
+            total = rows.shape[1]
+            if not total:
+                kept, flagged = rows, False
+                continue
+            start = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
         length = np.diff(np.append(start, total))
         hub = np.repeat(start, length)
         key, n, node = rows
         fresh = np.arange(total) >= old
-        pair = fresh & (np.arange(total) != hub) & (node != node[hub]) & (100 * n[hub] >= SIMILAR * n)
+        pair = fresh & (np.arange(total) != hub) & (node != node[hub]) & (100 * (n[hub] >> 1) >= SIMILAR * (n >> 1))
         many = np.repeat(length >= 3, length)
         if flagged and old and length[0] > old:
             many[:old] = False
@@ -168,6 +193,29 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[m]), pa.array(n[m].astype(np.int32)), pa.array(node[m]), pa.nulls(len(m), pa.int64())], names=["key", "n", "a", "b"])
 
 
+def _distinct_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (a, others) sorted by a the distinct pairs (a, b)."""
+    last, parts, size = None, [], 0
+
+    def pairs() -> pa.RecordBatch:
+        b = np.unique(np.concatenate(parts))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), last, np.int64)), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        for a, others in zip(batch.column("a").to_pylist(), batch.column("others")):
+            if a != last:
+                if parts:
+                    yield pairs()
+                last, parts, size = a, [], 0
+            parts.append(np.asarray(others.values))
+            size += len(parts[-1])
+            if size > 1 << 20:
+                parts = [np.unique(np.concatenate(parts))]
+                size = len(parts[0])
+    if parts:
+        yield pairs()
+
+
 class Join:
     """The join's tables over one set of documents."""
 
@@ -183,7 +231,7 @@ class Join:
         self.repeated = profile.where(F.col("times").isNotNull()).groupBy(F.col("node").alias("shingle")).agg(F.sum("times").alias("times"))
 
     def keys(self) -> DataFrame:
-        """(key, n, node) of every class."""
+        """(key, n, node) of every class; n as for the lists."""
         frequent = self.repeated.orderBy(F.desc("times"), "shingle").limit(FREQUENT).toPandas()
         sizes = {r["n"]: r["count"] for r in self.classes.groupBy("n").count().collect()}
         total = sum(n * c for n, c in sizes.items())
@@ -207,11 +255,13 @@ class Join:
                         sets.append(s)
                         node.append(name)
                 keys = [keys_of(s, table_, rank_, light) for s in sets]
+                twice = np.array([2 * len(s) for s in sets], np.int32)
                 for at in range(0, len(keys), 500):
                     part = keys[at : at + 500]
-                    size = [len(k) for k in part]
+                    size = [len(k) for k, _ in part]
+                    small = np.concatenate([x for _, x in part])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(part).view(np.int64)), pa.array(np.repeat(np.array([len(s) for s in sets[at : at + 500]], np.int32), size)), pa.array(np.repeat(np.array(node[at : at + 500], np.uint64).view(np.int64), size))],
+                        [pa.array(np.concatenate([k for k, _ in part]).view(np.int64)), pa.array(np.repeat(twice[at : at + 500], size) + (~small).astype(np.int32)), pa.array(np.repeat(np.array(node[at : at + 500], np.uint64).view(np.int64), size))],
                         names=["key", "n", "node"],
                     )
 
@@ -258,19 +308,32 @@ class Join:
         """Links (a, b) of classes that give the components."""
         n = partitions(self.spark)
         listed = materialize(self.keys().repartition(n, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_groups, "key long, n int, a long, b long"), "lists")
-        tried = materialize(listed.where(F.col("key").isNull()).select("a", "b").distinct(), "pairs")
-        first = materialize(self.linked(tried), "links")
-        comp = components(first)
+        tried = materialize(listed.where(F.col("key").isNull()).groupBy("a", "b").count(), "pairs")
+        # a class is compared first with the list head that it meets most often: that joins most groups of near copies
+        best = tried.groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a")).select("a", "b")
+        links = materialize(self.linked(best), "links")
+        comp = components(links)
+        rest = tried.join(best, ["a", "b"], "left_anti").join(comp.toDF("a", "comp_a"), "a", "left").join(comp.toDF("b", "comp_b"), "b", "left")
+        rest = rest.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+        across = self._across(listed, comp, n).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        return links.union(materialize(self.linked(rest.union(across)), "links"))
+
+    def _across(self, listed: DataFrame, comp: DataFrame, n: int) -> DataFrame:
+        """Pairs (a, b) that a list holds, of different components and fitting sizes; the smaller set stands first."""
         rows = listed.where(F.col("key").isNotNull()).select("key", "n", F.col("a").alias("node")).join(comp, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        rows = materialize(rows.join(mixed, "key"), "mixed")
-        x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "node", "comp"))) for s in ("x", "y"))
-        fits = (F.col("n_x") * 100 >= F.col("n_y") * SIMILAR) & (F.col("n_y") * 100 >= F.col("n_x") * SIMILAR)
-        # as in the first round, the smaller set stands first
-        ahead = F.struct("n_x", "node_x") < F.struct("n_y", "node_y")
-        across = x.join(y, "key").where((F.col("comp_x") != F.col("comp_y")) & fits & ahead).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-        second = materialize(self.linked(across.join(tried, ["a", "b"], "left_anti")), "links")
-        return first.union(second)
+        mixed = materialize(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members"), "mixed")
+        fits = lambda x, y: (x["comp"] != y["comp"]) & (x["n"] % 2 == 0) & (F.shiftright(x["n"], 1) * 100 >= F.shiftright(y["n"], 1) * SIMILAR)  # noqa: E731  x is the smaller one
+
+        # short lists: equal ones count once; each member gets its partners, which are then made distinct
+        short = rows.join(mixed.where(F.col("members") <= LIST), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node", "comp"))).alias("members")).select("members").distinct()
+        partners = F.transform("members", lambda x, i: F.struct(x["node"].alias("a"), F.transform(F.filter(F.slice("members", i + 2, F.size("members")), lambda y: fits(x, y)), lambda y: y["node"]).alias("others")))
+        each = short.select(F.explode(F.filter(partners, lambda p: F.size(p["others"]) > 0)).alias("p")).select("p.a", "p.others")
+        found = each.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_distinct_partners, "a long, b long")
+        # long ones by a join
+        long = rows.join(mixed.where(F.col("members") > LIST), "key")
+        x, y = (F.struct("n", "node", "comp").alias(s) for s in ("x", "y"))
+        joined = long.select("key", x).join(long.select("key", y), "key").where(fits(F.col("x"), F.col("y")) & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")))
+        return found.union(joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
 
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, set_key and component_id of every row."""
