@@ -150,7 +150,9 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         place = (least[first] & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
         parts.append((h[place], place + at, first + at, np.append(first[1:], len(least)) - 1 + at))
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    h, place, first, last = (np.concatenate(x) for x in zip(*parts))
+    start = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))  # a run goes on in the next part
+    return h[start], place[start], first[start], np.append(last[start[1:] - 1], last[-1])
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

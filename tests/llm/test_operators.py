@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,35 @@ def test_suffix_dedup(docs, corpus, held, monkeypatch):
     assert got == want and sum(k[2] for k in want) > 3000
 
 
+@pytest.mark.parametrize("size", [450, 1000, 2048])
+def test_suffix_dedup_across_segments(size, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", size)  # in this process: workers import the module anew
+    rng = random.Random(size)
+    line = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passages = [line(rng.randint(400, 700)) for _ in range(12)]
+    texts = ["".join(line(rng.randint(100, 900)) + p for p in rng.sample(passages, 12)) for _ in range(3)]
+    table = lambda rows, names: pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in sorted(rows)])
+    listed = lambda batches: [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    keyed = [{"tkey": k, "text": t} for k, t in enumerate(texts)]
+    anchored = listed(suffix_dedup._anchored([pa.RecordBatch.from_pylist(keyed)]))
+    assert len({r[:3] for r in anchored}) == len(anchored)
+    grams = defaultdict(list)
+    for k, place, first, last in listed(suffix_dedup._repeated([table(anchored, ["h", "tkey", "place", "first", "last"])])):
+        grams[k].append({"place": place, "first": first, "last": last})
+    blocks = listed(suffix_dedup._blocks([pa.RecordBatch.from_pylist([r | {"grams": grams[r["tkey"]]} for r in keyed])]))
+    ranges = listed(suffix_dedup._matched([table(blocks, ["core", "whole", "tkey", "at", "left", "right"])]))
+    got = set(listed(suffix_dedup._merged([table([r[1:] for r in ranges], ["tkey", "start", "end"])])))
+    count = Counter(t[p : p + 400] for t in texts for p in range(len(t) - 399))
+    want = set()
+    for k, t in enumerate(texts):
+        mark = bytearray(len(t))
+        for p in range(len(t) - 399):
+            if count[t[p : p + 400]] > 1:
+                mark[p : p + 400] = b"\1" * 400
+        want |= {(k, *m.span()) for m in re.finditer(b"\1+", bytes(mark))}
+    assert got == want and len(want) >= 30
+
+
 def test_suffix_dedup_of_nothing(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).collect() == []
 
