@@ -223,7 +223,7 @@ class Join:
         spark = self.spark = docs.sparkSession
         bound_batches(spark)
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        schema = T.StructType([self.docs.schema["doc_id"], *T._parse_datatype_string("n int, node long, sig binary, times int").fields])
+        schema = T.StructType([T.StructField("doc_id", self.docs.schema["doc_id"].dataType), *T._parse_datatype_string("n int, node long, sig binary, times int").fields])
         profile = materialize(self.docs.mapInArrow(_profile, schema), "profile")
         self.members = profile.where(F.col("times").isNull()).select("doc_id", "n", "node")
         classes = profile.where(F.col("times").isNull() & (F.col("n") > 0)).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -352,10 +352,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least id. Columns as given; rows without words stay."""
-    groups = near_duplicates(docs)
-    gone = groups.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each near-duplicate group stays. Columns as given; rows without words stay.
+
+    A row is known by its id and its text, nulls included. The row of the least id stays (null ids
+    stand last; of equal ids the least hash of the text), and one of its exact repeats.
+    """
+    marked = docs.withColumn("_row_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text")).alias("hash")))
+    groups = near_duplicates(marked, "_row_key").where(F.col("n_shingles") > 0)
+    keys = groups.groupBy(F.col("doc_id").alias("_key")).agg((~F.first("component_id").eqNullSafe(F.col("doc_id"))).alias("_gone"), F.count("*").alias("_rows"))
+    marks = materialize(keys.where("_gone or _rows > 1"), "marks")
+    key_of = lambda marks: marked["_row_key"].eqNullSafe(marks["_key"])
+    listed = few(marks.select("_key"))
+    kept = marked.join(listed, key_of(listed), "left_anti")
+    again = marks.where("not _gone").select("_key")
+    if not again.isEmpty():
+        again = few(again)
+        kept = kept.union(marked.join(again, key_of(again), "left_semi").dropDuplicates(["_row_key"]))
+    return kept.drop("_row_key")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

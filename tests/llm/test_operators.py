@@ -286,6 +286,25 @@ def test_keep_one(docs, corpus):
     assert ids == want and kept.columns == docs.columns
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    near = " ".join(f"w{k}" for k in range(40))
+    alone = " ".join(f"x{k}" for k in range(40))
+    nulls = " ".join(f"y{k}" for k in range(40))
+    rows = [(1, near), (None, near + " z"), (None, alone), (7, near + " q"), (7, "an unrelated clean text of some words"), (3, alone + " unlike"), (3, alone + " unlike"), (None, nulls), (None, nulls + " z"), (None, nulls), (None, ""), (None, None), (9, ""), (9, "")]
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row long")
+    kept = jaccard_join.keep_one(frame)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == frame.columns
+    # a null id is never the least one while another row of the group has an id
+    left = Counter(got)
+    assert left[1, near] == 1 and left[7, rows[4][1]] == 1 and left[3, alone + " unlike"] == 1
+    assert left[None, near + " z"] == left[7, near + " q"] == left[None, alone] == 0
+    assert left[None, nulls] + left[None, nulls + " z"] == 1
+    assert left[None, ""] == left[None, None] == 1 and left[9, ""] == 2 and len(got) == 8
+    clean = spark.createDataFrame([(1, near), (None, near + " z"), (None, nulls)], "doc_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(clean).collect()} == {(1, near), (None, nulls)}
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
