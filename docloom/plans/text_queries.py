@@ -200,23 +200,40 @@ _FOREIGN = "(" + " OR ".join(f"contains(' ' || k || ' ', ' {p} ')" for p in FORE
 _NOISY = "CASE doc_id % 10 WHEN 0 THEN substr(text, 1, 300) || ' Total de horas 40' WHEN 1 THEN '5. Indicadores ' || substr(text, 1, 50) WHEN 2 THEN 'UGPA-RGI1-44 ' || substr(text, 1, 90) WHEN 3 THEN '' ELSE substr(text, 1, 900) END"
 
 
-def text_quality_query(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.expr(_NOISY).alias("x"))
+#: The same noise before or after the whole text, no text being cut or left out.
+_WHOLE = "CASE doc_id % 10 WHEN 0 THEN text || ' Total de horas 40' WHEN 1 THEN '5. Indicadores ' || text WHEN 2 THEN 'UGPA-RGI1-44 ' || text ELSE text END"
+
+
+def text_quality_query(spark, d, noisy=_NOISY):
+    rows = table(spark, d, "documents").select("doc_id", F.expr(noisy).alias("x"))
     return rows.select("doc_id", text_quality("x").alias("quality"), value_score("x").alias("value_score"))
 
 
-TEXT_QUALITY = f"""SELECT doc_id, (CASE WHEN c = '' THEN -1000 ELSE least(24, ceil(length(c) / 10.0)) - CASE WHEN {_FOREIGN} THEN 80 ELSE 0 END
+def _sql_text_quality(noisy: str) -> str:
+    return f"""SELECT doc_id, (CASE WHEN c = '' THEN -1000 ELSE least(24, ceil(length(c) / 10.0)) - CASE WHEN {_FOREIGN} THEN 80 ELSE 0 END
  - CASE WHEN regexp_matches(upper(c), '(^|[^A-Za-z0-9_])UGPA-RGI[12]([^A-Za-z0-9_]|$)') THEN 35 ELSE 0 END - CASE WHEN contains(x, chr(65533)) THEN 20 ELSE 0 END END)::INTEGER AS quality,
  least(20, ceil(length(c) / 8.0))::INTEGER AS value_score
-FROM (SELECT doc_id, x, {sql_clean('x')} AS c, {sql_normalize('x')} AS k FROM (SELECT doc_id, {_NOISY} AS x FROM documents))"""
+FROM (SELECT doc_id, x, {sql_clean('x')} AS c, {sql_normalize('x')} AS k FROM (SELECT doc_id, {noisy} AS x FROM documents))"""
+
+
+def text_quality_whole(spark, d):
+    """Scores of whole texts; text_quality has their first characters."""
+    return text_quality_query(spark, d, _WHOLE)
 
 
-def mixed_content(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.expr(_NOISY).alias("x"))
+def mixed_content(spark, d, noisy=_NOISY):
+    rows = table(spark, d, "documents").select("doc_id", F.expr(noisy).alias("x"))
     return rows.select("doc_id", has_mixed_content("x").alias("mixed"))
 
 
-MIXED_CONTENT = f"SELECT doc_id, c <> '' AND (length(c) > 700 OR {_FOREIGN}) AS mixed FROM (SELECT doc_id, {sql_clean('x')} AS c, {sql_normalize('x')} AS k FROM (SELECT doc_id, {_NOISY} AS x FROM documents))"
+def _sql_mixed_content(noisy: str) -> str:
+    return f"SELECT doc_id, c <> '' AND (length(c) > 700 OR {_FOREIGN}) AS mixed FROM (SELECT doc_id, {sql_clean('x')} AS c, {sql_normalize('x')} AS k FROM (SELECT doc_id, {noisy} AS x FROM documents))"
+
+
+def mixed_content_whole(spark, d):
+    """The predicate of whole texts; mixed_content has their first characters."""
+    return mixed_content(spark, d, _WHOLE)
+
 
 MARKERS = ("the", "tion", "de la", "und ", "que", "er")
 
@@ -243,7 +260,9 @@ QUERIES = {
     "spanish_date_parse": (spanish_date_parse, SPANISH_DATE_PARSE),
     "date_range_split": (date_range_split, DATE_RANGE_SPLIT),
     "signal_score": (signal_score_query, SIGNAL_SCORE),
-    "text_quality": (text_quality_query, TEXT_QUALITY),
-    "mixed_content": (mixed_content, MIXED_CONTENT),
+    "text_quality": (text_quality_query, _sql_text_quality(_NOISY)),
+    "text_quality_whole": (text_quality_whole, _sql_text_quality(_WHOLE)),
+    "mixed_content": (mixed_content, _sql_mixed_content(_NOISY)),
+    "mixed_content_whole": (mixed_content_whole, _sql_mixed_content(_WHOLE)),
     "assess_text": (assess_text, ASSESS_TEXT),
 }
