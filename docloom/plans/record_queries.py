@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codes import loose_date
@@ -136,8 +137,8 @@ SELECT p_brand, value, (row_number() OVER (PARTITION BY p_brand ORDER BY ord, k)
 
 def row_alignment(spark, d):
     """Rows of an order as three engines read them: one has them all, one misreads some, one loses some."""
-    li = table(spark, d, "lineitem").where("l_linenumber <= 4")
-    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    li = table(spark, d, "lineitem")  # line numbers repeat in an order; every row is one of its lines
+    li = li.select("l_orderkey", "l_partkey", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")).alias("l_linenumber"))
     names = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower(F.concat_ws(" ", "p_name", "p_type", F.regexp_replace("p_brand", "#", " "))).alias("name"))
     rows = li.join(names, "l_partkey").select(F.col("l_orderkey").alias("doc_id"), "l_partkey", F.col("l_linenumber").alias("line"), "name", F.posexplode(F.array(*map(F.lit, ENGINES))).alias("engine_idx", "engine"))
     rows = rows.where(~((F.col("engine_idx") == 2) & (F.col("l_partkey") % 4 == 0)))

@@ -59,6 +59,15 @@ EDIT_SIMILARITY = f"""WITH n AS (SELECT s_suppkey, c_custkey, {sql_normalize('s_
 FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey = c_custkey % 97)
 SELECT s_suppkey, c_custkey, round({sql_edit_ratio('a', 'b')}, 6) AS ratio FROM n"""
 
+
+def edit_similarity_nations(spark, d):
+    """All pairs of a supplier and a customer of its nation, none left out; edit_similarity has a sample of them."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("c_key"))
+    pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
+    return pairs.select("s_suppkey", "c_custkey", F.round(edit_ratio("s_name", "c_key"), 6).alias("ratio"))
+
+
 ALIASES = [("cold", "frozen"), ("small", "tiny", "xs"), ("widget", "gadget")]
 
 
@@ -252,6 +261,7 @@ QUERIES = {
     "smart_case": (smart_case_query, SMART_CASE),
     "token_overlap": (token_overlap_query, TOKEN_OVERLAP),
     "edit_similarity": (edit_similarity, EDIT_SIMILARITY),
+    "edit_similarity_nations": (edit_similarity_nations, None),
     "alias_similarity": (alias_similarity, ALIAS_SIMILARITY),
     "code_extract": (code_extract, _SQL_CODES),
     "period_extract": (period_extract, PERIOD_EXTRACT),

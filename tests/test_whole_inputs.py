@@ -1,9 +1,18 @@
 """Queries that must read whole texts and all rows, against brute force."""
 
 import re
+from collections import Counter, defaultdict
+
+import pyarrow.parquet as pq
 
 from docloom import catalogue
 from docloom.functions.quality import FOREIGN_HEADING, FOREIGN_PHRASES
+from docloom.operators.consensus import ENGINE_WEIGHTS as WEIGHTS
+from docloom.operators.consensus import align_rows
+from docloom.operators.records import edit_ratio
+from docloom.plans.record_queries import ENGINES
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def test_quality_of_whole_texts(spark, tmp_path):
@@ -24,3 +33,31 @@ def test_quality_of_whole_texts(spark, tmp_path):
     assert {r["doc_id"]: (r["quality"], r["value_score"]) for r in got} == quality
     got = catalogue.queries()["mixed_content_whole"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["mixed"] for r in got} == mixed
+
+
+def test_row_alignment_reads_every_line(spark):
+    name = {r["p_partkey"]: f"{r['p_name']} {r['p_type']} {r['p_brand'].replace('#', ' ')}".lower() for r in pq.read_table(f"{FOLDER}/part.parquet").to_pylist()}
+    orders = defaultdict(list)
+    for r in pq.read_table(f"{FOLDER}/lineitem.parquet").to_pylist():
+        if r["l_partkey"] in name:
+            orders[r["l_orderkey"]].append((r["l_linenumber"], r["l_partkey"]))
+    want = Counter()
+    for order, lines in orders.items():
+        engines = [(engine, WEIGHTS.get(engine, WEIGHTS["OCR"]), []) for engine in ENGINES]
+        for k, (engine, _, rows) in enumerate(engines):
+            for place, (_, part) in enumerate(sorted(lines), 1):
+                if k != 2 or part % 4:
+                    read = name[part].replace("widget", "w1dget") if k == 1 and part % 3 == 0 else name[part]
+                    rows.append({"order": place, "key": read, "name": read, "hours": part % 90, "start": "2025", "end": "2026", "kind": "curso"})
+        engines = [e for e in engines if e[2]]
+        want.update((order, engines[k][0], engines[k][2][j]["order"], slot, engines[k][2][j]["name"]) for slot, group in enumerate(align_rows(engines)) for k, j in group)
+    got = Counter(tuple(r) for r in catalogue.queries()["row_alignment"](spark, FOLDER).collect())
+    assert got == want and sum(e == "TABLA_TEXTUAL" for _, e, *_ in got.elements()) == sum(map(len, orders.values()))
+
+
+def test_edit_similarity_of_all_pairs_of_a_nation(spark):
+    plain = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip()
+    s, c = (pq.read_table(f"{FOLDER}/{t}.parquet").to_pylist() for t in ("supplier", "customer"))
+    want = {(x["s_suppkey"], y["c_custkey"]): round(edit_ratio(plain(x["s_name"]), plain(f"{y['c_name']} {y['c_mktsegment']}")), 6) for x in s for y in c if x["s_nationkey"] == y["c_nationkey"]}
+    got = catalogue.queries()["edit_similarity_nations"](spark, FOLDER).collect()
+    assert {(r["s_suppkey"], r["c_custkey"]): r["ratio"] for r in got} == want and len(got) == len(want)
