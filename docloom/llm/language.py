@@ -1,8 +1,8 @@
 """Language identification by prediction with partial matching.
 
 Each language has a context tree over UTF-8 bytes: contexts of 0 to ORDER bytes with the counts of
-the bytes that followed them (PPM, escape method C). The counts are learned from a bounded sample of
-labelled documents and then frozen. A text's code length under a language is exact: each byte costs
+the bytes that followed them (PPM, escape method C). The counts are learned from a sample of whole
+labelled documents of every label and then frozen. A text's code length under a language is exact: each byte costs
 its probability in the longest context seen, after the escapes of the longer ones. The language with
 the shortest code wins; the score is its posterior under equal priors.
 
@@ -27,16 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, table, text_or_empty
+from .common import few, fold, materialize, table, text_or_empty
 
 ORDER = 3
-#: Documents of a language that the trees are learned from (about), and bytes of each.
+#: Documents of a language that the trees are learned from (about).
 TRAIN_DOCS = 1500
-TRAIN_BYTES = 20_000
-#: Labels that are learned at most: those with the most documents.
-LABELS = 200
-#: Slots of the table of frequent windows.
-SLOTS = 1 << 18
+#: Bits of a slot's number in the table of frequent windows, for up to 16 labels; fewer beyond, so that the table keeps its size.
+SLOT_BITS = 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -112,15 +109,15 @@ class Scorer:
     def __init__(self, trees: Trees, frequent: np.ndarray):
         """frequent: training windows, the most frequent first."""
         self.trees = trees
-        self.slot_key = np.zeros(SLOTS, np.uint32)
-        self.slot_cost = trees.costs(self.slot_key) if trees.labels else np.zeros((SLOTS, 0))
+        self.shift = np.uint64(64 - max(4, SLOT_BITS - max(0, (len(trees.labels) - 1).bit_length() - 4)))
+        self.slot_key = np.zeros(1 << (64 - int(self.shift)), np.uint32)
+        self.slot_cost = trees.costs(self.slot_key) if trees.labels else np.zeros((len(self.slot_key), 0))
         slots, first = np.unique(self.slots(frequent), return_index=True)
         self.slot_key[slots] = frequent[first]
         self.slot_cost[slots] = trees.costs(frequent[first])
 
-    @staticmethod
-    def slots(keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * _MIX >> np.uint64(46)).astype(np.int64)
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _MIX >> self.shift).astype(np.int64)
 
     def bits(self, data: bytes) -> np.ndarray:
         """Code length of a text in bits under each language."""
@@ -157,7 +154,7 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         by: dict[str, list[bytes]] = {}
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-            by.setdefault(label, []).append(text.encode()[:TRAIN_BYTES])
+            by.setdefault(label, []).append(text.encode())
         for label, parts in by.items():
             key, n = np.unique(np.concatenate([windows(p) for p in parts]), return_counts=True)
             if label in sums:
@@ -173,14 +170,13 @@ def learn(labelled: DataFrame) -> tuple[Trees, np.ndarray]:
     """Trees from rows (label, text, draw) without nulls, and the sample's windows, the most frequent first.
 
     draw is uniform in [0, 1) and drawn for each row apart, so that copies are not drawn together. The
-    sample is bounded by TRAIN_DOCS documents a label (in expectation) of TRAIN_BYTES each, so that the window counts that reach the driver are, too.
+    sample has TRAIN_DOCS whole documents of every label (in expectation); their distinct windows, with counts, reach the driver.
     """
-    sizes = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS).collect()
-    if not sizes:
-        return Trees([], []), np.zeros(0, np.uint32)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["label"], min(1.0, TRAIN_DOCS / r["count"]))])
-    sample = labelled.where(F.col("draw") < F.coalesce(share[F.col("label")], F.lit(0.0)))
+    sizes = materialize(labelled.groupBy("label").count(), "labels")
+    sample = labelled.join(few(sizes), "label").where(F.col("draw") < F.lit(float(TRAIN_DOCS)) / F.col("count"))
     rows = sample.select("label", "text").mapInArrow(_count_windows, "label string, window long, n long").groupBy("label", "window").agg(F.sum("n").alias("n")).toPandas()
+    if not len(rows):
+        return Trees([], []), np.zeros(0, np.uint32)
     labels = sorted(rows["label"].unique())
     counts = []
     for label in labels:

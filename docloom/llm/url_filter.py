@@ -1,9 +1,10 @@
 """URL filters: fixed rules, else naive Bayes over segmented host names and path tokens.
 
 Host names are split at dots, hyphens and digits; each piece is segmented into words by a unigram
-Viterbi pass. The unigram model is a mergeable top-k sketch over the words of all pages, bounded by
-WORDS entries, with a few seed words. A multinomial naive Bayes model then scores the words of the
-host and the tokens of the path. It learns from all pages: block where the segmented host holds a
+Viterbi pass. The unigram model has the exact counts of all words (2 to LONGEST letters) of all pages,
+and a few seed words; each distinct host meets those of its substrings that are words by a join. A
+multinomial naive Bayes model then scores the words of the host and the tokens of the path, each
+distinct url once; its table of all tokens is joined, too. It learns from all pages: block where the segmented host holds a
 seed word of unwanted sites, else allow. The rules state a policy, not what a site is like, so the
 model does not learn from them.
 
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import few, materialize, table
 
 # The rules of the contract, as (verdict, host, path).
 RULES = (
@@ -37,10 +37,6 @@ RULES = (
 )
 #: Words that mark unwanted sites in host names.
 SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "cheap", "click", "escort", "free", "jackpot", "loan", "loans", "pill", "pills", "poker", "porn", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "xxx")
-#: Bounds of the unigram model and of the naive Bayes model.
-WORDS = 10_000
-TRACKED = 100_000
-FEATURES = 50_000
 LONGEST = 24  # letters of a word
 SMOOTHING = 1.0
 
@@ -64,12 +60,18 @@ def parse(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return out.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("rule_verdict"))
 
 
+def pieces(host: str) -> list[str]:
+    """Runs of letters of a host name."""
+    return re.findall(r"[^\W\d_]+", host)
+
+
 class Segmenter:
     """Most probable split of a concatenated name into words under a unigram model."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """counts: of all words that the names can hold; total: of all words, where these are not all."""
         self.counts = {w: n for w, n in counts.items() if n > 0}
-        self.total = float(sum(self.counts.values()) + 1)
+        self.total = float((sum(self.counts.values()) if total is None else total) + 1)
         self.cost = {w: -math.log(n / self.total) for w, n in self.counts.items()}
         self.segment = lru_cache(100_000)(self._segment)
 
@@ -93,83 +95,79 @@ class Segmenter:
         return tuple(reversed(words))
 
     def host_words(self, host: str) -> list[str]:
-        return [w for piece in re.findall(r"[^\W\d_]+", host) for w in self.segment(piece)]
+        return [w for piece in pieces(host) for w in self.segment(piece)]
 
 
-def tokens(segmenter: Segmenter, host: str, path: str) -> list[str]:
+def tokens(words: list[str], path: str) -> list[str]:
     """Features: h:word for host words, p:token for path tokens; numbers are one token."""
-    found = ["h:" + w for w in segmenter.host_words(host)]
-    for t in re.findall(r"[^\W_]+", path.lower()):
-        found.append("p:#" if t.isdigit() else "p:" + t)
-    return found
+    return ["h:" + w for w in words] + ["p:#" if t.isdigit() else "p:" + t for t in re.findall(r"[^\W_]+", path.lower())]
 
 
-def word_counts(pages: DataFrame, text_col: str = "html") -> dict[str, int]:
-    """Counts of the most frequent words of all pages, and the seeds with the count of the median word."""
+def word_counts(pages: DataFrame, text_col: str = "html") -> tuple[DataFrame, int]:
+    """(w, n) of all words of all pages, the seeds with the count of the median word at least; the sum of n."""
     words = pages.select(F.explode(F.expr(f"regexp_extract_all(lower(`{text_col}`), '\\\\p{{L}}+', 0)")).alias("w")).where(F.length("w").between(2, LONGEST))
-    top = words.agg(F.expr(f"approx_top_k(w, {WORDS}, {TRACKED})").alias("top")).first()["top"] or []
-    counts = {r["item"]: int(r["count"]) for r in top}
-    middle = sorted(counts.values())[len(counts) // 2] if counts else 1
-    return counts | {w: max(middle, counts.get(w, 0)) for w in SEEDS}
-
-
-class Bayes:
-    """Multinomial naive Bayes with add-one smoothing."""
-
-    def __init__(self, documents: tuple[int, int], features: dict[str, tuple[int, int]]):
-        """documents: labelled (allow, block) pages; features: (allow, block) counts by token."""
-        self.prior = math.log((documents[1] + SMOOTHING) / (documents[0] + SMOOTHING)) if sum(documents) else -1.0
-        sums = [sum(f[i] for f in features.values()) + SMOOTHING * (len(features) + 1) for i in (0, 1)]
-        self.odds = {t: math.log((b + SMOOTHING) / sums[1]) - math.log((a + SMOOTHING) / sums[0]) for t, (a, b) in features.items()}
-
-    def block(self, found: list[str]) -> float:
-        """Probability of block."""
-        z = self.prior + sum(self.odds.get(t, 0.0) for t in found)
-        return 1.0 / (1.0 + math.exp(-min(max(z, -500.0), 500.0)))
-
-
-_WORKER: dict = {}
+    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    middle, total = 1, 0
+    steps = counts.groupBy("n").count().orderBy("n").collect()
+    left = sum(r["count"] for r in steps) // 2
+    for r in steps:
+        total += r["n"] * r["count"]
+        if 0 <= left < r["count"]:
+            middle = r["n"]
+        left -= r["count"]
+    seeds = {w: 0 for w in SEEDS} | {r["w"]: r["n"] for r in counts.where(F.col("w").isin(*SEEDS)).collect()}
+    raised = [(w, max(middle, n)) for w, n in seeds.items()]
+    total += sum(n for _, n in raised) - sum(seeds.values())
+    return counts.where(~F.col("w").isin(*SEEDS)).union(pages.sparkSession.createDataFrame(raised, counts.schema)), total
+
+
+def host_table(hosts: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """host, host_words (array) and label of distinct hosts."""
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host in batch.column("host").to_pylist():
+                found = sorted({p[i:j] for p in pieces(host) for i in range(len(p)) for j in range(i + 2, min(len(p), i + LONGEST) + 1)})
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array(found, pa.string())], names=["host", "w"])
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts_ = batch.column("host").to_pylist()
+            found = [Segmenter({x["w"]: x["n"] for x in known or []}, total).host_words(h) for h, known in zip(hosts_, batch.column("known").to_pylist())]
+            labels = ["block" if set(w) & set(SEEDS) else "allow" for w in found]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.string())), pa.array(labels, pa.string())], names=["host", "host_words", "label"])
 
-def _held(token: str, make):
-    if token not in _WORKER:
-        if len(_WORKER) > 4:
-            _WORKER.clear()
-        _WORKER[token] = make()
-    return _WORKER[token]
+    hosts, words = materialize(hosts, "hosts"), materialize(words, "model")
+    known = hosts.mapInArrow(candidates, "host string, w string").join(few(words), "w").groupBy("host").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    return materialize(hosts.join(known, "host", "left").mapInArrow(split, "host string, host_words array<string>, label string"), "split")
 
 
 def judge(pages: DataFrame, url_col: str = "url", text_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, host_words and block_score of every page."""
-    sc = pages.sparkSession.sparkContext
-    words, token = sc.broadcast(word_counts(pages, text_col)), uuid.uuid4().hex
     parsed = parse(pages, url_col)
+    hosts = host_table(parsed.select("host").distinct(), *word_counts(pages, text_col))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = _held(token, lambda: Segmenter(words.value))
-        for batch in batches:
-            hosts, paths = (batch.column(c).to_pylist() for c in ("host", "path"))
-            labels = ["block" if set(segmenter.host_words(h)) & set(SEEDS) else "allow" for h in hosts]
-            found = [tokens(segmenter, h, p) for h, p in zip(hosts, paths)]
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["label", "tokens"])
-
-    known = parsed.mapInArrow(featured, "label string, tokens array<string>")
-    both = [F.sum((F.col("label") == k).cast("long")).alias(k) for k in ("allow", "block")]
-    # the empty token stands for the page itself, so that one pass counts pages and tokens
-    counted = known.select("label", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token")).groupBy("token").agg(*both)
-    rows = counted.orderBy((F.col("token") != "").cast("int"), F.desc(F.col("allow") + F.col("block")), "token").limit(FEATURES + 1).collect()
-    features = {r["token"]: (r["allow"], r["block"]) for r in rows}
-    model = sc.broadcast(Bayes(features.pop("", (0, 0)), features))
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = _held(token, lambda: Segmenter(words.value))
         for batch in batches:
-            rows = list(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()))
-            score = [model.value.block(tokens(segmenter, h, p)) for h, p in rows]
-            split = [" ".join(segmenter.host_words(h)) for h, _ in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(split, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "host_words", "block_score"])
-
-    out = parsed.mapInArrow(judged, T.StructType([*parsed.schema.fields, T.StructField("host_words", T.StringType()), T.StructField("block_score", T.DoubleType())]))
+            found = [tokens(w, p) for w, p in zip(batch.column("host_words").to_pylist(), batch.column("path").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names, "tokens"])
+
+    urls = parsed.groupBy("host", "path").agg(F.count("*").alias("n")).join(few(hosts), "host").select("host", "path", "n", "label", "host_words", F.array_join("host_words", " ").alias("split"))
+    urls = materialize(urls.mapInArrow(featured, T.StructType([*urls.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))])), "urls")
+    both = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(k) for k in ("allow", "block")]
+    counted = materialize(urls.select("n", "label", F.explode("tokens").alias("token")).groupBy("token").agg(*both), "tokens")
+    documents = urls.agg(*both).first()
+    kinds, *sums = counted.agg(F.count("*"), F.sum("allow"), F.sum("block")).first()
+    allow, block = ((x or 0) + SMOOTHING * (kinds + 1) for x in sums)
+    # multinomial naive Bayes with add-one smoothing; the odds are summed in order, so that runs agree
+    prior = math.log(((documents["block"] or 0) + SMOOTHING) / ((documents["allow"] or 0) + SMOOTHING))
+    odds = F.log((F.col("block") + SMOOTHING) / F.lit(block)) - F.log((F.col("allow") + SMOOTHING) / F.lit(allow))
+    each = urls.select("host", "path", F.explode("tokens").alias("token")).join(few(counted), "token").groupBy("host", "path").agg(F.array_sort(F.collect_list(odds)).alias("odds"))
+    z = F.aggregate(F.coalesce("odds", F.array().cast("array<double>")), F.lit(prior), lambda s, x: s + x)
+    score = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))))
+    scored = materialize(urls.join(each, ["host", "path"], "left").select("host", "path", F.col("split").alias("host_words"), score.alias("block_score")), "scored")
+    out = parsed.join(few(scored), ["host", "path"])
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "host_words", "block_score")
 

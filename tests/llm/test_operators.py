@@ -212,6 +212,14 @@ def test_language(spark, no_docs):
     assert language.identify(data, language.learn(no_docs.selectExpr("lang as label", "text", "0D as draw"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_learns_every_label_and_whole_texts(spark):
+    rows = [(10 * i + k, f"{chr(0x4E00 + i)} " * 20, f"l{i:03d}") for i in range(230) for k in range(3)]
+    rows += [(5000 + k, "a " * 12_000 + "ñandú " * 200, "late") for k in range(5)]
+    trees, _ = language.learn(language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert set(trees.labels) == {lang for i, _, lang in rows if fold(i, 5)} and len(trees.labels) > 200
+    assert int.from_bytes("ñan".encode(), "big") in trees.keys[language.ORDER]
+
+
 # --- 7 ---
 
 
@@ -390,6 +398,28 @@ def test_url_filter(spark):
     assert out[8]["host_words"] == "cheap pills net" and {r["verdict"] for r in out.values()} == {"allow", "block"}
 
 
+def test_url_filter_knows_all_words_and_tokens(spark):
+    # more words and path tokens than 10,000 and 50,000; the words of the last host are the rarest
+    letters = lambda k: "".join("abcdefghij"[int(x)] for x in f"{k:05d}")
+    rows = [(k, f"http://site{letters(k)}.net/" + "/".join(f"s{i}" for i in range(25 * k, 25 * k + 25)), " ".join([letters(k)] * 3)) for k in range(11_000)]
+    rows += [(20_000 + k, f"http://casino.net/r{k // 2}", "casino") for k in range(4)] + [(30_000, "http://zupomkralo.net/r0", "zupom kralo"), (30_001, None, None)]
+    out = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows) and out[30_000]["host_words"] == "zupom kralo net"
+    found = {i: [("h:" + w) for w in r["host_words"].split()] + ["p:" + t for t in re.findall("[a-z0-9]+", r["path"])] for i, r in out.items()}
+    sums = {k: Counter() for k in ("allow", "block")}
+    pages = Counter()
+    for i, f in found.items():
+        label = "block" if {w[2:] for w in f if w[0] == "h"} & set(url_filter.SEEDS) else "allow"
+        sums[label].update(f)
+        pages[label] += 1
+    kinds = len(set(sums["allow"]) | set(sums["block"]))
+    assert kinds > 250_000 and pages["block"] == 4
+    log = lambda k, t: math.log((sums[k][t] + 1) / (sums[k].total() + kinds + 1))
+    for i in (0, 10_999, 20_000, 20_003, 30_000, 30_001):
+        z = math.log((pages["block"] + 1) / (pages["allow"] + 1)) + sum(log("block", t) - log("allow", t) for t in found[i])
+        assert math.isclose(out[i]["block_score"], 1 / (1 + math.exp(-min(max(z, -500), 500))), rel_tol=1e-9)
+
+
 def test_url_filter_of_nothing(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
