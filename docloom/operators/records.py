@@ -11,6 +11,7 @@ from ..functions.codes import is_plan_code
 from ..functions.quality import text_quality, value_score
 from ..functions.similarity import edit_ratio_of_keys
 from ..functions.text import clean, normalize
+from .graph import components
 from .groups import per_group
 
 # Weights of the duplicate score and its threshold.
@@ -113,8 +114,10 @@ def fold(records: list[dict]) -> list[int]:
     """For each record, in order, the number of the output record it goes to: the first exact match, else the best score of 0.93 or more, else a new one. A record that joins lends its code, period and trainings where these are missing."""
     out: list[dict] = []
     of = []
+    by: dict[tuple, set[int]] = {}  # outputs by hash and by code: exact matches need no pass over all outputs
+    names = lambda r: [("hash", r["hash"])] * bool(r["hash"]) + [("code", r["code"], bool(r["valid"]))] * ("PRO-251" in r["code"])
     for r in records:
-        at = next((k for k, o in enumerate(out) if exact_match(o, r)), None)
+        at = min((k for name in names(r) for k in by.get(name, ())), default=None)
         if at is None:
             scores = [duplicate_score(o, r) for o in out]
             best = max(range(len(out)), key=lambda k: (scores[k], -k), default=None)
@@ -124,6 +127,8 @@ def fold(records: list[dict]) -> list[int]:
             out.append(dict(r))
         else:
             o = out[at]
+            for name in names(o):
+                by[name].discard(at)
             if not o["valid"] and r["valid"]:
                 o["code"], o["valid"] = r["code"], True
             for f in ("period", "name", "career", "hash"):
@@ -131,6 +136,8 @@ def fold(records: list[dict]) -> list[int]:
             o["alias"] = o["alias"] and r["alias"]
             if not len(o["trainings"]):
                 o["trainings"] = r["trainings"]
+        for name in names(out[at]):
+            by.setdefault(name, set()).add(at)
         of.append(at)
     return of
 
@@ -147,8 +154,11 @@ def blocked(records: DataFrame) -> DataFrame:
     pairs = [e.toDF("a", "sa", "k").join(e.toDF("b", "sb", "k"), "k").where("sa < sb").select("a", "b") for e in equal]
     edits = F.ceil(F.length("name") * 0.14 / 0.86).cast("int") + 1
     named = keyed.where("name <> ''")
-    size = F.greatest(F.lit(1), F.floor(F.length("name") / (edits + 1))).cast("int")  # 6 at most
-    cut = named.select("id", "seq", "name", size.alias("size"), F.explode(F.sequence(F.lit(0), edits)).alias("i")).select("id", "seq", "name", F.expr("substring(name, i * size + 1, size)").alias("piece")).where("piece <> ''").distinct()
+    # longer names are cut into three more, of which the edits leave three more unchanged: the three most common ones are not looked up
+    spare = F.when(F.length("name") >= 3 * (edits + 4), 3).otherwise(0)
+    size = F.greatest(F.lit(1), F.floor(F.length("name") / (edits + 1 + spare))).cast("int")  # 6 at most
+    cut = named.select("id", "seq", "name", size.alias("size"), spare.alias("spare"), F.explode(F.sequence(F.lit(0), edits + spare)).alias("i")).select("id", "seq", "name", "spare", "i", F.expr("substring(name, i * size + 1, size)").alias("piece")).where("piece <> ''")
+    cut = cut.join(cut.groupBy("piece").agg(F.count("*").alias("times")), "piece").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("times"), "i"))).where("r > spare").select("id", "seq", "name", "piece").distinct()
     parts = "array_distinct(flatten(transform(sequence(1, least(6, length(name))), s -> transform(sequence(1, length(name) - s + 1), i -> substring(name, i, s)))))"
     grams = named.select("id", "seq", "name", F.explode(F.expr(parts)).alias("piece"))
     near = cut.toDF("a", "sa", "na", "piece").join(grams.toDF("b", "sb", "nb", "piece"), "piece").where("a <> b").select("a", "b", "sa", "sb", "na", "nb").distinct()
@@ -170,3 +180,19 @@ def consolidated(records: DataFrame, block: str = "block") -> DataFrame:
 
     kind = records.schema["id"].dataType
     return per_group(rows, [block], ["seq"], folded, T.StructType([T.StructField("id", kind), T.StructField("kept_id", kind)]))
+
+
+def consolidated_all(records: DataFrame) -> DataFrame:
+    """id, kept_id: the ordered fold over all records (unique ids; columns as for consolidated, without block).
+
+    Records are folded inside the connected components of the pairs that could match. What an output
+    borrows comes from records of its component, so no match crosses components. Equal hashes, codes and names are
+    tied to their least id; only distinct names are compared.
+    """
+    keyed = records.select("id", F.coalesce("hash", F.lit("")).alias("hash"), clean("code").alias("code"), normalize("name").alias("name"))
+    least = {c: keyed.where(F.col(c) != "").groupBy(c).agg(F.min("id").alias("b")) for c in ("hash", "code", "name")}
+    edges = [keyed.join(least[c], c).select(F.col("id").alias("a"), "b") for c in least]
+    names = least["name"].select(F.col("b").alias("id"), F.col("b").alias("seq"), F.lit("").alias("hash"), F.lit("").alias("code"), "name")
+    of = components(edges[0].union(edges[1]).union(edges[2]).union(blocked(names)))
+    rows = records.join(of.select(F.col("node").alias("id"), "comp"), "id", "left")
+    return consolidated(rows.withColumn("block", F.coalesce("comp", "id")).drop("comp"))

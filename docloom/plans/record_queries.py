@@ -435,12 +435,12 @@ DEDUP_EXACT = "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS ke
 
 
 def dedup_fold(spark, d):
-    """Three noisy copies of each supplier, folded in order inside the supplier's nation and size class."""
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.posexplode(F.array(F.lit(""), F.lit("a"), F.lit("."))).alias("copy", "noise"))
+    """Three noisy copies of each supplier, all folded in order."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.posexplode(F.array(F.lit(""), F.lit("a"), F.lit("."))).alias("copy", "noise"))
     name = F.concat(F.lit("Docente "), F.md5(F.col("s_suppkey").cast("string")), F.col("noise"))
     code = F.when(F.col("copy") == 2, F.concat(F.lit("UGPA-RGI1-"), F.lpad((F.col("s_suppkey") % 999 + 1).cast("string"), 3, "0"), F.lit("-PRO-251-2025-12"))).otherwise("")
-    rows = s.select((F.col("s_suppkey") * 3 + F.col("copy")).alias("id"), (F.col("s_suppkey") * 3 + F.col("copy")).alias("seq"), (F.col("s_nationkey") * 1000 + F.col("s_suppkey") % 1000).alias("block"), F.lit("").alias("hash"), code.alias("code"), F.lit("2025-12").alias("period"), name.alias("name"), F.lit("Derecho").alias("career"), F.array(F.lit("Curso de redes")).alias("trainings"), F.lit(False).alias("alias"))
-    return R.consolidated(rows)
+    rows = s.select((F.col("s_suppkey") * 3 + F.col("copy")).alias("id"), (F.col("s_suppkey") * 3 + F.col("copy")).alias("seq"), F.lit("").alias("hash"), code.alias("code"), F.lit("2025-12").alias("period"), name.alias("name"), F.lit("Derecho").alias("career"), F.array(F.lit("Curso de redes")).alias("trainings"), F.lit(False).alias("alias"))
+    return R.consolidated_all(rows)
 
 
 QUERIES = {
