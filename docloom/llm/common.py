@@ -33,6 +33,19 @@ def few(table: DataFrame, weight=None) -> DataFrame:
     return F.broadcast(table) if rows <= FEW_ROWS else table
 
 
+def most_frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
+    """The rows of the largest counts, at most ``limit``: those above a threshold found by a histogram, so that only these are collected."""
+    n = F.col(column)
+    step = F.when(n < 256, n).otherwise(256 + F.floor(F.log2(n / 256.0) * 64)).cast("long")
+    total, least = 0, 1 << 62
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > limit:
+            break
+        least = r["step"]
+    return counts.where(step >= least)
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

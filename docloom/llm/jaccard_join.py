@@ -9,11 +9,14 @@ Light sets (few shingles) enumerate all pairs of that longer prefix and meet oth
 Heavy sets post their prefix to inverted lists, which are scanned; light sets near the boundary post
 there, too. The boundary is the size of least cost under the sizes and repeats seen in all documents.
 
-A list is not turned into all its pairs: first its members are compared with its first member (a set
-with the head it meets most often); the links that hold (an exact check follows) form components;
-then only the other pairs of a list across components are tried. Parity signatures, whose difference bounds the sets' difference from below, dismiss most
-candidates without reading a text; the rest is checked on whole sets. No link that could join two
-components is lost.
+A list is not turned into all its pairs. It is scanned in rounds: members of different components are
+compared by size and by parity signatures, whose difference bounds the sets' difference from below,
+and each component gives out its few closest pairs, which are then checked exactly on whole sets.
+Those that hold join components, so most of what a group of near copies holds is never given out.
+The first round compares members with HEADS of their list only; the last gives out every pair left.
+Lists longer than TILE are scanned tile by tile, without the pairs inside their largest component. No
+link that could join two components is lost: a list leaves the rounds when all its pairs have been
+dismissed, checked or found within one component.
 
 Nulls and texts without words: empty set, linked with nothing, own component. Null ids: such a row is
 compared like others; its component is the least id in it, or null. Repeated rows fall in one class.
@@ -31,17 +34,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, few, materialize, partitions, table
+from .common import bound_batches, few, materialize, most_frequent, partitions, table
 from .graph import components
 from .hashing import mix, shingle_sets
 
 SIMILAR = 75  # percent
 #: Entries of the broadcast table of frequent shingles.
 FREQUENT = 200_000
-#: Members of a list whose pairs are enumerated in place; longer lists are joined.
-LIST = 256
+#: Members of a list that all others are compared with in the first round.
+HEADS = 64
+#: Members of a list that are compared in one go.
+TILE = 2048
+#: Pairs that a component may give out of a list, round by round; the last round has no limit.
+TRIES = (1, 8, 64, None)
+#: Members of a list that its name is made of; longer lists are named by their key.
+NAMED = 1 << 20
+#: Pairs compared at once in a task.
+COMPARED = 1 << 18
 #: Signature bits for each shingle, about; and the least number of bits.
-SIGNATURE_BITS, LEAST_BITS = 4, 256
+SIGNATURE_BITS, LEAST_BITS = 2, 256
 #: Cost of a candidate against that of a key.
 CANDIDATE_COST = 20.0
 
@@ -57,21 +68,24 @@ def needed_by_larger(n: int) -> int:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """Parities of the set's counts in hash ranges; a power of two of bits."""
+    """Parities of the set's counts by low bits of the hash; a power of two of bits."""
     bits = max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(1, SIGNATURE_BITS * len(shingles))))))
-    counts = np.bincount((shingles >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64), minlength=bits)
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def halved(signatures: np.ndarray) -> np.ndarray:
+    """Signatures (one a row) of half the bits."""
+    half = signatures.shape[1] // 2
+    return signatures[:, :half] ^ signatures[:, half:]
+
+
 def difference_bound(a: bytes, b: bytes) -> int:
     """A lower bound of the size of the symmetric difference of two sets, from their signatures."""
-    x, y = (np.unpackbits(np.frombuffer(s, np.uint8)) for s in (a, b))
-    while len(x) != len(y):  # fold the larger
-        if len(x) > len(y):
-            x = x[::2] ^ x[1::2]
-        else:
-            y = y[::2] ^ y[1::2]
-    return int(np.count_nonzero(x != y))
+    x, y = (np.frombuffer(s, np.uint8)[None] for s in (a, b))
+    while x.shape != y.shape:
+        x, y = (halved(x), y) if x.shape > y.shape else (x, halved(y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,74 +160,124 @@ def keys_of(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, light:
     return np.concatenate(keys), np.concatenate(small)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, n, node) sorted by these: (head, member) of each list, and the rows of lists of three or more members.
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, n, node) sorted by these: the rows of lists of two or more members, under a name that equal lists share.
 
-    n is twice the size, one more where the key does not hold for the smaller of a pair. Such rows are
-    no heads, and those before a list's head have no partner in it.
+    n is twice the size, one more where the key does not hold for the smaller of a pair. members is the
+    length of the list, or NAMED for any longer one.
     """
-    kept, flagged = np.zeros((3, 0), np.int64), False  # the first rows of the list at hand; whether they were given out
-    last = None
+    kept, long = np.zeros((3, 0), np.int64), None  # the list at hand; its key once it is longer than NAMED
+
+    def named(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+        length = np.diff(np.append(start, rows.shape[1]))
+        use = (length > 1) & (np.add.reduceat(1 - (rows[1] & 1), start) > 0)
+        name = mix(np.add.reduceat(mix(rows[2].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rows[1].view(np.uint64)), start) + length.astype(np.uint64)).view(np.int64)
+        each = np.repeat(use, length)
+        if each.any():
+            yield out(np.repeat(name, length)[each], np.repeat(length, length)[each], rows[1:, each])
+
+    def out(name: np.ndarray, members: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(members.astype(np.int32)), pa.array(rows[0].astype(np.int32)), pa.array(rows[1])], names=["list", "members", "n", "node"])
+
     for batch in batches:
-        rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("key", "n", "node")])
+        rows = np.concatenate([kept, np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("key", "n", "node")])], axis=1)
         if not rows.shape[1]:
             continue
-        again = np.concatenate(([last is not None and bool((rows[:, 0] == last).all())], (rows[:, 1:] == rows[:, :-1]).all(axis=0)))
-        last = rows[:, -1].copy()
-        rows = rows[:, ~again]
-        old = kept.shape[1]
-        rows = np.concatenate([kept, rows], axis=1)
-        total = rows.shape[1]
-        if not total:
-            continue
-        start = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
-        heads = np.cumsum(rows[1] & 1 == 0)
-        headed = heads - np.repeat(np.append(0, heads)[start], np.diff(np.append(start, total))) > 0
-        if not headed.all():  # the rows kept from before begin with a head
-            rows = rows[:, headed]
-            total = rows.shape[1]
-            if not total:
-                kept, flagged = rows, False
+        rows = rows[:, np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))]
+        if long is not None:  # goes on with a list that is too long to hold
+            own = rows[0] == long
+            if own.any():
+                yield out(rows[0, own], np.full(int(own.sum()), NAMED), rows[1:, own])
+                rows = rows[:, ~own]
+            if not rows.shape[1]:
+                kept = rows
                 continue
-            start = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
-        length = np.diff(np.append(start, total))
-        hub = np.repeat(start, length)
-        key, n, node = rows
-        fresh = np.arange(total) >= old
-        pair = fresh & (np.arange(total) != hub) & (node != node[hub]) & (100 * (n[hub] >> 1) >= SIMILAR * (n >> 1))
-        many = np.repeat(length >= 3, length)
-        if flagged and old and length[0] > old:
-            many[:old] = False
-        p, m = np.flatnonzero(pair), np.flatnonzero(many)
-        flagged = bool(length[-1] >= 3) or (flagged and len(start) == 1 and total == old)
-        kept = rows[:, start[-1] : start[-1] + 2].copy()
-        if len(p):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.int32()), pa.array(node[hub[p]]), pa.array(node[p])], names=["key", "n", "a", "b"])
-        if len(m):
-            yield pa.RecordBatch.from_arrays([pa.array(key[m]), pa.array(n[m].astype(np.int32)), pa.array(node[m]), pa.nulls(len(m), pa.int64())], names=["key", "n", "a", "b"])
-
-
-def _distinct_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (a, others) sorted by a the distinct pairs (a, b)."""
-    last, parts, size = None, [], 0
-
-    def pairs() -> pa.RecordBatch:
-        b = np.unique(np.concatenate(parts))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), last, np.int64)), pa.array(b)], names=["a", "b"])
-
-    for batch in batches:
-        for a, others in zip(batch.column("a").to_pylist(), batch.column("others")):
-            if a != last:
-                if parts:
-                    yield pairs()
-                last, parts, size = a, [], 0
-            parts.append(np.asarray(others.values))
-            size += len(parts[-1])
-            if size > 1 << 20:
-                parts = [np.unique(np.concatenate(parts))]
-                size = len(parts[0])
-    if parts:
-        yield pairs()
+            long = None
+        last = int(np.searchsorted(rows[0], rows[0, -1]))
+        kept = rows[:, last:]
+        if last:
+            yield from named(rows[:, :last])
+        if kept.shape[1] > NAMED:
+            long = int(kept[0, 0])
+            yield out(kept[0], np.full(kept.shape[1], NAMED), kept[1:])
+            kept = kept[:, :0]
+    if kept.shape[1]:
+        yield from named(kept)
+
+
+def _differences(signatures: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Lower bounds of the differences of pairs of sets whose signatures differ in length by a factor of two at most."""
+    size = np.array([len(x) for x in signatures])
+    place = np.zeros(len(size), np.int64)
+    full, half = {}, {}
+    for w in np.unique(size).tolist():
+        own = np.flatnonzero(size == w)
+        place[own] = np.arange(len(own))
+        full[w] = np.frombuffer(b"".join(signatures[i] for i in own.tolist()), np.uint64).reshape(len(own), -1)
+        half[w // 2] = halved(full[w])
+    least, out = np.minimum(size[left], size[right]), np.zeros(len(left), np.int64)
+    for w in np.unique(least).tolist():
+        for x, y in ((w, w), (w, 2 * w), (2 * w, w)):
+            pairs = np.flatnonzero((least == w) & (size[left] == x) & (size[right] == y))
+            if len(pairs):
+                both = (full[w] if x == w else half[w])[place[left[pairs]]] ^ (full[w] if y == w else half[w])[place[right[pairs]]]
+                out[pairs] = np.bitwise_count(both).sum(axis=1)
+    return out
+
+
+def closest_pairs(rows: pa.Table, tries: int | None, heads: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole lists, sorted by list, part and side: pairs (a, b) of classes to check, and the lists that have more.
+
+    side 2: all pairs of such rows; sides 0 and 1: pairs of one with the other. Of the pairs of different
+    components that size, key and signatures allow, and that did not fail before, each component of a
+    list gives out the closest; heads: only pairs with so many first rows of a list.
+    """
+    name, part, side, n, node, comp = (np.asarray(rows[c]).astype(np.int64) for c in ("list", "part", "side", "n", "node", "comp"))
+    total = len(name)
+    first = np.concatenate(([True], (name[1:] != name[:-1]) | (part[1:] != part[:-1])))
+    start = np.flatnonzero(first)
+    length = np.diff(np.append(start, total))
+    group = np.cumsum(first) - 1
+    rank = np.arange(total) - start[group]
+    partners = np.where(side == 1, np.add.reduceat((side == 0).astype(np.int64), start)[group], np.where(side == 2, rank, 0))
+    if heads is not None:
+        partners = np.minimum(partners, heads)
+    signatures = rows["sig"].to_pylist()
+    failed = {a: set(b) for a, b in zip(node.tolist(), rows["failed"].to_pylist()) if b}
+    found = []
+    ends = np.cumsum(partners)
+    at = 0
+    while at < total:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED, side="right")))
+        count = partners[at:to]
+        right = np.repeat(np.arange(at, to), count)
+        left = np.repeat(start[group[at:to]] - (np.cumsum(count) - count), count) + np.arange(len(right))
+        at = to
+        low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+        fits = (comp[left] != comp[right]) & (low % 2 == 0) & (100 * (low >> 1) >= SIMILAR * (high >> 1))
+        left, right = left[fits], right[fits]
+        difference = _differences(signatures, left, right)
+        near = (100 + SIMILAR) * difference <= (100 - SIMILAR) * ((n[left] >> 1) + (n[right] >> 1))
+        if failed:
+            near[near] = [b not in failed.get(a, ()) and a not in failed.get(b, ()) for a, b in zip(node[left[near]].tolist(), node[right[near]].tolist())]
+        found.append(np.stack([left[near], right[near], difference[near]]))
+    left, right, difference = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    more = np.zeros(len(start), bool) if heads is None else (length > heads) & (np.maximum.reduceat(side, start) == 2)
+    if tries is not None and len(left):
+        which = np.tile(np.arange(len(left)), 2)
+        g, c = group[left[which]], np.concatenate([comp[left], comp[right]])
+        order = np.lexsort((difference[which], c, g))
+        g, c = g[order], c[order]
+        begin = np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])))
+        place = np.arange(len(order)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
+        chosen = np.zeros(len(left), bool)
+        chosen[which[order[place < tries]]] = True
+        more[group[left[~chosen]]] = True
+        left, right = left[chosen], right[chosen]
+    low, high = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
+    pairs = np.unique(np.stack([low, high]), axis=1) if len(left) else np.zeros((2, 0), np.int64)
+    return pairs[0], pairs[1], np.unique(name[start[more]])
 
 
 class Join:
@@ -232,7 +296,7 @@ class Join:
 
     def keys(self) -> DataFrame:
         """(key, n, node) of every class; n as for the lists."""
-        frequent = self.repeated.orderBy(F.desc("times"), "shingle").limit(FREQUENT).toPandas()
+        frequent = most_frequent(self.repeated, "times", FREQUENT).orderBy(F.desc("times"), "shingle").toPandas()
         sizes = {r["n"]: r["count"] for r in self.classes.groupBy("n").count().collect()}
         total = sum(n * c for n, c in sizes.items())
         again = self.repeated.agg(F.sum(F.col("times").cast("double") * (F.col("times") - 1))).first()[0] or 0.0
@@ -268,76 +332,118 @@ class Join:
         return self.docs.where(F.col("text").isNotNull()).select("text").mapInArrow(posted, "key long, n int, node long")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of classes that link: signatures first, then whole sets."""
-        side = lambda df, c, x, value: df.select(F.col("node").alias(c), F.col("n").alias(f"n_{x}"), F.col(value).alias(f"{value}_{x}"))
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n_a, n_b, sig_a, sig_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "sig_a", "sig_b"))
-                keep = [(100 + SIMILAR) * difference_bound(x, y) <= (100 - SIMILAR) * (i + j) for i, j, x, y in zip(n_a, n_b, sig_a, sig_b)]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        left = pairs.join(side(self.classes, "a", "a", "sig"), "a").join(side(self.classes, "b", "b", "sig"), "b")
-        maybe = materialize(left.mapInArrow(near, "a long, b long"), "maybe")
+        """Those of the pairs (a, b) of classes that link, checked on whole sets."""
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = shingle_sets(batch.column("text").to_pylist())
                 keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "n", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "set"])
 
-        wanted = materialize(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.classes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("_id")), "wanted")
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.classes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("_id")).distinct(), "wanted")
         texts = self.docs.join(few(wanted), self.docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
-        whole = materialize(texts.mapInArrow(sets, "node long, n int, set binary").dropDuplicates(["node"]), "sets")
+        whole = materialize(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "sets")
 
         def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = []
-                for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = np.concatenate([x, y])
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                     both.sort()
                     shared = int((both[1:] == both[:-1]).sum())
                     keep.append(100 * shared >= SIMILAR * (len(both) - shared))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        joined = maybe.join(side(whole, "a", "a", "set"), "a").join(side(whole, "b", "b", "set"), "b")
+        joined = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
         return joined.mapInArrow(checked, "a long, b long")
 
-    def links(self) -> DataFrame:
-        """Links (a, b) of classes that give the components."""
+    def candidates(self, rows: DataFrame, failed: DataFrame | None, tries: int | None, heads: int | None) -> DataFrame:
+        """(list, a, b): pairs to check (list is null), and lists with more pairs (a and b are null). rows: list, part, side, n, node, comp."""
+
+        def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+
+            def found(rows: pa.Table) -> pa.RecordBatch:
+                a, b, more = closest_pairs(rows, tries, heads)
+                return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(more)]), *(pa.concat_arrays([pa.array(x), pa.nulls(len(more), pa.int64())]) for x in (a, b))], names=["list", "a", "b"])
+
+            for batch in batches:
+                held.append(batch)
+                if sum(x.num_rows for x in held) > 2 * TILE:
+                    rows = pa.Table.from_batches(held).combine_chunks()
+                    name, part = (np.asarray(rows[c]) for c in ("list", "part"))
+                    cut = int(np.flatnonzero((name != name[-1]) | (part != part[-1]))[-1]) + 1 if name[0] != name[-1] or part[0] != part[-1] else 0
+                    if cut:
+                        yield found(rows.slice(0, cut))
+                    held = rows.slice(cut).to_batches()
+            if held:
+                yield found(pa.Table.from_batches(held))
+
+        rows = rows.join(self.classes.select("node", "sig"), "node")
+        if failed is None:
+            rows = rows.withColumn("failed", F.lit(None).cast("array<long>"))
+        else:
+            rows = rows.join(failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed")), "node", "left")
+        rows = rows.select("list", "part", "side", "n", "node", "comp", "sig", "failed").repartition(partitions(self.spark), "list", "part").sortWithinPartitions("list", "part", "side", "node")
+        return rows.mapInArrow(scanned, "list long, a long, b long")
+
+    @staticmethod
+    def tiled(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+        """rows (list, n, node, comp) with part and side: long lists in tiles, but for the pairs inside their largest component; mixed: list and members."""
+        whole = rows.join(few(mixed.where(F.col("members") <= TILE).select("list")), "list", "left_semi").withColumns({"part": F.lit(0).cast("long"), "side": F.lit(2)})
+        long = mixed.where(F.col("members") > TILE)
+        if long.isEmpty():
+            return whole
+        part = rows.join(few(long.select("list")), "list", "left_semi")
+        main = part.groupBy("list", "comp").count().groupBy("list").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.max("count").alias("inner"), F.sum("count").alias("all"))
+        tiles = lambda c: F.greatest(F.lit(1), F.ceil(c / TILE)).cast("long")
+        main = materialize(main.select("list", "main", tiles(F.col("inner")).alias("inner"), tiles(F.col("all") - F.col("inner")).alias("outer")), "tiles")
+        part = part.join(few(main), "list").withColumn("inside", F.col("comp") == F.col("main"))
+        own = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer")))
+        part = part.withColumn("own", own)
+        place = lambda i, j, kind, side: F.struct(((i * F.col("outer") + j) * 2 + kind).alias("part"), side.alias("side"))
+        to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        inner = F.transform(to("outer"), lambda j: place(F.col("own"), j, 0, F.lit(0)))
+        across = F.transform(to("inner"), lambda i: place(i, F.col("own"), 0, F.lit(1)))
+        among = F.transform(to("outer"), lambda j: place(F.least(j, F.col("own")), F.greatest(j, F.col("own")), 1, F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1)))
+        placed = part.withColumn("at", F.explode(F.when(F.col("inside"), inner).otherwise(F.concat(across, among))))
+        return whole.unionByName(placed.select("list", "n", "node", "comp", F.col("at.part").alias("part"), F.col("at.side").alias("side")))
+
+    def components(self) -> DataFrame:
+        """(node, comp) of every class that links with another."""
         n = partitions(self.spark)
-        listed = materialize(self.keys().repartition(n, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_groups, "key long, n int, a long, b long"), "lists")
-        tried = materialize(listed.where(F.col("key").isNull()).groupBy("a", "b").count(), "pairs")
-        # a class is compared first with the list head that it meets most often: that joins most groups of near copies
-        best = tried.groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a")).select("a", "b")
-        links = materialize(self.linked(best), "links")
-        comp = components(links)
-        rest = tried.join(best, ["a", "b"], "left_anti").join(comp.toDF("a", "comp_a"), "a", "left").join(comp.toDF("b", "comp_b"), "b", "left")
-        rest = rest.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
-        across = self._across(listed, comp, n).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        return links.union(materialize(self.linked(rest.union(across)), "links"))
-
-    def _across(self, listed: DataFrame, comp: DataFrame, n: int) -> DataFrame:
-        """Pairs (a, b) that a list holds, of different components and fitting sizes; the smaller set stands first."""
-        rows = listed.where(F.col("key").isNotNull()).select("key", "n", F.col("a").alias("node")).join(comp, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = materialize(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members"), "mixed")
-        fits = lambda x, y: (x["comp"] != y["comp"]) & (x["n"] % 2 == 0) & (F.shiftright(x["n"], 1) * 100 >= F.shiftright(y["n"], 1) * SIMILAR)  # noqa: E731  x is the smaller one
-
-        # short lists: equal ones count once; each member gets its partners, which are then made distinct
-        short = rows.join(mixed.where(F.col("members") <= LIST), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node", "comp"))).alias("members")).select("members").distinct()
-        partners = F.transform("members", lambda x, i: F.struct(x["node"].alias("a"), F.transform(F.filter(F.slice("members", i + 2, F.size("members")), lambda y: fits(x, y)), lambda y: y["node"]).alias("others")))
-        each = short.select(F.explode(F.filter(partners, lambda p: F.size(p["others"]) > 0)).alias("p")).select("p.a", "p.others")
-        found = each.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_distinct_partners, "a long, b long")
-        # long ones by a join
-        long = rows.join(mixed.where(F.col("members") > LIST), "key")
-        x, y = (F.struct("n", "node", "comp").alias(s) for s in ("x", "y"))
-        joined = long.select("key", x).join(long.select("key", y), "key").where(fits(F.col("x"), F.col("y")) & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")))
-        return found.union(joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+        lists = self.keys().repartition(n, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_lists, "list long, members int, n int, node long")
+        lists = materialize(lists.distinct(), "lists")
+        # lists that are too long for one task are dealt to several, each with heads of its own
+        rows = lists.select("list", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / TILE)).alias("part"), F.lit(2).alias("side"), "n", "node", F.col("node").alias("comp"))
+        comp = failed = None
+        for k, tries in enumerate(TRIES):
+            found = materialize(self.candidates(rows, failed, tries, None if k else HEADS), "found")
+            pairs = materialize(found.where(F.col("list").isNull()).select("a", "b").distinct(), "pairs")
+            links = materialize(self.linked(pairs), "links")
+            wrong = pairs.join(links, ["a", "b"], "left_anti")
+            failed = materialize(wrong if failed is None else failed.union(wrong), "failed")
+            if comp is None:
+                comp = materialize(components(links), "comp")
+            elif not links.isEmpty():
+                named = links.join(comp.toDF("a", "x"), "a", "left").join(comp.toDF("b", "y"), "b", "left")
+                merged = materialize(components(named.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))), "merged")
+                moved = comp.join(merged.toDF("comp", "new"), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+                comp = materialize(moved.union(merged.join(comp, "node", "left_anti").select("node", "comp")), "comp")
+            left = found.where(F.col("list").isNotNull()).select("list").distinct()
+            if tries is None or left.isEmpty():
+                break
+            lists = lists.join(few(materialize(left, "left")), "list", "left_semi")
+            rows = materialize(lists.select("list", "n", "node").join(comp, "node", "left").select("list", "n", "node", F.coalesce("comp", "node").alias("comp")), "rows")
+            mixed = materialize(rows.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low <> high").select("list", "members"), "mixed")
+            if mixed.isEmpty():
+                break
+            rows = self.tiled(rows, mixed)
+        return comp
 
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, set_key and component_id of every row."""
-        comp = components(self.links())
+        comp = self.components()
         least = self.classes.join(comp, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         linked = comp.join(least, "comp").select("node", "component_id")
         own = self.classes.join(linked, "node", "left").select("node", F.coalesce("component_id", F.col("doc_id")).alias("component_id"))

@@ -246,13 +246,32 @@ def brute_components(rows):
     return Counter((i, len(s), least.get(find(k))) for k, ((i, *_), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("limit", [256, 2])
-def test_jaccard_join(docs, corpus, limit, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LIST", limit)
+@pytest.mark.parametrize("tile, tries", [(2048, (1, 8, 64, None)), (4, (1, 1, None))])
+def test_jaccard_join(docs, corpus, tile, tries, monkeypatch):
+    for name, value in (("TILE", tile), ("TRIES", tries), ("HEADS", min(64, tile))):
+        monkeypatch.setattr(jaccard_join, name, value)
     out = jaccard_join.near_duplicates(docs).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(corpus)
 
 
+@pytest.mark.parametrize("tile", [2048, 50])
+def test_jaccard_join_of_a_large_group_of_near_copies(spark, tile, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "HEADS", 8)
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(70)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rng.randint(0, 7)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, rows[i - 700][1]) for i in range(700, 720)]
+    out = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components(rows)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == want and len({c for *_, c in want}) > 3
+
+
 def test_jaccard_join_random_chains(spark):
     rng = random.Random(9)
     rows, serial = [], 0
