@@ -32,6 +32,8 @@ def _fold_table() -> tuple[str, str]:
 ACCENTED, BASE = _fold_table()
 #: Java character classes: white space with the no-break space; a word edge that takes accented letters for separators.
 SPACE = r"[\s ]"
+#: What a text needs for cleaning to change it; most texts have none of it, and are left alone.
+UNTIDY = r"[^!-~¡-¬®-ʯ ]|  |\A | \z"
 EDGE_BEFORE, EDGE_AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
@@ -52,7 +54,7 @@ def clean(c: Column | str, unreadable: str | None = "-", blank_lines: int | None
     unreadable: what stands for characters an engine could not read (None keeps them);
     blank_lines: most blank lines in a row (None keeps all).
     """
-    c = text(c)
+    source = c = text(c)
     if unreadable is not None:
         c = F.translate(c, UNREADABLE, unreadable * len(UNREADABLE))
     c = F.translate(c, DASHES + INVISIBLE, "-" * len(DASHES))
@@ -71,7 +73,8 @@ def compact(c: Column | str, **options) -> Column:
 
 def fold_accents(c: Column | str) -> Column:
     """Accented Latin letters as their base letters; combining marks go."""
-    return F.regexp_replace(F.translate(text(c), ACCENTED, BASE), r"[̀-ͯ]", "")
+    c = text(c)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.regexp_replace(F.translate(c, ACCENTED, BASE), r"[̀-ͯ]", ""))
 
 
 def normalize(c: Column | str) -> Column:

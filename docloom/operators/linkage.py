@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,36 +22,61 @@ def training_options(plans: DataFrame) -> DataFrame:
     )
 
 
+def _keys(names: Column, least: Column) -> Column:
+    """Keys of tokens in their common order, rare ones first: two names of which at least that part of the larger is common share one.
+
+    With so many common tokens they share two among the first n - c + 2, c being what the name needs
+    in common; where one is enough they share a single token.
+    """
+    n = F.size(names)
+    common = F.ceil(n * least - 1e-6)
+    front = F.slice(names, F.lit(1), F.least(n, n - common + 2).cast("int"))
+    pairs = F.flatten(F.transform(front, lambda x, i: F.transform(F.slice(names, i + 2, F.greatest(F.size(front) - i - 1, F.lit(0))), lambda y: F.concat_ws(" ", x, y))))
+    return F.when(common <= 1, F.concat(pairs, names)).otherwise(pairs)
+
+
 def match_training(records: DataFrame, options: DataFrame) -> DataFrame:
     """The best option of each record, if good enough: record_id, option_id, score.
 
     records: record_id, teacher, training, period; options: option_id, ordinal, teacher, training,
     period. The best option over all is chosen first (earliest ordinal on ties) and the thresholds
-    applied then: a poor best hides a good second. Only options that could reach the score are
-    compared: they need a teacher overlap of 0.31, so the pair must share one of the rarest tokens of
-    either name. That makes it an equi-join; no pair that could win is lost.
+    applied then: a poor best hides a good second. Only pairs that could decide are compared, by an
+    equi-join on pairs of rare tokens: first those whose teachers overlap enough for a link; then, for
+    records whose link an option with a lesser overlap could still hide, those that reach its score.
+    No pair that could win or hide is lost. The best is kept by an aggregate that combines before the
+    shuffle. A null id stays null, and all records without an id are one.
     """
-    least = (LEAST_SCORE - TRAINING - PERIOD) / TEACHER
-    r = records.select("record_id", "period", tokens("teacher", 1).alias("a"), tokens("training", 1).alias("ta"))
-    o = options.select("option_id", "ordinal", F.col("period").alias("o_period"), tokens("teacher", 1).alias("b"), tokens("training", 1).alias("tb"))
-    seen = r.select(F.explode("a").alias("token")).union(o.select(F.explode("b").alias("token"))).groupBy("token").agg(F.count("*").alias("df"))
-
-    def keyed(df: DataFrame, key: list[str], names: str) -> DataFrame:
-        each = df.select(*key, F.size(names).alias("n"), F.explode(names).alias("token")).join(seen, "token")
-        place = F.row_number().over(W.partitionBy(*key).orderBy("df", "token"))
-        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(*key, "token")
-
-    pairs = keyed(r, ["record_id"], "a").join(keyed(o, ["option_id"], "b"), "token").select("record_id", "option_id").distinct()
-    both = pairs.join(r, "record_id").join(o, "option_id")
-    scored = both.select(
-        "record_id", "option_id", "ordinal",
-        overlap_of_tokens(F.col("a"), F.col("b")).alias("s_teacher"),
-        overlap_of_tokens(F.col("ta"), F.col("tb")).alias("s_training"),
-        F.when((F.col("period") == F.col("o_period")) & (F.col("period") != ""), PERIOD).otherwise(0.0).alias("s_period"),
-    ).withColumn("score", F.round(F.col("s_teacher") * TEACHER + F.col("s_training") * TRAINING + F.col("s_period"), 6))
-    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("record_id").orderBy(F.desc("score"), "ordinal"))).where("rank = 1")
-    good = (F.col("s_teacher") >= LEAST_TEACHER) & (F.col("s_training") >= LEAST_TRAINING) & (F.col("score") >= LEAST_SCORE)
-    return best.where(good).select("record_id", "option_id", "score")
+    r = records.select("record_id", F.col("period").alias("r_period"), tokens("teacher", 1).alias("names"), tokens("training", 1).alias("ta"))
+    o = options.select("option_id", "ordinal", F.col("period").alias("o_period"), tokens("teacher", 1).alias("names"), tokens("training", 1).alias("tb"))
+    seen = r.select(F.explode("names").alias("token")).union(o.select(F.explode("names").alias("token"))).groupBy("token").agg(F.count("*").alias("df"))
+
+    def ordered(df: DataFrame, name: str) -> DataFrame:
+        """Column names as the column called name, rare tokens first."""
+        rest = [c for c in df.columns if c != "names"]
+        each = df.select(*df.columns, F.explode("names").alias("token")).join(seen, "token")
+        return each.groupBy(*df.columns).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")).select(*rest, F.transform("order", lambda x: x["token"]).alias(name))
+
+    r, o = ordered(r, "a"), ordered(o, "b")
+
+    def scored(left: DataFrame, least: Column, least_of_options: float) -> DataFrame:
+        """record_id and best (score, negative ordinal, option_id, overlaps) over the options that may have so much of the teacher in common."""
+        keyed = left.select("*", F.explode(_keys(F.col("a"), least)).alias("key"))
+        pairs = keyed.join(o.select("*", F.explode(_keys(F.col("b"), F.lit(least_of_options))).alias("key")), "key")
+        teacher, training = overlap_of_tokens(F.col("a"), F.col("b")), overlap_of_tokens(F.col("ta"), F.col("tb"))
+        period = F.when((F.col("r_period") == F.col("o_period")) & (F.col("r_period") != ""), PERIOD).otherwise(0.0)
+        pairs = pairs.select("record_id", "option_id", "ordinal", teacher.alias("s_teacher"), training.alias("s_training"), period.alias("s_period"))
+        score = F.round(F.col("s_teacher") * TEACHER + F.col("s_training") * TRAINING + F.col("s_period"), 6)
+        return pairs.groupBy("record_id").agg(F.max(F.struct(score.alias("score"), (-F.col("ordinal")).alias("place"), "option_id", "s_teacher", "s_training")).alias("best"))
+
+    first = scored(r, F.lit(LEAST_TEACHER), LEAST_TEACHER)
+    good = (F.col("best.s_teacher") >= LEAST_TEACHER) & (F.col("best.s_training") >= LEAST_TRAINING) & (F.col("best.score") >= LEAST_SCORE)
+    first = first.where(good)
+    # an option with less of the teacher in common scores less than this
+    bound = TEACHER * LEAST_TEACHER + TRAINING + PERIOD + 1e-6
+    doubtful = r.join(first.where(F.col("best.score") <= bound).select(F.col("record_id").alias("_id"), F.col("best.score").alias("reached")), F.col("record_id").eqNullSafe(F.col("_id")))
+    hiding = scored(doubtful.drop("_id"), F.greatest(F.lit(0.0), (F.col("reached") - 1e-6 - TRAINING - PERIOD) / TEACHER), (LEAST_SCORE - 1e-6 - TRAINING - PERIOD) / TEACHER)
+    best = first.union(hiding).groupBy("record_id").agg(F.max("best").alias("best"))
+    return best.where(good).select("record_id", "best.option_id", "best.score")
 
 
 def canonical_match(names: DataFrame, dimension: list[str], least: float = CANONICAL) -> DataFrame:
@@ -59,10 +84,7 @@ def canonical_match(names: DataFrame, dimension: list[str], least: float = CANON
 
     The dimension is a list in the program, so its size is known; it goes into the plan as one array.
     """
-    spark = names.sparkSession
-    dim = spark.createDataFrame([(k, n) for k, n in enumerate(dimension)], "ord int, canonical string").withColumn("dim_key", normalize("canonical"))
-    entries = [(r["ord"], r["canonical"], r["dim_key"]) for r in dim.orderBy("ord").collect()]
-    options = F.array(*(F.struct(F.lit(-k).alias("o"), F.lit(n).alias("canonical"), F.lit(key).alias("key")) for k, n, key in entries))
+    options = F.array(*(F.struct(F.lit(-k).alias("o"), F.lit(n).alias("canonical"), normalize(F.lit(n)).alias("key")) for k, n in enumerate(dimension)))
     key = normalize("name")
     scored = F.transform(options, lambda d: F.struct(edit_ratio_of_keys(key, d["key"]).alias("score"), d["o"].alias("o"), d["canonical"].alias("canonical")))
     best = F.array_max(scored)

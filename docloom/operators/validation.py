@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import date_number, is_plan_code, loose_date, period_of
-from ..functions.quality import FOREIGN, has_mixed_content, has_phrase
+from ..functions.quality import FOREIGN, has_phrase
 from ..functions.text import clean, js_round, let, normalize
 
 # Layers of the summary and the kinds of training.
@@ -40,8 +40,8 @@ def warning(path: str, when: Column, category: str, layer: str) -> Rule:
 
 def first_per_path(issues: Column) -> Column:
     """Issues without nulls; of those with the same path and severity the first."""
-    same = lambda x, y: (x["path"] == y["path"]) & (x["severity"] == y["severity"])
-    return let(F.array_compact(issues), lambda found: F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: same(x, y))))
+    name = lambda x: F.concat_ws(" ", x["severity"], x["path"])
+    return let(F.array_compact(issues), lambda found: let(F.transform(found, name), lambda names: F.filter(found, lambda x, i: F.array_position(names, name(x)) == i + 1)))
 
 
 def issues(rules: list[Rule]) -> Column:
@@ -54,13 +54,22 @@ def _mixed(t: Column, key: Column, longest: int) -> Column:
     return (F.length(t) > longest) | key.rlike(FOREIGN)
 
 
-def required_text(path: str, c: Column, longest: int, layer: str = "campos") -> list[Rule]:
-    t = clean(c)
-    return [Rule(path, t == "", layer=layer), Rule(path, _mixed(t, normalize(c), longest), "invalid", layer="semantica")]
+def reading(c: Column | str) -> Column:
+    """struct(text, key): a value cleaned and normalized, which the rules look at; work it out in a projection of its own."""
+    return F.struct(clean(c).alias("text"), normalize(c).alias("key"))
 
 
-def code_rules(path: str, c: Column, template: Column) -> list[Rule]:
-    t = clean(c)
+def list_reading(c: Column | str) -> Column:
+    """The reading of a list's items that are not empty, joined; no item is no text."""
+    return reading(F.array_join(F.filter(F.transform(c, lambda x: clean(x)), lambda x: x != ""), " · "))
+
+
+def required_text(path: str, x: Column, longest: int, layer: str = "campos") -> list[Rule]:
+    return [Rule(path, x["text"] == "", layer=layer), Rule(path, _mixed(x["text"], x["key"], longest), "invalid", layer="semantica")]
+
+
+def code_rules(path: str, x: Column, template: Column) -> list[Rule]:
+    t = x["text"]
     old, zero = template == "ANTIGUA", F.upper(t).rlike("-00-PRO-251")
     return [
         warning(path, (t == "") & old, "plantilla", "plantilla"),
@@ -70,10 +79,10 @@ def code_rules(path: str, c: Column, template: Column) -> list[Rule]:
     ]
 
 
-def period_rules(path: str, c: Column, code: Column, template: Column) -> list[Rule]:
-    t = clean(c)
+def period_rules(path: str, x: Column, code: Column, template: Column) -> list[Rule]:
+    t = x["text"]
     well = t.rlike(r"\A20[0-9]{2}-(0[1-9]|1[0-2])\z")
-    of_code = period_of(code)
+    of_code = period_of(code["text"])
     return [
         warning(path, (t == "") & (template == "ANTIGUA"), "plantilla", "plantilla"),
         Rule(path, (t == "") & (template != "ANTIGUA"), layer="cruzada"),
@@ -91,15 +100,15 @@ def hours_rules(path: str, hours: Column) -> list[Rule]:
     ]
 
 
-def name_rules(path: str, c: Column) -> list[Rule]:
-    t, key = clean(c), normalize(c)
+def name_rules(path: str, x: Column) -> list[Rule]:
+    t, key = x["text"], x["key"]
     mixed = has_phrase(key, "desde", "hasta", "aprobacion", "horas de capacitacion", "hora de capacitacion", "fecha de propuesta")
     return [Rule(path, t == ""), Rule(path, mixed | _mixed(t, key, 220), "invalid", layer="semantica")]
 
 
-def date_rules(path: str, c: Column, as_of_year: int, d: Column | None = None) -> list[Rule]:
-    """as_of_year stands for the present: years more than ten later are doubtful. d: the date that c names, if known."""
-    t, key, d = clean(c), normalize(c), loose_date(c) if d is None else d
+def date_rules(path: str, x: Column, d: Column, as_of_year: int) -> list[Rule]:
+    """d: the date that the value names, as loose_date gives it. as_of_year stands for the present: years more than ten later are doubtful."""
+    t, key = x["text"], x["key"]
     polluted = _mixed(t, key, 140) | has_phrase(key, "aprobacion", "horas de capacitacion", "hora de capacitacion")
     return [
         Rule(path, t == ""),
@@ -115,26 +124,31 @@ def date_order_rule(path: str, start: Column, end: Column) -> Rule:
     return Rule(path, (a > 0) & (b > 0) & (b < a), "invalid", "contenido", "cruzada")
 
 
-def kind_rules(path: str, c: Column) -> list[Rule]:
-    t, key = clean(c), normalize(c)
+def kind_rules(path: str, x: Column) -> list[Rule]:
+    t, key = x["text"], x["key"]
     known = key.rlike("|".join(TRAINING_KINDS))
     return [Rule(path, t == ""), Rule(path, _mixed(t, key, 60) | ~known, "invalid", layer="semantica")]
 
 
-def list_rules(path: str, c: Column) -> list[Rule]:
-    items = F.filter(F.transform(c, lambda x: clean(x)), lambda x: x != "")
-    empty = F.coalesce(F.size(items), F.lit(0)) <= 0
-    return [Rule(path, empty, layer="estructura"), Rule(path, has_mixed_content(F.array_join(items, " · "), 1600), "invalid", layer="semantica")]
+def list_rules(path: str, x: Column) -> list[Rule]:
+    """x: as list_reading gives it."""
+    return [Rule(path, x["text"] == "", layer="estructura"), Rule(path, _mixed(x["text"], x["key"], 1600), "invalid", layer="semantica")]
+
 
+def training_reading(t: Column) -> Column:
+    """What the rules look at in one training (struct name, hours, start, end, kind)."""
+    dates = F.struct(loose_date(t["start"]).alias("start"), loose_date(t["end"]).alias("end"))
+    return F.struct(*(reading(t[k]).alias(k) for k in ("name", "start", "end", "kind")), t["hours"].alias("hours"), dates.alias("dates"))
 
-def training_issues(t: Column, index: Column, as_of_year: int) -> Column:
-    """Issues of one training (struct name, hours, start, end, kind); paths carry its index."""
-    def checked(dates: Column) -> Column:
-        a, b = dates["a"], dates["b"]
-        return issues([*name_rules("nombre", t["name"]), *hours_rules("horas", t["hours"]), *date_rules("fecha_inicio_propuesta", t["start"], as_of_year, a), *date_rules("fecha_fin_propuesta", t["end"], as_of_year, b), date_order_rule("fecha_fin_propuesta", a, b), *kind_rules("tipo", t["kind"])])
 
-    found = let(F.struct(loose_date(t["start"]).alias("a"), loose_date(t["end"]).alias("b")), checked)
-    return F.transform(found, lambda x: x.withField("path", F.concat(F.lit("capacitaciones."), index.cast("string"), F.lit("."), x["path"])))
+def training_issues(x: Column, index: Column, as_of_year: int) -> Column:
+    """Issues of one training's reading; paths carry its index."""
+    a, b = x["dates"]["start"], x["dates"]["end"]
+    rules = [
+        *name_rules("nombre", x["name"]), *hours_rules("horas", x["hours"]), *date_rules("fecha_inicio_propuesta", x["start"], a, as_of_year), *date_rules("fecha_fin_propuesta", x["end"], b, as_of_year),
+        date_order_rule("fecha_fin_propuesta", a, b), *kind_rules("tipo", x["kind"]),
+    ]
+    return F.transform(issues(rules), lambda y: y.withField("path", F.concat(F.lit("capacitaciones."), index.cast("string"), F.lit("."), y["path"])))
 
 
 DIAGNOSIS = {
@@ -158,30 +172,34 @@ def validated_plans(plans: DataFrame, as_of_year: int) -> DataFrame:
     Rows with status ERROR keep it and get no issue.
     """
     c = F.col
-    count = F.coalesce(F.size("trainings"), F.lit(0))
-    count = F.when(count < 0, 0).otherwise(count)
+    fields = {k: c(k) for k in ("name", "career", "level", "code", "period", "impact", "vision")} | {k: c(f"diagnosis.{k}") for k in DIAGNOSIS}
+    lists = {k: list_reading(k) for k in ("theory", "practice")}
+    rows = F.transform(F.coalesce("trainings", F.array()), training_reading)
+    read = plans.withColumns({"_read": F.struct(*(reading(v).alias(k) for k, v in fields.items()), *(v.alias(k) for k, v in lists.items())), "_rows": rows})
+    x = {k: c(f"_read.{k}") for k in (*fields, *lists)}
+    count = F.size("_rows")
     head = [
-        *required_text("docente.nombre", c("name"), 140, "estructura"),
-        *required_text("docente.carrera", c("career"), 160, "estructura"),
-        *required_text("docente.nivel_academico_actual", c("level"), 180),
-        *code_rules("docente.codigo_documento", c("code"), c("template")),
-        *period_rules("docente.periodo_plan", c("period"), c("code"), c("template")),
-        *(r for field, longest in DIAGNOSIS.items() for r in required_text(f"diagnostico.{field}", c(f"diagnosis.{field}"), longest, "estructura")),
+        *required_text("docente.nombre", x["name"], 140, "estructura"),
+        *required_text("docente.carrera", x["career"], 160, "estructura"),
+        *required_text("docente.nivel_academico_actual", x["level"], 180),
+        *code_rules("docente.codigo_documento", x["code"], c("template")),
+        *period_rules("docente.periodo_plan", x["period"], x["code"], c("template")),
+        *(r for field, longest in DIAGNOSIS.items() for r in required_text(f"diagnostico.{field}", x[field], longest, "estructura")),
         Rule("capacitaciones", count == 0, layer="estructura"),
     ]
     tail = [
         Rule("capacitaciones", c("expected_rows") > count, "invalid", layer="consenso"),
-        *list_rules("detalles_plan.actividades_teoricas", c("theory")),
-        *list_rules("detalles_plan.actividades_practicas", c("practice")),
-        *required_text("detalles_plan.impacto_esperado", c("impact"), 1600, "estructura"),
-        *required_text("detalles_plan.vision_largo_plazo", c("vision"), 1600, "estructura"),
+        *list_rules("detalles_plan.actividades_teoricas", x["theory"]),
+        *list_rules("detalles_plan.actividades_practicas", x["practice"]),
+        *required_text("detalles_plan.impacto_esperado", x["impact"], 1600, "estructura"),
+        *required_text("detalles_plan.vision_largo_plazo", x["vision"], 1600, "estructura"),
         warning("_consenso", c("engines") >= 2, "consenso", "consenso"),
         warning("_plantilla", c("template") == "ANTIGUA", "plantilla", "plantilla"),
     ]
-    rows = F.flatten(F.transform(F.coalesce("trainings", F.array()), lambda t, i: training_issues(t, i, as_of_year)))
-    every = first_per_path(F.concat(F.array(*(r.issue() for r in head)), rows, F.array(*(r.issue() for r in tail))))
-    out = plans.withColumn("issues", F.when(c("status") == "ERROR", F.array().cast(f"array<{ISSUE}>")).otherwise(every))
-    return with_status(out, F.lit(5 + len(DIAGNOSIS) + 4) + F.greatest(F.lit(1), count * 5))
+    of_rows = F.flatten(F.transform("_rows", lambda t, i: training_issues(t, i, as_of_year)))
+    every = first_per_path(F.concat(F.array(*(r.issue() for r in head)), of_rows, F.array(*(r.issue() for r in tail))))
+    out = read.withColumn("issues", F.when(c("status") == "ERROR", F.array().cast(f"array<{ISSUE}>")).otherwise(every))
+    return with_status(out, F.lit(5 + len(DIAGNOSIS) + 4) + F.greatest(F.lit(1), count * 5)).drop("_read", "_rows")
 
 
 def with_status(rows: DataFrame, total: Column) -> DataFrame:
