@@ -43,8 +43,13 @@ def plan_code(c: Column | str) -> Column:
 
 def plan_codes(c: Column | str) -> Column:
     """All plan codes of a text, canonical, repeats kept: each is a vote."""
-    found = F.regexp_extract_all(F.upper(clean(c)), F.lit(PLAN_CODE), 0)
-    return F.filter(F.transform(found, plan_code), lambda x: x != "")
+    groups = lambda t, k: F.regexp_extract_all(t, F.lit(PLAN_CODE), k)
+
+    def spelled(t: Column) -> Column:
+        found = F.arrays_zip(groups(t, 1).alias("g"), groups(t, 2).alias("n"), groups(t, 3).alias("y"), groups(t, 4).alias("m"))
+        return F.filter(F.transform(found, lambda x: canonical_plan_code(x["g"], x["n"], x["y"], x["m"])), lambda x: x != "")
+
+    return let(F.upper(clean(c)), lambda t: F.when(t.contains("UGPA"), spelled(t)).otherwise(F.array().cast("array<string>")))
 
 
 def agreement_code(c: Column | str) -> Column:

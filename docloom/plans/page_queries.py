@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction as E
 from ..operators import geometry as G
+from ..shared import spread
 from .common import sql_normalize, table
 
 
 def line_explode(spark, d):
-    lines = E.exploded_lines(table(spark, d, "documents"), "doc_id")
+    lines = E.exploded_lines(spread(table(spark, d, "documents")), "doc_id")
     return lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"), F.max("pos").alias("last"))
 
 
@@ -20,9 +21,9 @@ SELECT doc_id, len(l) AS n, list_sum(list_transform(l, lambda x: length(x)))::BI
 
 def block_sessionize(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
-    first = li.select("l_orderkey", (F.col("l_linenumber") * 2).alias("pos"), F.expr("CASE WHEN p % 4 = 0 THEN 'sin numero ' || p ELSE l_linenumber || '. curso ' || p END").alias("line"))
-    second = li.select("l_orderkey", (F.col("l_linenumber") * 2 + 1).alias("pos"), F.concat(F.lit("sigue "), F.col("p").cast("string")).alias("line"))
-    return E.blocks(first.union(second), "l_orderkey")
+    title = F.expr("CASE WHEN p % 4 = 0 THEN 'sin numero ' || p ELSE l_linenumber || '. curso ' || p END")
+    more = F.concat(F.lit("sigue "), F.col("p").cast("string"))
+    return E.blocks(li.select("l_orderkey", F.inline(F.array(F.struct((F.col("l_linenumber") * 2).alias("pos"), title.alias("line")), F.struct((F.col("l_linenumber") * 2 + 1).alias("pos"), more.alias("line"))))), "l_orderkey")
 
 
 BLOCK_SESSIONIZE = """WITH g AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
@@ -113,7 +114,7 @@ FLAG_LOOKAHEAD = "SELECT c_custkey, 'permiso' AS flag FROM customer WHERE c_cust
 def template_detect(spark, d):
     text = F.expr("CASE doc_id % 4 WHEN 0 THEN 'Código del documento: ' || text WHEN 1 THEN 'PLAN DE CAPACITACIÓN. Período académico. ' || text WHEN 2 THEN 'Plan individual de capacitación docente ' || text ELSE text END")
     code = F.when(F.col("doc_id") % 8 == 3, "UGPA").otherwise("")
-    return table(spark, d, "documents").select("doc_id", E.template_of(text, code).alias("template"))
+    return spread(table(spark, d, "documents")).select("doc_id", E.template_of(text, code).alias("template"))
 
 
 TEMPLATE_DETECT = f"""SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 2) OR doc_id % 8 = 3 THEN 'MODERNA' WHEN contains(k, 'codigo del documento') OR contains(k, 'plan individual de capacitacion docente') THEN 'MODERNA' WHEN doc_id % 4 = 1 THEN 'ANTIGUA'

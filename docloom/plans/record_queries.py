@@ -13,6 +13,7 @@ from ..operators import views as X
 from ..operators.consensus import aligned_rows, best_text, cell_vote, engine_weight, list_union, vote
 from ..operators.linkage import canonical_match, match_training, training_options
 from ..sources.files import unique_content
+from ..shared import spread
 from .common import sql_clean, sql_edit_ratio, sql_normalize, sql_overlap, sql_tokens, sql_weight, table
 
 ENGINES = ("TABLA_TEXTUAL", "DIGITAL_LINEAL", "OCR_TEXTO")
@@ -86,7 +87,7 @@ _READ = """CASE engine_idx WHEN 0 THEN c_name || ' ' || c_mktsegment
 
 
 def _engine_rows(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", F.posexplode(F.array(*map(F.lit, ENGINES))).alias("engine_idx", "engine"))
+    c = spread(table(spark, d, "customer")).select("c_custkey", "c_name", "c_mktsegment", F.posexplode(F.array(*map(F.lit, ENGINES))).alias("engine_idx", "engine"))
     rows = c.select("c_custkey", "engine_idx", "engine", F.expr(_READ).alias("value"))
     return rows.withColumn("quality", text_quality("value"))
 
@@ -151,7 +152,7 @@ def row_alignment(spark, d):
 
 
 def _agreements_and_options(spark, d):
-    p = table(spark, d, "part").withColumn("words", F.concat_ws(" ", "p_name", "p_type", F.regexp_replace("p_brand", "#", " "), F.concat(F.lit("k"), (F.col("p_partkey") % 37).cast("string"))))
+    p = spread(table(spark, d, "part")).withColumn("words", F.concat_ws(" ", "p_name", "p_type", F.regexp_replace("p_brand", "#", " "), F.concat(F.lit("k"), (F.col("p_partkey") % 37).cast("string"))))
     period = F.concat(F.lit("20"), (F.col("p_size") + 10).cast("string"), F.lit("-01"))
     options = p.where("p_partkey % 7 = 0").select(F.col("p_partkey").cast("string").alias("option_id"), F.col("p_partkey").alias("ordinal"), F.col("words").alias("teacher"), F.concat_ws(" ", "p_type", "p_name").alias("training"), period.alias("period"))
     records = p.where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("record_id"), F.array_join(F.reverse(F.split("words", " ")), " ").alias("teacher"), F.concat_ws(" ", "p_name", "p_type").alias("training"), period.alias("period"))
@@ -212,7 +213,7 @@ _PLAN = {
 def _plans(spark, d):
     e = {k: F.expr(v) for k, v in _PLAN.items()}
     training = F.struct(F.lit("Curso de redes").alias("name"), e["hours"].cast("double").alias("hours"), e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind"))
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders")).select(
         F.col("o_orderkey").alias("id"), *(e[k].alias(k) for k in ("name", "career", "code", "period", "template")), F.lit("Magister").alias("level"),
         F.struct(*(F.lit("Sí, una respuesta").alias(k) for k in V.DIAGNOSIS)).alias("diagnosis"),
         F.when(F.col("o_orderkey") % 23 == 0, F.array().cast("array<struct<name:string,hours:double,start:string,end:string,kind:string>>")).otherwise(F.array(training)).alias("trainings"),

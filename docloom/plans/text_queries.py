@@ -9,18 +9,19 @@ from ..functions.quality import FOREIGN_PHRASES, has_mixed_content, markers, sig
 from ..functions.similarity import alias_score, edit_ratio, token_overlap
 from ..functions.text import clean, compact, normalize, numeric_ocr, smart_case
 from ..operators.consensus import code_vote
+from ..shared import spread
 from .common import sql_clean, sql_compact, sql_edit_ratio, sql_normalize, sql_overlap, sql_smart_case, sql_tokens, table
 
 
 def text_clean(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(clean("text")).alias("cleaned"), F.length(compact("text")).alias("n_compact"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(clean("text")).alias("cleaned"), F.length(compact("text")).alias("n_compact"))
 
 
 TEXT_CLEAN = f"SELECT doc_id, md5({sql_clean('text')}) AS cleaned, length({sql_compact('text')})::INTEGER AS n_compact FROM documents"
 
 
 def text_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(normalize("text")).alias("normalized"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(normalize("text")).alias("normalized"))
 
 
 TEXT_NORMALIZE = f"SELECT doc_id, md5({sql_normalize('text')}) AS normalized FROM documents"
@@ -114,7 +115,7 @@ FROM (SELECT o_orderkey, regexp_extract(t, '{_PATTERN}', 1) AS g, coalesce(try_c
 
 
 def _code_texts(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.expr(_CODE_TEXT).alias("x"))
+    return spread(table(spark, d, "orders")).select("o_orderkey", F.expr(_CODE_TEXT).alias("x"))
 
 
 def code_extract(spark, d):
@@ -198,7 +199,7 @@ PHRASES = {"the": 3, "of the": 2, "de la": 2, "und": 1, "total de horas": 4}
 
 
 def signal_score_query(spark, d):
-    return table(spark, d, "documents").select("doc_id", signal_score("text", PHRASES).alias("score"))
+    return spread(table(spark, d, "documents")).select("doc_id", signal_score("text", PHRASES).alias("score"))
 
 
 _PHRASE_SUM = " + ".join(f"CASE WHEN contains(k, ' {p} ') THEN {w} ELSE 0 END" for p, w in PHRASES.items())
@@ -214,7 +215,7 @@ _WHOLE = "CASE doc_id % 10 WHEN 0 THEN text || ' Total de horas 40' WHEN 1 THEN
 
 
 def text_quality_query(spark, d, noisy=_NOISY):
-    rows = table(spark, d, "documents").select("doc_id", F.expr(noisy).alias("x"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.expr(noisy).alias("x"))
     return rows.select("doc_id", text_quality("x").alias("quality"), value_score("x").alias("value_score"))
 
 
@@ -231,7 +232,7 @@ def text_quality_whole(spark, d):
 
 
 def mixed_content(spark, d, noisy=_NOISY):
-    rows = table(spark, d, "documents").select("doc_id", F.expr(noisy).alias("x"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.expr(noisy).alias("x"))
     return rows.select("doc_id", has_mixed_content("x").alias("mixed"))
 
 
@@ -248,7 +249,7 @@ MARKERS = ("the", "tion", "de la", "und ", "que", "er")
 
 
 def assess_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", markers("text", MARKERS).alias("hits"), ((F.length(clean("text")) >= 900) & (markers("text", MARKERS) >= 3)).alias("good"))
+    return spread(table(spark, d, "documents")).select("doc_id", markers("text", MARKERS).alias("hits"), ((F.length(clean("text")) >= 900) & (markers("text", MARKERS) >= 3)).alias("good"))
 
 
 _HITS = " + ".join(f"CASE WHEN contains(f, '{m}') THEN 1 ELSE 0 END" for m in MARKERS)

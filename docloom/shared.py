@@ -1,4 +1,4 @@
-"""Written intermediates."""
+"""Written intermediates, and inputs of few splits."""
 
 from __future__ import annotations
 
@@ -23,3 +23,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan for work that is heavy for its rows; dealt over the cores if it has fewer splits than there are cores.
+
+    That is so for small tables in one row group; large ones have splits enough and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
