@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import materialize, shared_folder  # noqa: F401
+from ..shared import materialize, shared_folder, spread  # noqa: F401
 
 #: Rows and bytes of one Arrow batch: long texts stay within a Python worker's memory.
 BATCH_ROWS = 2000
@@ -18,7 +18,7 @@ FEW_ROWS = 500_000
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, by the path Spark reads."""
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def bound_batches(spark: SparkSession) -> None:
