@@ -69,6 +69,48 @@ def test_secrets_base_and_structure():
     assert secrets.is_private_key(bytes([0x30, 0x15, 0x02, 0x01, 0x01, 0x04, 0x10]) + b"k" * 16) and not secrets.is_private_key(key[:-1])
 
 
+def test_secret_keys_and_tokens():
+    import base64
+
+    find = lambda t: secrets.order(secrets.base_spans(t) + secrets.structural_spans(t))
+    seq = lambda tag, body: bytes([tag, 0x82]) + len(body).to_bytes(2, "big") + body
+    oid, data = bytes([0x06, 3, 42, 3, 4]), bytes(range(1, 101))
+    encrypted = seq(0x30, seq(0x30, oid) + seq(0x04, data))
+    plain = seq(0x30, bytes([2, 1, 0]) + seq(0x30, oid) + seq(0x04, data))
+    assert secrets.is_private_key(encrypted) and secrets.is_private_key(plain) and not secrets.is_private_key(seq(0x30, seq(0x30, oid)))
+    wrapped = base64.encodebytes(plain).decode().rstrip()
+    assert "\n" in wrapped and ("key", 2, 2 + len(wrapped)) in find("a " + wrapped.replace("\n", "\n") + " b")
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + base64.encodebytes(data[:96]).decode() + "-----END RSA PRIVATE KEY-----"
+    assert ("pem", 0, len(pem)) in find(pem) and not any(k == "pem" for k, *_ in find(pem.replace("ENCRYPTED", "CLEAR")))
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for head, signature, want in ((b'{"alg":"ES256"}', b"sig", True), (b'{"alg":"none"}', b"sig", False), (b'{"alg":"ES256"}', b"", False), (b'{"kid":"1"}', b"sig", False)):
+        token = ".".join(map(part, (head, b'{"sub":"1"}', signature)))
+        assert (("jwt", 0, len(token)) in find(token)) == want
+
+
+BASE_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT * FROM (VALUES ('access', 'AKIA[A-Z0-9]+', 20), ('hex', '[0-9a-f]+', 24)) p(kind, pattern, least)),
+m AS (SELECT doc_id, kind, least, t AS rest, 0 AS seen, '' AS hit, 0 AS start FROM d, p
+ UNION ALL SELECT doc_id, kind, least, substr(rest, strpos(rest, h) + length(h)), seen + strpos(rest, h) - 1 + length(h), h, seen + strpos(rest, h) - 1 FROM (SELECT m.*, regexp_extract(rest, pattern) AS h FROM m JOIN p USING (kind)) WHERE h <> '')
+SELECT doc_id, count(*) FILTER (kind = 'access' AND length(hit) >= least) AS n_access, count(*) FILTER (kind = 'hex' AND length(hit) >= least) AS n_hex,
+ list_sort(list(start) FILTER (length(hit) >= least AND hit <> '')) AS starts FROM m GROUP BY doc_id"""
+
+
+def test_secret_base_equals_sql(spark, folder, docs):
+    """Counts and places of access keys and hex strings against DuckDB; leftmost non-overlapping matches by recursion."""
+    import duckdb
+
+    rng = random.Random(11)
+    odd = ["AKIA" + "".join(rng.choices("AK1Z", k=rng.randint(10, 24))) + rng.choice(["", " ", "ñ"]) + "".join(rng.choices("0123abcfg", k=rng.randint(10, 60))) for _ in range(60)]
+    rows = [(5000 + k, t, "es", "s", 0) for k, t in enumerate(odd)]
+    sf = folder(documents=docs.where("doc_id is not null").dropDuplicates(["doc_id"]).union(spark.createDataFrame(rows, docs.schema)))
+    got = {r["doc_id"]: (r["n_access"], r["n_hex"], sorted(int(x.split(":")[1]) for x in r["spans"].split(",") if x.startswith(("access", "hex")))) for r in secrets.op2_secret_scans(spark, sf).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
+    want = {i: (a, h, s or []) for i, a, h, s in con.execute(BASE_SQL).fetchall()}
+    assert got == want and sum(a + h for a, h, _ in want.values()) > 30
+
+
 def test_secret_query(spark, docs, corpus, folder):
     rows = [(0, "token: abcdef123", "x"), (1, None, "y"), (2, "", "z")]
     out = {r["doc_id"]: r for r in secrets.op2_secret_scans(spark, folder(documents=spark.createDataFrame(rows, "doc_id long, text string, base_spans string"))).collect()}
@@ -164,9 +206,10 @@ def test_suffix_dedup_of_nothing(no_docs):
 # --- 5 ---
 
 
-@pytest.mark.parametrize("size", [200_000, 5])
-def test_class_model(docs, corpus, size, monkeypatch):
+@pytest.mark.parametrize("size, clustered", [(200_000, 8192), (30, 8192), (200_000, 12), (20, 8)])
+def test_class_model(docs, corpus, size, clustered, monkeypatch):
     monkeypatch.setattr(class_model, "DICTIONARY", size)
+    monkeypatch.setattr(class_model, "CLUSTERED", clustered)
     from docloom.llm.common import fold as column
 
     model, counts = class_model.learn(docs.where(column() % 10 != 0))
@@ -175,18 +218,80 @@ def test_class_model(docs, corpus, size, monkeypatch):
     c = Counter(w for t in train for w in words(t))
     total, kinds = sum(c.values()) + len(train), len(c) + 1
     assert model.tokens == total and len(got) == len(corpus)
+    # the model's score from its definition: classes of all words, class bigrams, emissions
+    name = lambda w: int(hashing.word_hashes(w)[0].view(np.int64))
+    cls = {r["h"]: r["cls"] for r in counts.where("cls is not null").collect()}
+    for h, k in zip(model.dictionary_hashes().tolist(), model.cls.tolist()):
+        cls[h] = k
+    often = {w for w in c if c[w] > 1}
+    assert {name(w) for w in often} == set(cls)
+    of = lambda w: cls.get(name(w), model.rest)
+    sizes = Counter()
+    for w in often:
+        sizes[of(w)] += c[w]
+    once = len(c) - len(often)
+    emit = lambda w: c[w] / sizes[of(w)] if w in often else (c[w] + 0.1) / (once + 0.1 * (once + 1))
+    assert math.isclose(sum(emit(w) for w in c) + (0.1 / (once + 0.1 * (once + 1))), len({of(w) for w in often}) + 1, rel_tol=1e-9)
+
+    def score(t):
+        path = [model.end, *map(of, words(t)), model.end]
+        return sum(model.step[a, b] for a, b in zip(path, path[1:])) + sum(math.log10(emit(w)) for w in words(t))
+
     known = defaultdict(list)
     for i, t, *_ in corpus:
-        known[i].append((len(words(t)) + 1, sum(c[w] > 0 for w in words(t)) + 1, sum(math.log10((n + 0.1) / (total + 0.1 * (kinds + 1))) for n in [*(c[w] for w in words(t)), len(train)])))
+        known[i].append((len(words(t)) + 1, sum(c[w] > 0 for w in words(t)) + 1, sum(math.log10((n + 0.1) / (total + 0.1 * (kinds + 1))) for n in [*(c[w] for w in words(t)), len(train)]), score(t)))
     for r in got:
-        assert any((r["n_tokens"], r["n_known"]) == k[:2] and math.isclose(r["base_score"], k[2], rel_tol=1e-9) for k in known[r["doc_id"]]) and r["score"] < 0
+        assert any((r["n_tokens"], r["n_known"]) == k[:2] and math.isclose(r["base_score"], k[2], rel_tol=1e-9) and math.isclose(r["score"], k[3], rel_tol=1e-9) for k in known[r["doc_id"]])
+        assert math.isclose(r["perplexity"], 10 ** (-r["score"] / r["n_tokens"]), rel_tol=1e-9)
+    assert np.allclose((10.0**model.step).sum(axis=1), 1.0)
 
 
-def test_class_model_is_a_distribution(docs):
-    model, _ = class_model.learn(docs)
-    assert np.allclose((10.0**model.step).sum(axis=1), 1.0)
-    for k in set(model.cls[:-1].tolist()):
-        assert math.isclose(sum(10.0 ** model.emit[:-1][model.cls[:-1] == k]), 1.0, rel_tol=1e-9)
+def test_exchange_gains():
+    """A gain is the likelihood with the word in a class less that without it, up to a constant; the exchange never lowers it."""
+    rng = np.random.default_rng(0)
+    n, movable, total = 40, 4, 6
+    bigrams = rng.poisson(3.0, (n + 2, n + 2)).astype(float)
+    of = np.append(rng.integers(0, movable, n), [4, 5])
+    between = lambda of: np.array([[bigrams[np.ix_(of == i, of == j)].sum() for j in range(total)] for i in range(total)])
+    for w in range(10):
+        others = np.arange(n + 2) != w
+        left = np.array([[bigrams[others & (of == k), w].sum() for k in range(total)]])
+        right = np.array([[bigrams[w, others & (of == k)].sum() for k in range(total)]])
+        without = np.array([[bigrams[np.ix_((of == i) & others, (of == j) & others)].sum() for j in range(total)] for i in range(total)])
+        got = class_model.gains(left, right, bigrams[[w], [w]], without, movable)[0]
+        want = np.array([class_model.likelihood(between(np.where(np.arange(n + 2) == w, k, of))) for k in range(movable)])
+        assert np.allclose(got - got[0], want - want[0])
+
+
+def test_best_classes_are_those_of_most_gain():
+    rng = np.random.default_rng(1)
+    total, other = 7, 5
+    m = rng.poisson(40.0, (total, total)).astype(float)
+    counts = rng.poisson(0.7, (30, 2, total)).astype(float)
+    counts[3] = 0
+    word, key = np.nonzero(counts.reshape(30, -1))
+    m[:, other] += counts[:, 0].sum(axis=0)
+    m[other] += counts[:, 1].sum(axis=0)
+    got = class_model.best_classes(word, key, counts.reshape(30, -1)[word, key].astype(np.int64), 30, m)
+    without = np.repeat(m[None], 30, axis=0)
+    without[:, :, other] -= counts[:, 0]
+    without[:, other, :] -= counts[:, 1]
+    gain = class_model.gains(counts[:, 0], counts[:, 1], np.zeros(30), without, total - 2)
+    assert np.allclose(gain[np.arange(30), got], gain.max(axis=1)) and len(set(got.tolist())) > 2
+
+
+def test_clustering_separates_kinds_of_words(spark):
+    rng = random.Random(4)
+    kinds = [[f"{k}{i}" for i in range(10)] for k in "abcd"]  # words of a kind follow words of the one before
+    rows = [(i, " ".join(rng.choice(kinds[(j + i) % 4]) for j in range(60))) for i in range(120)]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    names = np.array([hashing.word_hashes(w.encode())[0] for k in kinds for w in k])
+    of, between, reached = class_model.cluster(class_model.bigram_counts(train, names, np.arange(41), 42), 40, 42, classes=4)
+    assert [len(set(of[10 * k : 10 * k + 10].tolist())) for k in range(4)] == [1, 1, 1, 1] and len(set(of.tolist())) == 6
+    assert reached == sorted(reached) and math.isclose(class_model.likelihood(between), reached[-1])
+    # a word that was not clustered joins the class its contexts name
+    joined = class_model.joined_classes(train, names[1:], of[1:40], between)
+    assert [(r["h"], r["cls"]) for r in joined.collect()] == [(int(names[0].view(np.int64)), int(of[1]))]
 
 
 def test_class_model_of_nothing(no_docs, docs):
@@ -212,6 +317,41 @@ def test_language(spark, no_docs):
     assert language.identify(data, language.learn(no_docs.selectExpr("lang as label", "text", "0D as draw"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_bits_by_brute_force():
+    """Code lengths from the definition of PPM with escape method C, byte by byte."""
+    rng = random.Random(8)
+    texts = {k: ["".join(rng.choices(a, k=rng.randint(1, 120))).encode() for _ in range(12)] for k, a in (("a", "abcé "), ("b", "bcdñ "), ("c", "x"))}
+    counts = []
+    for k in sorted(texts):
+        key, n = np.unique(np.concatenate([language.windows(t) for t in texts[k]]), return_counts=True)
+        counts.append((key, n.astype(float)))
+    scorer = language.Scorer(language.Trees(sorted(texts), counts), np.unique(np.concatenate([k for k, _ in counts]))[:50])
+
+    def bits(label, data):
+        seen = defaultdict(Counter)
+        for t in texts[label]:
+            t = b"\0" * language.ORDER + t
+            for i in range(language.ORDER, len(t)):
+                for k in range(language.ORDER + 1):
+                    seen[t[i - k : i]][t[i]] += 1
+        total, data = 0.0, b"\0" * language.ORDER + data
+        for i in range(language.ORDER, len(data)):
+            for k in range(language.ORDER, -1, -1):
+                c = seen.get(data[i - k : i])
+                if c is None:
+                    continue
+                if c[data[i]]:
+                    total -= math.log2(c[data[i]] / (c.total() + len(+c)))
+                    break
+                total -= math.log2(len(+c) / (c.total() + len(+c)))
+            else:
+                total += 8.0
+        return total
+
+    for data in (b"abcab", "é bñ".encode(), b"zzz", b"xxxx x", texts["b"][3]):
+        assert np.allclose(scorer.bits(data), [bits(k, data) for k in sorted(texts)])
+
+
 def test_language_learns_every_label_and_whole_texts(spark):
     rows = [(10 * i + k, f"{chr(0x4E00 + i)} " * 20, f"l{i:03d}") for i in range(230) for k in range(3)]
     rows += [(5000 + k, "a " * 12_000 + "ñandú " * 200, "late") for k in range(5)]
@@ -378,11 +518,57 @@ def test_packing(docs, corpus):
         assert sum(r["length"] for r in rows) == rows[0]["bin_used"] <= rows[0]["bin_capacity"] == packing.downsized(rows[0]["bin_used"], (64, 128, 256))
 
 
-def test_packing_takes_the_cheapest_policy():
-    lengths = sorted((random.Random(1).randint(1, 4096) for _ in range(400)), reverse=True)
+def naive_pack(lengths, capacities, size_of):
+    """Best fit with plain lists; size_of(piece, pieces to come): the size of a new bin."""
+    bins = []
+    for k, n in enumerate(lengths):
+        fits = [b for b in bins if b[1] >= n]
+        if fits:
+            b = min(fits, key=lambda b: (b[1], -b[2]))  # of equal ones the last to change
+        else:
+            b = [0, size_of(n, lengths[k + 1 :]), 0]
+            bins.append(b)
+        b[0] += n
+        b[1] -= n
+        b[2] = k
+    return [b[0] for b in bins]
+
+
+def price(used, capacities=packing.CAPACITIES):
+    return sum(packing.cost(packing.downsized(x, capacities)) for x in used)
+
+
+@pytest.mark.parametrize("shape", ["even", "short", "two sizes", "skewed"])
+def test_packing_opens_the_size_of_least_cost(shape):
+    rng = random.Random(shape)
+    draw = {"even": lambda: rng.randint(1, 4096), "short": lambda: rng.randint(1, 600), "two sizes": lambda: rng.choice([300, 700, 1300]) + rng.randint(0, 30), "skewed": lambda: min(4096, int(rng.lognormvariate(5.5, 1.0)) + 1)}[shape]
+    lengths = sorted((draw() for _ in range(300)), reverse=True)
+
+    def least(n, coming):
+        def share(c):
+            room = c - n
+            for x in coming:  # the longest that fits first
+                if x <= room:
+                    room -= x
+            return packing.cost(c) / (c - room)
+
+        return min((c for c in packing.CAPACITIES if c >= n), key=share)
+
     of, used = packing.pack(lengths)
-    price = lambda u: sum(packing.cost(packing.downsized(x)) for x in u)
-    assert price(used) == min(price(packing._fit(lengths, packing.CAPACITIES, k)[1]) for k in (0, *packing.CAPACITIES)) and len(of) == 400
+    assert len(of) == 300 and sorted(used) == sorted(naive_pack(lengths, packing.CAPACITIES, least))
+    # one usual size for all bins is hardly ever better
+    assert price(used) <= 1.01 * min(price(naive_pack(lengths, packing.CAPACITIES, lambda n, _, c=c: max(c, packing.downsized(n)))) for c in (0, *packing.CAPACITIES))
+
+
+def test_packing_does_not_depend_on_settings(spark, docs):
+    rows = lambda: Counter(tuple(r) for r in packing.pack_documents(docs).collect())
+    first = rows()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert rows() == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 # --- 9 ---
@@ -405,11 +591,29 @@ def test_transport_sees_damage():
         transport.demultiplex(media[:-1])
 
 
+def test_transport_reads_what_others_write():
+    """Tables over several packets, repeated packets, announced jumps; broken streams raise ValueError."""
+    payload = transport.pad(b"y" * 9000)
+    media = transport.multiplex(payload)
+    packets = [media[k : k + 188] for k in range(0, len(media), 188)]
+    body = bytes([0xE1, 0x01, 0xF0, 0]) + bytes([6]) + (0xE000 | transport.DATA_PID).to_bytes(2, "big") + (0xF000 | 202).to_bytes(2, "big") + bytes([200, 200]) + bytes(200)
+    section = transport._section(2, 1, body)
+    long = [(bytes([0x47, 0x41, 0, 0x10, 0]) + section)[:188], (bytes([0x47, 0x01, 0, 0x11]) + section[183:]).ljust(188, b"\xff")]
+    read = transport.demultiplex(b"".join([packets[0], *long, *packets[2:]]))
+    assert read["payload"] == payload and read["continuity_errors"] == 0
+    twice = transport.demultiplex(b"".join([*packets[:4], packets[3], *packets[4:]]))
+    assert twice["payload"] == payload and twice["continuity_errors"] == 0
+    last = packets[-1]
+    for broken in (packets[1:], packets[:1] + packets[2:], packets[:2], [*packets, last[:1] + bytes([last[1] | 0x40]) + last[2:3] + bytes([0x30 | (last[3] + 1) & 15, 180, 0]) + bytes([0xFF] * 179) + b"abc"]):
+        with pytest.raises(ValueError):
+            transport.demultiplex(b"".join(broken))
+
+
 # --- 10 ---
 
 
 def test_url_filter(spark):
-    rows = [(1, "HTTP://Sub.Example.ORG/es/9?x", "<p>a</p>"), (2, "http://example.org/en/12", ""), (3, "http://a.com/fr/x#y", None), (4, "x://b.com/de/", ""), (5, "http://notexample.orgx/es/", ""), (6, None, ""), (7, "nothing", ""), (8, "http://cheappills.net/win", ""), (9, "http://example.org", "")]
+    rows = [(1, "HTTP://Sub.Example.ORG/es/9?x", "<p>a</p>"), (2, "http://example.org/en/12", ""), (3, "http://a.com/fr/x#y", None), (4, "x://b.com/de/", ""), (5, "http://notexample.orgx/es/", ""), (6, None, ""), (7, "nothing", ""), (8, "http://cheappills.net/fr/win", "<script>cheappills</script><p class='cheappills'>cheap pills &amp; net</p>"), (9, "http://example.org", "")]
     out = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [out[k]["rule"] for k in range(1, 10)] == ["example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None, None, None, None]
     assert [out[k]["verdict"] for k in range(1, 5)] == ["block", "block", "allow", "block"]
@@ -420,22 +624,24 @@ def test_url_filter(spark):
 def test_url_filter_knows_all_words_and_tokens(spark):
     # more words and path tokens than 10,000 and 50,000; the words of the last host are the rarest
     letters = lambda k: "".join("abcdefghij"[int(x)] for x in f"{k:05d}")
-    rows = [(k, f"http://site{letters(k)}.net/" + "/".join(f"s{i}" for i in range(25 * k, 25 * k + 25)), " ".join([letters(k)] * 3)) for k in range(11_000)]
-    rows += [(20_000 + k, f"http://casino.net/r{k // 2}", "casino") for k in range(4)] + [(30_000, "http://zupomkralo.net/r0", "zupom kralo"), (30_001, None, None)]
+    rows = [(k, f"http://site{letters(k)}.org/" + "/".join(f"s{i}" for i in range(25 * k, 25 * k + 25)), " ".join([letters(k)] * 3)) for k in range(11_000)]
+    rows += [(20_000 + k, f"http://casino.com/de/r{k // 2}", "casino") for k in range(4)] + [(30_000, "http://zupomkralo.net/r0", "zupom kralo"), (30_001, None, None)]
     out = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(out) == len(rows) and out[30_000]["host_words"] == "zupom kralo net"
     found = {i: [("h:" + w) for w in r["host_words"].split()] + ["p:" + t for t in re.findall("[a-z0-9]+", r["path"])] for i, r in out.items()}
     sums = {k: Counter() for k in ("allow", "block")}
     pages = Counter()
     for i, f in found.items():
-        label = "block" if {w[2:] for w in f if w[0] == "h"} & set(url_filter.SEEDS) else "allow"
+        label = next((said for word, said in (("h:org", "allow"), ("h:com", "block")) if word in f), None)
+        if label is None:
+            continue
         sums[label].update(f)
         pages[label] += 1
     kinds = len(set(sums["allow"]) | set(sums["block"]))
     assert kinds > 250_000 and pages["block"] == 4
     log = lambda k, t: math.log((sums[k][t] + 1) / (sums[k].total() + kinds + 1))
     for i in (0, 10_999, 20_000, 20_003, 30_000, 30_001):
-        z = math.log((pages["block"] + 1) / (pages["allow"] + 1)) + sum(log("block", t) - log("allow", t) for t in found[i])
+        z = math.log((pages["block"] + 1) / (pages["allow"] + 1)) + sum(log("block", t) - log("allow", t) for t in found[i] if sums["block"][t] + sums["allow"][t])
         assert math.isclose(out[i]["block_score"], 1 / (1 + math.exp(-min(max(z, -500), 500))), rel_tol=1e-9)
 
 
