@@ -1,16 +1,15 @@
 """URL filters: fixed rules, else naive Bayes over segmented host names and path tokens.
 
 Host names are split at dots, hyphens and digits; each piece is segmented into words by a unigram
-Viterbi pass. The unigram model has the exact counts of all words (2 to LONGEST letters) of all pages,
-and a few seed words; each distinct host meets those of its substrings that are words by a join. A
-multinomial naive Bayes model then scores the words of the host and the tokens of the path, each
-distinct url once; its table of all tokens is joined, too. It learns from all pages: block where the segmented host holds a
-seed word of unwanted sites, else allow. The rules state a policy, not what a site is like, so the
-model does not learn from them.
+Viterbi pass. The unigram model has the exact counts of all words (2 to LONGEST letters) of the texts
+of all pages, without markup; each distinct host meets those of its substrings that are words by a
+join. A multinomial naive Bayes model then scores the words of the host and the tokens of the path,
+each distinct url once; its table of all tokens is joined, too. It learns from all pages that a rule
+decides, with the rule's verdict as the label, and judges the others; tokens of none of them say nothing.
 
 Nulls: a null url, like one without ``://``, has an empty host and path, fits no rule and gets the
-verdict of the label priors. A null page_id stays null. Repeated rows are judged each. Other input
-columns are ignored. With no page at all there is nothing to judge.
+verdict of the label priors; even odds allow. A null page_id stays null. Repeated rows are judged
+each. Other input columns are ignored. With no page at all there is nothing to judge.
 """
 
 from __future__ import annotations
@@ -35,10 +34,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Words that mark unwanted sites in host names.
-SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "cheap", "click", "escort", "free", "jackpot", "loan", "loans", "pill", "pills", "poker", "porn", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "xxx")
 LONGEST = 24  # letters of a word
 SMOOTHING = 1.0
+#: What is no text in a page: scripts, styles, comments, tags, character references.
+MARKUP = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]+;"
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -104,25 +103,15 @@ def tokens(words: list[str], path: str) -> list[str]:
 
 
 def word_counts(pages: DataFrame, text_col: str = "html") -> tuple[DataFrame, int]:
-    """(w, n) of all words of all pages, the seeds with the count of the median word at least; the sum of n."""
-    words = pages.select(F.explode(F.expr(f"regexp_extract_all(lower(`{text_col}`), '\\\\p{{L}}+', 0)")).alias("w")).where(F.length("w").between(2, LONGEST))
+    """(w, n) of all words of all pages' texts; the sum of n."""
+    plain = F.lower(F.regexp_replace(F.col(text_col), MARKUP, " "))
+    words = pages.select(F.explode(F.regexp_extract_all(plain, F.lit(r"\p{L}+"), F.lit(0))).alias("w")).where(F.length("w").between(2, LONGEST))
     counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")), "words")
-    middle, total = 1, 0
-    steps = counts.groupBy("n").count().orderBy("n").collect()
-    left = sum(r["count"] for r in steps) // 2
-    for r in steps:
-        total += r["n"] * r["count"]
-        if 0 <= left < r["count"]:
-            middle = r["n"]
-        left -= r["count"]
-    seeds = {w: 0 for w in SEEDS} | {r["w"]: r["n"] for r in counts.where(F.col("w").isin(*SEEDS)).collect()}
-    raised = [(w, max(middle, n)) for w, n in seeds.items()]
-    total += sum(n for _, n in raised) - sum(seeds.values())
-    return counts.where(~F.col("w").isin(*SEEDS)).union(pages.sparkSession.createDataFrame(raised, counts.schema)), total
+    return counts, int(counts.agg(F.sum("n")).first()[0] or 0)
 
 
 def host_table(hosts: DataFrame, words: DataFrame, total: int) -> DataFrame:
-    """host, host_words (array) and label of distinct hosts."""
+    """host and host_words (array) of distinct hosts."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +124,11 @@ def host_table(hosts: DataFrame, words: DataFrame, total: int) -> DataFrame:
         for batch in batches:
             hosts_ = batch.column("host").to_pylist()
             found = [Segmenter({x["w"]: x["n"] for x in known or []}, total).host_words(h) for h, known in zip(hosts_, batch.column("known").to_pylist())]
-            labels = ["block" if set(w) & set(SEEDS) else "allow" for w in found]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.string())), pa.array(labels, pa.string())], names=["host", "host_words", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.string()))], names=["host", "host_words"])
 
-    hosts, words = materialize(hosts, "hosts"), materialize(words, "model")
+    hosts = materialize(hosts, "hosts")
     known = hosts.mapInArrow(candidates, "host string, w string").join(few(words), "w").groupBy("host").agg(F.collect_list(F.struct("w", "n")).alias("known"))
-    return materialize(hosts.join(known, "host", "left").mapInArrow(split, "host string, host_words array<string>, label string"), "split")
+    return materialize(hosts.join(known, "host", "left").mapInArrow(split, "host string, host_words array<string>"), "split")
 
 
 def judge(pages: DataFrame, url_col: str = "url", text_col: str = "html") -> DataFrame:
@@ -153,10 +141,10 @@ def judge(pages: DataFrame, url_col: str = "url", text_col: str = "html") -> Dat
             found = [tokens(w, p) for w, p in zip(batch.column("host_words").to_pylist(), batch.column("path").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names, "tokens"])
 
-    urls = parsed.groupBy("host", "path").agg(F.count("*").alias("n")).join(few(hosts), "host").select("host", "path", "n", "label", "host_words", F.array_join("host_words", " ").alias("split"))
+    urls = parsed.groupBy("host", "path", F.col("rule_verdict").alias("label")).agg(F.count("*").alias("n")).join(few(hosts), "host").select("host", "path", "n", "label", "host_words", F.array_join("host_words", " ").alias("split"))
     urls = materialize(urls.mapInArrow(featured, T.StructType([*urls.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))])), "urls")
     both = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(k) for k in ("allow", "block")]
-    counted = materialize(urls.select("n", "label", F.explode("tokens").alias("token")).groupBy("token").agg(*both), "tokens")
+    counted = materialize(urls.where(F.col("label").isNotNull()).select("n", "label", F.explode("tokens").alias("token")).groupBy("token").agg(*both), "tokens")
     documents = urls.agg(*both).first()
     kinds, *sums = counted.agg(F.count("*"), F.sum("allow"), F.sum("block")).first()
     allow, block = ((x or 0) + SMOOTHING * (kinds + 1) for x in sums)
