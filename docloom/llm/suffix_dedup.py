@@ -4,9 +4,9 @@ A suffix array of the whole corpus cannot be shared out among tasks, so repeats
 Each window of LENGTH bytes is named by its least gram (winnowing), which depends on the window alone;
 windows whose gram occurs once go. What is left is cut into blocks of WINDOWS windows at places fixed
 by the gram. All windows of a block share a core; blocks with equal cores meet by a shuffle. Blocks
-that are equal as a whole repeat in all their windows. The others differ in their margins only, and a
-suffix array over the margins, with the core as one symbol, tells which of their windows repeat: it
-is the windows whose neighbours in suffix order share a window's length.
+that are equal as a whole repeat in all their windows. The others differ in their margins, and a
+suffix array over the whole margins, with the core as one symbol, tells which of their windows
+repeat: the windows whose neighbours in suffix order share a window's length.
 
 The array is built by linear grouping: suffixes are grouped by their longest Lyndon prefix, groups
 being processed in descending order along previous-smaller pointers; the order inside the groups is
@@ -37,8 +37,8 @@ from .hashing import SEGMENT, mix, prefix_sums, span_hashes
 
 LENGTH = 400
 GRAM = 96
-#: Windows of a block, and of the parts into which blocks with different margins are cut.
-WINDOWS, PART = 64, 8
+#: Windows of a block.
+WINDOWS = 64
 #: Different margins of a core that a task holds; more are compared through a shuffle.
 HELD = 20_000
 #: Symbols of a suffix array, about.
@@ -47,42 +47,52 @@ _POSITION = 21  # low bits that hold a position
 
 
 def suffix_array(s: list[int]) -> list[int]:
-    """Starts of the suffixes of ``s`` in ascending order; its last symbol must be its unique least."""
+    """Starts of the suffixes of ``s`` in ascending order; its last symbol must be its unique least.
+
+    Every step is linear: symbols are counted into buckets, the members of a group stay in text order
+    (previous-smaller pointers of one group ascend with the text), and what moves is bucketed by how
+    many of the group follow, whose sum is the group's size.
+    """
     n = len(s)
-    order = sorted(range(n), key=s.__getitem__)
+    low = min(s)
+    buckets: list[list[int]] = [[] for _ in range(max(s) - low + 1)]
+    for i, c in enumerate(s):
+        buckets[c - low].append(i)
     group, members, start_of, end_of = [0] * n, {}, {}, {}
     at = 0
-    while at < n:
-        end = at + 1
-        while end < n and s[order[end]] == s[order[at]]:
-            end += 1
-        for i in order[at:end]:
-            group[i] = at
-        members[at], start_of[end], end_of[at] = order[at:end], at, end
-        at = end
+    for some in buckets:
+        if some:
+            end = at + len(some)
+            for i in some:
+                group[i] = at
+            members[at], start_of[end], end_of[at] = some, at, end
+            at = end
     smaller = [-1] * n
     end = n
     while end:  # groups in descending order
         g = start_of[end]
-        times: dict[int, int] = {}
-        for i in sorted(i for i in members.pop(g) if group[i] == g):
+        times: dict[int, int] = {}  # in text order
+        for i in members.pop(g):
+            if group[i] != g:
+                continue
             j = i - 1
             while j >= 0 and group[j] >= g:
                 j = smaller[j]
             smaller[i] = j
             if j >= 0:
                 times[j] = times.get(j, 0) + 1
-        moved: dict[tuple[int, int], list[int]] = {}
-        for j, k in times.items():  # a prefix that more of this group's follow is larger
-            moved.setdefault((k, group[j]), []).append(j)
-        for k, h in sorted(moved, reverse=True):
-            some, top = moved[k, h], end_of[h]
-            new = top - len(some)
-            members[new] = some
-            if new != h:
-                start_of[top], start_of[new], end_of[new], end_of[h] = new, h, top, new
-                for j in some:
-                    group[j] = new
+        moved: list[dict[int, list[int]]] = [{} for _ in range(max(times.values(), default=0) + 1)]
+        for j, k in times.items():
+            moved[k].setdefault(group[j], []).append(j)
+        for by_group in reversed(moved):  # a prefix that more of this group's follow is larger
+            for h, some in by_group.items():
+                top = end_of[h]
+                new = top - len(some)
+                members[new] = some
+                if new != h:
+                    start_of[top], start_of[new], end_of[new], end_of[h] = new, h, top, new
+                    for j in some:
+                        group[j] = new
         end = g
     sa, free, placed = [n - 1] * n, list(range(n)), [False] * n
     placed[n - 1] = True
@@ -108,21 +118,18 @@ def repeated_starts(cores: list[list[tuple[bytes, bytes]]]) -> list[list[list[in
         s.append(total + 256 + g)
         s += [total + b for b in right]
         s.append(total - 1 - k)  # every end is unlike any other; the last is the least symbol
-    owner = {m: k for k, m in enumerate(middle)}
-    wanted = {m - o: (owner[m], o) for m in middle for o in range(PART)}
+    wanted = {m - o: (k, o) for k, (m, (_, left, _)) in enumerate(zip(middle, records)) for o in range(min(WINDOWS - 1, len(left)) + 1)}
     found: list[list[int]] = [[] for _ in records]
-    sa = suffix_array(s)
     previous, before = None, None  # the suffix before and its first symbols
     marked = set()
-    for i in sa:
-        head = s[i : i + PART]
+    for i in suffix_array(s):
+        head = s[i : i + WINDOWS]
         if head == before:
             for x in (previous, i):
-                if x not in marked:
+                if x in wanted and x not in marked:
                     marked.add(x)
-                    k, o = wanted.get(x, (-1, 0))
-                    if k >= 0 and o <= len(records[k][1]):
-                        found[k].append(o)
+                    k, o = wanted[x]
+                    found[k].append(o)
         previous, before = i, head
     out, at = [], 0
     for pairs in cores:
@@ -235,7 +242,7 @@ class _Margins:
 
     def __init__(self):
         self.out: list[tuple] = []  # (window key or None, text key, first byte, end)
-        self.waiting: list[tuple[list, list]] = []
+        self.waiting: list[list[tuple[bytes, bytes, int, int]]] = []
         self.symbols = 0
 
     def window_rows(self, core: int, left: bytes, right: bytes, key: int, low: int) -> None:
@@ -253,38 +260,17 @@ class _Margins:
 
     def compare(self, blocks: list[tuple[bytes, bytes, int, int]]) -> None:
         """Blocks (left, right, text key, first window) of one core with different margins."""
-        for part in range(WINDOWS // PART):
-            skip, rest = part * PART, WINDOWS - (part + 1) * PART  # margin bytes that belong to the part's own core
-            cores: dict[tuple[bytes, bytes], dict[tuple[bytes, bytes], list[int]]] = {}
-            for k, (left, right, _, _) in enumerate(blocks):
-                if len(left) >= skip and len(right) >= rest and len(left) + len(right) >= WINDOWS - 1:
-                    n = len(left) - skip
-                    margins = left[max(0, n - PART + 1) : n], right[rest : rest + PART - 1]
-                    cores.setdefault((left[n:], right[:rest]), {}).setdefault(margins, []).append(k)
-            for pairs in cores.values():
-                for margins, owners in pairs.items():
-                    if len(owners) > 1:
-                        for k in owners:
-                            self.mark(blocks[k], skip, max(0, PART - 1 - len(margins[1])), min(PART - 1, len(margins[0])))
-                if len(pairs) > 1:
-                    self.waiting.append((list(pairs), [[(*blocks[k], skip) for k in owners] for owners in pairs.values()]))
-                    self.symbols += sum(len(a) + len(b) + 2 for a, b in pairs)
-                    if self.symbols > SYMBOLS:
-                        self.sort()
-
-    def mark(self, block: tuple, skip: int, low: int, high: int) -> None:
-        """The windows of a block repeat that take low to high left bytes beyond the part's core."""
-        last = block[3] + WINDOWS - 1 - skip
-        if low <= high:
-            self.out.append((None, block[2], last - high, last - low + LENGTH))
+        self.waiting.append(blocks)
+        self.symbols += sum(len(left) + len(right) + 2 for left, right, *_ in blocks)
+        if self.symbols > SYMBOLS:
+            self.sort()
 
     def sort(self) -> None:
         if self.waiting:
-            for (_, owners), starts in zip(self.waiting, repeated_starts([pairs for pairs, _ in self.waiting])):
-                for blocks, found in zip(owners, starts):
-                    for o in found:
-                        for b in blocks:
-                            self.mark(b, b[4], o, o)
+            for blocks, starts in zip(self.waiting, repeated_starts([[b[:2] for b in blocks] for blocks in self.waiting])):
+                for (_, _, key, low), found in zip(blocks, starts):
+                    for o in found:  # the windows that take so many bytes before the core
+                        self.out.append((None, key, low + WINDOWS - 1 - o, low + WINDOWS - 1 - o + LENGTH))
         self.waiting, self.symbols = [], 0
 
     def batch(self) -> pa.RecordBatch:
