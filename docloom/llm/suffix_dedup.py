@@ -388,7 +388,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(len(data) - len(rest))
             spans.append(len(marks))
         size = [len(k) + r for k, r in zip(kept, removed)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        chars = [len(k.decode(errors="ignore")) for k in kept]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, spans, chars)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_chars", "kept"])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,11 +409,11 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _schema(rows: DataFrame, last: str) -> T.StructType:
-    return T.StructType([rows.schema["doc_id"], *T._parse_datatype_string(f"n_bytes long, n_removed long, n_spans long, {last}").fields])
+    return T.StructType([rows.schema["doc_id"], *T._parse_datatype_string(f"n_bytes long, n_removed long, n_spans long, kept_chars long, {last}").fields])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes, which may split a character) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, which may split a character) and kept_chars (its whole characters) of every row."""
     rows = _marked(docs, id_col, text_col)
     return rows.mapInArrow(_cut, _schema(rows, "kept binary"))
 

@@ -168,6 +168,7 @@ def test_suffix_dedup(docs, corpus, held, monkeypatch):
                 mark[p : p + 400] = b"\1" * 400
         want[i, len(b), mark.count(1), (b"\0" + bytes(mark)).count(b"\0\1"), bytes(x for x, m in zip(b, mark) if not m)] += 1
     assert got == want and sum(k[2] for k in want) > 3000
+    assert all(r["kept_chars"] == len(bytes(r["kept"]).decode(errors="ignore")) for r in suffix_dedup.remove_repeats(docs).collect())
 
 
 @pytest.mark.parametrize("size", [450, 1000, 2048])
