@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import page_queries, record_queries, text_queries
+from .plans import page_queries, process_queries, record_queries, text_queries
 
-_MODULES = (record_queries, page_queries, text_queries)
+_MODULES = (record_queries, page_queries, text_queries, process_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,6 +14,7 @@ MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agost
 MONTH_ALIASES = {"setiembre": 9}
 YEARS = (2000, 2100)
 
+# The shapes of the two code families.
 _GAP = r"[\s_\-]{0,3}"
 _DIGITS = "[0-9OQIL|SB]"
 PLAN_CODE = rf"UGPA{_GAP}RGI{_GAP}([12]){_GAP}({_DIGITS}{{1,3}}){_GAP}PRO{_GAP}251{_GAP}(20{_DIGITS}{{2}}){_GAP}(1[0-2]|0?[1-9])(?:[^0-9]|$)"
@@ -52,6 +53,43 @@ def plan_codes(c: Column | str) -> Column:
     return let(F.upper(clean(c)), lambda t: F.when(t.contains("UGPA"), spelled(t)).otherwise(F.array().cast("array<string>")))
 
 
+# The parts of a plan code as OCR may read them, and how sure a code is by how it was found.
+_READ = {"unit": "U[G6]P[A4]", "family": "R[G6][I1L|]", "process": "PR[OQ0]", "number": "25[I1L|]"}
+DIRECT, JOINED, SCATTERED = 98, 94, 88
+
+
+def code_candidates(c: Column | str) -> Column:
+    """Plan codes of a text that OCR may have read badly: array of struct(code, confidence), the surest first.
+
+    Letters of the fixed parts may be digits and the other way round. A code whose parts follow each
+    other, with blanks or dashes at most, is the surest; then one that appears once all else than
+    letters and digits is taken out; then one with other text between its parts.
+    """
+    small = r"\s*[- ]?\s*"
+    tail = rf"({_DIGITS}{{1,2}})"
+    direct = rf"{_READ['unit']}{small}{_READ['family']}\s*([12]){small}({_DIGITS}{{1,3}}){small}{_READ['process']}{small}{_READ['number']}{small}(20{_DIGITS}{{2}}){small}{tail}(?=[^0-9]|\z)"
+    joined = rf"{_READ['unit']}{_READ['family']}([12])({_DIGITS}{{1,3}}){_READ['process']}{_READ['number']}(20{_DIGITS}{{2}}){tail}"
+    scattered = (
+        rf"(?s){_READ['unit']}.{{0,30}}?{_READ['family']}\s*([12]).{{0,20}}?({_DIGITS}{{1,3}}).{{0,25}}?{_READ['process']}.{{0,10}}?{_READ['number']}.{{0,20}}?(20{_DIGITS}{{2}}).{{0,12}}?{tail}(?=[^0-9]|\z)"
+    )
+
+    def found(t: Column, pattern: str, confidence: int) -> Column:
+        parts = F.arrays_zip(*(F.regexp_extract_all(t, F.lit(pattern), k).alias(n) for k, n in enumerate("gnym", 1)))
+        return F.transform(parts, lambda x: F.struct(F.lit(confidence).alias("confidence"), canonical_plan_code(x["g"], x["n"], x["y"], x["m"]).alias("code")))
+
+    def every(t: Column) -> Column:
+        dashed, bare = F.regexp_replace(t, "[^A-Z0-9]+", "-"), F.regexp_replace(t, "[^A-Z0-9]", "")
+        return F.concat(found(t, direct, DIRECT), found(dashed, direct, DIRECT), found(bare, joined, JOINED), found(t, scattered, SCATTERED))
+
+    def surest(all_: Column) -> Column:
+        good = F.filter(all_, lambda x: (x["code"] != "") & is_plan_code(x["code"]))
+        return let(good, lambda g: F.filter(g, lambda x, i: ~F.exists(F.slice(g, F.lit(1), i), lambda y: y["code"] == x["code"])))
+
+    maybe = lambda t: t.rlike(_READ["unit"])  # noqa: E731  most texts have no code
+    out = let(F.upper(clean(c)), lambda t: F.when(maybe(t) | maybe(F.regexp_replace(t, "[^A-Z0-9]", "")), surest(every(t))).otherwise(F.array().cast("array<struct<confidence:int,code:string>>")))
+    return F.transform(out, lambda x: F.struct(x["code"].alias("code"), x["confidence"].alias("confidence")))
+
+
 def agreement_code(c: Column | str) -> Column:
     """First agreement code of a text, canonical; '' if there is none."""
     part = lambda t, k: F.regexp_extract(t, AGREEMENT_CODE, k)

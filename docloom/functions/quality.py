@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .codes import is_plan_code
 from .text import EDGE_AFTER, EDGE_BEFORE, clean, fold_accents, let, normalize
 
-#: Phrases (normalized) that show that a field holds text of another part of the form.
+# Phrases (normalized) of the form that show that a field holds text of another part of it.
 FOREIGN_PHRASES = (
     "resumen de capacitacion",
     "nombre de capacitacion propuesta",
@@ -20,8 +20,8 @@ FOREIGN_PHRASES = (
     "instrumento de evaluacion",
     "formacion docente",
 )
-#: A numbered heading of sections 3 to 8.
-FOREIGN_HEADING = "[3-8] (?:evaluacion(?:es)?|evaluaciones?|resumen|indicador(?:es)?|actividad(?:es)?|impacto|vision)"
+# Fixed value: a numbered heading of sections 3 to 8.
+FOREIGN_HEADING = "[3-8] (?:evaluacion(?:es)?|resumen|indicador(?:es)?|actividad(?:es)?|impacto|vision)"
 #: Either of them in a normalized text, as whole words.
 FOREIGN = "(?:\\A| )(?:" + "|".join((*FOREIGN_PHRASES, FOREIGN_HEADING)) + ")(?: |\\z)"
 

@@ -42,6 +42,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value): as it stands for a plain column, as :func:`let` has it for an expression that the body would repeat."""
+    return body(value) if len(repr(value)) < 100 else let(value, body)
+
+
 def text(c: Column | str) -> Column:
     """The column as text, '' for null."""
     c = F.col(c) if isinstance(c, str) else c
@@ -54,16 +59,19 @@ def clean(c: Column | str, unreadable: str | None = "-", blank_lines: int | None
     unreadable: what stands for characters an engine could not read (None keeps them);
     blank_lines: most blank lines in a row (None keeps all).
     """
-    source = c = text(c)
-    if unreadable is not None:
-        c = F.translate(c, UNREADABLE, unreadable * len(UNREADABLE))
-    c = F.translate(c, DASHES + INVISIBLE, "-" * len(DASHES))
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, r" *\n *", "\n")
-    if blank_lines is not None:
-        c = F.regexp_replace(c, r"\n{%d,}" % (blank_lines + 2), "\n" * (blank_lines + 1))
-    return F.regexp_replace(c, r"\A[\s ]+|[\s ]+\z", "")
+
+    def tidied(c: Column) -> Column:
+        if unreadable is not None:
+            c = F.translate(c, UNREADABLE, unreadable * len(UNREADABLE))
+        c = F.translate(c, DASHES + INVISIBLE, "-" * len(DASHES))
+        c = F.regexp_replace(c, r"\r\n?", "\n")
+        c = F.regexp_replace(c, r"[ \t]+", " ")
+        c = F.regexp_replace(c, r" *\n *", "\n")
+        if blank_lines is not None:
+            c = F.regexp_replace(c, r"\n{%d,}" % (blank_lines + 2), "\n" * (blank_lines + 1))
+        return F.regexp_replace(c, r"\A[\s ]+|[\s ]+\z", "")
+
+    return once(text(c), lambda t: F.when(t.rlike(UNTIDY), tidied(t)).otherwise(t))
 
 
 def compact(c: Column | str, **options) -> Column:
@@ -73,8 +81,8 @@ def compact(c: Column | str, **options) -> Column:
 
 def fold_accents(c: Column | str) -> Column:
     """Accented Latin letters as their base letters; combining marks go."""
-    c = text(c)
-    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.regexp_replace(F.translate(c, ACCENTED, BASE), r"[̀-ͯ]", ""))
+    folded = lambda t: F.regexp_replace(F.translate(t, ACCENTED, BASE), r"[\u0300-\u036f]", "")
+    return once(text(c), lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(folded(t)))
 
 
 def normalize(c: Column | str) -> Column:

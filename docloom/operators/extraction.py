@@ -30,14 +30,22 @@ def exploded_lines(docs: DataFrame, key: str, c: str = "text") -> DataFrame:
 
 def section(c: Column | str, start: str, ends: tuple[str, ...]) -> Column:
     """Text from after the start label to the nearest end label (Java patterns, accents and case aside); to the end if none follows."""
-    t = text(c)
-    folded = F.lower(fold_accents(t))
-    begin = F.regexp_instr(folded, F.lit(start))
-    rest_at = begin + F.length(F.regexp_extract(folded, start, 0))
-    rest = F.substring(t, rest_at, F.lit(1 << 30))
-    key = F.lower(fold_accents(rest))
-    stops = F.array_compact(F.array(*(F.when(F.regexp_instr(key, F.lit(e)) > 0, F.regexp_instr(key, F.lit(e))) for e in ends)))
-    return F.when(begin == 0, "").otherwise(F.trim(F.when(F.size(stops) > 0, F.substring(rest, F.lit(1), F.array_min(stops) - 1)).otherwise(rest)))
+
+    def cut(x: Column) -> Column:
+        """From a text and its folded form."""
+        t, folded = x["t"], x["f"]
+        begin = F.regexp_instr(folded, F.lit(start))
+        after = begin + F.length(F.regexp_extract(folded, start, 0))
+
+        def ended(rest: Column) -> Column:
+            at = F.array_compact(F.array(*(F.nullif(F.regexp_instr(rest["f"], F.lit(e)), F.lit(0)) for e in ends)).cast("array<int>"))
+            return let(at, lambda stops: F.trim(F.when(F.size(stops) > 0, F.substring(rest["t"], F.lit(1), F.array_min(stops) - 1)).otherwise(rest["t"])))
+
+        more = F.lit(1 << 30)
+        return F.when(begin == 0, "").otherwise(let(F.struct(F.substring(t, after, more).alias("t"), F.substring(folded, after, more).alias("f")), ended))
+
+    # the folded text has the same characters, but for marks that stand alone; those are taken out of both
+    return let(F.regexp_replace(text(c), r"[\u0300-\u036f]", ""), lambda t: let(F.struct(t.alias("t"), F.lower(fold_accents(t)).alias("f")), cut))
 
 
 def table_section(c: Column | str, start: str, preferred: str, other: str) -> Column:
@@ -59,12 +67,17 @@ def label_value(c: Column | str, label: str, stops: tuple[str, ...] = ()) -> Col
 
 def answers(c: Column | str, questions: dict[str, str]) -> Column:
     """Map question -> text between its marker and the next marker; questions: name -> Java pattern on folded lower-case text."""
-    t = text(c)
-    folded = F.lower(fold_accents(t))
-    marks = F.array_sort(F.filter(F.array(*(F.struct(F.regexp_instr(folded, F.lit(p)).alias("at"), F.length(F.regexp_extract(folded, p, 0)).alias("size"), F.lit(q).alias("name")) for q, p in questions.items())), lambda m: m["at"] > 0))
-    end = lambda i: F.coalesce(F.get(marks, i + 1)["at"], F.length(t) + 1)
-    cut = lambda m, i: F.substring(t, m["at"] + m["size"], end(i) - m["at"] - m["size"])
-    return F.map_from_entries(F.transform(marks, lambda m, i: F.struct(m["name"], compact(F.regexp_replace(cut(m, i), r"\A[\s?:.\-]+", "")).alias("value"))))
+
+    def found(x: Column) -> Column:
+        marks = F.array(*(F.struct(F.regexp_instr(x["f"], F.lit(p)).alias("at"), F.length(F.regexp_extract(x["f"], p, 0)).alias("size"), F.lit(q).alias("name")) for q, p in questions.items()))
+        return let(F.array_sort(F.filter(marks, lambda m: m["at"] > 0)), lambda marks: answered(x["t"], marks))
+
+    def answered(t: Column, marks: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(marks, i + 1)["at"], F.length(t) + 1)
+        cut = lambda m, i: F.substring(t, m["at"] + m["size"], end(i) - m["at"] - m["size"])
+        return F.map_from_entries(F.transform(marks, lambda m, i: F.struct(m["name"], compact(F.regexp_replace(cut(m, i), r"\A[\s?:.\-]+", "")).alias("value"))))
+
+    return let(text(c), lambda t: let(F.struct(t.alias("t"), F.lower(fold_accents(t)).alias("f")), found))
 
 
 def find_kind(c: Column | str) -> Column:
@@ -184,13 +197,13 @@ def agreements(readings: DataFrame) -> DataFrame:
     )
 
 
-def plans(readings: DataFrame) -> DataFrame:
-    """Plan fields of readings (doc_id, text, file_name): names, code, period, template and training rows."""
+def plans(readings: DataFrame, *more: str) -> DataFrame:
+    """Plan fields of readings (doc_id, text, file_name): names, code, period, template and training rows; more: columns to carry along."""
     t = F.col("text")
     code = F.coalesce(F.nullif(plan_code(t), F.lit("")), F.nullif(plan_code("file_name"), F.lit("")), F.lit(""))
     rows = section(t, r"4\.?\s*resumen", (r"5\.?\s*indicador", r"6\.?\s*actividad"))
     return readings.select(
-        "doc_id", code.alias("code"), period_of(code).alias("period"), template_of(t, code).alias("template"),
+        "doc_id", *more, code.alias("code"), period_of(code).alias("period"), template_of(t, code).alias("template"),
         smart_case(label_value(t, "nombre del docente", ("carrera", "tiempo", "nivel"))).alias("name"),
         smart_case(label_value(t, "carrera", ("tiempo", "nivel", "nombre"))).alias("career"),
         label_value(t, "nivel academico actual", ("nombre", "carrera")).alias("level"),

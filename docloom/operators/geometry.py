@@ -150,3 +150,44 @@ def header_corner(words: DataFrame) -> DataFrame:
     near = words.where((F.col("page") == 1) & (F.col("center_x") >= F.col("page_width") * 0.68) & (F.col("center_y") <= F.col("page_height") * 0.23))
     parts = F.array_sort(F.collect_list(F.struct("center_y", "left", "text")))
     return near.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"))
+
+
+def tsv_words(pages: DataFrame) -> DataFrame:
+    """Word boxes of an OCR engine's tab-separated output. pages: doc_id, tsv, and left and top of the region that was read.
+
+    The first line names the columns. Lines of too few columns, without a text or without a number
+    for the confidence (-1 at least) are no words.
+    """
+    line = pages.select("doc_id", "left", "top", F.posexplode(F.split(F.trim(text("tsv")), r"\r?\n")).alias("at", "line")).where("at > 0")
+    cells = line.withColumn("c", F.split("line", "\t")).where(F.size("c") >= 12)
+    number = lambda k: F.coalesce(F.get("c", k).try_cast("double"), F.lit(0.0))
+    whole = lambda k: number(k).cast("int")
+    words = cells.select(
+        "doc_id", whole(1).alias("page"), whole(2).alias("block"), whole(3).alias("paragraph"), whole(4).alias("line"), whole(5).alias("word"), F.trim(F.array_join(F.slice("c", 12, F.size("c")), "\t")).alias("text"),
+        (number(6) + F.col("left")).alias("left"), (number(7) + F.col("top")).alias("top"), number(8).alias("width"), number(9).alias("height"), F.get("c", 10).try_cast("double").alias("confidence"),
+    )
+    return with_box(words.where("text <> '' and confidence >= -1"))
+
+
+def page_regions(lines: DataFrame) -> DataFrame:
+    """The regions of each page that its lines (PAGE, page_width, page_height, text, top, bottom) name: PAGE, region, left, top, width, height.
+
+    header and code on the first two pages; table (a fixed part of the page where only its column
+    headings stand), activities, impact and vision from their headings to the next.
+    """
+    size = lines.groupBy(*PAGE).agg(F.first("page_width").alias("w"), F.first("page_height").alias("h"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "text"))), lambda x: x["text"]), "\n").alias("t"))
+
+    def fixed(name: str, where: Column, left: float, top: float, width: float, height: float) -> DataFrame:
+        return size.where(where).select(*PAGE, F.lit(name).alias("region"), (F.col("w") * left).alias("left"), (F.col("h") * top).alias("top"), (F.col("w") * width).alias("width"), (F.col("h") * height).alias("height"))
+
+    key, front = normalize("t"), F.col("page") <= 2
+    starts = {
+        "table": ("resumen.*capacitacion.*propuesta", "indicadores"), "activities": (r"(?:\A| )6 actividades(?: |\z)|\Aactividades\z", "impacto esperado en el docente|7 impacto esperado"),
+        "impact": ("impacto esperado en el docente|7 impacto esperado", "vision a largo plazo|8 vision"), "vision": ("vision a largo plazo|8 vision", "formacion docente"),
+    }
+    found = {name: section_boxes(lines, a, b).select(*PAGE, F.lit(name).alias("region"), "left", "top", "width", "height") for name, (a, b) in starts.items()}
+    other = fixed("table", key.contains("capacitacion propuesta") & key.contains("horas"), 0.02, 0.04, 0.96, 0.64).join(found["table"].select(*PAGE), PAGE, "left_anti")
+    out = fixed("header", front, 0, 0, 1, 0.22).union(fixed("code", front, 0.48, 0, 0.52, 0.24)).union(other)
+    for part in found.values():
+        out = out.union(part)
+    return out
