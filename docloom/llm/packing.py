@@ -1,18 +1,18 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 A document's length is its words and one end token. Lengths are cut into pieces of at most the
-largest permitted capacity. Pieces are dealt by hash to shards and packed there in batches of
-bounded size, the longest first: a piece goes to the open bin that it fills best; if none has room,
-a bin opens whose size is chosen by cost. All opening policies (each permitted size as the usual one,
-or the least that fits) are tried on the batch and the one of least total cost is kept, after each
-bin has been downsized to the least permitted capacity that holds its contents.
+largest permitted capacity. Pieces are dealt by hash to shards, as many as the table needs, and
+packed there in batches of bounded size, the longest first: a piece goes to the open bin that it fills
+best; if none has room, a bin opens. Its size is decided there: of the permitted sizes that hold the
+piece the one of least cost for each position that the pieces still to come can fill. In the end each
+bin is downsized to the least permitted capacity that holds its contents.
 
 The cost of a bin of capacity L is L * (1 + L / 16384): every position is computed, and attention
 grows with the length.
 
 Nulls and empty texts have length 1 (the end token). A null id stays null. Repeated rows are packed
 each. Other input columns are ignored. No piece is dropped or cut short: pieces of a document cover
-it exactly, and no bin exceeds its capacity.
+it exactly, and no bin exceeds its capacity. Bins do not depend on the session's settings.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, partitions, table, text_or_empty
+from .common import bound_batches, table, text_or_empty
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Pieces packed together: bounds a task's memory at any input size.
 BATCH = 1 << 16
+#: Documents of a shard, about.
+SHARD = 1 << 13
 
 
 def cost(capacity: int) -> float:
@@ -41,12 +43,32 @@ def downsized(used: int, capacities: tuple[int, ...] = CAPACITIES) -> int:
     return next(c for c in capacities if c >= used)
 
 
-def _fit(lengths: list[int], capacities: tuple[int, ...], usual: int) -> tuple[list[int], list[int]]:
-    """Bin of each length (longest first) and what each bin holds; ``usual`` is opened unless a piece needs more."""
-    of, used, room = [], [], []
+def filled(room: int, left: list[int], mask: int) -> int:
+    """Positions of ``room`` that the pieces still to come fill, the longest that fits first; left: how many of each length; mask: which lengths there are."""
+    start, length = room, room
+    while room:
+        some = mask & ((1 << min(room, length) + 1) - 1)
+        if not some:
+            break
+        length = some.bit_length() - 1
+        room -= length * min(left[length], room // length)
+        length -= 1
+    return start - room
+
+
+def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int]]:
+    """Bin of each length and contents of each bin. Lengths come longest first."""
+    of, used = [], []
+    left = [0] * (capacities[-1] + 1)
+    for n in lengths:
+        left[n] += 1
+    coming = sum(1 << n for n in set(lengths))
     bins: dict[int, list[int]] = {}  # by room left
     mask = 0  # bit r: some bin has room r
     for n in lengths:
+        left[n] -= 1
+        if not left[n]:
+            coming ^= 1 << n
         fits = mask >> n
         if fits:
             r = n + (fits & -fits).bit_length() - 1
@@ -54,7 +76,7 @@ def _fit(lengths: list[int], capacities: tuple[int, ...], usual: int) -> tuple[l
             if not bins[r]:
                 mask ^= 1 << r
         else:
-            b, r = len(used), max(usual, downsized(n, capacities))
+            b, r = len(used), min((c for c in capacities if c >= n), key=lambda c: cost(c) / (n + filled(c - n, left, coming)))
             used.append(0)
         used[b] += n
         of.append(b)
@@ -64,12 +86,6 @@ def _fit(lengths: list[int], capacities: tuple[int, ...], usual: int) -> tuple[l
     return of, used
 
 
-def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int]]:
-    """Bin of each length and contents of each bin, by the opening policy of least cost. Lengths come longest first."""
-    tried = [_fit(lengths, capacities, usual) for usual in (0, *capacities)]
-    return min(tried, key=lambda x: (sum(cost(downsized(u, capacities)) for u in x[1]), len(x[1])))
-
-
 def pieces(docs: DataFrame, largest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start and length of every document's pieces, in words; native."""
     words = F.regexp_count(F.col("t"), F.lit(r"[^\x20\x09-\x0D]+")) + 1
@@ -81,10 +97,9 @@ def pieces(docs: DataFrame, largest: int, id_col: str = "doc_id", text_col: str
 
 def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, bin_id, bin_offset, bin_used, bin_capacity."""
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     capacities = tuple(sorted(capacities))
-    shards = shards or partitions(spark)
+    shards = shards or -(-docs.count() // SHARD) or 1
     cut = pieces(docs, capacities[-1], id_col, text_col)
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id", "piece"), "doc_id", "piece", "length")
 
