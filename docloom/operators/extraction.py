@@ -179,6 +179,30 @@ def agreement_state(c: Column | str, method: Column) -> Column:
     return F.when(signed, "FIRMADO").when(method.isin("OCR", "MIXTO"), "REVISAR").otherwise("PENDIENTE_FIRMA")
 
 
+# The clauses of an agreement that name what its labels may leave out.
+CLAUSES = {
+    "name": r"(?iu)(?:se[nñ]or\(a\)|se[nñ]or|colaborador(?:a)?)\s+(.+?),\s+con\s+n[uú]mero\s+de\s+c[eé]dula",
+    "training": r"(?iu)participaci[oó]n\s+de\s+(?:el|la)\s+colaborador(?:a)?\s+en\s+la\s+capacitaci[oó]n\s+(.+?),\s+con\s+el\s+objetivo",
+    "position": r"(?iu)se\s+encuentra\s+vinculad[oa]\s*(?:\(a\)\s*)?como\s+([^.,;]+?)\s+en\s+el\s+ITSQMET",
+}
+
+
+def clause(c: Column | str, kind: str) -> Column:
+    """What a clause of an agreement names, in title case; '' without the clause."""
+    return smart_case(F.regexp_extract(compact(c), CLAUSES[kind], 1))
+
+
+def cover_value(c: Column | str, label: str, stops: tuple[str, ...]) -> Column:
+    """A label's value on the cover; a title of the form is none."""
+    value = smart_case(label_value(c, label, stops))
+    return let(value, lambda v: F.when(normalize(v).rlike("acuerdo|institucional"), "").otherwise(v))
+
+
+def either(*values: Column) -> Column:
+    """The first value that is not empty; '' if all are."""
+    return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
+
+
 def agreements(readings: DataFrame) -> DataFrame:
     """Agreement fields of readings (doc_id, text, method, file_name)."""
     t = F.col("text")
@@ -189,10 +213,10 @@ def agreements(readings: DataFrame) -> DataFrame:
         "doc_id", code.alias("code"), period_of(code).alias("period"), date["iso"].alias("signed_on"), date["original"].alias("signed_text"),
         F.regexp_extract(F.lower(fold_accents(t)), r"version\s*:?\s*([0-9]+(?:\.[0-9]+)*)", 1).alias("version"),
         F.regexp_extract(F.lower(fold_accents(t)), r"(?:cedula|c\.?i\.?)[^0-9\n]{0,40}([0-9]{10,13})", 1).alias("id_number"),
-        smart_case(label_value(t, "nombre del docente", ("cedula", "carrera", "cargo"))).alias("name"),
-        smart_case(label_value(t, "carrera", ("cedula", "nombre", "cargo"))).alias("career"),
-        F.coalesce(F.nullif(label_value(t, "cargo", ("cedula", "nombre", "carrera")), F.lit("")), F.lit("Docente")).alias("position"),
-        F.regexp_replace(label_value(t, "nombre de la capacitacion", ("fecha", "cedula")), r"\.+\z", "").alias("training"),
+        either(smart_case(label_value(t, "nombre del docente", ("cedula", "carrera", "cargo"))), cover_value(t, "docente", ("carrera", "capacitacion")), clause(t, "name")).alias("name"),
+        either(smart_case(label_value(t, "carrera", ("cedula", "nombre", "cargo", "capacitacion", "elaborado", "firma")))).alias("career"),
+        either(clause(t, "position"), label_value(t, "cargo", ("cedula", "nombre", "carrera")), F.lit("Docente")).alias("position"),
+        F.regexp_replace(either(label_value(t, "nombre de la capacitacion", ("fecha", "cedula")), cover_value(t, "capacitacion", ("elaborado", "firma", "unidad")), clause(t, "training")), r"\.+\z", "").alias("training"),
         agreement_state(t, F.col("method")).alias("state"), percent.alias("percent"),
     )
 

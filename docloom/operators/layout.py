@@ -6,29 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.codes import MONTHS
 from ..functions.similarity import alias_score
-from ..functions.text import clean, fold_accents, normalize, split_list, text
+from ..functions.text import clean, let, normalize, split_list, text
 from .extraction import KIND_WORDS
 
-#: Tokens that stand for each other when activities are matched to trainings.
-ACTIVITY_ALIASES = [("ia", "inteligencia", "artificial"), ("tic", "tecnologias", "informacion"), ("bd", "bases", "datos"), ("web", "internet")]
+# Tokens that stand for each other when activities are matched to trainings.
+ACTIVITY_ALIASES = [
+    ("hacking", "ciberseguridad", "seguridad", "ethical"),
+    ("inteligencia", "artificial", "generativa", "ia"),
+    ("apa", "normas", "gamificacion"),
+    ("valores", "habilidades", "blandas", "educativos"),
+    ("fibra", "optica", "ftth", "otdr"),
+    ("programacion", "software", "codigo", "desarrollo"),
+]
 
 
 def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
-def table_score(c: Column | str) -> Column:
-    """How much a text looks like a training table: row numbers, kinds, dates, hours, words."""
-    t = F.upper(fold_accents(clean(c)))
-    kinds = "|".join(k.replace("Ó", "O") for k in KIND_WORDS)
-    return 4 * _count(t, r"(?m)^\s*[0-9]{1,2}[.)\s]") + 5 * _count(t, rf"\b(?:{kinds})\b") + 2 * _count(t, r"\b(?:DESDE|HASTA)\b") + F.least(F.lit(12), _count(t, r"\b[0-9]{1,4}\b")) + F.least(F.lit(15), F.floor(_count(t, r"\S+") / 8).cast("int"))
+def table_score(c: Column | str, n_words: Column | int | None = None) -> Column:
+    """How much a region looks like the training table: row numbers, kinds, dates and months, numbers, words (n_words: its word boxes, else the words of its text)."""
+    kinds = "|".join(k.replace("Ó", "O").lower() for k in KIND_WORDS if k != "CAPACITACIÓN")
+    words = _count(clean(c), r"\S+") if n_words is None else n_words if isinstance(n_words, Column) else F.lit(n_words)
+
+    def scored(key: Column) -> Column:
+        numbers, hours = _count(key, r"(?:\A| )[0-9]{1,2}(?= )"), _count(key, r"(?:\A| )[0-9]{1,4}(?: horas?| h)?(?= |\z)")
+        dates = _count(key, r"(?<![a-z0-9])(?:desde|hasta|" + "|".join(MONTHS) + r")(?![a-z0-9])")
+        score = numbers * 4 + _count(key, rf"(?<![a-z0-9])(?:{kinds})(?![a-z0-9])") * 5 + dates * 2 + F.least(F.lit(12), hours)
+        return F.when(key == "", 0.0).otherwise(score + F.least(F.lit(15.0), words / 8))
+
+    return let(normalize(c), scored)
 
 
 def activity_score(c: Column | str) -> Column:
-    """How much a text looks like an activity section: its length, and both of its headings."""
-    t = F.lower(fold_accents(clean(c)))
-    return F.least(F.lit(20), F.floor(F.length(t) / 30).cast("int")) + F.when(t.contains("teoric"), 8).otherwise(0) + F.when(t.contains("practic"), 8).otherwise(0)
+    """How much a region looks like an activity section: its length, and both of its headings."""
+    half = lambda key, word: F.when(key.contains(word), 8).otherwise(0)
+    return let(normalize(c), lambda key: F.when(key == "", 0.0).otherwise(F.least(F.lit(20.0), F.length(key) / 30) + half(key, "teorica") + half(key, "practica")))
 
 
 def best_pass(passes: DataFrame, keys: list[str], score: Column) -> DataFrame:

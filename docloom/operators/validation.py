@@ -151,6 +151,49 @@ def training_issues(x: Column, index: Column, as_of_year: int) -> Column:
     return F.transform(issues(rules), lambda y: y.withField("path", F.concat(F.lit("capacitaciones."), index.cast("string"), F.lit("."), y["path"])))
 
 
+# How the fields of a plan are called, and what is said of an issue by its kind.
+LABELS = {
+    "docente.nombre": "Nombre del docente", "docente.carrera": "Carrera", "docente.nivel_academico_actual": "Nivel académico actual", "docente.codigo_documento": "Código del documento", "docente.periodo_plan": "Periodo del plan",
+    "diagnostico.capacitacion_12_meses": "Capacitación realizada en los últimos 12 meses", "diagnostico.avances_aplicados": "Avances disciplinares aplicados en clases", "diagnostico.comodidad_metodologias": "Nivel de comodidad con nuevas metodologías",
+    "diagnostico.estrategias_pedagogicas": "Estrategias pedagógicas utilizadas", "diagnostico.herramientas_tecnologicas": "Herramientas tecnológicas utilizadas", "diagnostico.formacion_adicional": "Formación académica adicional necesaria",
+    "diagnostico.tipo_formacion": "Tipo de formación requerida", "capacitaciones": "Capacitaciones propuestas", "detalles_plan.actividades_teoricas": "Actividades teóricas del plan", "detalles_plan.actividades_practicas": "Actividades prácticas del plan",
+    "detalles_plan.impacto_esperado": "Impacto esperado del plan", "detalles_plan.vision_largo_plazo": "Visión a largo plazo del plan", "_consenso": "Consenso multimotor", "_plantilla": "Plantilla",
+}
+ROW_LABELS = {"nombre": "nombre", "horas": "horas", "fecha_inicio_propuesta": "fecha de inicio", "fecha_fin_propuesta": "fecha de finalización", "tipo": "tipo"}
+MESSAGES = {
+    "missing": "No se pudo confirmar: {}.", "invalid": "{} parece contener texto de otra sección.", "hours": "{} supera el límite razonable de 1000 horas.", "high": "{} es inusualmente alto; conviene verificarlo.", "order": "La fecha final es anterior a la fecha inicial.",
+    "year": "{} contiene un año sospechoso.", "kept": "{} se conservó como texto porque no pudo normalizarse automáticamente.", "period": "El periodo no coincide con el código del documento.", "format": "El periodo debe tener el formato AAAA-MM.",
+    "rows": "Los motores detectaron más filas de las que se reconstruyeron.", "none": "No se encontraron filas de capacitaciones propuestas.", "template": "La plantilla antigua no exige este campo.", "engines": "Varios motores independientes participaron en la decisión por campo.",
+}
+
+
+def label_of(path: Column) -> Column:
+    """The name of the field at a path; rows of trainings are counted from one."""
+    at, field = F.regexp_extract(path, r"\Acapacitaciones\.([0-9]+)\.", 1), F.regexp_extract(path, r"\Acapacitaciones\.[0-9]+\.(.*)\z", 1)
+    name = lambda names, c: F.element_at(F.create_map(*(F.lit(x) for item in names.items() for x in item)), c)
+    row = F.concat(F.lit("Capacitación "), (at.try_cast("int") + 1).cast("string"), F.lit(": "), name(ROW_LABELS, field))
+    return F.coalesce(F.when(at != "", row), name(LABELS, path), path)
+
+
+def message_of(issue: Column) -> Column:
+    """What is said of an issue."""
+    path, kind, category, layer = (issue[k] for k in ("path", "kind", "category", "layer"))
+    ends = lambda x: path.endswith(x)
+    key = (
+        F.when((path == "capacitaciones") & (kind == "missing"), "none").when(layer == "consenso", F.when(path == "capacitaciones", "rows").otherwise("engines")).when(layer == "plantilla", "template")
+        .when(ends("horas") & (kind == "warning"), "high").when(ends("horas") & (kind == "invalid"), "hours").when(ends("propuesta") & (layer == "cruzada"), "order").when(ends("propuesta") & (category == "contenido"), "year")
+        .when(kind == "warning", "kept").when(ends("periodo_plan") & (layer == "cruzada") & (kind == "invalid"), "period").when(ends("periodo_plan") & (kind == "invalid"), "format").otherwise(kind)
+    )
+    said = F.element_at(F.create_map(*(F.lit(x) for item in MESSAGES.items() for x in item)), key)
+    return F.replace(said, F.lit("{}"), label_of(path))
+
+
+def with_messages(rows: DataFrame) -> DataFrame:
+    """Adds messages: struct(path, severity, label, message) of every issue, and missing_fields, what is said of the errors."""
+    told = F.transform("issues", lambda x: F.struct(x["path"].alias("path"), x["severity"].alias("severity"), label_of(x["path"]).alias("label"), message_of(x).alias("message")))
+    return rows.withColumn("messages", told).withColumn("missing_fields", F.transform(F.filter("messages", lambda m: m["severity"] == ERROR), lambda m: m["message"]))
+
+
 DIAGNOSIS = {
     # The seven answers and their longest plausible lengths.
     "capacitacion_12_meses": 1200,
