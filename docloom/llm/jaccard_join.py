@@ -463,18 +463,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A row is known by its id and its text, nulls included. The row of the least id stays (null ids
     stand last; of equal ids the least hash of the text), and one of its exact repeats.
     """
-    marked = docs.withColumn("_row_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text")).alias("hash")))
-    groups = near_duplicates(marked, "_row_key").where(F.col("n_shingles") > 0)
-    keys = groups.groupBy(F.col("doc_id").alias("_key")).agg((~F.first("component_id").eqNullSafe(F.col("doc_id"))).alias("_gone"), F.count("*").alias("_rows"))
-    marks = materialize(keys.where("_gone or _rows > 1"), "marks")
-    key_of = lambda marks: marked["_row_key"].eqNullSafe(marks["_key"])
-    listed = few(marks.select("_key"))
+    row_key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text")).alias("hash"))
+    marked = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), row_key.alias("row_key"))  # no name of the input can clash
+    groups = near_duplicates(docs.select(row_key.alias("row_key"), "text"), "row_key").where(F.col("n_shingles") > 0)
+    keys = groups.groupBy(F.col("doc_id").alias("key")).agg((~F.first("component_id").eqNullSafe(F.col("doc_id"))).alias("gone"), F.count("*").alias("rows"))
+    marks = materialize(keys.where("gone or rows > 1"), "marks")
+    key_of = lambda marks: marked["row_key"].eqNullSafe(marks["key"])
+    listed = few(marks.select("key"))
     kept = marked.join(listed, key_of(listed), "left_anti")
-    again = marks.where("not _gone").select("_key")
+    again = marks.where("not gone").select("key")
     if not again.isEmpty():
         again = few(again)
-        kept = kept.union(marked.join(again, key_of(again), "left_semi").dropDuplicates(["_row_key"]))
-    return kept.drop("_row_key")
+        kept = kept.union(marked.join(again, key_of(again), "left_semi").dropDuplicates(["row_key"]))
+    return kept.select("row.*")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
