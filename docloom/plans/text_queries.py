@@ -51,24 +51,18 @@ FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.k < b
 
 
 def edit_similarity(spark, d):
-    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
-    pairs = s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_suppkey") == F.col("c_custkey") % 97))
-    return pairs.select("s_suppkey", "c_custkey", F.round(edit_ratio("s_name", F.concat_ws(" ", "c_name", "c_mktsegment")), 6).alias("ratio"))
+    """All pairs of a supplier and a customer of its nation."""
+    s = spread(table(spark, d, "supplier")).select("s_suppkey", "s_nationkey", "s_name")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("c_key"))
+    pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
+    return pairs.select("s_suppkey", "c_custkey", F.round(edit_ratio("s_name", "c_key"), 6).alias("ratio"))
 
 
 EDIT_SIMILARITY = f"""WITH n AS (SELECT s_suppkey, c_custkey, {sql_normalize('s_name')} AS a, {sql_normalize("c_name || ' ' || c_mktsegment")} AS b
-FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey = c_custkey % 97)
+FROM supplier JOIN customer ON s_nationkey = c_nationkey)
 SELECT s_suppkey, c_custkey, round({sql_edit_ratio('a', 'b')}, 6) AS ratio FROM n"""
 
 
-def edit_similarity_nations(spark, d):
-    """All pairs of a supplier and a customer of its nation, none left out; edit_similarity has a sample of them."""
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name")
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("c_key"))
-    pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
-    return pairs.select("s_suppkey", "c_custkey", F.round(edit_ratio("s_name", "c_key"), 6).alias("ratio"))
-
-
 ALIASES = [("cold", "frozen"), ("small", "tiny", "xs"), ("widget", "gadget")]
 
 
@@ -207,15 +201,12 @@ SIGNAL_SCORE = f"SELECT doc_id, ({_PHRASE_SUM})::INTEGER AS score FROM (SELECT d
 
 _HEADING = r"\b[3-8] (evaluacion(es)?|evaluaciones?|resumen|indicador(es)?|actividad(es)?|impacto|vision)\b"
 _FOREIGN = "(" + " OR ".join(f"contains(' ' || k || ' ', ' {p} ')" for p in FOREIGN_PHRASES) + f" OR regexp_matches(k, '{_HEADING}'))"
-_NOISY = "CASE doc_id % 10 WHEN 0 THEN substr(text, 1, 300) || ' Total de horas 40' WHEN 1 THEN '5. Indicadores ' || substr(text, 1, 50) WHEN 2 THEN 'UGPA-RGI1-44 ' || substr(text, 1, 90) WHEN 3 THEN '' ELSE substr(text, 1, 900) END"
-
+#: Whole texts, some with content of other parts of the form before or after them.
+_NOISY = "CASE doc_id % 10 WHEN 0 THEN text || ' Total de horas 40' WHEN 1 THEN '5. Indicadores ' || text WHEN 2 THEN 'UGPA-RGI1-44 ' || text ELSE text END"
 
-#: The same noise before or after the whole text, no text being cut or left out.
-_WHOLE = "CASE doc_id % 10 WHEN 0 THEN text || ' Total de horas 40' WHEN 1 THEN '5. Indicadores ' || text WHEN 2 THEN 'UGPA-RGI1-44 ' || text ELSE text END"
 
-
-def text_quality_query(spark, d, noisy=_NOISY):
-    rows = spread(table(spark, d, "documents")).select("doc_id", F.expr(noisy).alias("x"))
+def text_quality_query(spark, d):
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.expr(_NOISY).alias("x"))
     return rows.select("doc_id", text_quality("x").alias("quality"), value_score("x").alias("value_score"))
 
 
@@ -226,13 +217,8 @@ def _sql_text_quality(noisy: str) -> str:
 FROM (SELECT doc_id, x, {sql_clean('x')} AS c, {sql_normalize('x')} AS k FROM (SELECT doc_id, {noisy} AS x FROM documents))"""
 
 
-def text_quality_whole(spark, d):
-    """Scores of whole texts; text_quality has their first characters."""
-    return text_quality_query(spark, d, _WHOLE)
-
-
-def mixed_content(spark, d, noisy=_NOISY):
-    rows = spread(table(spark, d, "documents")).select("doc_id", F.expr(noisy).alias("x"))
+def mixed_content(spark, d):
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.expr(_NOISY).alias("x"))
     return rows.select("doc_id", has_mixed_content("x").alias("mixed"))
 
 
@@ -240,11 +226,6 @@ def _sql_mixed_content(noisy: str) -> str:
     return f"SELECT doc_id, c <> '' AND (length(c) > 700 OR {_FOREIGN}) AS mixed FROM (SELECT doc_id, {sql_clean('x')} AS c, {sql_normalize('x')} AS k FROM (SELECT doc_id, {noisy} AS x FROM documents))"
 
 
-def mixed_content_whole(spark, d):
-    """The predicate of whole texts; mixed_content has their first characters."""
-    return mixed_content(spark, d, _WHOLE)
-
-
 MARKERS = ("the", "tion", "de la", "und ", "que", "er")
 
 
@@ -262,7 +243,6 @@ QUERIES = {
     "smart_case": (smart_case_query, SMART_CASE),
     "token_overlap": (token_overlap_query, TOKEN_OVERLAP),
     "edit_similarity": (edit_similarity, EDIT_SIMILARITY),
-    "edit_similarity_nations": (edit_similarity_nations, None),
     "alias_similarity": (alias_similarity, ALIAS_SIMILARITY),
     "code_extract": (code_extract, _SQL_CODES),
     "period_extract": (period_extract, PERIOD_EXTRACT),
@@ -272,8 +252,6 @@ QUERIES = {
     "date_range_split": (date_range_split, DATE_RANGE_SPLIT),
     "signal_score": (signal_score_query, SIGNAL_SCORE),
     "text_quality": (text_quality_query, _sql_text_quality(_NOISY)),
-    "text_quality_whole": (text_quality_whole, _sql_text_quality(_WHOLE)),
     "mixed_content": (mixed_content, _sql_mixed_content(_NOISY)),
-    "mixed_content_whole": (mixed_content_whole, _sql_mixed_content(_WHOLE)),
     "assess_text": (assess_text, ASSESS_TEXT),
 }

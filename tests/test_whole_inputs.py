@@ -32,9 +32,9 @@ def test_quality_of_whole_texts(spark, tmp_path):
         score = min(24, -(-len(c) // 10)) - 80 * foreign - 35 * bool(re.search(r"\bUGPA-RGI[12]\b", c)) - 20 * ("�" in (t or ""))
         quality[i] = score if c else -1000, min(20, -(-len(c) // 8))
         mixed[i] = bool(c) and (len(c) > 700 or foreign)
-    got = catalogue.queries()["text_quality_whole"](spark, str(tmp_path)).collect()
+    got = catalogue.queries()["text_quality"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: (r["quality"], r["value_score"]) for r in got} == quality
-    got = catalogue.queries()["mixed_content_whole"](spark, str(tmp_path)).collect()
+    got = catalogue.queries()["mixed_content"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["mixed"] for r in got} == mixed
 
 
@@ -62,7 +62,7 @@ def test_edit_similarity_of_all_pairs_of_a_nation(spark):
     plain = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip()
     s, c = (pq.read_table(f"{FOLDER}/{t}.parquet").to_pylist() for t in ("supplier", "customer"))
     want = {(x["s_suppkey"], y["c_custkey"]): round(edit_ratio(plain(x["s_name"]), plain(f"{y['c_name']} {y['c_mktsegment']}")), 6) for x in s for y in c if x["s_nationkey"] == y["c_nationkey"]}
-    got = catalogue.queries()["edit_similarity_nations"](spark, FOLDER).collect()
+    got = catalogue.queries()["edit_similarity"](spark, FOLDER).collect()
     assert {(r["s_suppkey"], r["c_custkey"]): r["ratio"] for r in got} == want and len(got) == len(want)
 
 
