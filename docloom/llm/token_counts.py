@@ -30,6 +30,8 @@ from .common import table, text_or_empty, texts
 #: Entries of the broadcast table (the sketch's top k) and items that the sketch tracks.
 FREQUENT = 10_000
 TRACKED = 100_000
+#: Sketches that one task merges at most, beside those of a run.
+RUNS = 32
 #: Entries of a worker's cache; a full cache starts again from the broadcast table.
 CACHED = 600_000
 #: Longer pre-tokens are counted without being kept.
@@ -100,7 +102,10 @@ _WORKER: dict[str, Lengths] = {}
 def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text") -> dict[str, int]:
     """Token counts of the corpus's most frequent word-like pre-tokens; at most FREQUENT entries."""
     words = docs.select(F.explode(F.expr(f"regexp_extract_all({text_col}, ' ?\\\\p{{L}}+', 0)")).alias("w"))
-    top = words.agg(F.expr(f"approx_top_k(w, {FREQUENT}, {TRACKED})").alias("top")).first()["top"] or []
+    # a sketch for each run of partitions, then one of these: no task merges the sketches of all partitions
+    runs = words.groupBy((F.spark_partition_id() % RUNS).alias("run")).agg(F.expr(f"approx_top_k_accumulate(w, {TRACKED})").alias("sketch"))
+    found = runs.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {FREQUENT})").alias("top")).first()
+    top = (found["top"] if found else None) or []
     lengths = Lengths(path, {})
     return {r["item"]: lengths.encode(r["item"]) for r in top if r["item"]}
 
