@@ -31,8 +31,9 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key", "encoded")
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----\s*((?:[A-Za-z-]{1,40}:[^\r\n]*\r?\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
 _ANYHEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Fa-f])")
 _LONG = 20  # no access key, hex string or encoded candidate is shorter
 
@@ -97,30 +98,31 @@ def ssh_fields(data: bytes) -> bool:
 
 
 def is_private_key(data: bytes) -> bool:
-    """PKCS#1, PKCS#8, EC or DSA private key in DER, or an OpenSSH container."""
+    """PKCS#1, PKCS#8 (encrypted, too), EC or DSA private key in DER, or an OpenSSH container."""
     if data[:1] == b"\x30":
         top = der(data)
         if not top or len(top) != 1:
             return False
         parts = top[0][1]
         tags = [t for t, _ in parts]
+        if tags == [0x30, 0x04]:  # encrypted: its algorithm, then the bytes
+            return bool(parts[0][1]) and parts[0][1][0][0] == 0x06 and len(parts[1][1]) >= 16
         if tags[:1] != [0x02] or len(parts[0][1]) != 1:  # a version comes first
             return False
         integers = tags == [0x02] * len(tags) and len(tags) in (6, 9)
         pkcs8 = tags[:3] == [0x02, 0x30, 0x04] and bool(parts[1][1]) and parts[1][1][0][0] == 0x06
         ec = tags[:2] == [0x02, 0x04] and len(parts[1][1]) >= 16
-        encrypted = tags[:2] == [0x30, 0x04]
-        return integers or pkcs8 or ec or encrypted
+        return integers or pkcs8 or ec
     return ssh_fields(data)
 
 
-def is_signed_token(header: str, payload: str) -> bool:
-    """Both parts decode to JSON objects and the header names an algorithm."""
+def is_signed_token(header: str, payload: str, signature: str) -> bool:
+    """Both parts decode to JSON objects, the header names an algorithm that signs, and there is a signature."""
     try:
         head, body = (json.loads(unbase64(x) or b"") for x in (header, payload))
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+    return isinstance(head, dict) and isinstance(head.get("alg"), str) and head["alg"].lower() != "none" and isinstance(body, dict) and bool(unbase64(signature))
 
 
 def _encoded_kind(data: bytes | None) -> str | None:
@@ -130,7 +132,7 @@ def _encoded_kind(data: bytes | None) -> str | None:
         return "key"
     if all(32 <= b < 127 or b in (9, 10, 13) for b in data):
         inner = data.decode("ascii")
-        if base_spans(inner) or any(is_signed_token(m[1], m[2]) for m in _JWT.finditer(inner)):
+        if base_spans(inner) or any(is_signed_token(m[1], m[2], m[3]) for m in _JWT.finditer(inner)):
             return "encoded"
     return None
 
@@ -140,15 +142,18 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = unbase64(re.sub(r"\s", "", m[2]))
-            if data and (is_private_key(data) or der(data)):
+            data = unbase64(re.sub(r"\s", "", m[3]))
+            encrypted = "ENCRYPTED" in m[2] and "DEK-Info" in m[2] and data and len(data) % 8 == 0  # its bytes are no DER
+            if data and (encrypted or is_private_key(data) or der(data)):
                 out.append(("pem", m.start(), m.end()))
     if not any(len(w) >= _LONG for w in text.split()):
         return out
     if "eyJ" in text:
-        out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
+        out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2], m[3])]
     taken = [(s, e) for _, s, e in out]
     found = [(m.start(), m.end(), unbase64(m[0])) for m in _B64.finditer(text)]
+    if "\n" in text:  # one value wrapped over lines
+        found += [(m.start(), m.end(), unbase64(re.sub(r"\s", "", m[0]))) for m in _WRAPPED.finditer(text)]
     found += [(m.start(), m.end(), bytes.fromhex(m[0])) for m in _ANYHEX.finditer(text) if len(m[0]) % 2 == 0]
     for s, e, data in sorted(found, key=lambda x: x[:2]):
         if not any(a < e and s < b for a, b in taken) and (kind := _encoded_kind(data)):
