@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,39 +67,47 @@ def png_size(content) -> tuple:
 
 
 class Store:
-    """A table kept as numbered snapshots; a pointer table names the current one.
+    """A table kept as snapshots; a small table of versions names the current one.
 
-    A snapshot is complete before the pointer moves, so readers see the old or the new one. One
-    writer at a time. A store that cannot be read is an error, never an empty store.
+    Both are plain Parquet written by Spark. A snapshot is complete before its version is appended, so
+    readers see the old or the new one. Two writers at once keep files of their own: one of them
+    becomes the current one, neither overwrites the other. A store that cannot be read is an error,
+    never an empty store.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
-    def _versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pointer")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        return sorted(int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit())
+    def _version(self, wanted: int | None = None) -> tuple[int, str] | None:
+        """Number and folder of a version, the last one if none is wanted; None before the first."""
+        try:
+            known = self.spark.read.schema("version int, snapshot string").parquet(f"{self.folder}/versions")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        last = (known if wanted is None else known.where(F.col("version") == wanted)).agg(F.max(F.struct("version", "snapshot")).alias("x")).first()["x"]
+        if last is None and wanted is not None:
+            raise ValueError(f"the store has no version {wanted}")
+        return last and (last["version"], last["snapshot"])
 
     @property
     def version(self) -> int:
-        """The current snapshot; 0 before the first."""
-        return max(self._versions(), default=0)
+        """The current version; 0 before the first."""
+        return (self._version() or (0, ""))[0]
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = self.version if version is None else version
-        if not version:
+        found = self._version(version)
+        if found is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/snapshot/{version}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/snapshot/{found[1]}")
 
     def write(self, rows: DataFrame) -> int:
-        """Writes a new snapshot, then the pointer; gives its number."""
+        """Writes a new snapshot, then its version; gives the number."""
         version = self.version + 1
-        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.folder}/snapshot/{version}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pointer/{version}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, False).close()
+        name = f"{version}-{uuid.uuid4().hex}"
+        rows.select(*self.schema.fieldNames()).write.parquet(f"{self.folder}/snapshot/{name}")
+        self.spark.createDataFrame([(version, name)], "version int, snapshot string").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
         return version
 
     def clear(self) -> int:

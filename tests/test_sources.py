@@ -38,12 +38,14 @@ def test_store_versions(spark, tmp_path):
     assert [r["id"] for r in store.read().collect()] == ["b"] and [r["id"] for r in store.read(1).collect()] == ["a"]
     store.clear()
     assert store.read().count() == 0
+    with pytest.raises(ValueError):
+        store.read(9)
 
 
 def test_unreadable_store_fails(spark, tmp_path):
     store = files.Store(spark, str(tmp_path / "store"), SCHEMA)
     store.write(spark.createDataFrame([("a", 1, "h", "", False)], SCHEMA))
-    for part in (tmp_path / "store" / "snapshot" / "1").glob("*.parquet"):
+    for part in (tmp_path / "store" / "snapshot").glob("1-*/*.parquet"):
         part.write_bytes(b"junk")
     with pytest.raises(Exception):
         store.read().collect()
