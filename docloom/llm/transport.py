@@ -126,50 +126,79 @@ def multiplex(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
-def _parse_table(packet: bytes, table_id: int) -> bytes:
-    """Body of the section that a transport packet starts, after a check of its CRC."""
-    start = 5 + packet[4] if not packet[3] & 0x20 else 6 + packet[4] + packet[5 + packet[4]]
-    size = int.from_bytes(packet[start + 1 : start + 3], "big") & 0xFFF
-    section = packet[start : start + 3 + size]
-    if section[0] != table_id or crc_mpeg(section[:-4]) != int.from_bytes(section[-4:], "big"):
+def _payload(packet: bytes) -> bytes:
+    """What a transport packet carries besides its header and adaptation field."""
+    return packet[5 + packet[4] :] if packet[3] & 0x20 else packet[4:]
+
+
+def _section_body(packets: tuple[bytes, ...], table_id: int) -> bytes:
+    """Body of the first section in a PID's packets, which may run over several, after a check of its CRC."""
+    start = next((k for k, p in enumerate(packets) if p[1] & 0x40), None)
+    if start is None:
+        raise ValueError("a program table is missing")
+    data = _payload(packets[start])
+    data = data[1 + data[0] :] if data else b""
+    for p in packets[start + 1 :]:
+        if len(data) >= 3 and len(data) >= 3 + (int.from_bytes(data[1:3], "big") & 0xFFF) or p[1] & 0x40:
+            break
+        data += _payload(p)
+    section = data[: 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)]
+    if len(section) < 12 or section[0] != table_id or crc_mpeg(section[:-4]) != int.from_bytes(section[-4:], "big"):
         raise ValueError("a program table is broken")
     return section[8:-4]
 
 
 @lru_cache(64)
-def _data_stream(pat: bytes) -> int:
-    body = _parse_table(pat, 0x00)
-    return int.from_bytes(body[2:4], "big") & 0x1FFF
+def _data_stream(pat: tuple[bytes, ...]) -> int:
+    """PID of the first program's table."""
+    body = _section_body(pat, 0x00)
+    for at in range(0, len(body) - 3, 4):
+        if body[at : at + 2] != b"\0\0":  # number 0 is the network's table
+            return int.from_bytes(body[at + 2 : at + 4], "big") & 0x1FFF
+    raise ValueError("the stream has no program")
 
 
 @lru_cache(64)
-def _elementary_stream(pmt: bytes) -> tuple[int, int]:
-    body = _parse_table(pmt, 0x02)
+def _elementary_stream(pmt: tuple[bytes, ...]) -> tuple[int, int]:
+    """Type and PID of the program's first stream."""
+    body = _section_body(pmt, 0x02)
     at = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF)
+    if at + 5 > len(body):
+        raise ValueError("the program has no stream")
     return body[at], int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF
 
 
 def demultiplex(media: bytes) -> dict:
-    """payload, timestamps (90 kHz), random_access (packet numbers), continuity_errors, stream_type, pid and packets of a stream."""
+    """payload, timestamps (90 kHz), random_access (packet numbers), continuity_errors, stream_type, pid and packets of a stream.
+
+    A packet sent twice in a row counts once; a counter may jump where the packet says so.
+    """
     if not media or len(media) % PACKET:
         raise ValueError("the stream is no positive multiple of 188 bytes")
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != 0x47).any():
         raise ValueError("a packet has no sync byte")
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    first = lambda pid: packets[int(np.argmax(pids == pid))].tobytes()
+    first = lambda pid: tuple(packets[k].tobytes() for k in np.flatnonzero(pids == pid)[:8])  # noqa: E731  a section has 1,024 bytes at most
     kind, pid = _elementary_stream(first(_data_stream(first(0))))
     own = np.flatnonzero(pids == pid)
     mine = packets[own]
-    has_field, has_data = mine[:, 3] & 0x20 > 0, mine[:, 3] & 0x10 > 0
+    has_data = mine[:, 3] & 0x10 > 0
+    twice = np.concatenate(([False], has_data[1:] & has_data[:-1] & (mine[1:, 3] & 15 == mine[:-1, 3] & 15)))[: len(mine)]
+    if twice.any():
+        own, mine, has_data = own[~twice], mine[~twice], has_data[~twice]
+    has_field = mine[:, 3] & 0x20 > 0
+    jumps = has_field & (mine[:, 4] > 0) & (mine[:, 5] & 0x80 > 0)
     counters = mine[has_data, 3] & 15
-    errors = int(((counters[1:] - counters[:-1]) & 15 != 1).sum())
+    errors = int(((((counters[1:] - counters[:-1]) & 15) != 1) & ~jumps[has_data][1:]).sum())
     begin = np.where(has_field, 5 + mine[:, 4].astype(np.int32), 4)
     begin[~has_data] = PACKET
     access = has_field & (mine[:, 4] > 0) & (mine[:, 5] & 0x40 > 0)
-    size = PACKET - begin
+    size = np.maximum(PACKET - begin, 0)
     data = mine[np.arange(PACKET) >= begin[:, None]]
     at = (np.cumsum(size) - size)[mine[:, 1] & 0x40 > 0]
+    if not len(at) or at[0] or at[-1] + HEADER > len(data):
+        raise ValueError("an elementary packet is cut short")
     head = data[at[:, None] + np.arange(HEADER)].astype(np.int64)
     if (head[:, :3] != (0, 0, 1)).any() or (head[:, 7] & 0x80 == 0).any():
         raise ValueError("an elementary packet is broken")
