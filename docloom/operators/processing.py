@@ -10,15 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cleaners import answer, is_useful_plan, teacher_name, training_name
+from ..functions.cleaners import answer, diagnosis, is_useful_plan, section_text, teacher_name, training_name
 from ..functions.codes import code_candidates, period_of
 from ..functions.quality import field_quality, signal_score, text_quality
 from ..functions.text import clean, compact, js_round, normalize, smart_case, text
 from ..shared import materialize
 from . import extraction as E
 from .consensus import aligned_rows, best_text, cell_vote, code_vote, engine_weight, list_union, ranked_engines, vote
-from .linkage import canonical_match
-from .validation import DIAGNOSIS, validated_plans
+from .linkage import canonical_match, match_training
+from .validation import DIAGNOSIS, LABELS, evaluated_agreements, validated_plans
 
 # The questions of the form, as patterns on folded lower-case text.
 QUESTIONS = {
@@ -153,11 +153,12 @@ def consensus_plans(found: DataFrame, codes: DataFrame | None = None) -> DataFra
     return out
 
 
-def code_sources(readings: DataFrame) -> DataFrame:
-    """The sources of a document's code by its readings: their texts by engine, and their code regions."""
+def code_sources(readings: DataFrame, corners: DataFrame | None = None) -> DataFrame:
+    """The sources of a document's code by its readings: their texts by engine, their code regions, and the upper right corners of first pages (doc_id and text, as geometry.header_corner gives them)."""
     engine = F.when(F.col("engine") == "DIGITAL_LINEAL", "LINEAL").when(F.col("engine") == "DIGITAL_POSICIONAL", "POSICIONAL").when(F.col("engine").contains("OCR"), "OCR")
     own = readings.select("doc_id", "seq", engine.alias("source"), "text").where("source is not null")
-    return own.union(readings.where("region_text <> ''").select("doc_id", "seq", F.lit("REGION_CODIGO"), "region_text"))
+    out = own.union(readings.where("region_text <> ''").select("doc_id", "seq", F.lit("REGION_CODIGO"), "region_text"))
+    return out if corners is None else out.union(corners.select("doc_id", F.lit(1 << 20), F.lit("ESQUINA_ENCABEZADO"), "text"))
 
 
 def with_fallback(records: DataFrame) -> DataFrame:
@@ -174,9 +175,101 @@ def evaluated_plans(records: DataFrame, as_of_year: int) -> DataFrame:
     return out.withColumn("detail", F.when(other, "NO_ES_PLAN").otherwise(F.col("detail"))).withColumn("status", F.when(other, "NO_ES_PLAN").otherwise(F.col("status")))
 
 
-def processed_plans(readings: DataFrame, as_of_year: int, least: int = 80) -> DataFrame:
-    """One validated record for each document out of its readings; readings of too little text don't count. fallback: whether another engine should read the document."""
+def processed_plans(readings: DataFrame, as_of_year: int, least: int = 80, regions: DataFrame | None = None, corners: DataFrame | None = None) -> DataFrame:
+    """One validated record for each document out of its readings; readings of too little text don't count. fallback: whether another engine should read the document.
+
+    regions: as :func:`with_regions` takes them; corners: as :func:`code_sources` does.
+    """
     good = readings.where(F.length(F.trim(text("text"))) >= least).withColumn("region_text", text("region_text"))
-    found = materialize(candidates(good), "candidates")  # texts are parsed once for all the votes
-    records = materialize(consensus_plans(found, header_codes(code_sources(good))), "consensus")
+    found = candidates(good)
+    found = materialize(found if regions is None else with_regions(found, regions), "candidates")  # texts are parsed once for all the votes
+    records = materialize(consensus_plans(found, header_codes(code_sources(good, corners))), "consensus")
     return with_fallback(evaluated_plans(records, as_of_year))
+
+
+# --- what page regions add, agreements, the simple evaluation of earlier versions ---
+
+# Phrases of an agreement and what they add to the signal that a text is one.
+AGREEMENT_SIGNALS = {"acuerdo de patrocinio institucional": 3, "pro 134": 2, "el colaborador": 1, "apoyo institucional": 1, "financiamiento total del costo del curso": 1, "compromisos": 1}
+
+
+def section_activities(c: Column | str) -> Column:
+    """struct(theory, practice): the items of an activity section's two lists."""
+    bare = F.regexp_replace(text(c), r"(?imu)^\s*6\.?\s*Actividades\s*", " ")
+    theory, practice = F.regexp_extract(bare, r"(?isu)Te[oó]ricas?\s*(.*?)(?=Pr[aá]cticas?|\z)", 1), F.regexp_extract(bare, r"(?isu)Pr[aá]cticas?\s*(.*)\z", 1)
+
+    def items(part: Column) -> Column:
+        lines = F.transform(F.split(part, r"\n|(?=\s[-=•▪◦●■□◆◇▶►]\s*)"), lambda x: F.regexp_replace(compact(x), r"\A[-=•▪◦●■□◆◇▶►*\"']+\s*", ""))
+        return F.array_distinct(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"\A[0-9]+\.?\s")))
+
+    return F.struct(items(theory).alias("theory"), items(practice).alias("practice"))
+
+
+def with_regions(found: DataFrame, regions: DataFrame) -> DataFrame:
+    """Candidates with what the regions of their pages say (doc_id, code_text, rows, activities_text, impact_text, vision_text; null where a region is missing).
+
+    A code in a code region replaces that of the text; table rows replace the parsed ones if they are
+    more or fuller; activities, impact and vision replace what the text has. Diagnoses lose what ran
+    into them.
+    """
+    key = ["doc_id", "engine", "seq"]
+    out = found.join(regions, "doc_id", "left")
+    code = F.get(code_candidates("code_text"), 0)["code"]
+    rows = E.best_rows(F.transform("trainings", _as_row), F.transform(F.coalesce("rows", F.array().cast(TRAINING)), _as_row))
+    training = lambda x: F.struct(training_name(x["name"]).alias("name"), x["hours"].cast("double").alias("hours"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+    listed = section_activities("activities_text")
+    filled = lambda new, old: F.coalesce(F.nullif(new, F.lit("")), old)
+    some = lambda new, old: F.when(F.size(new) > 0, new).otherwise(old)
+    return out.select(
+        *key, *(c for c in found.columns if c not in {*key, "code", "period", "trainings", "theory", "practice", "impact", "vision", "diagnosis"}),
+        F.coalesce(code, "code").alias("code"), F.coalesce(F.nullif(period_of(code), F.lit("")), F.col("period")).alias("period"), F.transform(rows, training).cast(TRAINING).alias("trainings"),
+        some(listed["theory"], F.col("theory")).alias("theory"), some(listed["practice"], F.col("practice")).alias("practice"),
+        filled(section_text("impact_text", r"(?:7\.?\s*)?Impacto\s+esperado\s+en\s+el\s+docente"), F.col("impact")).alias("impact"), filled(section_text("vision_text", r"(?:8\.?\s*)?Visi[oó]n\s+a\s+largo\s+plazo(?:\s*\([^)]*\))?"), F.col("vision")).alias("vision"),
+        F.struct(*(diagnosis(F.col(f"diagnosis.{k}")).alias(k) for k in DIAGNOSIS)).alias("diagnosis"),
+    )
+
+
+def _as_row(t: Column) -> Column:
+    """A training as a row of a table."""
+    return F.struct(F.lit(0).alias("ordinal"), t["name"].alias("name"), F.coalesce(t["hours"], F.lit(0.0)).alias("hours"), t["start"].alias("start"), t["end"].alias("end"), t["kind"].alias("kind"))
+
+
+def shared_details(rows: DataFrame, key: str, order: Column, value: str = "value") -> DataFrame:
+    """Rows with column details: their own detail, else all distinct details of the key, in order, joined by a bar."""
+    union = list_union(rows.select(key, order.alias("ord"), F.col(value).alias("value")), [key])
+    whole = union.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), " | ").alias("all_details"))
+    own = F.when(clean(value) != "", F.col(value)).otherwise(F.coalesce("all_details", F.lit("")))
+    return rows.join(whole, key, "left").withColumn("details", own).drop("all_details")
+
+
+def processed_agreements(readings: DataFrame, options: DataFrame, least: int = 80) -> DataFrame:
+    """One evaluated agreement for each reading (doc_id, text, method, file_name) of text enough: its fields, the training option that it is linked to, issues, confidence and status.
+
+    options: as linkage.match_training takes them, and plan_id.
+    """
+    good = readings.where(F.length(F.trim(text("text"))) >= least)
+    fields = E.agreements(good).join(good.select("doc_id", signal_score("text", AGREEMENT_SIGNALS).alias("signal")), "doc_id")
+    support = E.support_flags(good, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_set("flag")).alias("support"))
+    found = materialize(fields.join(support, "doc_id", "left").withColumn("support", F.coalesce("support", F.array().cast("array<string>"))), "agreements")
+    links = match_training(found.select(F.col("doc_id").alias("record_id"), F.col("name").alias("teacher"), "training", "period"), options)
+    linked = links.join(options.select("option_id", F.col("plan_id").cast("string").alias("plan_id")), "option_id").select(F.col("record_id").alias("doc_id"), "option_id", "plan_id", js_round(F.col("score") * 100).cast("int").alias("link_confidence"))
+    out = found.join(linked, "doc_id", "left").withColumns({"linked": F.col("option_id").isNotNull(), "plan_id": F.coalesce("plan_id", F.lit("")), "percent": F.col("percent").cast("double")})
+    return evaluated_agreements(out)
+
+
+def missing_fields(plans: DataFrame) -> DataFrame:
+    """Adds missing (names of empty fields), filled (0 to 100) and state: the evaluation of earlier versions, which asks for fields to be filled only.
+
+    plans: as for validated_plans, and dedication; details count for every training.
+    """
+    head = {"Nombre del docente": "name", "Carrera": "career", "Tiempo de dedicación": "dedication", "Nivel académico actual": "level", "Código del documento": "code", "Periodo del plan": "period"}
+    empty = [F.when(compact(c) == "", F.lit(n)) for n, c in head.items()] + [F.when(compact(F.col(f"diagnosis.{k}")) == "", F.lit(LABELS[f"diagnostico.{k}"])) for k in DIAGNOSIS]
+    parts = {"nombre": lambda t: compact(t["name"]) == "", "horas": lambda t: F.coalesce(t["hours"], F.lit(0.0)) == 0, "fecha de inicio": lambda t: compact(t["start"]) == "", "fecha de finalización": lambda t: compact(t["end"]) == "", "tipo": lambda t: compact(t["kind"]) == ""}
+    shared = {"actividades teóricas": F.size("theory") <= 0, "actividades prácticas": F.size("practice") <= 0, "impacto esperado": compact("impact") == "", "visión a largo plazo": compact("vision") == ""}
+    named = lambda i, n: F.concat(F.lit("Capacitación "), (i + 1).cast("string"), F.lit(f": {n}"))
+    row = lambda t, i: F.array_compact(F.array(*(F.when(f(t), named(i, n)) for n, f in parts.items()), *(F.when(c, named(i, n)) for n, c in shared.items())))
+    none = F.size("trainings") <= 0
+    of_rows = F.when(none, F.array(F.lit(LABELS["capacitaciones"]))).otherwise(F.flatten(F.transform("trainings", row)))
+    total = F.lit(len(head) + len(DIAGNOSIS)) + F.greatest(F.lit(1), F.size("trainings") * (len(parts) + len(shared)))
+    out = plans.withColumn("missing", F.array_distinct(F.concat(F.array_compact(F.array(*empty)), of_rows)))
+    return out.withColumn("filled", js_round((total - F.size("missing")) / total * 100).cast("int")).withColumn("state", F.when(F.size("missing") > 0, "REVISAR").otherwise("COMPLETO"))

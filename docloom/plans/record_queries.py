@@ -12,6 +12,8 @@ from ..operators import validation as V
 from ..operators import views as X
 from ..operators.consensus import aligned_rows, best_text, cell_vote, engine_weight, list_union, vote
 from ..operators.linkage import canonical_match, match_training, training_options
+from ..operators.processing import shared_details as details_of
+from ..operators.processing import with_fallback
 from ..sources.files import unique_content
 from ..shared import spread
 from .common import sql_clean, sql_edit_ratio, sql_normalize, sql_overlap, sql_tokens, sql_weight, table
@@ -296,10 +298,7 @@ CROSS_FIELD_CHECK = """SELECT l_orderkey, l_linenumber, l_partkey, '20' || subst
 
 def needs_fallback_split(spark, d):
     """Plans that need another engine: no code on a modern form, fewer rows than expected, or two problems."""
-    v = _validated(spark, d)
-    errors = F.size(F.filter("issues", lambda x: x["severity"] == "error"))
-    need = ((F.col("template") == "MODERNA") & (F.col("code") == "")) | (F.col("expected_rows") > F.size("trainings")) | (errors >= 2)
-    return v.groupBy(need.alias("fallback")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return with_fallback(_validated(spark, d)).groupBy("fallback").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 NEEDS_FALLBACK_SPLIT = f"""WITH i AS ({_sql_issues()}), n AS (SELECT id, count(*) FILTER (severity = 'error') AS e FROM i GROUP BY id)
@@ -368,9 +367,7 @@ SUPPORT_LABELS = """SELECT c_custkey AS id, array_to_string(list_filter([CASE WH
 def shared_details(spark, d):
     """Details of an order's rows pulled together and pushed into the rows that lack them."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("Detalle "), (F.col("l_partkey") % 10).cast("string"))).otherwise("").alias("value"))
-    union = list_union(li.select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"), "value"), ["l_orderkey"])
-    whole = union.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), " | ").alias("details"))
-    return li.join(whole, "l_orderkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("value") != "", F.col("value")).otherwise(F.coalesce("details", F.lit(""))).alias("details"))
+    return details_of(li, "l_orderkey", F.col("l_linenumber") * 1000000 + F.col("l_partkey")).drop("value")
 
 
 SHARED_DETAILS = """WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN 'Detalle ' || (l_partkey % 10) ELSE '' END AS value FROM lineitem),

@@ -137,3 +137,30 @@ def test_fold_by_records(spark):
     rows = [("a", 0, "", "", "", "Luz Mora", "Derecho", ["redes"], False), ("b", 1, "", "", "", "Luz Mora", "Derecho", ["redes"], False), ("c", 2, "h", "", "", "Otra", "x", [], False), ("d", 3, "h", "", "", "Nadie", "y", [], False)]
     out = records.consolidated_all(spark.createDataFrame(rows, "id string, seq int, hash string, code string, period string, name string, career string, trainings array<string>, alias boolean"))
     assert {r["id"]: r["kept_id"] for r in out.collect()} == {"a": "a", "b": "a", "c": "c", "d": "c"}
+
+
+def test_regions_add_to_candidates(spark):
+    readings = spark.createDataFrame([(1, "DIGITAL_POSICIONAL", 0, FORM, "a.pdf", "")], "doc_id long, engine string, seq int, text string, file_name string, region_text string")
+    rows = [("Redes", 40.0, "a", "b", "Taller"), ("Salud", 30.0, "a", "b", "Curso"), ("Otra", 20.0, "a", "b", "Curso")]
+    regions = spark.createDataFrame([(1, "UGPA-RGI2-07-PRO-251-2024-11", rows, "6. Actividades\nTeóricas\n- ver\n- oír\nPrácticas\n- armar", "7. Impacto esperado en el docente: crecer", None)], f"doc_id long, code_text string, rows {processing.TRAINING}, activities_text string, impact_text string, vision_text string")
+    out = processing.with_regions(processing.candidates(readings), regions).first()
+    assert (out["code"], out["period"], out["theory"], out["practice"], out["impact"], out["vision"]) == ("UGPA-RGI2-07-PRO-251-2024-11", "2024-11", ["ver", "oír"], ["armar"], "crecer", "Ser mejor")
+    assert [t["name"] for t in out["trainings"]] == ["Redes", "Salud", "Otra"] and out["diagnosis"]["capacitacion_12_meses"] == "Primeros auxilios"
+    plain = processing.with_regions(processing.candidates(readings), regions.limit(0)).first()
+    assert plain["code"] == "UGPA-RGI1-44-PRO-251-2025-12" and len(plain["trainings"]) == 2
+
+
+def test_processed_agreements(spark):
+    text = "ACUERDO DE PATROCINIO INSTITUCIONAL\nCódigo: CGC-RGI2-3-PRO-134-2024-11\nNombre del docente: Luz Mora Vega\nCarrera: Derecho\nNombre de la capacitación: Redes avanzadas\nFinanciamiento total X\nEn Quito, a los 2 días del mes de noviembre de 2024. Firmado electrónicamente."
+    readings = spark.createDataFrame([(1, text, "DIGITAL", "a.pdf"), (2, "corto", "OCR", "b.pdf")], "doc_id long, text string, method string, file_name string")
+    options = spark.createDataFrame([("p:cap-0", 7, 0, "Luz Mora Vega", "Redes avanzadas", "2024-11"), ("q:cap-0", 8, 1, "Otra Persona", "Redes", "2024-11")], "option_id string, plan_id long, ordinal int, teacher string, training string, period string")
+    out = processing.processed_agreements(readings, options).collect()
+    assert [(r["doc_id"], r["option_id"], r["plan_id"], r["linked"], r["link_confidence"], r["support"], r["state"], r["signal"]) for r in out] == [(1, "p:cap-0", "7", True, 100, ["total"], "FIRMADO", 5)]
+    assert {i["path"] for i in out[0]["issues"]} == {"docente.cedula"}
+
+
+def test_missing_fields(spark):
+    rows = spark.createDataFrame([plan("a", 0, level="x", code="c", period="p", theory=["a"], practice=["b"], impact="i", vision="v", diagnosis=tuple("abcdefg")), plan("b", 1, trainings=[])], PLAN).selectExpr("*", "'Tiempo Completo' AS dedication")
+    out = {r["id"]: r for r in processing.missing_fields(rows).collect()}
+    assert out["a"]["missing"] == ["Capacitación 1: fecha de finalización"] and (out["a"]["filled"], out["a"]["state"]) == (95, "REVISAR")
+    assert len(out["b"]["missing"]) == 11 and out["b"]["missing"][-1] == "Capacitaciones propuestas"
