@@ -204,6 +204,45 @@ SELECT c_custkey AS doc_id, CASE WHEN form THEN trim(c_name) ELSE '' END AS name
  CASE WHEN form THEN 'MODERNA' ELSE 'DESCONOCIDA' END AS template, CASE WHEN form THEN 'Aula ' || c_mktsegment ELSE '' END AS tools, CASE WHEN form THEN 2 ELSE 0 END::INTEGER AS n_trainings, CASE WHEN form THEN c_custkey % 40 + 1 ELSE 0 END::INTEGER AS hours, CASE WHEN form THEN 'hacer' ELSE '' END AS practice, CASE WHEN form THEN 'Ser mejor' ELSE '' END AS vision,
  CASE WHEN form THEN 'REVISAR' ELSE 'NO_ES_PLAN' END AS status, CASE WHEN form THEN 'REVISAR_LECTURA' ELSE 'NO_ES_PLAN' END AS detail, true AS fallback FROM c"""
 
+# --- agreements end to end, and what earlier versions ask for ---
+
+
+def _agreement_readings(spark, d):
+    """An agreement of every customer; some name their fields in clauses only, some are too short."""
+    k = F.col("c_custkey")
+    date = F.expr("concat('a los ', cast(c_custkey % 28 + 1 as string), ' días del mes de noviembre de 2024')")
+    code = F.expr("concat('CGC-RGI2-', cast(c_custkey % 90 + 1 as string), '-PRO-134-2024-11')")
+    labels = F.concat(F.lit("\nNombre del docente: "), F.col("c_name"), F.lit("\nCarrera: Derecho\nNombre de la capacitación: Curso de "), F.col("c_mktsegment"), F.lit("\n"))
+    clauses = F.concat(F.lit("\nEl señor "), F.col("c_name"), F.lit(", con número de cédula 0102030405, solicita la participación de el colaborador en la capacitación Curso de "), F.col("c_mktsegment"), F.lit(", con el objetivo de mejorar.\n"))
+    text = F.concat(F.lit("ACUERDO DE PATROCINIO INSTITUCIONAL\nCódigo: "), code, F.when(k % 2 == 0, labels).otherwise(clauses), F.when(k % 3 == 0, "Financiamiento total X\n").otherwise("Financiamiento total\n"), F.lit("En Quito, "), date, F.when(k % 5 == 0, ". Firmado electrónicamente.").otherwise("."))
+    return spread(table(spark, d, "customer")).select(k.alias("doc_id"), F.when(k % 11 == 0, F.substring(text, 1, 60)).otherwise(text).alias("text"), F.lit("DIGITAL").alias("method"), F.lit("a.pdf").alias("file_name"))
+
+
+def process_agreements(spark, d):
+    options = table(spark, d, "customer").where("c_custkey % 4 <> 3").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string"), F.lit(":cap-0")).alias("option_id"), F.col("c_custkey").alias("plan_id"), F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("teacher"), F.concat(F.lit("Curso de "), F.col("c_mktsegment")).alias("training"), F.lit("2024-11").alias("period"))
+    out = P.processed_agreements(_agreement_readings(spark, d), options)
+    return out.select("doc_id", "code", "period", "signed_on", F.lower("name").alias("name"), F.lower("training").alias("training"), "state", "signal", F.array_join("support", ",").alias("support"), "plan_id", "linked", F.size("issues").alias("n_issues"))
+
+
+PROCESS_AGREEMENTS = """SELECT c_custkey AS doc_id, 'CGC-RGI2-' || (c_custkey % 90 + 1) || '-PRO-134-2024-11' AS code, '2024-11' AS period, '2024-11-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') AS signed_on, lower(c_name) AS name, lower('Curso de ' || c_mktsegment) AS training,
+ CASE WHEN c_custkey % 5 = 0 THEN 'FIRMADO' ELSE 'PENDIENTE_FIRMA' END AS state, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 6 END AS signal, CASE WHEN c_custkey % 3 = 0 THEN 'total' ELSE '' END AS support, CASE WHEN c_custkey % 4 <> 3 THEN c_custkey::VARCHAR ELSE '' END AS plan_id, c_custkey % 4 <> 3 AS linked,
+ (CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 1 END + CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN c_custkey % 4 = 3 THEN 2 ELSE 0 END)::INTEGER AS n_issues FROM customer WHERE c_custkey % 11 <> 0"""
+
+
+def missing_fields(spark, d):
+    k = F.col("o_orderkey")
+    row = F.struct(F.lit("Redes").alias("name"), F.when(k % 3 == 0, 0.0).otherwise(40.0).alias("hours"), F.lit("a").alias("start"), F.when(k % 5 == 0, "").otherwise("b").alias("end"), F.lit("Taller").alias("kind"))
+    plans = spread(table(spark, d, "orders")).select(
+        k.alias("id"), F.when(k % 7 == 0, " ").otherwise("n").alias("name"), F.lit("c").alias("career"), F.lit("d").alias("dedication"), F.lit("l").alias("level"), F.when(k % 2 == 0, "x").otherwise("").alias("code"), F.when(k % 2 == 0, "p").alias("period"),
+        F.struct(*(F.when(k % 13 == 0, F.lit("")).otherwise("r").alias(q) for q in DIAGNOSIS)).alias("diagnosis"), F.slice(F.array(row, row), F.lit(1), (k % 3).cast("int")).alias("trainings"), F.array(F.lit("leer")).alias("theory"), F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("hacer"))).alias("practice"), F.lit("i").alias("impact"), F.lit("v").alias("vision"),
+    )
+    return P.missing_fields(plans).select("id", F.size("missing").alias("n_missing"), "filled", "state")
+
+
+MISSING_FIELDS = """WITH m AS (SELECT o_orderkey AS id, o_orderkey % 3 AS n, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 2 END + CASE WHEN o_orderkey % 13 = 0 THEN 7 ELSE 0 END
+ + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE (o_orderkey % 3) * (CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) END AS missing FROM orders)
+SELECT id, missing::INTEGER AS n_missing, floor((13 + greatest(1, n * 9) - missing)::DOUBLE / (13 + greatest(1, n * 9)) * 100 + 0.5)::INTEGER AS filled, CASE WHEN missing > 0 THEN 'REVISAR' ELSE 'COMPLETO' END AS state FROM m"""
+
 QUERIES = {
     "field_cleaners": (field_cleaners, FIELD_CLEANERS),
     "code_misread": (code_misread, CODE_MISREAD),
@@ -216,4 +255,6 @@ QUERIES = {
     "tsv_words": (tsv_words, TSV_WORDS),
     "row_anchors": (row_anchors, ROW_ANCHORS),
     "process_plans": (process_plans, PROCESS_PLANS),
+    "process_agreements": (process_agreements, PROCESS_AGREEMENTS),
+    "missing_fields": (missing_fields, MISSING_FIELDS),
 }
