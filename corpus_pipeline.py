@@ -1,7 +1,11 @@
 """A training-data pipeline over ``documents``: five stages, each a DataFrame in and a DataFrame out.
 
 Each stage's result is written as Parquet in the shared folder and read again by the next. All stages
-but the last keep the columns of ``documents``.
+but the last keep the columns of ``documents``, further ones included, whatever their names.
+
+Null and empty texts, and texts without a letter, are no language and go in the first stage. A null id
+is an id like others; rows are known by id and text, so of repeated rows one stays. Empty tables give
+empty results.
 """
 
 from __future__ import annotations

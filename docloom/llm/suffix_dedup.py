@@ -163,7 +163,23 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows by their least gram, as rows (route, h, tkey, place, first, last).
+
+    A gram seen at several places here repeats: its rows are dealt by text, not by gram, and one row
+    without a place tells the other tasks. So a gram that is everywhere does not meet in one task.
+    """
     seen = set()  # a task gives each text once
+    names = ["route", "h", "tkey", "place", "first", "last"]
+
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        h, *rest = (np.concatenate(c) for c in zip(*rows))
+        kinds, at, times = np.unique(h, return_inverse=True, return_counts=True)
+        again = kinds[times > 1]
+        route = np.where(times[at] > 1, mix(rest[0].view(np.uint64)).view(np.int64), h)
+        none = np.zeros(len(again), np.int64)
+        told = (again, again, none, none - 1, none, none)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip((route, h, *rest), told)], names=names)
+
     for batch in batches:
         rows = []
         for key, text in zip(batch.column("tkey").to_pylist(), batch.column("text").to_pylist()):
@@ -173,17 +189,22 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, place, first, last = anchors(np.frombuffer(text.encode(), np.uint8))
             rows.append((h.view(np.int64), np.full(len(h), key, np.int64), place, first, last))
             if sum(len(r[0]) for r in rows) > 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["h", "tkey", "place", "first", "last"])
+                yield given(rows)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["h", "tkey", "place", "first", "last"])
+            yield given(rows)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h, tkey, place those whose h has several (tkey, place)."""
-    kept, given = None, False  # the last row, and whether it was given out
+    """Of rows sorted by route, h, tkey, place those whose h has several (tkey, place), or is known to."""
+    kept, given = None, False  # the last row that is not known to repeat, and whether it was given out
+    out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c) for c in rows[1:, rows[2] >= 0]], names=["tkey", "place", "first", "last"])
     for batch in batches:
         rows = np.stack([np.asarray(c) for c in batch.columns])
+        known = rows[0] != rows[1]
+        if known.any():
+            yield out(rows[1:, known])
+        rows = rows[1:, ~known]
         old = 0 if kept is None else 1
         if old:
             rows = np.concatenate([kept, rows], axis=1)
@@ -198,7 +219,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many[0] = False
         kept, given = rows[:, -1:].copy(), last
         if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[1:, many]], names=["tkey", "place", "first", "last"])
+            yield out(rows[:, many])
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,8 +379,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """(tkey, start, end): maximal runs of bytes to remove from each distinct text; texts: columns tkey and text."""
     n = partitions(texts.sparkSession)
     long = texts.where(F.octet_length("text") >= LENGTH)
-    grams = long.mapInArrow(_anchored, "h long, tkey long, place long, first long, last long")
-    active = materialize(grams.repartition(n, "h").sortWithinPartitions("h", "tkey", "place").mapInArrow(_repeated, "tkey long, place long, first long, last long"), "grams")
+    grams = long.mapInArrow(_anchored, "route long, h long, tkey long, place long, first long, last long")
+    active = materialize(grams.repartition(n, "route").sortWithinPartitions("route", "h", "tkey", "place").mapInArrow(_repeated, "tkey long, place long, first long, last long"), "grams")
     keys = few(materialize(active.select("tkey").distinct(), "keys"))
     wanted = long.join(keys, "tkey", "left_semi").mapInArrow(_once, "tkey long, text string")
     by_text = active.groupBy("tkey").agg(F.collect_list(F.struct("place", "first", "last")).alias("grams"))

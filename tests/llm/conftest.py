@@ -1,13 +1,7 @@
 import random
 
 import pytest
-
-WORDS = "casa perro gato luna sol mar río monte piedra árbol the of and house river stone der und das Haus Stein le la maison pierre".split()
-
-
-def text(rng, n):
-    return " ".join(rng.choice(WORDS) + rng.choice(["", ",", ".", "s"]) for _ in range(n))
-
+from llm_samples import text
 
 @pytest.fixture(scope="session")
 def corpus():

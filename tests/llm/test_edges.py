@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from docloom.llm import queries
 
-from conftest import text
+from llm_samples import text
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PAGES = "page_id long, url string, html string"

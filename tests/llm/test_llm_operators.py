@@ -182,9 +182,9 @@ def test_suffix_dedup_across_segments(size, monkeypatch):
     listed = lambda batches: [tuple(r.values()) for b in batches for r in b.to_pylist()]
     keyed = [{"tkey": k, "text": t} for k, t in enumerate(texts)]
     anchored = listed(suffix_dedup._anchored([pa.RecordBatch.from_pylist(keyed)]))
-    assert len({r[:3] for r in anchored}) == len(anchored)
+    assert len({r[1:4] for r in anchored}) == len(anchored)
     grams = defaultdict(list)
-    for k, place, first, last in listed(suffix_dedup._repeated([table(anchored, ["h", "tkey", "place", "first", "last"])])):
+    for k, place, first, last in listed(suffix_dedup._repeated([table(anchored, ["route", "h", "tkey", "place", "first", "last"])])):
         grams[k].append({"place": place, "first": first, "last": last})
     blocks = listed(suffix_dedup._blocks([pa.RecordBatch.from_pylist([r | {"grams": grams[r["tkey"]]} for r in keyed])]))
     ranges = listed(suffix_dedup._matched([table(blocks, ["core", "whole", "tkey", "at", "left", "right"])]))
