@@ -183,7 +183,7 @@ def agreement_state(c: Column | str, method: Column) -> Column:
 CLAUSES = {
     "name": r"(?iu)(?:se[nñ]or\(a\)|se[nñ]or|colaborador(?:a)?)\s+(.+?),\s+con\s+n[uú]mero\s+de\s+c[eé]dula",
     "training": r"(?iu)participaci[oó]n\s+de\s+(?:el|la)\s+colaborador(?:a)?\s+en\s+la\s+capacitaci[oó]n\s+(.+?),\s+con\s+el\s+objetivo",
-    "position": r"(?iu)se\s+encuentra\s+vinculad[oa]\s*(?:\(a\)\s*)?como\s+([^.,;]+?)\s+en\s+el\s+ITSQMET",
+    "position": r"(?iu)se\s+encuentra\s+vinculad[oa]\s*(?:\(a\)\s*)?como\s+([^.,;]+?)\s+en\s+el\s+\S",
 }
 
 

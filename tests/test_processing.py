@@ -118,7 +118,7 @@ def test_improved_plans(spark):
 
 
 def test_agreement_clauses(spark):
-    text = "ACUERDO\nEl señor Luz Mora, con número de cédula 0102030405, se encuentra vinculado (a) como coordinadora académica en el ITSQMET. La participación de la colaboradora en la capacitación Redes avanzadas, con el objetivo de mejorar."
+    text = "ACUERDO\nEl señor Luz Mora, con número de cédula 0102030405, se encuentra vinculado (a) como coordinadora académica en el Instituto. La participación de la colaboradora en la capacitación Redes avanzadas, con el objetivo de mejorar."
     out = extraction.agreements(spark.createDataFrame([(1, text, "DIGITAL", "x.pdf")], "doc_id int, text string, method string, file_name string")).first()
     assert (out["name"], out["position"], out["training"], out["id_number"]) == ("Luz Mora", "coordinadora académica", "Redes avanzadas", "0102030405")
 
