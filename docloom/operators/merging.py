@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaners import is_alias_file, is_true, teacher_name, training_name
+from ..functions.cleaners import is_alias_file, is_true, is_useful_plan, teacher_name, training_name
 from ..functions.codes import is_plan_code, period_of
 from ..functions.quality import text_quality, value_score
 from ..functions.text import clean, normalize, text
 from .groups import per_group
 from .linkage import canonical_match
-from .processing import CAREERS, TRAINING
+from .processing import CAREERS, TRAINING, evaluated_plans
 from .records import consolidated_all, edit_ratio
 from .validation import DIAGNOSIS
 
@@ -176,3 +176,12 @@ def corrected_agreements(store: DataFrame, edits: DataFrame, options: DataFrame)
     out = store.join(new, "id", "left")
     fields = ("code", "period", "option_id", "plan_id", "training", "linked", "total", "partial", "percent", "manual")
     return out.select("id", *(F.when(F.col("edited"), F.col(f"n_{k}")).otherwise(F.col(k)).alias(k) for k in fields))
+
+
+def stored_plans(records: DataFrame, as_of_year: int) -> DataFrame:
+    """The records of a store merged and evaluated as they stand: issues, confidence, status and detail; what holds neither a plan's data nor a correction by hand is NO_ES_PLAN."""
+    out = merged_plans(records)
+    useful = is_useful_plan(F.col("name"), F.col("career"), F.array(*(F.col(f"diagnosis.{k}") for k in DIAGNOSIS)), F.col("trainings"))
+    code = is_plan_code("code")
+    about = {"template": F.when(code, "MODERNA").otherwise("DESCONOCIDA"), "expected_rows": F.size("trainings"), "engines": F.lit(1), "signal": F.lit(0), "useful": useful | F.col("manual")}
+    return evaluated_plans(out.withColumns(about), as_of_year)

@@ -164,3 +164,9 @@ def test_missing_fields(spark):
     out = {r["id"]: r for r in processing.missing_fields(rows).collect()}
     assert out["a"]["missing"] == ["Capacitación 1: fecha de finalización"] and (out["a"]["filled"], out["a"]["state"]) == (95, "REVISAR")
     assert len(out["b"]["missing"]) == 11 and out["b"]["missing"][-1] == "Capacitaciones propuestas"
+
+
+def test_stored_plans(spark):
+    rows = [plan("a", 0, level="x", code="UGPA-RGI1-44-PRO-251-2025-12", period="2025-12", theory=["a"], practice=["b"], impact="i", vision="v", diagnosis=tuple("abcdefg"), trainings=[("Redes", 40.0, "enero de 2025", "mayo de 2025", "Taller")]), plan("b", 1, name="Otro Docente", career="", trainings=[]), plan("c", 2, name="Tercera Persona", career="", manual=True, trainings=[])]
+    out = {r["id"]: r for r in merging.stored_plans(spark.createDataFrame(rows, PLAN), 2026).collect()}
+    assert {k: r["status"] for k, r in out.items()} == {"a": "COMPLETO", "b": "NO_ES_PLAN", "c": "REVISAR"} and out["a"]["confidence"] == 100
