@@ -108,7 +108,7 @@ def search(docs: DataFrame, items: DataFrame, literal: int = LITERAL, id_col: st
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of docs that contain no item; columns as given. A row is known by its id and its text, nulls included."""
     key = F.struct(F.col("doc_id"), F.xxhash64(F.col("text")))
-    found = search(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("found")).distinct()
+    found = few(materialize(search(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("found")).distinct(), "found"))
     marked = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), key.alias("key"))
     return marked.join(found, F.col("key").eqNullSafe(F.col("found")), "left_anti").select("row.*")
 
