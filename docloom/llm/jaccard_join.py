@@ -50,7 +50,9 @@ TRIES = (1, 8, 64, None)
 #: Members of a list that its name is made of; longer lists are named by their key.
 NAMED = 1 << 20
 #: Pairs compared at once in a task.
-COMPARED = 1 << 18
+COMPARED = 1 << 17
+#: Bytes of signatures taken up at once.
+SLICE = 1 << 21
 #: Signature bits for each shingle, about; and the least number of bits.
 SIGNATURE_BITS, LEAST_BITS = 2, 256
 #: Cost of a candidate against that of a key.
@@ -110,7 +112,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         held += sets
         count += sum(map(len, sets))
-        if count > 1 << 21:
+        if count > 1 << 20:
             yield repeats()
             count = 0
     if count:
@@ -220,9 +222,11 @@ def _differences(signatures: list[bytes], left: np.ndarray, right: np.ndarray) -
     for w in np.unique(least).tolist():
         for x, y in ((w, w), (w, 2 * w), (2 * w, w)):
             pairs = np.flatnonzero((least == w) & (size[left] == x) & (size[right] == y))
-            if len(pairs):
-                both = (full[w] if x == w else half[w])[place[left[pairs]]] ^ (full[w] if y == w else half[w])[place[right[pairs]]]
-                out[pairs] = np.bitwise_count(both).sum(axis=1)
+            step = max(1, SLICE // w)  # long sets have long signatures
+            for at in range(0, len(pairs), step):
+                some = pairs[at : at + step]
+                both = (full[w] if x == w else half[w])[place[left[some]]] ^ (full[w] if y == w else half[w])[place[right[some]]]
+                out[some] = np.bitwise_count(both).sum(axis=1)
     return out
 
 
