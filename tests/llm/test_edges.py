@@ -14,6 +14,8 @@ from llm_samples import text
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PAGES = "page_id long, url string, html string"
 ITEMS = "item_id long, text string"
+LABELS = "doc_id long, quality int, toxic int"
+VECTORS = "vec_id long, embedding array<float>, label int"
 #: Names that the operators use inside.
 CLASHING = ("row", "row_key", "_row_key", "key", "node", "n", "a", "b", "h", "hits", "base_spans", "spans", "copies", "score", "label", "tkey", "list", "comp", "path", "shard")
 
@@ -28,8 +30,9 @@ def odd():
     return [(i, t, rng.choice(["es", "en", None]), "s", 0) for i, t in rows] + [(20 + k, text(rng, 60), "es", "s", 0) for k in range(20)]
 
 
-def run(spark, folder, name, docs, pages, items):
-    sf = folder(documents=docs, pages=pages, benchmark=items)
+def run(spark, folder, name, docs, pages, items, labels=None, vectors=None):
+    labels, vectors = (x if x is not None else spark.createDataFrame([], s) for x, s in ((labels, LABELS), (vectors, VECTORS)))
+    sf = folder(documents=docs, pages=pages, benchmark=items, labels=labels, embeddings=vectors)
     f = {**queries.queries(), "pipeline": corpus_pipeline.run}[name]
     return f(spark, sf).collect()
 
@@ -47,16 +50,21 @@ def test_odd_rows(spark, folder, odd, name):
     docs = spark.createDataFrame(odd, DOCS)
     pages = spark.createDataFrame([(1, "http://a.org/x", "<p>a</p>"), (1, "http://a.org/x", "<p>a</p>"), (None, None, None), (None, "x", ""), (2, "http://b.com/de/" + "y" * 5000, "b " * 600_000)], PAGES)
     items = spark.createDataFrame([(1, odd[4][1]), (1, odd[4][1]), (None, "uno dos"), (2, None), (3, "")], ITEMS)
-    plain = run(spark, folder, name, docs, pages, items)
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 30)] + [(4, 1, 0), (4, 1, 0), (None, 1, 1), (5, None, None), (999, 0, 1)], LABELS)
+    vectors = [[float(i % 7), -0.5, 1e-3 * i] for i in range(90)] + [None, [], [1.0, None, 2.0], [float("nan"), 0.0, 0.0], [float("inf"), 0.0, 0.0], [1.0], [1e30, 0.0, 0.0]]
+    vectors = spark.createDataFrame([(None if i == 3 else i // 2, v, None if i % 5 else i % 2) for i, v in enumerate(vectors)], VECTORS)
+    plain = run(spark, folder, name, docs, pages, items, labels, vectors)
     for c in CLASHING:
-        docs, pages, items = (x.selectExpr("*", f"'clash' AS {c}") for x in (docs, pages, items))
-    clash = run(spark, folder, name, docs, pages, items)
+        docs, pages, items, labels, vectors = (x if c in x.columns else x.selectExpr("*", f"'clash' AS {c}") for x in (docs, pages, items, labels, vectors))
+    clash = run(spark, folder, name, docs, pages, items, labels, vectors)
     key = lambda rows: sorted(repr(r) for r in rows)
     assert len(plain) == len(clash)
     if name not in ("pipeline", "op8_best_fit_packing"):  # those place rows by what else there is
         assert key(plain) == key(clash)
-    if name.startswith(("op2", "op3", "op4", "op5", "op6", "op7", "op9")):
+    if name.startswith(("op2", "op3", "op4", "op5", "op6", "op7", "op9", "op11")):
         assert sorted(repr(r["doc_id"]) for r in plain) == sorted(repr(i) for i, *_ in odd)
+    if name.startswith("op13"):
+        assert len(plain) == 90
     if name.startswith("op10"):
         assert sorted(repr(r["page_id"]) for r in plain) == ["1", "1", "2", "None", "None"]
 
