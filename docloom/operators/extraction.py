@@ -163,11 +163,21 @@ def marked(c: Column | str) -> Column:
     return text(c).rlike(r"(?iu)(?:\A|[\s(\[:])(?:x|✓|✔|☑|☒|■|s[ií])(?:\z|[\s)\].,;])")
 
 
+# The title of a plan's cover, which is modern unless a colon follows it (legacy forms go on with the teacher's name); how far apart its two parts and how far down it may stand; the label of a code.
+TITLE = r"(?iu)PLAN\s+INDIVIDUAL[\s\S]{0,180}?CAPACITACI[ÓO]N\s+DOCENTE"
+COVER = 2400
+CODE_LABEL = r"(?iu)(?<![A-Za-z0-9_])c[oó]digo\s*:"
+
+
 def template_of(c: Column | str, code: Column) -> Column:
-    """MODERNA with a code, its label or the modern title near the top; ANTIGUA with the legacy cover; else DESCONOCIDA."""
-    top = normalize(F.substring(text(c), 1, 2400))
-    modern = (code != "") | F.contains(top, F.lit("codigo del documento")) | F.contains(top, F.lit("plan individual de capacitacion docente"))
-    return F.when(modern, "MODERNA").when(F.contains(top, F.lit("plan de capacitacion")) & F.contains(top, F.lit("periodo academico")), "ANTIGUA").otherwise("DESCONOCIDA")
+    """MODERNA with a code (one found in the text or in the header's corner), the word for it anywhere, or the modern title on the cover; ANTIGUA with the legacy title there; else DESCONOCIDA."""
+
+    def decided(t: Column) -> Column:
+        cover = F.substring(t, 1, COVER)
+        labelled = F.concat(F.lit(" "), normalize(t), F.lit(" ")).contains(" codigo ") | t.rlike(CODE_LABEL)
+        return F.when((code != "") | labelled | cover.rlike(TITLE + r"(?!\s*:)"), "MODERNA").when(cover.rlike(TITLE + r"\s*:"), "ANTIGUA").otherwise("DESCONOCIDA")
+
+    return let(clean(c), decided)
 
 
 def agreement_state(c: Column | str, method: Column) -> Column:
@@ -227,7 +237,7 @@ def plans(readings: DataFrame, *more: str) -> DataFrame:
     code = F.coalesce(F.nullif(plan_code(t), F.lit("")), F.nullif(plan_code("file_name"), F.lit("")), F.lit(""))
     rows = section(t, r"4\.?\s*resumen", (r"5\.?\s*indicador", r"6\.?\s*actividad"))
     return readings.select(
-        "doc_id", *more, code.alias("code"), period_of(code).alias("period"), template_of(t, code).alias("template"),
+        "doc_id", *more, code.alias("code"), period_of(code).alias("period"), template_of(t, plan_code(t)).alias("template"),
         smart_case(label_value(t, "nombre del docente", ("carrera", "tiempo", "nivel"))).alias("name"),
         smart_case(label_value(t, "carrera", ("tiempo", "nivel", "nombre"))).alias("career"),
         label_value(t, "nivel academico actual", ("nombre", "carrera")).alias("level"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..functions.text import CONNECTORS, DASHES
 from ..operators.consensus import ENGINE_WEIGHTS, OTHER_ENGINE
@@ -12,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every order: l_orderkey, l_linenumber (counted within the order, as the column repeats numbers) and p, the part."""
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", number.alias("l_linenumber"), F.col("l_partkey").alias("p"))
+
+
+ORDER_LINES = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::INTEGER AS l_linenumber, l_partkey AS p FROM lineitem"
+
+
 def sql_normalize(x: str) -> str:
     return f"trim(regexp_replace(lower(strip_accents(coalesce({x}, ''))), '[^a-z0-9]+', ' ', 'g'))"
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.codes import plan_code
 from ..operators import extraction as E
 from ..operators import geometry as G
 from ..shared import spread
-from .common import sql_normalize, table
+from .common import ORDER_LINES, order_lines, sql_clean, sql_normalize, table
 
 
 def line_explode(spark, d):
@@ -20,13 +21,13 @@ SELECT doc_id, len(l) AS n, list_sum(list_transform(l, lambda x: length(x)))::BI
 
 
 def block_sessionize(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    li = order_lines(spark, d)
     title = F.expr("CASE WHEN p % 4 = 0 THEN 'sin numero ' || p ELSE l_linenumber || '. curso ' || p END")
     more = F.concat(F.lit("sigue "), F.col("p").cast("string"))
     return E.blocks(li.select("l_orderkey", F.inline(F.array(F.struct((F.col("l_linenumber") * 2).alias("pos"), title.alias("line")), F.struct((F.col("l_linenumber") * 2 + 1).alias("pos"), more.alias("line"))))), "l_orderkey")
 
 
-BLOCK_SESSIONIZE = """WITH g AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+BLOCK_SESSIONIZE = f"""WITH g AS ({ORDER_LINES}),
 r AS (SELECT l_orderkey, l_linenumber * 2 AS pos, CASE WHEN p % 4 = 0 THEN 'sin numero ' || p ELSE l_linenumber || '. curso ' || p END AS line, CASE WHEN p % 4 <> 0 THEN l_linenumber END AS o FROM g
  UNION ALL SELECT l_orderkey, l_linenumber * 2 + 1, 'sigue ' || p, NULL FROM g),
 b AS (SELECT *, count(o) OVER (PARTITION BY l_orderkey ORDER BY pos) AS block FROM r)
@@ -36,7 +37,7 @@ _KIND = "element_at(array('TALLER', 'CURSO', 'CERTIFICACIÓN', ''), cast(p % 4 +
 
 
 def _rows_text(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    li = order_lines(spark, d)
     line = f"trim(l_linenumber || ' Redes y sistemas ' || translate(cast(p as string), '0123456789', 'abcdefghij') || ' ' || (p % 90 + 10) || ' Desde marzo ' || (2020 + p % 6) || ' hasta mayo ' || (2020 + p % 6) || ' ' || {_KIND})"
     return li.select("l_orderkey", "l_linenumber", "p", F.expr(line).alias("line"))
 
@@ -46,7 +47,7 @@ def table_rows(spark, d):
     return r.select("l_orderkey", "l_linenumber", "x.*")
 
 
-TABLE_ROWS = """WITH g AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL)
+TABLE_ROWS = f"""WITH g AS ({ORDER_LINES})
 SELECT l_orderkey, l_linenumber, l_linenumber::INTEGER AS ordinal, 'Redes y sistemas ' || translate(p::VARCHAR, '0123456789', 'abcdefghij') AS name, (p % 90 + 10)::INTEGER AS hours,
  'marzo ' || (2020 + p % 6) AS "start", 'mayo ' || (2020 + p % 6) AS "end", ['TALLER', 'CURSO', 'CERTIFICACIÓN', ''][p % 4 + 1] AS kind FROM g"""
 
@@ -57,7 +58,7 @@ def inline_rows(spark, d):
     return rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("x.hours").alias("hours"), F.sum("x.ordinal").alias("ordinals"))
 
 
-INLINE_ROWS = """WITH g AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL)
+INLINE_ROWS = f"""WITH g AS ({ORDER_LINES})
 SELECT l_orderkey, count(*) AS n, sum(p % 90 + 10)::BIGINT AS hours, sum(l_linenumber)::BIGINT AS ordinals FROM g GROUP BY l_orderkey"""
 
 
@@ -111,29 +112,47 @@ def flag_lookahead(spark, d):
 FLAG_LOOKAHEAD = "SELECT c_custkey, 'permiso' AS flag FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'total' FROM customer WHERE c_custkey % 3 = 0"
 
 
+#: Covers and codes put before, into or behind a document's whole text.
+_COVERS = """CASE doc_id % 10
+ WHEN 0 THEN text || '\n Código del documento'
+ WHEN 1 THEN 'PLAN INDIVIDUAL DE FORMACIÓN\nY CAPACITACIÓN DOCENTE\nDOCENTE: ' || text
+ WHEN 2 THEN 'Plan individual de formación\ny capacitación\ndocente: ' || text
+ WHEN 3 THEN text || '\nPlan individual de capacitacion docente'
+ WHEN 4 THEN 'PLAN INDIVIDUAL CAPACITACION DOCENTE : x PLAN INDIVIDUAL Y CAPACITACIÓN DOCENTE ' || text
+ WHEN 5 THEN 'PLAN INDIVIDUAL ' || repeat('y ', cast(doc_id % 60 + 60 as int)) || 'CAPACITACIÓN  DOCENTE  : ' || text
+ WHEN 6 THEN text || ' UGPA-RGI1-01-PRO-251-2025-10 '
+ WHEN 7 THEN 'código : ' || text
+ WHEN 8 THEN 'codigos, PLAN INDIVIDUAL DOCENTE: ' || text
+ ELSE text END"""
+
+
 def template_detect(spark, d):
-    text = F.expr("CASE doc_id % 4 WHEN 0 THEN 'Código del documento: ' || text WHEN 1 THEN 'PLAN DE CAPACITACIÓN. Período académico. ' || text WHEN 2 THEN 'Plan individual de capacitación docente ' || text ELSE text END")
-    code = F.when(F.col("doc_id") % 8 == 3, "UGPA").otherwise("")
-    return spread(table(spark, d, "documents")).select("doc_id", E.template_of(text, code).alias("template"))
+    """Templates of covers and codes anywhere in whole texts."""
+    text = F.expr(_COVERS)
+    return spread(table(spark, d, "documents")).select("doc_id", E.template_of(text, plan_code(text)).alias("template"))
 
 
-TEMPLATE_DETECT = f"""SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 2) OR doc_id % 8 = 3 THEN 'MODERNA' WHEN contains(k, 'codigo del documento') OR contains(k, 'plan individual de capacitacion docente') THEN 'MODERNA' WHEN doc_id % 4 = 1 THEN 'ANTIGUA'
- WHEN contains(k, 'plan de capacitacion') AND contains(k, 'periodo academico') THEN 'ANTIGUA' ELSE 'DESCONOCIDA' END AS template FROM (SELECT doc_id, {sql_normalize('substr(text, 1, 2400)')} AS k FROM documents)"""
+# without look-ahead: the first letter of a legacy title's last word is masked, what is left of the title is modern
+_SQL_TITLE = "plan\\s+individual[\\s\\S]{0,180}?capacitaci[oó]n\\s+docente"
+TEMPLATE_DETECT = f"""WITH t AS (SELECT doc_id, {sql_clean(_COVERS.replace("'\\n", "chr(10) || '").replace("\\n", "' || chr(10) || '").replace("as int", "as integer"))} AS t FROM documents),
+c AS (SELECT doc_id, t, lower(substr(t, 1, 2400)) AS cover FROM t)
+SELECT doc_id, CASE WHEN regexp_matches(t, 'UGPA-RGI1-01-PRO-251-2025-10([^0-9]|$)') OR contains(' ' || {sql_normalize('t')} || ' ', ' codigo ') THEN 'MODERNA'
+ WHEN regexp_matches(regexp_replace(cover, '(capacitaci[oó]n\\s+)d(ocente\\s*:)', '\\1#\\2', 'g'), '{_SQL_TITLE}') THEN 'MODERNA' WHEN regexp_matches(cover, '{_SQL_TITLE}\\s*:') THEN 'ANTIGUA' ELSE 'DESCONOCIDA' END AS template FROM c"""
 
 
 # --- word boxes: each order is a page, its lines are rows of words ---
 
 
 def _words(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    li = order_lines(spark, d)
     spots = F.expr("array(named_struct('text', cast(l_linenumber as string), 'left', 30.0d), named_struct('text', 'curso', 'left', 120.0d), named_struct('text', cast(p as string), 'left', 300.0d), named_struct('text', '40', 'left', 500.0d), named_struct('text', '2025', 'left', 620.0d), named_struct('text', 'TALLER', 'left', 850.0d))")
     w = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("line"), "p", F.posexplode(spots).alias("word", "x"))
     boxes = w.select("doc_id", "page", F.lit(1).alias("block"), F.lit(1).alias("paragraph"), "line", "word", "x.text", "x.left", (F.col("line") * 60.0 + F.col("word") % 3).alias("top"), F.lit(20.0).alias("width"), F.lit(10.0).alias("height"), F.lit(90.0).alias("confidence"), F.lit(1000.0).alias("page_width"), F.lit(560.0).alias("page_height"))
     return G.with_box(boxes)
 
 
-_WORDS = """w AS (SELECT l_orderkey AS doc_id, l_linenumber AS line, p, word, [l_linenumber::VARCHAR, 'curso', p::VARCHAR, '40', '2025', 'TALLER'][word + 1] AS text, [30.0::DOUBLE, 120.0, 300.0, 500.0, 620.0, 850.0][word + 1] AS "left", l_linenumber * 60.0::DOUBLE + word % 3 AS top
- FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL), (SELECT unnest(range(6)) AS word))"""
+_WORDS = f"""w AS (SELECT l_orderkey AS doc_id, l_linenumber AS line, p, word, [l_linenumber::VARCHAR, 'curso', p::VARCHAR, '40', '2025', 'TALLER'][word + 1] AS text, [30.0::DOUBLE, 120.0, 300.0, 500.0, 620.0, 850.0][word + 1] AS "left", l_linenumber * 60.0::DOUBLE + word % 3 AS top
+ FROM ({ORDER_LINES}), (SELECT unnest(range(6)) AS word))"""
 
 
 def words_in_region(spark, d):
@@ -172,7 +191,7 @@ def table_cells(spark, d):
     return G.table_cells(_words(spark, d)).select("doc_id", "ordinal", "number", "name", "hours", "date", "type")
 
 
-TABLE_CELLS = """SELECT l_orderkey AS doc_id, l_linenumber::INTEGER AS ordinal, l_linenumber::VARCHAR AS number, 'curso ' || min(l_partkey) AS name, '40' AS hours, '2025' AS date, 'TALLER' AS type FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+TABLE_CELLS = f"""SELECT l_orderkey AS doc_id, l_linenumber AS ordinal, l_linenumber::VARCHAR AS number, 'curso ' || p AS name, '40' AS hours, '2025' AS date, 'TALLER' AS type FROM ({ORDER_LINES})"""
 
 
 QUERIES = {

@@ -12,7 +12,7 @@ from ..operators import processing as P
 from ..operators.records import record_quality
 from ..operators.validation import DIAGNOSIS
 from ..shared import spread
-from .common import sql_clean, sql_normalize, table
+from .common import ORDER_LINES, order_lines, sql_clean, table
 
 # --- fields ---
 
@@ -149,7 +149,7 @@ FROM (SELECT *, c_custkey % 3 = 0 AS e FROM customer) LEFT JOIN nation ON n_nati
 
 def tsv_words(spark, d):
     """Lines of an order as an OCR engine puts them out; some lines are no words."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    li = order_lines(spark, d)
     conf = F.when(F.col("p") % 5 == 0, "-1").when(F.col("p") % 7 == 0, "x").otherwise((F.col("p") % 100).cast("string"))
     line = F.concat_ws("\t", F.lit("5\t1\t1\t1"), F.col("l_linenumber").cast("string"), F.lit("1"), (F.col("p") % 500).cast("string"), (F.col("l_linenumber") * 20).cast("string"), F.lit("30\t12"), conf, F.when(F.col("p") % 11 == 0, F.lit(" ")).otherwise(F.concat(F.lit("w"), F.col("p").cast("string"))))
     pages = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))).alias("x"))
@@ -158,13 +158,13 @@ def tsv_words(spark, d):
     return words.select("doc_id", "line", "text", "left", "top", "right", "center_y", "confidence")
 
 
-TSV_WORDS = """SELECT l_orderkey AS doc_id, l_linenumber::INTEGER AS line, 'w' || p AS text, (p % 500 + 10)::DOUBLE AS "left", (l_linenumber * 20 + 5)::DOUBLE AS top, (p % 500 + 40)::DOUBLE AS "right", (l_linenumber * 20 + 11)::DOUBLE AS center_y, CASE WHEN p % 5 = 0 THEN -1 ELSE p % 100 END::DOUBLE AS confidence
-FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL) WHERE p % 11 <> 0 AND (p % 5 = 0 OR p % 7 <> 0)"""
+TSV_WORDS = f"""SELECT l_orderkey AS doc_id, l_linenumber::INTEGER AS line, 'w' || p AS text, (p % 500 + 10)::DOUBLE AS "left", (l_linenumber * 20 + 5)::DOUBLE AS top, (p % 500 + 40)::DOUBLE AS "right", (l_linenumber * 20 + 11)::DOUBLE AS center_y, CASE WHEN p % 5 = 0 THEN -1 ELSE p % 100 END::DOUBLE AS confidence
+FROM ({ORDER_LINES}) WHERE p % 11 <> 0 AND (p % 5 = 0 OR p % 7 <> 0)"""
 
 
 def row_anchors(spark, d):
     """Row numbers in the left margin; each may be read twice, the surer reading counts; other words lie further right."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    li = order_lines(spark, d)
     y = F.col("l_linenumber") * 50.0
     word = lambda text, x, dy, conf: F.struct(text.alias("text"), F.lit(x).alias("center_x"), (y + dy).alias("center_y"), F.lit(x).alias("left"), conf.cast("double").alias("confidence"))
     words = F.array(word(F.col("l_linenumber").cast("string"), 30.0, 0.0, F.col("p") % 50), word(F.col("l_linenumber").cast("string"), 31.0, 9.0, F.col("p") % 60), word(F.lit("12"), 400.0, 0.0, F.lit(99)), word(F.lit("77"), 30.0, 20.0, F.lit(99)))
@@ -172,8 +172,8 @@ def row_anchors(spark, d):
     return G.row_anchors(pages).select("doc_id", "number", "center_y", "confidence")
 
 
-ROW_ANCHORS = """SELECT l_orderkey AS doc_id, l_linenumber::INTEGER AS number, l_linenumber * 50.0::DOUBLE + CASE WHEN p % 60 > p % 50 THEN 9 ELSE 0 END AS center_y, greatest(p % 50, p % 60)::DOUBLE AS confidence
-FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL)"""
+ROW_ANCHORS = f"""SELECT l_orderkey AS doc_id, l_linenumber::INTEGER AS number, l_linenumber * 50.0::DOUBLE + CASE WHEN p % 60 > p % 50 THEN 9 ELSE 0 END AS center_y, greatest(p % 50, p % 60)::DOUBLE AS confidence
+FROM ({ORDER_LINES})"""
 
 
 # --- end to end ---
