@@ -34,14 +34,14 @@ from .hashing import mix
 from .terms import term_lists
 
 #: Hash buckets of features; the intercept stands behind them.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 #: Terms between the two of a pair, at most.
 SKIPPED = 2
 #: Labelled rows that are learned from, about.
 TRAIN_ROWS = 20_000
-SHARDS, EPOCHS = 8, 6
+SHARDS, EPOCHS = 4, 5
 #: Rates and penalties of FTRL-proximal.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.0
+ALPHA, BETA, L1, L2 = 1.5, 1.0, 3.0, 0.0
 #: A score from here on is reported as toxic.
 THRESHOLD = 0.3
 #: Buckets whose changes travel in one row.
@@ -128,8 +128,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 def _averaged(rows: DataFrame, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The mean of the shards' states after a pass from the given one."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((z, n))
+    z, n = z.astype(np.float32), n.astype(np.float32)  # as they travel
+    shared = rows.sparkSession.sparkContext.broadcast((z, n))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A shard's changes, a row for each run of buckets."""
@@ -137,9 +137,9 @@ def _averaged(rows: DataFrame, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
         def changes() -> pa.RecordBatch:
             z, n = shared.value
-            at = np.flatnonzero((learner.z != z) | (learner.n != n))
+            at = np.flatnonzero(learner.n != n)
             cut = np.split(at, np.flatnonzero(np.diff(at // RUN)) + 1) if len(at) else []
-            blobs = [pa.array([f(c).tobytes() for c in cut], pa.binary()) for f in (lambda c: c.astype(np.int32), lambda c: learner.z[c] - z[c], lambda c: learner.n[c] - n[c])]
+            blobs = [pa.array([f(c).tobytes() for c in cut], pa.binary()) for f in (lambda c: (c % RUN).astype(np.uint16), lambda c: (learner.z[c] - z[c]).astype(np.float32), lambda c: (learner.n[c] - n[c]).astype(np.float32))]
             return pa.RecordBatch.from_arrays([pa.array([int(c[0]) // RUN for c in cut], pa.int32()), pa.array([last] * len(cut), pa.int64()), *blobs], names=["run", "shard", "at", "z", "n"])
 
         for batch in batches:
@@ -147,7 +147,7 @@ def _averaged(rows: DataFrame, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
                 if shard != last:
                     if learner is not None:
                         yield changes()
-                    last, learner = shard, Learner(*(a.copy() for a in shared.value))
+                    last, learner = shard, Learner(*(a.astype(float) for a in shared.value))
                 learner.learn(features(terms), toxic)
         if learner is not None:
             yield changes()
@@ -166,15 +166,16 @@ def _averaged(rows: DataFrame, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
                     if last is not None:
                         yield sums()
                     last, z, n = run, np.zeros(RUN), np.zeros(RUN)
-                at = np.frombuffer(blobs[0], np.int32) - run * RUN
-                z[at] += np.frombuffer(blobs[1])
-                n[at] += np.frombuffer(blobs[2])
+                at = np.frombuffer(blobs[0], np.uint16)
+                z[at] += np.frombuffer(blobs[1], np.float32)
+                n[at] += np.frombuffer(blobs[2], np.float32)
         if last is not None:
             yield sums()
 
     changed = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "draw").mapInArrow(passed, "run int, shard long, at binary, z binary, n binary")
     found = changed.repartition(SHARDS, "run").sortWithinPartitions("run", "shard").mapInArrow(added, "at long, z double, n double").toArrow()  # a row a bucket at most
-    z, n, at = z.copy(), n.copy(), np.asarray(found["at"])
+    shared.destroy()
+    z, n, at = z.astype(float), n.astype(float), np.asarray(found["at"])
     z[at] += np.asarray(found["z"]) / SHARDS
     n[at] += np.asarray(found["n"]) / SHARDS
     return z, n
