@@ -234,8 +234,9 @@ def closest_pairs(rows: pa.Table, tries: int | None, heads: int | None) -> tuple
     """Of whole lists, sorted by list, part and side: pairs (a, b) of classes to check, and the lists that have more.
 
     side 2: all pairs of such rows; sides 0 and 1: pairs of one with the other. Of the pairs of different
-    components that size, key and signatures allow, and that did not fail before, each component of a
-    list gives out the closest; heads: only pairs with so many first rows of a list.
+    components that size, key and signatures allow, each component of a list gives out the closest;
+    heads: only pairs with so many first rows of a list. Pairs that failed before are given out again:
+    every round takes several times as many as the one before, so they take up little room.
     """
     name, part, side, n, node, comp = (np.asarray(rows[c]).astype(np.int64) for c in ("list", "part", "side", "n", "node", "comp"))
     total = len(name)
@@ -248,7 +249,6 @@ def closest_pairs(rows: pa.Table, tries: int | None, heads: int | None) -> tuple
     if heads is not None:
         partners = np.minimum(partners, heads)
     signatures = rows["sig"].to_pylist()
-    failed = {a: set(b) for a, b in zip(node.tolist(), rows["failed"].to_pylist()) if b}
     found = []
     ends = np.cumsum(partners)
     at = 0
@@ -263,8 +263,6 @@ def closest_pairs(rows: pa.Table, tries: int | None, heads: int | None) -> tuple
         left, right = left[fits], right[fits]
         difference = _differences(signatures, left, right)
         near = (100 + SIMILAR) * difference <= (100 - SIMILAR) * ((n[left] >> 1) + (n[right] >> 1))
-        if failed:
-            near[near] = [b not in failed.get(a, ()) and a not in failed.get(b, ()) for a, b in zip(node[left[near]].tolist(), node[right[near]].tolist())]
         found.append(np.stack([left[near], right[near], difference[near]]))
     left, right, difference = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
     more = np.zeros(len(start), bool) if heads is None else (length > heads) & (np.maximum.reduceat(side, start) == 2)
@@ -361,7 +359,7 @@ class Join:
         joined = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
         return joined.mapInArrow(checked, "a long, b long")
 
-    def candidates(self, rows: DataFrame, failed: DataFrame | None, tries: int | None, heads: int | None) -> DataFrame:
+    def candidates(self, rows: DataFrame, tries: int | None, heads: int | None) -> DataFrame:
         """(list, a, b): pairs to check (list is null), and lists with more pairs (a and b are null). rows: list, part, side, n, node, comp."""
 
         def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,11 +382,7 @@ class Join:
                 yield found(pa.Table.from_batches(held))
 
         rows = rows.join(self.classes.select("node", "sig"), "node")
-        if failed is None:
-            rows = rows.withColumn("failed", F.lit(None).cast("array<long>"))
-        else:
-            rows = rows.join(failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed")), "node", "left")
-        rows = rows.select("list", "part", "side", "n", "node", "comp", "sig", "failed").repartition(partitions(self.spark), "list", "part").sortWithinPartitions("list", "part", "side", "node")
+        rows = rows.select("list", "part", "side", "n", "node", "comp", "sig").repartition(partitions(self.spark), "list", "part").sortWithinPartitions("list", "part", "side", "node")
         return rows.mapInArrow(scanned, "list long, a long, b long")
 
     @staticmethod
@@ -422,8 +416,9 @@ class Join:
         rows = lists.select("list", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / TILE)).alias("part"), F.lit(2).alias("side"), "n", "node", F.col("node").alias("comp"))
         comp = failed = None
         for k, tries in enumerate(TRIES):
-            found = materialize(self.candidates(rows, failed, tries, None if k else HEADS), "found")
-            pairs = materialize(found.where(F.col("list").isNull()).select("a", "b").distinct(), "pairs")
+            found = materialize(self.candidates(rows, tries, None if k else HEADS), "found")
+            pairs = found.where(F.col("list").isNull()).select("a", "b").distinct()
+            pairs = materialize(pairs if failed is None else pairs.join(failed, ["a", "b"], "left_anti"), "pairs")
             links = materialize(self.linked(pairs), "links")
             wrong = pairs.join(links, ["a", "b"], "left_anti")
             failed = materialize(wrong if failed is None else failed.union(wrong), "failed")
