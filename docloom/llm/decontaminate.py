@@ -83,21 +83,23 @@ def search(docs: DataFrame, items: DataFrame, literal: int = LITERAL, id_col: st
     some = values.select("length", "hit").distinct().limit(literal + 1).collect()
     words = words_of(F.col("text"))
     listed = few(values.select("hit", "item_id", "hits", "words"))
-    enough = (F.size(F.collect_set("hit")) >= F.first("hits")).alias("enough")
+    h = F.xxhash64("text").alias("h")
     if len(some) <= literal:
         wanted = {n: [r["hit"] for r in some if r["length"] == n] for n in lengths}
         hits = lambda w: F.concat(*(F.filter(shingle_hashes(w, n), lambda h: h.isin(wanted[n])) for n in lengths)) if lengths else F.array().cast("array<bigint>")  # noqa: E731,B023
-        sized = _bound(words, lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(hits(w)).alias("hits")))
-        found = materialize(d.select("doc_id", "text", sized.alias("s")).where(F.size("s.hits") > 0).select("doc_id", "text", "s.n", "s.hits"), "hits")
-        pairs = found.select("doc_id", "text", "n", F.explode("hits").alias("hit")).join(listed, "hit").where("n >= words")
-        near = pairs.groupBy("doc_id", F.xxhash64("text").alias("h"), "item_id").agg(F.first("text").alias("text"), enough).where("enough")
     else:
-        all_hashes = lambda w: F.concat(*(shingle_hashes(w, n) for n in lengths))
-        sized = _bound(words, lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(all_hashes(w)).alias("hits")))
-        pairs = d.select("doc_id", F.xxhash64("text").alias("h"), sized.alias("s")).select("doc_id", "h", "s.n", F.explode("s.hits").alias("hit")).join(listed, "hit").where("n >= words")
-        hit = pairs.groupBy("doc_id", "h", "item_id").agg(enough).where("enough")
-        t = d.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), "text").dropDuplicates(["_id", "_h"])
-        near = hit.join(t, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        hits = lambda w: F.concat(*(shingle_hashes(w, n) for n in lengths))
+    sized = _bound(words, lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(hits(w)).alias("hits")))
+    if len(some) <= literal:  # few documents have a hit; those are read once
+        d = materialize(d.select("doc_id", "text", sized.alias("s")).where(F.size("s.hits") > 0), "hits")
+        found = d.select("doc_id", h, "s.n", F.explode("s.hits").alias("hit"))
+    else:
+        found = d.select("doc_id", h, sized.alias("s")).select("doc_id", "h", "s.n", F.explode("s.hits").alias("hit"))
+    # texts come back once for each pair that has enough hits, not with every hit
+    enough = (F.size(F.collect_set("hit")) >= F.first("hits")).alias("enough")
+    hit = found.join(listed, "hit").where("n >= words").groupBy("doc_id", "h", "item_id").agg(enough).where("enough")
+    t = d.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), "text").dropDuplicates(["_id", "_h"])
+    near = hit.join(t, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     # exact: each of the item's shingles, between blanks, in the document's words, between blanks
     spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     shared = _bound(spaced, lambda t: F.size(F.filter("texts", lambda s: F.contains(t, F.concat(F.lit(" "), s, F.lit(" "))))))
