@@ -2,8 +2,9 @@
 
 Words are counted over all training documents. The CLUSTERED most frequent get classes by the
 exchange algorithm: each word moves to the class that most raises the likelihood of the class
-bigrams, in rounds over all of them until the likelihood stops rising. Bigram counts come from all
-training documents. Every other word seen twice or more then gets the class that most raises the
+bigrams. Words move in slices, dealt by a hash: those of a slice against the same counts, which Spark
+then sums anew, so classes don't depend on how the words are split among tasks. It ends when no word
+moves or a turn of all slices gains less than GAIN. Bigram counts come from all training documents. Every other word seen twice or more then gets the class that most raises the
 likelihood given its own contexts, gathered over all training documents; there is no bound on these
 words, and their classes are a table. Words seen once stand for unseen ones and share a class with
 these. The end token is a class of its own and stands before the first word.
@@ -38,10 +39,12 @@ from .hashing import word_lists
 
 CLUSTERED, CLASSES = 8192, 32
 DICTIONARY = 200_000
-#: Rounds of the exchange at most, and the relative gain of likelihood in two of them below which it ends.
-ROUNDS, GAIN = 16, 5e-4
-#: Words whose moves are worked out against the same counts.
-MOVED = 16
+#: Slices of the words, which move one after another; slices are halved where moving one lowers the likelihood, until there are more than FINEST.
+SLICES, FINEST = 2, 64
+#: Relative gain of likelihood by all slices below which the exchange ends.
+GAIN = 2e-4
+#: Words whose moves are worked out at once.
+MOVED = 64
 ADD = 0.1
 #: Weight of a class's own frequency in its transitions.
 PRIOR = 10.0
@@ -151,13 +154,13 @@ def best_classes(word: np.ndarray, key: np.ndarray, n: np.ndarray, words: int, m
 
 
 def exchange(own: np.ndarray, left: np.ndarray, right: np.ndarray, loops: np.ndarray, between: np.ndarray, movable: int) -> np.ndarray:
-    """New classes of some words, moved a few at a time where the likelihood of class bigrams rises.
+    """New classes of some words: for each the one that most raises the likelihood of class bigrams, all against the same counts.
 
     own: their classes; left, right: counts by class of predecessor and successor; loops: counts of
     the word after itself; between: class bigrams of all words; classes below ``movable`` take words.
     """
-    m, own = between.astype(float).copy(), own.copy()
-    for at in range(0, len(own), MOVED):
+    m, out = between.astype(float), own.copy()
+    for at in range(0, len(own), MOVED):  # a few at a time bounds memory
         some = np.arange(at, min(len(own), at + MOVED))
         k, a, s = np.arange(len(some)), own[some], loops[some].astype(float)
         le, ri = left[some].astype(float), right[some].astype(float)
@@ -169,14 +172,13 @@ def exchange(own: np.ndarray, left: np.ndarray, right: np.ndarray, loops: np.nda
         without[k, a, a] -= s
         gain = gains(le, ri, s, without, movable)
         best = gain.argmax(axis=1)
-        best = np.where(gain[k, best] <= gain[k, a] + 1e-9, a, best)
-        for i in np.flatnonzero(best != a).tolist():
-            for c, sign in ((a[i], -1.0), (best[i], 1.0)):
-                m[:, c] += sign * le[i]
-                m[c, :] += sign * ri[i]
-                m[c, c] += sign * s[i]
-        own[some] = best
-    return own
+        out[some] = np.where(gain[k, best] <= gain[k, a] + 1e-9, a, best)
+    return out
+
+
+def slice_of(word: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of a round that a word (its index) moves in."""
+    return (word.astype(np.int64) * 2654435761 & 0xFFFFFFFF) * slices >> 32
 
 
 def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +203,7 @@ def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def cluster(bigrams: DataFrame, clustered: int, units: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def cluster(bigrams: DataFrame, clustered: int, units: int, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Class of each unit, class bigrams, and the likelihood after each round. bigrams: (p, c, n) over units; the first ``clustered`` units are words, the others classes of their own."""
     spark = bigrams.sparkSession
     movable = min(classes, max(1, clustered))
@@ -240,30 +242,34 @@ def cluster(bigrams: DataFrame, clustered: int, units: int, classes: int = CLASS
 
     between = counted(of)
     reached = [likelihood(between)]
-    for turn in range(rounds if clustered > 1 else 0):
-        shared = spark.sparkContext.broadcast((of, between))
+    slices, turn, still, before = SLICES, 0, 0, reached[0]
+    while clustered > 1 and slices <= FINEST and still < slices:
+        shared, number = spark.sparkContext.broadcast((of, between)), turn % slices
 
         def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of_, between_ = shared.value
             for batch in batches:
-                w, out, loops = dense(batch, of_)
-                use = np.flatnonzero((w < clustered) & (w % 2 == turn % 2))  # noqa: B023  half of the words move in a round, so that neighbours don't swap for ever
-                if len(use):
-                    new = exchange(of_[w[use]], out[use, 0], out[use, 1], loops[use], between_, movable)
-                    yield pa.RecordBatch.from_arrays([pa.array(w[use].astype(np.int32)), pa.array(new.astype(np.int32))], names=["w", "cls"])
-
-        new = words.mapInArrow(moved, "w int, cls int").toPandas()
-        tried = of.copy()
-        tried[new["w"].to_numpy()] = new["cls"].to_numpy()
-        counts = counted(tried)
-        if likelihood(counts) <= reached[-1]:
-            if (tried == of).all() and turn % 2 == 0 and len(reached) < 3:
-                continue  # the other half may still move
-            break
-        of, between = tried, counts
-        reached.append(likelihood(counts))
-        if len(reached) > 4 and reached[-1] - reached[-3] < GAIN * abs(reached[-1]):
-            break
+                w = np.asarray(batch.column("w"))
+                w, out, loops = dense(batch.filter(pa.array((w < clustered) & (slice_of(w, slices) == number))), of_)  # noqa: B023
+                if len(w):
+                    new = exchange(of_[w], out[:, 0], out[:, 1], loops, between_, movable)
+                    yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(new.astype(np.int32))], names=["w", "cls"])
+
+        new = words.mapInArrow(moved, "w int, cls int").toArrow()
+        tried, turn = of.copy(), turn + 1
+        tried[np.asarray(new["w"])] = np.asarray(new["cls"])
+        if (tried == of).all():
+            still += 1
+        elif likelihood(counts := counted(tried)) > reached[-1]:
+            of, between, still = tried, counts, 0
+            reached.append(likelihood(counts))
+        else:  # too many moved together
+            slices, turn, still, before = 2 * slices, 0, 0, -np.inf
+            continue
+        if turn % slices == 0:
+            if reached[-1] - before < GAIN * abs(reached[-1]):
+                break
+            before = reached[-1]
     return of, between, reached
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from llm_samples import WORDS, text
 
-from docloom.llm import ranked_search, toxicity, vector_codes
+from docloom.llm import class_model, ranked_search, toxicity, vector_codes
 from docloom.llm.terms import term_counts, term_lists
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -230,3 +230,17 @@ def test_toxicity_without_both_kinds(spark, no_docs):
     for labels, want in (([], 0.0), ([(1, 0, 0)], 0.0), ([(i, 0, 1) for i in range(20)], 1.0)):
         frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
         assert all(abs(r["score"] - want) < 1e-9 for r in toxicity.score_texts(docs, toxicity.learned(docs, frame)).collect())
+
+
+def test_class_scores_do_not_depend_on_partitions(spark):
+    rng, words, texts = corpus(9, 150)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for shuffled, split in ((2, 1), (8, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(shuffled))
+            model, counts = class_model.learn(docs.repartition(split))
+            found.append({r["doc_id"]: (r["n_known"], round(r["score"], 6)) for r in class_model.score_texts(docs, model, counts).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert found[0] == found[1] and len(found[0]) == 150
