@@ -5,9 +5,11 @@ An absent text is the empty text: every function here maps null to ``''``, as ex
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,23 @@ UNTIDY = r"[^!-~¡-¬®-ʯ ]|  |\A | \z"
 EDGE_BEFORE, EDGE_AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
+def built_once(make: Callable) -> Callable:
+    """make, whose result (columns, from hashable arguments) is built once a Spark context: large expressions cost thousands of calls to the JVM."""
+    held: dict = {}
+
+    @functools.wraps(make)
+    def get(*args):
+        context = SparkContext._active_spark_context
+        if held.get("context") is not context:
+            held.clear()
+            held["context"] = context
+        if args not in held:
+            held[args] = make(*args)
+        return held[args]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value worked out once a row, however often the body names it; keeps generated code small."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codes import agreement_code, month_number, period_of, plan_code, spanish_date
-from ..functions.text import EDGE_AFTER, EDGE_BEFORE, SPACE, clean, compact, fold_accents, let, lines, normalize, smart_case, text
+from ..functions.text import EDGE_AFTER, EDGE_BEFORE, SPACE, built_once, clean, compact, fold_accents, let, lines, normalize, smart_case, text
 
 # The kinds of training in the order in which they are looked for.
 KIND_WORDS = ("APROBACIÓN", "CERTIFICACIÓN", "ASISTENCIA", "CURSO", "TALLER", "SEMINARIO", "CONGRESO", "DIPLOMADO", "CAPACITACIÓN")
@@ -231,13 +231,15 @@ def agreements(readings: DataFrame) -> DataFrame:
     )
 
 
-def plans(readings: DataFrame, *more: str) -> DataFrame:
-    """Plan fields of readings (doc_id, text, file_name): names, code, period, template and training rows; more: columns to carry along."""
+@built_once
+def plan_columns() -> tuple[Column, ...]:
+    """What :func:`plans` reads out of the columns text and file_name."""
     t = F.col("text")
-    code = F.coalesce(F.nullif(plan_code(t), F.lit("")), F.nullif(plan_code("file_name"), F.lit("")), F.lit(""))
+    own = plan_code(t)
+    code = F.coalesce(F.nullif(own, F.lit("")), F.nullif(plan_code("file_name"), F.lit("")), F.lit(""))
     rows = section(t, r"4\.?\s*resumen", (r"5\.?\s*indicador", r"6\.?\s*actividad"))
-    return readings.select(
-        "doc_id", *more, code.alias("code"), period_of(code).alias("period"), template_of(t, plan_code(t)).alias("template"),
+    return (
+        code.alias("code"), template_of(t, own).alias("template"),
         smart_case(label_value(t, "nombre del docente", ("carrera", "tiempo", "nivel"))).alias("name"),
         smart_case(label_value(t, "carrera", ("tiempo", "nivel", "nombre"))).alias("career"),
         label_value(t, "nivel academico actual", ("nombre", "carrera")).alias("level"),
@@ -247,3 +249,8 @@ def plans(readings: DataFrame, *more: str) -> DataFrame:
         compact(section(t, r"7\.?\s*impacto[^\n]*", (r"8\.?\s*vision",))).alias("impact"),
         compact(section(t, r"8\.?\s*vision[^\n]*", ())).alias("vision"),
     )
+
+
+def plans(readings: DataFrame, *more: str | Column) -> DataFrame:
+    """Plan fields of readings (doc_id, text, file_name): names, code, period, template and training rows; more: columns to carry along."""
+    return readings.select("doc_id", *more, *plan_columns()).withColumn("period", period_of("code"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaners import answer, diagnosis, is_useful_plan, section_text, teacher_name, training_name
 from ..functions.codes import code_candidates, period_of
 from ..functions.quality import field_quality, signal_score, text_quality
-from ..functions.text import clean, compact, js_round, normalize, smart_case, text
+from ..functions.text import built_once, clean, compact, js_round, normalize, smart_case, text
 from ..shared import materialize
 from . import extraction as E
 from .consensus import aligned_rows, best_text, cell_vote, code_vote, engine_weight, list_union, ranked_engines, vote
@@ -46,6 +46,17 @@ TRAINING = "array<struct<name:string,hours:double,start:string,end:string,kind:s
 SCALARS = {"name": "name", "career": "text", "level": "text", **{k: "text" for k in DIAGNOSIS}}
 
 
+@built_once
+def _codes_of(column: str) -> Column:
+    return code_candidates(column)
+
+
+@built_once
+def _quality_of(kind: str) -> Column:
+    """Quality of the column value as a field of that kind."""
+    return field_quality(kind, F.col("value"))
+
+
 def question_answers(c: Column | str) -> Column:
     """Map question -> cleaned answer of a form's text."""
     return F.transform_values(E.answers(compact(c), {k: r"[¿?*•\s]*" + p for k, p in QUESTIONS.items()}), lambda _, v: answer(v))
@@ -64,7 +75,7 @@ def header_codes(sources: DataFrame, key: str = "doc_id") -> DataFrame:
     Each candidate of a source adds its confidence times the source's weight; the earliest wins ties.
     """
     weight = F.element_at(F.create_map(*(F.lit(x) for item in CODE_SOURCES.items() for x in item)), F.col("source"))
-    found = sources.select(key, "seq", weight.alias("weight"), F.explode(code_candidates("text")).alias("c"))
+    found = sources.select(key, "seq", weight.alias("weight"), F.explode(_codes_of("text")).alias("c"))
     points = found.groupBy(key, "c.code").agg(F.sum(F.col("weight") * F.col("c.confidence") / 100).alias("points"), F.min("seq").alias("first"))
     best = points.groupBy(key).agg(F.max_by(F.struct("code", "points"), F.struct(F.round("points", 6), -F.col("first"))).alias("x"))
     return best.select(key, "x.code", F.least(F.lit(100), js_round(55 + F.round("x.points", 6) * 8)).cast("int").alias("confidence"), period_of("x.code").alias("period"))
@@ -73,32 +84,45 @@ def header_codes(sources: DataFrame, key: str = "doc_id") -> DataFrame:
 def repaired_codes(records: DataFrame, key: list[str]) -> DataFrame:
     """key, repaired: the code voted by a record's own code, its text, its file name and its code regions (columns code, text, file_name, region_text)."""
     sources = F.array(*(text(c) for c in ("code", "text", "file_name", "region_text")))
-    each = records.select(*key, F.posexplode(sources).alias("source_idx", "t")).select(*key, "source_idx", F.explode(F.transform(code_candidates("t"), lambda x: x["code"])).alias("code"))
+    each = records.select(*key, F.posexplode(sources).alias("source_idx", "t")).select(*key, "source_idx", F.explode(_codes_of("t")).alias("c")).select(*key, "source_idx", F.col("c.code").alias("code"))
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("source_idx") + 1)
     return code_vote(each.withColumn("weight", of(REPAIR_WEIGHTS)).withColumn("cap", of(REPAIR_CAPS)), key).select(*key, F.col("code").alias("repaired"))
 
 
-def candidates(readings: DataFrame) -> DataFrame:
-    """One parsed record for each reading: doc_id, engine, seq, the plan's columns, n_table (rows that the table's text has), signal, useful and text."""
-    key = ["doc_id", "engine", "seq"]
-    base = E.plans(readings.select("doc_id", "text", "file_name", F.struct("engine", "seq", "region_text").alias("r")), "r", "text", "file_name")
-    base = base.withColumns({"engine": F.col("r.engine"), "seq": F.col("r.seq"), "region_text": F.col("r.region_text"), "answers": question_answers("text")})
-    of = lambda k: F.coalesce(F.try_element_at("answers", F.lit(k)), F.lit(""))
+@built_once
+def _parsing() -> tuple[Column, ...]:
+    """What a candidate needs of its text besides the plan's columns: answers, the table's text, the signal."""
     # rows of the table's lines, for forms whose cells run over several
     table = E.table_section("text", r"4\.?\s*resumen", r"5\.?\s*indicador", r"6\.?\s*actividad")
-    lines = E.exploded_lines(readings.select(F.struct(*key).alias("k"), table.alias("t")), "k", "t")
-    rows = E.blocks(lines, "k").select("k", "block", E.table_row("text").alias("row")).where("row.hours > 0 and row.name <> ''")
-    rows = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("block", "row"))).alias("x")).select("k.*", F.transform("x", lambda x: x["row"]).alias("rows"))
-    base = base.join(rows, key, "left").withColumn("best", E.best_rows(F.col("trainings"), F.coalesce("rows", F.filter("trainings", lambda x: F.lit(False)))))
-    named = canonical_match(base.withColumn("own_career", F.col("career")).withColumn("own_name", F.col("name")).withColumn("name", F.col("career")), CAREERS).withColumn("career", F.col("canonical")).withColumn("name", teacher_name("own_name"))
+    return question_answers("text").alias("answers"), table.alias("table"), plan_signal("text").alias("signal")
+
+
+@built_once
+def _candidate() -> tuple[Column, ...]:
+    """A candidate's columns out of what was parsed."""
+    of = lambda k: F.coalesce(F.try_element_at("answers", F.lit(k)), F.lit(""))
     training = lambda x: F.struct(training_name(x["name"]).alias("name"), x["hours"].cast("double").alias("hours"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
-    sources = named.select(*key, "code", "text", "file_name", "region_text")
-    out = named.select(
-        *key, "name", "career", F.coalesce(F.nullif(smart_case(of("nivel_academico_actual")), F.lit("")), F.col("level")).alias("level"), "code", "period", "template",
-        F.struct(*(of(k).alias(k) for k in DIAGNOSIS)).alias("diagnosis"), F.transform("best", training).cast(TRAINING).alias("trainings"), F.coalesce(F.size("rows"), F.lit(0)).alias("n_table"),
-        "theory", "practice", "impact", "vision", plan_signal("text").alias("signal"), "text",
+    best = E.best_rows(F.col("trainings"), F.coalesce("rows", F.filter("trainings", lambda x: F.lit(False))))
+    return (
+        teacher_name("name").alias("name"), "canonical", F.coalesce(F.nullif(smart_case(of("nivel_academico_actual")), F.lit("")), F.col("level")).alias("level"), F.coalesce("repaired", "code").alias("code"), "period", "template",
+        F.struct(*(of(k).alias(k) for k in DIAGNOSIS)).alias("diagnosis"), F.transform(best, training).cast(TRAINING).alias("trainings"), F.coalesce(F.size("rows"), F.lit(0)).alias("n_table"), "theory", "practice", "impact", "vision", "signal", "text",
     )
-    out = out.join(repaired_codes(sources, key), key, "left").withColumn("code", F.coalesce("repaired", "code")).withColumn("period", F.coalesce(F.nullif(period_of("code"), F.lit("")), F.col("period"))).drop("repaired")
+
+
+def candidates(readings: DataFrame) -> DataFrame:
+    """One parsed record for each reading: doc_id, engine, seq, the plan's columns, n_table (rows that the table's text has), signal, useful and text.
+
+    Texts are parsed in one flat projection, which is written; the steps after it read its columns.
+    """
+    key = ["doc_id", "engine", "seq"]
+    parsed = materialize(E.plans(readings, "engine", "seq", "region_text", "text", "file_name", *_parsing()), "parsed")
+    lines = E.exploded_lines(parsed.select(F.struct(*key).alias("k"), "table"), "k", "table")
+    rows = E.blocks(lines, "k").select("k", "block", E.table_row("text").alias("row")).where("row.hours > 0 and row.name <> ''")
+    rows = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("block", "row"))).alias("x")).select("k.*", F.transform("x", lambda x: x["row"]).alias("rows"))
+    careers = canonical_match(parsed.select(F.col("career").alias("name")).distinct(), CAREERS).select(F.col("name").alias("career"), "canonical")
+    codes = repaired_codes(parsed.select(*key, "code", "text", "file_name", "region_text"), key)
+    out = parsed.join(rows, key, "left").join(codes, key, "left").join(careers, "career", "left").select(*key, *_candidate()).withColumnRenamed("canonical", "career")
+    out = out.withColumn("period", F.coalesce(F.nullif(period_of("code"), F.lit("")), F.col("period")))
     useful = is_useful_plan(F.col("name"), F.col("career"), F.array(*(F.col(f"diagnosis.{k}") for k in DIAGNOSIS)), F.col("trainings"))
     return out.withColumn("n_table", F.greatest("n_table", F.size("trainings"))).withColumn("useful", useful | (F.col("signal") >= LEAST_SIGNAL))
 
@@ -126,8 +150,10 @@ def consensus_plans(found: DataFrame, codes: DataFrame | None = None) -> DataFra
     ranked = ranked_engines(found)
     value = {"name": F.col("name"), "career": F.col("career"), "level": F.col("level"), "code": F.col("code"), "period": F.col("period"), **{k: F.col(f"diagnosis.{k}") for k in DIAGNOSIS}}
     kind = {**SCALARS, "code": "code", "period": "period"}
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), text(v).alias("value"), field_quality(kind[f], v).alias("quality")) for f, v in value.items()))
-    votes = vote(ranked.select("doc_id", "engine", "engine_idx", F.explode(fields).alias("x")).select("doc_id", "engine", "engine_idx", "x.*"), ["doc_id", "field"])
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(kind[f]).alias("kind"), text(v).alias("value")) for f, v in value.items()))
+    each = ranked.select("doc_id", "engine", "engine_idx", F.inline(fields))
+    quality = F.coalesce(*(F.when(F.col("kind") == k, _quality_of(k)) for k in sorted(set(kind.values()))))  # a field's value is rated once, by its kind
+    votes = vote(each.withColumn("quality", quality), ["doc_id", "field"])
     of = lambda f: F.coalesce(F.max(F.when(F.col("field") == f, F.col("value"))), F.lit(""))
     evidence = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("value", "confidence", "engines")))))
     scalars = votes.groupBy("doc_id").agg(*(of(f).alias(f) for f in ("name", "career", "level", "code", "period")), F.struct(*(of(f).alias(f) for f in DIAGNOSIS)).alias("diagnosis"), evidence.alias("evidence"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import date_number, is_plan_code, loose_date, period_of
 from ..functions.quality import FOREIGN, has_phrase
-from ..functions.text import clean, js_round, let, normalize
+from ..functions.text import built_once, clean, js_round, let, normalize
 
 # Layers of the summary and the kinds of training.
 LAYERS = ("lectura", "estructura", "campos", "cruzada", "semantica", "consenso", "plantilla", "duplicados", "manual")
@@ -215,11 +215,27 @@ def validated_plans(plans: DataFrame, as_of_year: int) -> DataFrame:
     Rows with status ERROR keep it and get no issue.
     """
     c = F.col
-    fields = {k: c(k) for k in ("name", "career", "level", "code", "period", "impact", "vision")} | {k: c(f"diagnosis.{k}") for k in DIAGNOSIS}
+    read = plans.withColumns(dict(zip(("_read", "_rows"), _plan_reading())))
+    out = read.withColumn("issues", F.when(c("status") == "ERROR", F.array().cast(f"array<{ISSUE}>")).otherwise(_plan_issues(as_of_year)))
+    return with_status(out, F.lit(5 + len(DIAGNOSIS) + 4) + F.greatest(F.lit(1), F.size("_rows") * 5)).drop("_read", "_rows")
+
+
+_READ = ("name", "career", "level", "code", "period", "impact", "vision", *DIAGNOSIS)
+
+
+@built_once
+def _plan_reading() -> tuple[Column, Column]:
+    """A plan's values with what its rules ask of them, and those of its trainings."""
+    values = {k: F.col(f"diagnosis.{k}" if k in DIAGNOSIS else k) for k in _READ}
     lists = {k: list_reading(k) for k in ("theory", "practice")}
-    rows = F.transform(F.coalesce("trainings", F.array()), training_reading)
-    read = plans.withColumns({"_read": F.struct(*(reading(v).alias(k) for k, v in fields.items()), *(v.alias(k) for k, v in lists.items())), "_rows": rows})
-    x = {k: c(f"_read.{k}") for k in (*fields, *lists)}
+    return F.struct(*(reading(v).alias(k) for k, v in values.items()), *(v.alias(k) for k, v in lists.items())), F.transform(F.coalesce("trainings", F.array()), training_reading)
+
+
+@built_once
+def _plan_issues(as_of_year: int) -> Column:
+    """All issues of a plan out of its readings, the first of each path."""
+    c = F.col
+    x = {k: c(f"_read.{k}") for k in (*_READ, "theory", "practice")}
     count = F.size("_rows")
     head = [
         *required_text("docente.nombre", x["name"], 140, "estructura"),
@@ -240,9 +256,7 @@ def validated_plans(plans: DataFrame, as_of_year: int) -> DataFrame:
         warning("_plantilla", c("template") == "ANTIGUA", "plantilla", "plantilla"),
     ]
     of_rows = F.flatten(F.transform("_rows", lambda t, i: training_issues(t, i, as_of_year)))
-    every = first_per_path(F.concat(F.array(*(r.issue() for r in head)), of_rows, F.array(*(r.issue() for r in tail))))
-    out = read.withColumn("issues", F.when(c("status") == "ERROR", F.array().cast(f"array<{ISSUE}>")).otherwise(every))
-    return with_status(out, F.lit(5 + len(DIAGNOSIS) + 4) + F.greatest(F.lit(1), count * 5)).drop("_read", "_rows")
+    return first_per_path(F.concat(F.array(*(r.issue() for r in head)), of_rows, F.array(*(r.issue() for r in tail))))
 
 
 def with_status(rows: DataFrame, total: Column) -> DataFrame:
