@@ -65,6 +65,32 @@ def label_value(c: Column | str, label: str, stops: tuple[str, ...] = ()) -> Col
     return F.when(at == 0, "").when(inline != "", inline).otherwise(F.coalesce(following, F.lit("")))
 
 
+def label_values(docs: DataFrame, key: str, labels: dict[str, str], stops: tuple[str, ...] = (), reach: int = 4, whole: tuple[str, ...] = (), c: str = "text") -> DataFrame:
+    """key, label, value: what stands behind each label of a document or below it, by look-ahead frames over its lines.
+
+    labels: name -> normalized prefix of a line. A label's own line counts first: what follows its
+    colon, else its words beyond the label, unless that is a label again. Otherwise the next line, up
+    to a stop (a line that begins with one of the labels or stops, or with a number and a dot), and
+    for labels in whole all lines up to it, reach lines at most. The first line of a label with a
+    value counts; labels without a value have no row. Lines are those that are not empty.
+    """
+    rows = exploded_lines(docs, key, c).withColumn("folded", normalize("line"))
+    starts = lambda prefixes: F.exists(F.array(*map(F.lit, prefixes)).cast("array<string>"), lambda p: F.col("folded").startswith(p))
+    rows = rows.withColumn("stop", starts((*labels.values(), *stops)) | F.col("line").rlike(r"\A[0-9]+[.)]\s"))
+    ahead = W.partitionBy(key).orderBy("pos").rowsBetween(1, reach)
+    rows = rows.withColumn("next", F.collect_list(F.struct("line", "stop")).over(ahead))
+    each = rows.withColumn("label", F.explode(F.array_compact(F.array(*(F.when(F.col("folded").startswith(p), F.struct(F.lit(n).alias("name"), F.lit(len(p.split())).alias("words"))) for n, p in labels.items())))))
+    after = F.trim(F.regexp_extract("line", r"\A[^:\-–—]*[:\-–—]\s*(.*)\z", 1))
+    beyond = F.array_join(F.slice(F.split("line", r"\s+"), F.col("label.words") + 1, F.lit(1 << 20)), " ")
+    own = F.when(after != "", after).otherwise(F.trim(beyond))
+    own = F.when(normalize(own).isin(*labels.values()), "").otherwise(own)
+    until = F.aggregate("next", F.struct(F.lit(False).alias("over"), F.array().cast("array<string>").alias("lines")), lambda s, x: F.struct((s["over"] | x["stop"]).alias("over"), F.when(s["over"] | x["stop"], s["lines"]).otherwise(F.array_append(s["lines"], x["line"])).alias("lines")))["lines"]
+    taken = F.when(F.col("label.name").isin(*whole), until).otherwise(F.slice(until, 1, 1)) if whole else F.slice(until, 1, 1)
+    value = F.when(own != "", compact(own)).otherwise(compact(F.array_join(taken, " ")))
+    found = each.select(key, F.col("label.name").alias("label"), "pos", value.alias("value")).where("value <> ''")
+    return found.groupBy(key, "label").agg(F.min_by("value", "pos").alias("value"))
+
+
 def answers(c: Column | str, questions: dict[str, str]) -> Column:
     """Map question -> text between its marker and the next marker; questions: name -> Java pattern on folded lower-case text."""
 

@@ -7,6 +7,8 @@ diagnosis (struct), trainings (array of struct name, hours, start, end, kind), t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,7 @@ from ..functions.cleaners import is_alias_file, is_true, is_useful_plan, teacher
 from ..functions.codes import is_plan_code, period_of
 from ..functions.quality import text_quality, value_score
 from ..functions.text import clean, normalize, text
-from .groups import per_group
+from .groups import per_group_stream
 from .linkage import canonical_match
 from .processing import CAREERS, TRAINING, evaluated_plans
 from .records import consolidated_all, edit_ratio
@@ -92,33 +94,45 @@ def merged(a: dict, b: dict) -> dict:
         out |= {k: other[k] for k in ("code", "valid", "of_code")}
     out["period"] = lead["period"] or out["of_code"] or other["period"]
     out["rows"] = merged_rows(lead["rows"], other["rows"], locked)
-    for k in ("theory", "practice", "files"):
+    for k in ("theory", "practice"):
         out[k] = united(lead[k], other[k])
     return out | {"manual": lead["manual"] or other["manual"], "n_records": a["n_records"] + b["n_records"]}
 
 
+def matchable(records: DataFrame, *more: str) -> DataFrame:
+    """What consolidation compares of records; more: columns to carry along."""
+    keyed = records.withColumns({"career": F.coalesce("career", F.lit("")), "alias": is_alias_file("file_name")})
+    return keyed.withColumn("trainings", F.transform("trainings", lambda t: training_name(t["name"]))).select("id", "seq", "hash", "code", "period", "name", "career", "trainings", "alias", *more)
+
+
 def merged_plans(records: DataFrame) -> DataFrame:
-    """One record for each group of duplicates, under the id of the first: the records' columns, files (names of all) and n_records.
+    """One record for each group of duplicates, under the id of the first: the records' columns, files (names of all), merged_ids (those of all) and n_records.
 
     Duplicates are found by :func:`records.consolidated_all`; the records of one group are merged in
-    order. A group is bounded by how often one document was read.
+    order, one after another: a task holds one record of a group, however often a document was read.
     """
-    keyed = records.withColumns({"career": F.coalesce("career", F.lit("")), "alias": is_alias_file("file_name")})
-    found = consolidated_all(keyed.withColumn("trainings", F.transform("trainings", lambda t: training_name(t["name"]))).select("id", "seq", "hash", "code", "period", "name", "career", "trainings", "alias"))
+    return merged_by(records, consolidated_all(matchable(records)))
+
+
+def merged_by(records: DataFrame, found: DataFrame) -> DataFrame:
+    """As :func:`merged_plans`, for groups that are known: found (id, kept_id)."""
     rows = _prepared(records).join(found, "id")
+    id_type = records.schema["id"].dataType
     kind = T._parse_datatype_string(f"manual boolean, {', '.join(f'{k} string' for k in NAMED)}, code string, period string, diagnosis struct<{','.join(f'{k}:string' for k in DIAGNOSIS)}>, trainings {TRAINING}, theory array<string>, practice array<string>, files array<string>, n_records int")
 
-    def folded(group: list[dict]) -> list[dict]:
-        out = None
+    def folded(group: Iterator[dict]) -> Iterator[dict]:
+        out, files, ids = None, {}, []
         for r in group:
-            r = dict(r, n_records=1, files=[{"v": r["file"], "key": r["file_key"]}])
+            files.setdefault(r["file_key"], r["file"])
+            ids.append(r["id"])
+            r = dict(r, n_records=1)
             out = r if out is None else merged(out, r)
         named = {k: x["v"] for k, x in out["values"].items()}
         trainings = [{**{k: t[k]["v"] for k in ROW}, "hours": t["hours"]} for t in out["rows"]]
-        lists = {k: [x["v"] for x in united(out[k])] for k in ("theory", "practice", "files")}
-        return [{"id": out["id"], **{k: out[k] for k in ("manual", "code", "period", "n_records")}, **{k: named[k] for k in NAMED}, "diagnosis": {k: named[k] for k in DIAGNOSIS}, "trainings": trainings, **lists}]
+        lists = {k: [x["v"] for x in united(out[k])] for k in ("theory", "practice")} | {"files": [v for k, v in files.items() if k]}
+        yield {"id": out["id"], "merged_ids": ids, **{k: out[k] for k in ("manual", "code", "period", "n_records")}, **{k: named[k] for k in NAMED}, "diagnosis": {k: named[k] for k in DIAGNOSIS}, "trainings": trainings, **lists}
 
-    return per_group(rows, ["kept_id"], ["seq"], folded, T.StructType([records.schema["id"], *kind.fields]))
+    return per_group_stream(rows, ["kept_id"], ["seq"], folded, T.StructType([T.StructField("id", id_type), *kind.fields, T.StructField("merged_ids", T.ArrayType(id_type))]))
 
 
 def upserted_plans(store: DataFrame, batch: DataFrame) -> DataFrame:
@@ -178,10 +192,13 @@ def corrected_agreements(store: DataFrame, edits: DataFrame, options: DataFrame)
     return out.select("id", *(F.when(F.col("edited"), F.col(f"n_{k}")).otherwise(F.col(k)).alias(k) for k in fields))
 
 
-def stored_plans(records: DataFrame, as_of_year: int) -> DataFrame:
-    """The records of a store merged and evaluated as they stand: issues, confidence, status and detail; what holds neither a plan's data nor a correction by hand is NO_ES_PLAN."""
-    out = merged_plans(records)
+def stored_evaluation(records: DataFrame, as_of_year: int) -> DataFrame:
+    """Records of a store evaluated as they stand: issues, confidence, status and detail; what holds neither a plan's data nor a correction by hand is NO_ES_PLAN."""
     useful = is_useful_plan(F.col("name"), F.col("career"), F.array(*(F.col(f"diagnosis.{k}") for k in DIAGNOSIS)), F.col("trainings"))
-    code = is_plan_code("code")
-    about = {"template": F.when(code, "MODERNA").otherwise("DESCONOCIDA"), "expected_rows": F.size("trainings"), "engines": F.lit(1), "signal": F.lit(0), "useful": useful | F.col("manual")}
-    return evaluated_plans(out.withColumns(about), as_of_year)
+    about = {"template": F.when(is_plan_code("code"), "MODERNA").otherwise("DESCONOCIDA"), "expected_rows": F.size("trainings"), "engines": F.lit(1), "signal": F.lit(0), "useful": useful | F.coalesce("manual", F.lit(False))}
+    return evaluated_plans(records.drop("issues", "confidence", "status", "detail").withColumns(about), as_of_year)
+
+
+def stored_plans(records: DataFrame, as_of_year: int) -> DataFrame:
+    """The records of a store merged and evaluated (:func:`stored_evaluation`)."""
+    return stored_evaluation(merged_plans(records), as_of_year)

@@ -206,13 +206,51 @@ def processed_plans(readings: DataFrame, as_of_year: int, least: int = 80, regio
 
     regions: as :func:`with_regions` takes them; corners: as :func:`code_sources` does.
     """
+    good, found = _read(readings, least, regions)
+    return _decided(found, code_sources(good, corners), as_of_year)
+
+
+def _read(readings: DataFrame, least: int, regions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Readings of text enough, and their candidates, written: texts are parsed once for all the votes."""
     good = readings.where(F.length(F.trim(text("text"))) >= least).withColumn("region_text", text("region_text"))
     found = candidates(good)
-    found = materialize(found if regions is None else with_regions(found, regions), "candidates")  # texts are parsed once for all the votes
-    records = materialize(consensus_plans(found, header_codes(code_sources(good, corners))), "consensus")
+    return good, materialize(found if regions is None else with_regions(found, regions), "candidates")
+
+
+def _decided(found: DataFrame, sources: DataFrame, as_of_year: int) -> DataFrame:
+    """Validated records out of candidates and the sources of their codes."""
+    records = materialize(consensus_plans(found, header_codes(sources)), "consensus")
     return with_fallback(evaluated_plans(records, as_of_year))
 
 
+def twice_processed_plans(readings: DataFrame, second: DataFrame, as_of_year: int, least: int = 80, regions: DataFrame | None = None, corners: DataFrame | None = None) -> DataFrame:
+    """As :func:`processed_plans`, then once more for the documents that need another engine, with the second readings beside the first ones; column reread says which.
+
+    second: readings as the first, of any documents, whose seq comes after theirs. Only those of
+    documents that the first readings leave in doubt, or say nothing of, are parsed; the candidates of
+    the first readings are used again as they were written. A second reading of too little text
+    leaves the record as it is.
+    """
+    good, found = _read(readings, least, regions)
+    first = materialize(_decided(found, code_sources(good, corners), as_of_year), "first-records")
+    doubtful = second.join(first.where(~F.col("fallback")).select("doc_id"), "doc_id", "left_anti")
+    again, more = _read(doubtful, least)
+    ids = more.select("doc_id").distinct()
+    both = found.join(ids, "doc_id", "left_semi").unionByName(more)
+    sources = code_sources(good.join(ids, "doc_id", "left_semi").unionByName(again.select(good.columns)), corners)
+    renewed = _decided(both, sources.join(ids, "doc_id", "left_semi"), as_of_year)
+    kept = first.join(ids, "doc_id", "left_anti").withColumn("reread", F.lit(False))
+    return kept.unionByName(renewed.withColumn("reread", F.lit(True)))
+
+
+def structured_readings(readings: DataFrame, regions: DataFrame) -> DataFrame:
+    """Readings of an OCR engine once more, as OCR_ESTRUCTURADO: only the texts of the page's regions (doc_id, code_text, table_text, activities_text, impact_text, vision_text), or all of the text where it has none."""
+    parts = ("code_text", "table_text", "activities_text", "impact_text", "vision_text")
+    joined = F.array_join(F.filter(F.array(*(text(p) for p in parts)), lambda x: F.trim(x) != ""), "\n\n")
+    out = readings.join(regions.select("doc_id", joined.alias("_regions")), "doc_id", "left")
+    return out.withColumns({"text": F.coalesce(F.nullif("_regions", F.lit("")), F.col("text")), "engine": F.lit("OCR_ESTRUCTURADO"), "seq": F.col("seq") + 1}).select(readings.columns)
+
+
 # --- what page regions add, agreements, the simple evaluation of earlier versions ---
 
 # Phrases of an agreement and what they add to the signal that a text is one.

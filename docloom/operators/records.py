@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import tee
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,11 +15,13 @@ from ..functions.quality import text_quality, value_score
 from ..functions.similarity import edit_ratio_of_keys
 from ..functions.text import clean, normalize
 from .graph import components
-from .groups import per_group
+from .groups import per_group_stream
 
 # Weights of the duplicate score and its threshold.
 NAME, CAREER, TRAINING = 0.5, 0.2, 0.3
 DUPLICATE = 0.93
+#: The name ratio that a score of 0.93 needs, the other terms being 1.
+SIMILAR_NAME = 0.86
 ALIAS_SCORE, ALIAS_NAME, ALIAS_CAREER, ALIAS_TRAINING = 0.95, 0.96, 0.9, 0.72
 
 
@@ -76,18 +81,28 @@ def update_by_id(store: DataFrame, changes: DataFrame, fields: list[str]) -> Dat
 # --- ordered consolidation: a fold whose order matters, inside blocks that cannot touch each other ---
 
 
-def edit_ratio(a: str, b: str) -> float:
-    """The edit ratio of two normalized texts, as functions.similarity has it."""
+def edit_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The edit ratio of two normalized texts, as functions.similarity has it; 0 if it is below the least that counts, which is found out early."""
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
+    longest = max(len(a), len(b))
+    most = int((1.0 - least) * longest + 1e-9)  # edits
+    if abs(len(a) - len(b)) > most:
+        return 0.0
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return max(0.0, 1.0 - row[-1] / max(len(a), len(b)))
+        # cells further from the diagonal than the edits allowed can't lie on a path that counts
+        low, high = max(1, i - most), min(len(b), i + most)
+        last, row[low - 1] = row[low - 1], i if low == 1 else most + 1
+        for j in range(low, high + 1):
+            up = row[j] if j < i + most else most + 1
+            last, row[j] = up, min(up + 1, row[j - 1] + 1, last + (x != b[j - 1]))
+        if min(row[low - 1 : high + 1]) > most:
+            return 0.0
+    ratio = max(0.0, 1.0 - row[-1] / longest)
+    return ratio if ratio >= least - 1e-9 else 0.0
 
 
 def duplicate_score(a: dict, b: dict) -> float:
@@ -96,7 +111,10 @@ def duplicate_score(a: dict, b: dict) -> float:
         return float(a["code"] == b["code"])
     if a["period"] and b["period"] and a["period"] != b["period"]:
         return 0.0
-    name, career = edit_ratio(a["name"], b["name"]), edit_ratio(a["career"], b["career"])
+    name = edit_ratio(a["name"], b["name"], SIMILAR_NAME)
+    if not name:
+        return 0.0  # no score that counts
+    career = edit_ratio(a["career"], b["career"])
     left, right = a["trainings"], b["trainings"]
     training = sum(max(edit_ratio(x, y) for y in right) for x in left) / len(left) if len(left) and len(right) else 0.0
     if (a["alias"] or b["alias"]) and name >= ALIAS_NAME and career >= ALIAS_CAREER and training >= ALIAS_TRAINING:
@@ -110,10 +128,14 @@ def exact_match(a: dict, b: dict) -> bool:
     return bool(a["code"]) and a["code"] == b["code"] and (a["valid"] == b["valid"]) and "PRO-251" in a["code"]
 
 
-def fold(records: list[dict]) -> list[int]:
+def fold(records: Iterable[dict]) -> list[int]:
+    """:func:`folding` of records that are all at hand."""
+    return list(folding(records))
+
+
+def folding(records: Iterable[dict]) -> Iterator[int]:
     """For each record, in order, the number of the output record it goes to: the first exact match, else the best score of 0.93 or more, else a new one. A record that joins lends its code, period and trainings where these are missing."""
     out: list[dict] = []
-    of = []
     by: dict[tuple, set[int]] = {}  # outputs by hash and by code: exact matches need no pass over all outputs
     names = lambda r: [("hash", r["hash"])] * bool(r["hash"]) + [("code", r["code"], bool(r["valid"]))] * ("PRO-251" in r["code"])
     for r in records:
@@ -138,8 +160,29 @@ def fold(records: list[dict]) -> list[int]:
                 o["trainings"] = r["trainings"]
         for name in names(out[at]):
             by.setdefault(name, set()).add(at)
-        of.append(at)
-    return of
+        yield at
+
+
+def name_pieces(named: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """named (column name, normalized) with column piece: pieces of each name, one of which any similar name holds unchanged.
+
+    Longer names are cut into three more, of which the edits leave three more unchanged: the three
+    most common ones are left out. known: (piece, times) of pieces elsewhere, which count, too.
+    """
+    edits = F.ceil(F.length("name") * (1 - SIMILAR_NAME) / SIMILAR_NAME).cast("int") + 1
+    spare = F.when(F.length("name") >= 3 * (edits + 4), 3).otherwise(0)
+    size = F.greatest(F.lit(1), F.floor(F.length("name") / (edits + 1 + spare))).cast("int")  # 6 at most
+    cut = named.select("*", size.alias("size"), spare.alias("spare"), F.explode(F.sequence(F.lit(0), edits + spare)).alias("i")).withColumn("piece", F.expr("substring(name, i * size + 1, size)")).where("piece <> ''")
+    own = cut.select("piece", F.lit(1).cast("long").alias("times"))
+    times = (own if known is None else own.unionByName(known.select("piece", F.col("times").cast("long").alias("times")))).groupBy("piece").agg(F.sum("times").alias("times"))
+    ranked = cut.join(times, "piece").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("times"), "i")))
+    return ranked.where("r > spare").select(*named.columns, "piece").distinct()
+
+
+def name_grams(named: DataFrame) -> DataFrame:
+    """named with column piece: all parts of one to six characters of each name."""
+    parts = "array_distinct(flatten(transform(sequence(1, least(6, length(name))), s -> transform(sequence(1, length(name) - s + 1), i -> substring(name, i, s)))))"
+    return named.select("*", F.explode(F.expr(parts)).alias("piece"))
 
 
 def blocked(records: DataFrame) -> DataFrame:
@@ -152,17 +195,10 @@ def blocked(records: DataFrame) -> DataFrame:
     keyed = records.select("id", "seq", "hash", "code", normalize("name").alias("name"))
     equal = [keyed.where(F.col(c) != "").select("id", "seq", c) for c in ("hash", "code")]
     pairs = [e.toDF("a", "sa", "k").join(e.toDF("b", "sb", "k"), "k").where("sa < sb").select("a", "b") for e in equal]
-    edits = F.ceil(F.length("name") * 0.14 / 0.86).cast("int") + 1
     named = keyed.where("name <> ''")
-    # longer names are cut into three more, of which the edits leave three more unchanged: the three most common ones are not looked up
-    spare = F.when(F.length("name") >= 3 * (edits + 4), 3).otherwise(0)
-    size = F.greatest(F.lit(1), F.floor(F.length("name") / (edits + 1 + spare))).cast("int")  # 6 at most
-    cut = named.select("id", "seq", "name", size.alias("size"), spare.alias("spare"), F.explode(F.sequence(F.lit(0), edits + spare)).alias("i")).select("id", "seq", "name", "spare", "i", F.expr("substring(name, i * size + 1, size)").alias("piece")).where("piece <> ''")
-    cut = cut.join(cut.groupBy("piece").agg(F.count("*").alias("times")), "piece").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("times"), "i"))).where("r > spare").select("id", "seq", "name", "piece").distinct()
-    parts = "array_distinct(flatten(transform(sequence(1, least(6, length(name))), s -> transform(sequence(1, length(name) - s + 1), i -> substring(name, i, s)))))"
-    grams = named.select("id", "seq", "name", F.explode(F.expr(parts)).alias("piece"))
-    near = cut.toDF("a", "sa", "na", "piece").join(grams.toDF("b", "sb", "nb", "piece"), "piece").where("a <> b").select("a", "b", "sa", "sb", "na", "nb").distinct()
-    near = near.where(edit_ratio_of_keys(F.col("na"), F.col("nb")) >= 0.86)
+    cut, grams = name_pieces(named), name_grams(named)
+    near = cut.select(F.col("id").alias("a"), F.col("seq").alias("sa"), F.col("name").alias("na"), "piece").join(grams.select(F.col("id").alias("b"), F.col("seq").alias("sb"), F.col("name").alias("nb"), "piece"), "piece").where("a <> b").select("a", "b", "sa", "sb", "na", "nb").distinct()
+    near = near.where(edit_ratio_of_keys(F.col("na"), F.col("nb")) >= SIMILAR_NAME)
     near = near.select(F.when(F.col("sa") < F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("sa") < F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("b"))
     return pairs[0].union(pairs[1]).union(near).distinct()
 
@@ -174,25 +210,35 @@ def consolidated(records: DataFrame, block: str = "block") -> DataFrame:
     """
     rows = records.select("id", "seq", block, F.coalesce("hash", F.lit("")).alias("hash"), clean("code").alias("code"), clean("period").alias("period"), normalize("name").alias("name"), normalize("career").alias("career"), F.transform("trainings", normalize).alias("trainings"), is_plan_code("code").alias("valid"), F.coalesce("alias", F.lit(False)).alias("alias"))
 
-    def folded(found: list[dict]) -> list[dict]:
+    def folded(found: Iterator[dict]) -> Iterator[dict]:
         first: dict[int, object] = {}
-        return [{"id": r["id"], "kept_id": first.setdefault(at, r["id"])} for r, at in zip(found, fold(found))]
+        rows, copies = tee(found)  # one row apart at most
+        return ({"id": r["id"], "kept_id": first.setdefault(at, r["id"])} for r, at in zip(rows, folding(copies)))
 
     kind = records.schema["id"].dataType
-    return per_group(rows, [block], ["seq"], folded, T.StructType([T.StructField("id", kind), T.StructField("kept_id", kind)]))
+    return per_group_stream(rows, [block], ["seq"], folded, T.StructType([T.StructField("id", kind), T.StructField("kept_id", kind)]))
+
+
+def match_keys(records: DataFrame) -> DataFrame:
+    """id, and the keys whose equality makes records candidates of one another: hash, code, name ('' where there is none)."""
+    return records.select("id", F.coalesce("hash", F.lit("")).alias("hash"), clean("code").alias("code"), normalize("name").alias("name"))
+
+
+def possible_links(records: DataFrame) -> DataFrame:
+    """(a, b) whose components are those of all pairs that could match: equal hashes, codes and names tied to their least id; only distinct names are compared."""
+    keyed = match_keys(records)
+    least = {c: keyed.where(F.col(c) != "").groupBy(c).agg(F.min("id").alias("b")) for c in ("hash", "code", "name")}
+    edges = [keyed.join(least[c], c).select(F.col("id").alias("a"), "b") for c in least]
+    names = least["name"].select(F.col("b").alias("id"), F.col("b").alias("seq"), F.lit("").alias("hash"), F.lit("").alias("code"), "name")
+    return edges[0].union(edges[1]).union(edges[2]).union(blocked(names))
 
 
 def consolidated_all(records: DataFrame) -> DataFrame:
     """id, kept_id: the ordered fold over all records (unique ids; columns as for consolidated, without block).
 
     Records are folded inside the connected components of the pairs that could match. What an output
-    borrows comes from records of its component, so no match crosses components. Equal hashes, codes and names are
-    tied to their least id; only distinct names are compared.
+    borrows comes from records of its component, so no match crosses components.
     """
-    keyed = records.select("id", F.coalesce("hash", F.lit("")).alias("hash"), clean("code").alias("code"), normalize("name").alias("name"))
-    least = {c: keyed.where(F.col(c) != "").groupBy(c).agg(F.min("id").alias("b")) for c in ("hash", "code", "name")}
-    edges = [keyed.join(least[c], c).select(F.col("id").alias("a"), "b") for c in least]
-    names = least["name"].select(F.col("b").alias("id"), F.col("b").alias("seq"), F.lit("").alias("hash"), F.lit("").alias("code"), "name")
-    of = components(edges[0].union(edges[1]).union(edges[2]).union(blocked(names)))
+    of = components(possible_links(records))
     rows = records.join(of.select(F.col("node").alias("id"), "comp"), "id", "left")
     return consolidated(rows.withColumn("block", F.coalesce("comp", "id")).drop("comp"))

@@ -43,6 +43,16 @@ def summary(rows: DataFrame, items: str | None = None, extra: dict[str, Column]
     return rows.agg(*figures, *(n(c).alias(name) for name, c in (extra or {}).items()))
 
 
+def multi_level_figures(rows: DataFrame, levels: list[str], figures: dict[str, Column], grouping_sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """Key figures of every level in one pass: levels, grouping_id (a bit for each level that is summed over, the first level's the highest) and figures (aggregates by name, distinct counts included).
+
+    By default levels roll up from the last to the first and to all; grouping_sets names others. A null
+    of a level is told from a sum over it by grouping_id alone. Without rows there is the total only.
+    """
+    grouped = rows.rollup(*levels) if grouping_sets is None else rows.groupingSets([[F.col(c) for c in s] for s in grouping_sets], *levels)
+    return grouped.agg(F.grouping_id().alias("grouping_id"), *(v.alias(k) for k, v in figures.items())).select(*levels, F.col("grouping_id").cast("long").alias("grouping_id"), *figures)
+
+
 def review_tile(figures: DataFrame) -> DataFrame:
     """The tiles of the start page; the one for review counts failures, too."""
     return figures.withColumn("review_tile", F.col("review") + F.col("failed"))
