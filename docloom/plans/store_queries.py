@@ -11,6 +11,7 @@ from ..operators import incremental as I
 from ..operators import migration as G
 from ..operators import processing as P
 from ..operators import search_index as S
+from ..operators import suggestions as R
 from ..operators import views as V
 from ..operators.validation import DIAGNOSIS
 from ..shared import spread
@@ -116,6 +117,29 @@ PATH_CORRECTIONS = """SELECT c_custkey AS id, CASE WHEN e THEN 'Redes/' || (c_cu
  CASE WHEN e THEN '2025-12' ELSE '' END AS period, CASE WHEN e THEN c_mktsegment ELSE 'r' END AS kind, CASE WHEN e THEN 'uno;' || c_custkey ELSE 'hacer' END AS practice, e AS manual, CASE WHEN e THEN 6 ELSE 0 END::INTEGER AS n_edits, CASE WHEN e THEN 'docente.edad' ELSE '' END AS rejected,
  CASE WHEN e THEN 5 ELSE 3 END::INTEGER AS n_issues FROM (SELECT *, c_custkey % 4 = 0 AS e FROM customer)"""
 
+def row_suggestions(spark, d):
+    """Suggested values for plans some of whose cells are empty or wrong."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer")
+    row = lambda name, hours, start: F.struct(name.alias("name"), hours.cast("double").alias("hours"), start.alias("start"), F.lit("").alias("end"), F.lit("Taller").alias("kind"))
+    issue = lambda path, when: F.when(when, F.struct(F.lit(path).alias("path"), F.lit("error").alias("severity")))
+    records = c.select(k.alias("id"), F.col("c_name").alias("name"), F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("career"), F.struct(*(F.lit("r").alias(q) for q in DIAGNOSIS)).alias("diagnosis"),
+                       F.slice(F.array(row(F.lit("Redes"), k % 3, F.lit("")), row(F.lit("Salud"), F.lit(8), F.lit("mayo"))), F.lit(1), (k % 3).cast("int")).alias("trainings"), F.array(F.lit("leer")).alias("theory"), F.array().cast("array<string>").alias("practice"), F.lit("v").alias("vision"),
+                       F.array_compact(F.array(issue("docente.nombre", k % 5 == 0), issue("capacitaciones.1.horas", k % 7 == 0), issue("capacitaciones.0.actividades_teoricas", k % 4 == 0))).alias("issues"))
+    offered = F.array(row(F.lit("Nueva"), F.lit(40), F.lit("enero")), row(F.lit("Otra"), k % 50 + 10, F.lit("junio")))
+    suggestions = c.where("c_custkey % 6 <> 1").select(k.alias("id"), F.concat(F.lit("Docente "), k.cast("string")).alias("name"), F.lit("Derecho").alias("career"), offered.alias("trainings"), F.array(F.lit("ver")).alias("theory"), F.array(F.lit("armar")).alias("practice"))
+    out = R.with_suggestions(records, suggestions)
+    shown = F.transform("trainings", lambda t: F.concat_ws("/", t["name"], t["hours"].cast("int").cast("string"), t["start"]))
+    return out.select("id", "name", "career", F.array_join(shown, ";").alias("trainings"), F.array_join("theory", ";").alias("theory"), F.array_join("practice", ";").alias("practice"), F.size("taken").alias("n_taken"))
+
+
+# rows: none, one whose start is empty, or two, of which the second may have a problem with its hours
+ROW_SUGGESTIONS = """WITH c AS (SELECT *, c_custkey % 6 <> 1 AS s, c_custkey % 3 AS n FROM customer)
+SELECT c_custkey AS id, CASE WHEN s AND c_custkey % 5 = 0 THEN 'Docente ' || c_custkey ELSE c_name END AS name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment WHEN s THEN 'Derecho' ELSE '' END AS career,
+ CASE WHEN n = 0 AND s THEN 'Nueva/40/enero;Otra/' || (c_custkey % 50 + 10) || '/junio' WHEN n = 0 THEN '' ELSE 'Redes/' || n || '/' || CASE WHEN s THEN 'enero' ELSE '' END || CASE WHEN n = 2 THEN ';Salud/' || CASE WHEN s AND c_custkey % 7 = 0 THEN c_custkey % 50 + 10 ELSE 8 END || '/mayo' ELSE '' END END AS trainings,
+ CASE WHEN s AND c_custkey % 4 = 0 THEN 'ver' ELSE 'leer' END AS theory, CASE WHEN s THEN 'armar' ELSE '' END AS practice,
+ (CASE WHEN s THEN 2 + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN n = 2 AND c_custkey % 7 = 0 THEN 1 ELSE 0 END ELSE 0 END)::INTEGER AS n_taken FROM c"""
+
 # --- search, labels, figures ---
 
 
@@ -165,6 +189,7 @@ QUERIES = {
     "store_migration": (store_migration, STORE_MIGRATION),
     "second_reading": (second_reading, SECOND_READING),
     "path_corrections": (path_corrections, PATH_CORRECTIONS),
+    "row_suggestions": (row_suggestions, ROW_SUGGESTIONS),
     "substring_index": (substring_index, SUBSTRING_INDEX),
     "label_look_ahead": (label_look_ahead, LABEL_LOOK_AHEAD),
     "figures_by_level": (figures_by_level, FIGURES_BY_LEVEL),

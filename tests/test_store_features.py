@@ -6,7 +6,7 @@ import random
 import pytest
 from test_processing import FORM, PLAN, plan
 
-from docloom.operators import changes, corrections, extraction, incremental, merging, migration, processing, records, search_index, views
+from docloom.operators import changes, corrections, extraction, incremental, merging, migration, processing, records, search_index, suggestions, validation, views
 
 CODE = "UGPA-RGI1-44-PRO-251-2025-12"
 READING = "doc_id long, engine string, seq int, text string, file_name string, region_text string"
@@ -207,3 +207,28 @@ def test_multi_level_figures(spark):
     assert got == {("a", "x", 0): (1, 1), ("a", None, 0): (1, 1), ("b", "x", 0): (1, 1), (None, "x", 0): (1, 1), ("a", None, 1): (2, 2), ("b", None, 1): (1, 1), (None, None, 1): (1, 1), (None, None, 3): (4, 3)}
     by = views.multi_level_figures(rows, ["state", "career"], {"n": F.count("*")}, [("state",), ("career",)])
     assert sorted((r["grouping_id"], r["n"]) for r in by.collect()) == [(1, 1), (1, 1), (1, 2), (2, 1), (2, 3)]
+
+
+def test_suggestions_fill_what_is_empty_or_wrong(spark):
+    diagnosis = ["r"] * 7
+    diagnosis[-1] = "Específica 3. Evaluaciones de capacitación"
+    rows = [
+        plan("a", 0, name="Persona confirmada", career="Derecho", code="UGPA-RGI1-04-PRO-251-2025-10", period="2025-10", diagnosis=tuple(diagnosis), trainings=[("Curso confirmado", 0.0, "", "", ""), ("Otro", 5.0, "x", "y", "z")]),
+        plan("b", 1, trainings=[]), plan("c", 2, trainings=None), plan("d", 3),
+    ]
+    problems = [("docente.codigo_documento", "error"), ("diagnostico.tipo_formacion", "error"), ("capacitaciones.0.horas", "error"), ("capacitaciones.0.actividades_teoricas", "error"), ("docente.carrera", "warning")]
+    issue = "issues array<struct<path:string,severity:string>>"
+    records_ = spark.createDataFrame([(*r, problems if r[0] == "a" else []) for r in rows], f"{PLAN}, {issue}")
+    offered = ("Nombre propuesto", 40.0, "octubre de 2025", "noviembre de 2025", "Aprobación")
+    schema = f"id string, name string, career string, code string, diagnosis struct<{','.join(f'{k}:string' for k in validation.DIAGNOSIS)}>, trainings {processing.TRAINING}, theory array<string>, practice array<string>, vision string"
+    given = [
+        ("a", "Nombre propuesto", "Otra", "UGPA-RGI1-44-PRO-251-2025-10", tuple([None] * 6 + ["Específica"]), [offered, ("n", 9.0, "", "", "")], [" Fundamentos ", ""], [], " "),
+        ("b", None, None, None, None, [offered], None, ["hacer"], "crecer"), ("c", "", None, None, None, None, None, None, None), ("zz", "x", None, None, None, None, None, None, None),
+    ]
+    out = {r["id"]: r for r in suggestions.with_suggestions(records_, spark.createDataFrame(given, schema)).collect()}
+    a, b = out["a"], out["b"]
+    assert (a["name"], a["career"], a["code"], a["diagnosis"]["tipo_formacion"], a["theory"], a["practice"], a["vision"]) == ("Persona confirmada", "Derecho", "UGPA-RGI1-44-PRO-251-2025-10", "Específica", ["Fundamentos"], [], "")
+    assert [tuple(t) for t in a["trainings"]] == [("Curso confirmado", 40.0, "octubre de 2025", "noviembre de 2025", "Aprobación"), ("Otro", 5.0, "x", "y", "z")]
+    assert a["taken"] == ["docente.codigo_documento", "diagnostico.tipo_formacion", "detalles_plan.actividades_teoricas", "capacitaciones.0.horas", "capacitaciones.0.fecha_inicio_propuesta", "capacitaciones.0.fecha_fin_propuesta", "capacitaciones.0.tipo"]
+    assert [tuple(t) for t in b["trainings"]] == [offered] and b["practice"] == ["hacer"] and b["taken"] == ["detalles_plan.vision_largo_plazo", "detalles_plan.actividades_practicas", "capacitaciones"]
+    assert out["c"]["taken"] == out["d"]["taken"] == [] and set(out) == set("abcd")
