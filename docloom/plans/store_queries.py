@@ -15,6 +15,7 @@ from ..operators import suggestions as R
 from ..operators import views as V
 from ..operators.validation import DIAGNOSIS
 from ..shared import spread
+from ..streaming import readings as D
 from .common import table
 from .process_queries import _FORM, _MERGED, _flat, _supplier_plans
 
@@ -183,6 +184,20 @@ def figures_by_level(spark, d):
 FIGURES_BY_LEVEL = """SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus, o_orderpriority)::BIGINT AS grouping_id, count(*) AS n, count(DISTINCT o_custkey) AS customers, count(CASE WHEN o_totalprice > 200000 THEN 1 END) AS large
 FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"""
 
+
+
+def stream_readings(spark, d):
+    """Events as a stream of readings: what each user's kinds of events said last, and how many distinct ones there were."""
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    readings = events.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("engine"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("props").alias("value"))
+    return D.kept(D.documents(readings), "stream-readings")
+
+
+STREAM_READINGS = """WITH r AS (SELECT user_id AS doc_id, event_type AS engine, epoch_us(ts) AS at_, coalesce(props, '') AS value FROM events),
+n AS (SELECT doc_id, count(*) AS n_readings FROM (SELECT DISTINCT * FROM r) GROUP BY doc_id),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, engine ORDER BY at_ DESC, value DESC) = 1)
+SELECT doc_id, engine, at_ AS at, value, n_readings FROM l JOIN n USING (doc_id)"""
+
 QUERIES = {
     "incremental_consolidation": (incremental_consolidation, _MERGED),
     "audit_log": (audit_log, AUDIT_LOG),
@@ -192,5 +207,6 @@ QUERIES = {
     "row_suggestions": (row_suggestions, ROW_SUGGESTIONS),
     "substring_index": (substring_index, SUBSTRING_INDEX),
     "label_look_ahead": (label_look_ahead, LABEL_LOOK_AHEAD),
+    "stream_readings": (stream_readings, STREAM_READINGS),
     "figures_by_level": (figures_by_level, FIGURES_BY_LEVEL),
 }

@@ -7,6 +7,7 @@ import pytest
 from test_processing import FORM, PLAN, plan
 
 from docloom.operators import changes, corrections, extraction, incremental, merging, migration, processing, records, search_index, suggestions, validation, views
+from docloom.streaming import readings
 
 CODE = "UGPA-RGI1-44-PRO-251-2025-12"
 READING = "doc_id long, engine string, seq int, text string, file_name string, region_text string"
@@ -132,6 +133,29 @@ def test_second_readings(spark):
     assert {(r["doc_id"], r["engine"], r["seq"], r["text"][:60]) for r in processing.structured_readings(again.where("doc_id in (2, 3)"), regions).collect()} == {(2, "OCR_ESTRUCTURADO", 11, f"{CODE}\n\ntabla\n\nfin"), (3, "OCR_ESTRUCTURADO", 11, second[2][3][:60])}
 
 
+def test_stream_equals_a_batch_in_any_order_of_arrival(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, 3, 4, None]), rng.choice(["A", "B", None]), rng.randrange(50), rng.choice(["x", "y", None, "é"])) for _ in range(120)]
+    schema = "doc_id long, engine string, at long, value string"
+    latest, seen = {}, {}
+    for i, e, at, v in rows:
+        k, x = (i, e or ""), (at, v or "")
+        latest[k] = max(latest.get(k, x), x)
+        seen.setdefault(i, set()).add((e or "", *x))
+    want = sorted(((i, e, *x, len(seen[i])) for (i, e), x in latest.items()), key=repr)
+    for order in range(2):
+        rng.shuffle(rows)
+        folder = tmp_path / f"in{order}"
+        for n in range(4):  # files come one after another, some of their readings twice
+            spark.createDataFrame([*rows[n * 30 : n * 30 + 30], *rows[:5]], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        got = readings.kept(readings.documents(stream), "test-stream").collect()
+        assert sorted((tuple(r) for r in got), key=repr) == want
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert readings.kept(readings.documents(spark.readStream.schema(schema).parquet(str(empty))), "test-empty").collect() == []
+
+
 def test_substring_index_equals_a_scan(spark):
     rng = random.Random(8)
     rows = [(i, "".join(rng.choice("abñ Á1") for _ in range(rng.randint(0, 30))), rng.choice([None, "Derecho", "Redes"])) for i in range(300)]
