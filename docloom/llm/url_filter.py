@@ -135,13 +135,15 @@ def judge(pages: DataFrame, url_col: str = "url", text_col: str = "html") -> Dat
     """page_id, host, path, rule, verdict, host_words and block_score of every page."""
     parsed = parse(pages, url_col)
     hosts = host_table(parsed.select("host").distinct(), *word_counts(pages, text_col))
+    # whether a table is small goes by the bytes of its texts: long urls count as several rows
+    units = lambda *columns: F.ceil(sum((F.octet_length(c) for c in columns), F.lit(0)) / F.lit(64)) + 1
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [tokens(w, p) for w, p in zip(batch.column("host_words").to_pylist(), batch.column("path").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names, "tokens"])
 
-    urls = parsed.groupBy("host", "path", F.col("rule_verdict").alias("label")).agg(F.count("*").alias("n")).join(few(hosts), "host").select("host", "path", "n", "label", "host_words", F.array_join("host_words", " ").alias("split"))
+    urls = parsed.groupBy("host", "path", F.col("rule_verdict").alias("label")).agg(F.count("*").alias("n")).join(few(hosts, units("host")), "host").select("host", "path", "n", "label", "host_words", F.array_join("host_words", " ").alias("split"))
     urls = materialize(urls.mapInArrow(featured, T.StructType([*urls.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))])), "urls")
     both = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(k) for k in ("allow", "block")]
     counted = materialize(urls.where(F.col("label").isNotNull()).select("n", "label", F.explode("tokens").alias("token")).groupBy("token").agg(*both), "tokens")
@@ -155,7 +157,7 @@ def judge(pages: DataFrame, url_col: str = "url", text_col: str = "html") -> Dat
     z = F.aggregate(F.coalesce("odds", F.array().cast("array<double>")), F.lit(prior), lambda s, x: s + x)
     score = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))))
     scored = materialize(urls.join(each, ["host", "path"], "left").select("host", "path", F.col("split").alias("host_words"), score.alias("block_score")), "scored")
-    out = parsed.join(few(scored), ["host", "path"])
+    out = parsed.join(few(scored, units("host", "path", "host_words")), ["host", "path"])
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "host_words", "block_score")
 
