@@ -240,6 +240,33 @@ def cluster(bigrams: DataFrame, clustered: int, units: int, classes: int = CLASS
             m[r["i"], r["j"]] = r["n"]
         return m
 
+    def change(of: np.ndarray, tried: np.ndarray) -> np.ndarray:
+        """How class bigrams change when words move: only the contexts of those that move are read."""
+        shared = spark.sparkContext.broadcast((of, tried))
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            old, new = shared.value
+            m = np.zeros(total * total)
+            add = lambda i, j, n: np.bincount(i.astype(np.int64) * total + j, n, total * total)
+            for batch in batches:
+                w = np.asarray(batch.column("w"))
+                batch = batch.filter(pa.array(old[w] != new[w]))
+                for w, keys, counts in zip(batch.column("w").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                    keys, counts = np.frombuffer(keys, np.int32), np.frombuffer(counts, np.int64)
+                    other, after = keys & 0xFFFFFF, keys >> 24 == 1
+                    c, n = other[after], counts[after]
+                    m += add(np.full(len(c), new[w]), new[c], n) - add(np.full(len(c), old[w]), old[c], n)
+                    before = ~after & (old[other] == new[other])  # bigrams of two that move count with the first
+                    p, n = other[before], counts[before]
+                    m += add(old[p], new[w], n) - add(old[p], old[w], n)
+            at = np.flatnonzero(m)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], names=["at", "n"])
+
+        out = np.zeros(total * total)
+        for r in words.mapInArrow(sums, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            out[r["at"]] = r["n"]
+        return out.reshape(total, total)
+
     between = counted(of)
     reached = [likelihood(between)]
     slices, turn, still, before = SLICES, 0, 0, reached[0]
@@ -260,7 +287,7 @@ def cluster(bigrams: DataFrame, clustered: int, units: int, classes: int = CLASS
         tried[np.asarray(new["w"])] = np.asarray(new["cls"])
         if (tried == of).all():
             still += 1
-        elif likelihood(counts := counted(tried)) > reached[-1]:
+        elif likelihood(counts := between + change(of, tried)) > reached[-1]:
             of, between, still = tried, counts, 0
             reached.append(likelihood(counts))
         else:  # too many moved together

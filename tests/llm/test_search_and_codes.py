@@ -10,6 +10,7 @@ import pytest
 from llm_samples import WORDS, text
 
 from docloom.llm import class_model, ranked_search, toxicity, vector_codes
+from docloom.llm.hashing import word_lists
 from docloom.llm.terms import term_counts, term_lists
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -244,3 +245,15 @@ def test_class_scores_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
     assert found[0] == found[1] and len(found[0]) == 150
+
+
+def test_class_bigrams_follow_the_moves(spark):
+    _, _, texts = corpus(11, 200)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = np.unique(np.concatenate(word_lists(texts)))[:120]
+    bigrams = class_model.bigram_counts(docs, names, np.arange(len(names) + 1), len(names) + 2)
+    of, between, reached = class_model.cluster(bigrams, len(names), len(names) + 2, classes=6)
+    want = np.zeros_like(between)
+    for r in bigrams.collect():
+        want[of[r["p"]], of[r["c"]]] += r["n"]
+    assert (between == want).all() and len(reached) > 3 and reached == sorted(reached)
