@@ -107,13 +107,14 @@ _MERGED = """SELECT s_suppkey * 3 AS id, 'Docente ' || md5(s_suppkey::VARCHAR) |
 
 
 def plan_upsert(spark, d):
-    """A store with the first readings of every supplier, a batch with the others and some new ones."""
+    """A store with the first readings of most suppliers' plans, a batch with all others."""
     plans = _supplier_plans(spark, d)
-    store, batch = plans.where("id % 3 = 0 and id % 5 <> 0"), plans.where("id % 3 = 1 or id % 15 = 0")
-    return M.upserted_plans(store, batch).groupBy("action", "n_records").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    stored = (F.col("id") % 3 == 0) & (F.col("id") % 5 != 0)
+    out = M.upserted_plans(plans.where(stored), plans.where(~stored))
+    return out.select("action", *_flat(out))
 
 
-PLAN_UPSERT = """SELECT CASE WHEN s_suppkey * 3 % 5 = 0 THEN 'inserted' ELSE 'updated' END AS action, 2 AS n_records, count(*) AS n, sum(s_suppkey * 3)::BIGINT AS ids FROM supplier GROUP BY 1"""
+PLAN_UPSERT = f"SELECT *, CASE WHEN id % 5 = 0 THEN 'inserted' ELSE 'updated' END AS action FROM ({_MERGED})"
 
 
 # --- corrections by hand ---
@@ -134,15 +135,15 @@ def agreement_corrections(spark, d):
     k = F.col("c_custkey")
     c = table(spark, d, "customer")
     store = c.select(k.alias("id"), F.lit("CGC-RGI2-1-PRO-134-2024-11").alias("code"), F.lit("2024-11").alias("period"), F.lit("").alias("option_id"), F.lit("").alias("plan_id"), F.col("c_mktsegment").alias("training"), F.lit(False).alias("linked"), F.lit(True).alias("total"), F.lit(False).alias("partial"), F.lit("").alias("percent"), F.lit(False).alias("manual"))
-    edits = c.where("c_custkey % 3 = 0").select(k.alias("id"), F.concat(F.lit(" CGC-RGI2-2-PRO-134-"), F.lit("2025-0"), (k % 9 + 1).cast("string")).alias("code"), F.lit("").alias("period"), F.when(k % 2 == 0, F.concat(F.lit("o"), (k % 10).cast("string"))).otherwise("").alias("option_id"), F.lit("p").alias("plan_id"), F.lit(" typed ").alias("training"), F.lit("0").alias("total"), F.when(k % 5 == 0, "Sí").otherwise("no").alias("partial"), F.lit("12,5").alias("percent"))
-    options = table(spark, d, "nation").where("n_nationkey < 8").select(F.concat(F.lit("o"), F.col("n_nationkey").cast("string")).alias("option_id"), F.col("n_nationkey").alias("plan_id"), F.col("n_name").alias("training"))
+    edits = c.where("c_custkey % 3 = 0").select(k.alias("id"), F.concat(F.lit(" CGC-RGI2-2-PRO-134-"), F.lit("2025-0"), (k % 9 + 1).cast("string")).alias("code"), F.lit("").alias("period"), F.when(k % 2 == 0, F.concat(F.lit("o"), (k % 30).cast("string"))).otherwise("").alias("option_id"), F.lit("p").alias("plan_id"), F.lit(" typed ").alias("training"), F.lit("0").alias("total"), F.when(k % 5 == 0, "Sí").otherwise("no").alias("partial"), F.lit("12,5").alias("percent"))
+    options = table(spark, d, "nation").select(F.concat(F.lit("o"), F.col("n_nationkey").cast("string")).alias("option_id"), F.col("n_nationkey").alias("plan_id"), F.col("n_name").alias("training"))
     return M.corrected_agreements(store, edits, options)
 
 
 AGREEMENT_CORRECTIONS = """SELECT c_custkey AS id, CASE WHEN e THEN 'CGC-RGI2-2-PRO-134-2025-0' || (c_custkey % 9 + 1) ELSE 'CGC-RGI2-1-PRO-134-2024-11' END AS code, CASE WHEN e THEN '2025-0' || (c_custkey % 9 + 1) ELSE '2024-11' END AS period,
- CASE WHEN e AND c_custkey % 2 = 0 THEN 'o' || c_custkey % 10 ELSE '' END AS option_id, CASE WHEN NOT e THEN '' WHEN n_name IS NOT NULL THEN n_nationkey::VARCHAR ELSE 'p' END AS plan_id, CASE WHEN NOT e THEN c_mktsegment ELSE coalesce(n_name, 'typed') END AS training,
+ CASE WHEN e AND c_custkey % 2 = 0 THEN 'o' || c_custkey % 30 ELSE '' END AS option_id, CASE WHEN NOT e THEN '' WHEN n_name IS NOT NULL THEN n_nationkey::VARCHAR ELSE 'p' END AS plan_id, CASE WHEN NOT e THEN c_mktsegment ELSE coalesce(n_name, 'typed') END AS training,
  e AND c_custkey % 2 = 0 AS linked, NOT e AS total, e AND c_custkey % 5 = 0 AS "partial", CASE WHEN e AND c_custkey % 5 = 0 THEN '12.5' ELSE '' END AS percent, e AS manual
-FROM (SELECT *, c_custkey % 3 = 0 AS e FROM customer) LEFT JOIN nation ON n_nationkey < 8 AND e AND c_custkey % 2 = 0 AND n_nationkey = c_custkey % 10"""
+FROM (SELECT *, c_custkey % 3 = 0 AS e FROM customer) LEFT JOIN nation ON e AND c_custkey % 2 = 0 AND n_nationkey = c_custkey % 30"""
 
 # --- pages ---
 
