@@ -40,7 +40,7 @@ from .hashing import word_lists
 CLUSTERED, CLASSES = 8192, 32
 DICTIONARY = 200_000
 #: Slices of the words, which move one after another; slices are halved where moving one lowers the likelihood, until there are more than FINEST.
-SLICES, FINEST = 2, 64
+SLICES, FINEST = 2, 8
 #: Relative gain of likelihood by all slices below which the exchange ends.
 GAIN = 5e-4
 #: Words whose moves are worked out at once.
