@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import page_queries, process_queries, record_queries, store_queries, text_queries
+from .plans import layout_queries, page_queries, process_queries, record_queries, store_queries, text_queries
 
-_MODULES = (record_queries, page_queries, text_queries, process_queries, store_queries)
+_MODULES = (record_queries, page_queries, layout_queries, text_queries, process_queries, store_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

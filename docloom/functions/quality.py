@@ -75,6 +75,37 @@ def signal_score(c: Column | str, weights: dict[str, int]) -> Column:
     return let(normalize(c), lambda key: sum((F.when(has_phrase(key, phrase), weight).otherwise(0) for phrase, weight in weights.items()), F.lit(0)))
 
 
+# What a text layer with positions says of a plan; of each line the first alternative counts whose phrases (normalized) a text holds, in or out of words.
+POSITIONAL_SIGNALS = (
+    ((4, ("plan individual de formacion y capacitacion",)), (2, ("plan individual", "formacion"))),
+    ((3, ("pro 251",)),),
+    ((1, ("nombre docente",)), (1, ("docente", "carrera"))),
+    ((2, ("resumen de capacitacion",)), (2, ("capacitacion propuesta",))),
+    ((1, ("impacto esperado",)), (1, ("vision a largo plazo",))),
+)
+USABLE_LENGTH, USABLE_SIGNAL = 550, 5
+
+
+def positional_signal(c: Column | str) -> Column:
+    """How much a text layer with positions looks like a plan, 0 to 11."""
+
+    def points(key: Column, alternatives: tuple) -> Column:
+        out = F.lit(0)
+        for weight, phrases in reversed(alternatives):
+            holds = F.lit(True)
+            for phrase in phrases:
+                holds = holds & key.contains(phrase)
+            out = F.when(holds, weight).otherwise(out)
+        return out
+
+    return let(normalize(c), lambda key: sum((points(key, a) for a in POSITIONAL_SIGNALS), F.lit(0)))
+
+
+def is_usable_layer(c: Column | str) -> Column:
+    """Whether a text layer with positions is long enough and looks like a plan."""
+    return (F.length(clean(c)) >= USABLE_LENGTH) & (positional_signal(c) >= USABLE_SIGNAL)
+
+
 def markers(c: Column | str, patterns: tuple[str, ...]) -> Column:
     """How many of the patterns (Java, on accent-folded lower-case text) a text matches."""
     return let(F.lower(fold_accents(c)), lambda t: sum((t.rlike(p).cast("int") for p in patterns), F.lit(0)))

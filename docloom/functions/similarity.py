@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize, tokens
+from .text import let, normalize, tokens
 
 
 def edit_ratio_of_keys(a: Column, b: Column) -> Column:
@@ -28,18 +30,26 @@ def token_overlap(a: Column | str, b: Column | str, longer_than: int) -> Column:
     return overlap_of_tokens(tokens(a, longer_than), tokens(b, longer_than))
 
 
+def _joined(group: tuple[str, ...]) -> Callable[[Column], Column]:
+    members = F.array(*map(F.lit, group))
+    return lambda found: F.when(F.arrays_overlap(found, members), F.array_union(found, members)).otherwise(found)
+
+
 def with_aliases(found: Column, groups: list[tuple[str, ...]]) -> Column:
     """Tokens and, group after group, all members of each alias group that they hit."""
     out = found
     for group in groups:
-        members = F.array(*map(F.lit, group))
-        out = F.when(F.arrays_overlap(out, members), F.array_union(out, members)).otherwise(out)
+        out = let(out, _joined(group))
     return out
 
 
 def alias_score(a: Column | str, b: Column | str, groups: list[tuple[str, ...]]) -> Column:
     """Common tokens of two texts after alias expansion: 1 for tokens of up to two characters, else 2."""
-    x, y = (with_aliases(tokens(c, 1), groups) for c in (a, b))
+    return score_of_tokens(*(with_aliases(tokens(c, 1), groups) for c in (a, b)))
+
+
+def score_of_tokens(x: Column, y: Column) -> Column:
+    """:func:`alias_score` of two lists of tokens."""
     return F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, t: s + F.when(F.length(t) <= 2, 1).otherwise(2))
 
 

@@ -160,6 +160,13 @@ def best_rows(a: Column, b: Column) -> Column:
     return F.transform(F.when(score(b) > score(a), b).otherwise(a), lambda r, i: r.withField("ordinal", i + 1))
 
 
+def fuller_rows(a: Column, b: Column) -> Column:
+    """The rows of b where they are more, or hold more filled cells, than those of a; else those of a. Renumbered."""
+    filled = lambda rows: F.aggregate(rows, F.lit(0), lambda s, r: s + filled_cells(r))
+    better = (F.size(b) > 0) & ((F.size(b) > F.size(a)) | (filled(b) > filled(a)))
+    return F.transform(F.when(better, b).otherwise(a), lambda r, i: r.withField("ordinal", i + 1))
+
+
 def activities(c: Column | str) -> Column:
     """Items of an activity list: lines without bullets and headings; a single line splits at semicolons."""
     found = lines(c)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import normalize, text
+from ..functions.text import SPACE, clean, normalize, text
 from .groups import per_group
 
 PAGE = ["doc_id", "page"]
@@ -20,6 +20,8 @@ COLUMN_ENDS = {"number": 0.085, "name": 0.445, "hours": 0.585, "date": 0.775}
 LAST_COLUMN = "type"
 ANCHOR_BAND, ANCHOR_REACH = 18.0, 0.15
 FIRST_ROW_REACH, LAST_ROW_REACH = 45.0, 60.0
+# The least height of a text run, and how wide a character is at least for its height.
+LEAST_HEIGHT, CHARACTER_SHAPE = 5.0, 0.38
 
 
 def with_box(words: DataFrame) -> DataFrame:
@@ -27,13 +29,25 @@ def with_box(words: DataFrame) -> DataFrame:
     return words.withColumns({"right": F.col("left") + F.col("width"), "bottom": F.col("top") + F.col("height"), "center_x": F.col("left") + F.col("width") / 2, "center_y": F.col("top") + F.col("height") / 2})
 
 
+def item_runs(items: DataFrame) -> DataFrame:
+    """Text runs of a page's text items (PAGE, run, text, x, baseline, width, height, page_height): heights count from the top, also where an item's own is negative; 10 where it has none."""
+    height = F.greatest(F.abs(F.coalesce("height", F.lit(10.0))), F.lit(LEAST_HEIGHT))
+    top = F.greatest(F.lit(0.0), F.col("page_height") - F.coalesce("baseline", F.lit(0.0)) - height)
+    return items.select(*PAGE, "run", "text", F.coalesce("x", F.lit(0.0)).alias("left"), top.alias("top"), F.coalesce("width", F.lit(0.0)).alias("width"), height.alias("height"))
+
+
 def split_runs(runs: DataFrame) -> DataFrame:
-    """Word boxes of text runs (PAGE, run, text, left, top, width, height): the width goes to the words by their characters, a gap counts as one."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(text("text"), r"[\s ]+", " ")), " "), lambda w: w != "")
-    units = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) + F.size(words) - 1
-    before = F.transform(words, lambda w, i: F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x) + 1))
-    each = runs.withColumn("unit", F.col("width") / F.greatest(units, F.lit(1))).withColumn("height", F.greatest("height", F.lit(5.0))).select(*PAGE, "run", "left", "top", "height", "unit", F.posexplode(F.arrays_zip(words.alias("w"), before.alias("b"))).alias("pos", "x"))
-    boxes = each.select(*PAGE, "run", "pos", F.col("x")["w"].alias("text"), (F.col("left") + F.col("x")["b"] * F.col("unit")).alias("left"), "top", (F.length(F.col("x")["w"]) * F.col("unit")).alias("width"), "height", F.lit(100.0).alias("confidence"))
+    """Word boxes of text runs (PAGE, run, text, left, top, width, height): the width goes to the words by their characters, a gap counts as one.
+
+    A run is as wide as its characters need at least; no word is narrower than two units. Runs without a word give none.
+    """
+    tall = runs.withColumn("height", F.greatest("height", F.lit(LEAST_HEIGHT))).withColumn("t", clean("text")).where("t <> ''")
+    wide = F.greatest(F.col("width"), F.length("t") * F.greatest(F.lit(3.0), F.col("height") * CHARACTER_SHAPE))
+    words = tall.withColumn("words", F.split("t", SPACE + "+")).withColumn("unit", wide / (F.aggregate("words", F.lit(0), lambda s, w: s + F.length(w)) + F.size("words") - 1))
+    sized = words.withColumn("sizes", F.transform("words", lambda w: F.greatest(F.lit(2.0), F.length(w) * F.col("unit"))))
+    before = F.transform("sizes", lambda _, i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0.0), lambda s, x: s + x + F.col("unit")))
+    each = sized.select(*PAGE, "run", "left", "top", "height", F.posexplode(F.arrays_zip("words", "sizes", before.alias("before"))).alias("pos", "x"))
+    boxes = each.select(*PAGE, "run", "pos", F.col("x.words").alias("text"), (F.col("left") + F.col("x.before")).alias("left"), "top", F.col("x.sizes").alias("width"), "height", F.lit(100.0).alias("confidence"))
     return with_box(boxes)
 
 
@@ -182,7 +196,7 @@ def page_regions(lines: DataFrame) -> DataFrame:
 
     key, front = normalize("t"), F.col("page") <= 2
     starts = {
-        "table": ("resumen.*capacitacion.*propuesta", "indicadores"), "activities": (r"(?:\A| )6 actividades(?: |\z)|\Aactividades\z", "impacto esperado en el docente|7 impacto esperado"),
+        "table": (r"\A(?=.*resumen)(?=.*capacitacion)(?=.*propuesta)", "indicadores"), "activities": (r"(?:\A| )6 actividades(?: |\z)|\Aactividades\z", "impacto esperado en el docente|7 impacto esperado"),
         "impact": ("impacto esperado en el docente|7 impacto esperado", "vision a largo plazo|8 vision"), "vision": ("vision a largo plazo|8 vision", "formacion docente"),
     }
     found = {name: section_boxes(lines, a, b).select(*PAGE, F.lit(name).alias("region"), "left", "top", "width", "height") for name, (a, b) in starts.items()}

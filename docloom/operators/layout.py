@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codes import MONTHS
-from ..functions.similarity import alias_score
-from ..functions.text import clean, let, normalize, split_list, text
+from ..functions.similarity import score_of_tokens, with_aliases
+from ..functions.text import clean, let, normalize, split_list, text, tokens
 from .extraction import KIND_WORDS
 
 # Tokens that stand for each other when activities are matched to trainings.
@@ -55,9 +55,21 @@ def best_pass(passes: DataFrame, keys: list[str], score: Column) -> DataFrame:
 def assigned_activities(trainings: Column, activities: Column, groups: list[tuple[str, ...]] | None = None) -> Column:
     """For each training (struct with name) struct(items, shared): the activity that fits best, the first on ties; all of them, marked as shared, where none fits."""
     aliases = ACTIVITY_ALIASES if groups is None else groups
-    scored = lambda t: F.transform(activities, lambda a, i: F.struct(alias_score(t["name"], a, aliases).alias("score"), (-i).alias("o"), a.alias("a")))
-    best = lambda t: F.array_max(scored(t))
-    return F.transform(trainings, lambda t: F.when(F.coalesce(best(t)["score"], F.lit(0)) > 0, F.struct(F.array(best(t)["a"]).alias("items"), F.lit(False).alias("shared"))).otherwise(F.struct(activities.alias("items"), F.lit(True).alias("shared"))))
+    expanded = lambda c: with_aliases(tokens(c, 1), aliases)
+    chosen = lambda best: F.when(F.coalesce(best["score"], F.lit(0)) > 0, F.struct(F.array(best["a"]).alias("items"), F.lit(False).alias("shared"))).otherwise(F.struct(activities.alias("items"), F.lit(True).alias("shared")))
+
+    def assigned(listed: Column) -> Column:
+        scored = lambda own: F.transform(listed, lambda x, i: F.struct(score_of_tokens(own, x["tokens"]).alias("score"), (-i).alias("o"), x["a"].alias("a")))
+        return F.transform(trainings, lambda t: let(let(expanded(t["name"]), lambda own: F.array_max(scored(own))), chosen))
+
+    return let(F.transform(activities, lambda a: F.struct(a.alias("a"), expanded(a).alias("tokens"))), assigned)
+
+
+def training_activities(trainings: Column, listed: Column, groups: list[tuple[str, ...]] | None = None) -> Column:
+    """For each training struct(theory, practice, shared): what fits it of both lists (listed: struct of theory and practice), by :func:`assigned_activities`; shared where one of the two lists is."""
+    both = F.struct(assigned_activities(trainings, listed["theory"], groups).alias("theory"), assigned_activities(trainings, listed["practice"], groups).alias("practice"))
+    row = lambda t, p: F.struct(t["items"].alias("theory"), p["items"].alias("practice"), (t["shared"] | p["shared"]).alias("shared"))
+    return let(both, lambda x: F.zip_with(x["theory"], x["practice"], row))
 
 
 def clamped(left: Column, top: Column, width: Column, height: Column, page_width: Column, page_height: Column) -> Column:

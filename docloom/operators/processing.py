@@ -279,7 +279,7 @@ def with_regions(found: DataFrame, regions: DataFrame) -> DataFrame:
     key = ["doc_id", "engine", "seq"]
     out = found.join(regions, "doc_id", "left")
     code = F.get(code_candidates("code_text"), 0)["code"]
-    rows = E.best_rows(F.transform("trainings", _as_row), F.transform(F.coalesce("rows", F.array().cast(TRAINING)), _as_row))
+    rows = E.fuller_rows(F.transform("trainings", _as_row), F.transform(F.coalesce("rows", F.array().cast(TRAINING)), _as_row))
     training = lambda x: F.struct(training_name(x["name"]).alias("name"), x["hours"].cast("double").alias("hours"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
     listed = section_activities("activities_text")
     filled = lambda new, old: F.coalesce(F.nullif(new, F.lit("")), old)

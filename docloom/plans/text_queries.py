@@ -72,15 +72,16 @@ def alias_similarity(spark, d):
     return a.join(b, "a").select("a", alias_score("x", "y", ALIASES).alias("score"))
 
 
-def _sql_aliases(x: str) -> str:
-    for g in ALIASES:
+def sql_aliases(x: str, groups: list[tuple[str, ...]]) -> str:
+    """A token list and the alias groups that it hits, one after the other."""
+    for g in groups:
         members = "[" + ", ".join(f"'{w}'" for w in g) + "]"
         x = f"(SELECT CASE WHEN list_has_any(l, {members}) THEN list_distinct(list_concat(l, {members})) ELSE l END FROM (SELECT {x} AS l))"
     return x
 
 
 ALIAS_SIMILARITY = f"""WITH t AS (SELECT p_partkey AS k, {sql_tokens('p_name', 1)} AS w FROM part),
-e AS (SELECT k, {_sql_aliases('w')} AS w FROM t)
+e AS (SELECT k, {sql_aliases('w', ALIASES)} AS w FROM t)
 SELECT a.k AS a, coalesce(list_sum(list_transform(list_intersect(a.w, b.w), lambda t: CASE WHEN length(t) <= 2 THEN 1 ELSE 2 END)), 0)::INTEGER AS score FROM e a JOIN e b ON b.k = a.k + 1"""
 
 
