@@ -230,6 +230,12 @@ CLAUSES = {
 }
 
 
+# How an agreement gives its version, a person's number (with its name before it, and nothing else) and one of the positions that it knows.
+VERSION = r"(?iu)versi[oó]n\s*[:：]?\s*([0-9]+(?:\.[0-9]+)*)"
+ID_NUMBER = r"(?iu)c[eé]dula\s*[:：]?\s*([0-9]{10,13})"
+POSITION = r"(?iu)cargo\s*[:：]\s*(docente|profesora?|coordinadora?[^|,;]*)"
+
+
 def clause(c: Column | str, kind: str) -> Column:
     """What a clause of an agreement names, in title case; '' without the clause."""
     return smart_case(F.regexp_extract(compact(c), CLAUSES[kind], 1))
@@ -254,11 +260,10 @@ def agreements(readings: DataFrame) -> DataFrame:
     percent = F.regexp_replace(F.regexp_extract(t, r"([0-9]{1,3}(?:[.,][0-9]{1,2})?)\s*%", 1), ",", ".").try_cast("decimal(5,2)")
     return readings.select(
         "doc_id", code.alias("code"), period_of(code).alias("period"), date["iso"].alias("signed_on"), date["original"].alias("signed_text"),
-        F.regexp_extract(F.lower(fold_accents(t)), r"version\s*:?\s*([0-9]+(?:\.[0-9]+)*)", 1).alias("version"),
-        F.regexp_extract(F.lower(fold_accents(t)), r"(?:cedula|c\.?i\.?)[^0-9\n]{0,40}([0-9]{10,13})", 1).alias("id_number"),
+        F.regexp_extract(compact(t), VERSION, 1).alias("version"), F.regexp_extract(compact(t), ID_NUMBER, 1).alias("id_number"),
         either(smart_case(label_value(t, "nombre del docente", ("cedula", "carrera", "cargo"))), cover_value(t, "docente", ("carrera", "capacitacion")), clause(t, "name")).alias("name"),
         either(smart_case(label_value(t, "carrera", ("cedula", "nombre", "cargo", "capacitacion", "elaborado", "firma")))).alias("career"),
-        either(clause(t, "position"), label_value(t, "cargo", ("cedula", "nombre", "carrera")), F.lit("Docente")).alias("position"),
+        either(clause(t, "position"), smart_case(F.regexp_extract(compact(t), POSITION, 1)), F.lit("Docente")).alias("position"),
         F.regexp_replace(either(label_value(t, "nombre de la capacitacion", ("fecha", "cedula")), cover_value(t, "capacitacion", ("elaborado", "firma", "unidad")), clause(t, "training")), r"\.+\z", "").alias("training"),
         agreement_state(t, F.col("method")).alias("state"), percent.alias("percent"),
     )

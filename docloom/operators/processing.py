@@ -141,6 +141,25 @@ def merged_rows(ranked: DataFrame) -> DataFrame:
     return slots.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("slot", "row"))).alias("x")).select("doc_id", F.transform("x", lambda x: x["row"]).cast(TRAINING).alias("trainings"))
 
 
+def _empty_plan() -> dict[str, Column]:
+    """Columns of a record of which nothing is known."""
+    return {**{k: F.lit("") for k in ("name", "career", "level", "code", "period", "impact", "vision")}, "trainings": F.array().cast(TRAINING), "theory": F.array().cast("array<string>"), "practice": F.array().cast("array<string>"), "diagnosis": F.struct(*(F.lit("").alias(k) for k in DIAGNOSIS))}
+
+
+def error_plans(dead: DataFrame, good: DataFrame) -> DataFrame:
+    """One record with status ERROR for each document that no engine could read: nothing is filled in, missing holds the failure.
+
+    dead, good: dead letters (doc_id, engine, error) and readings with text enough, as
+    sources.files.split_failures gives them. Documents with a good reading are left out; of several
+    failures the one of the least engine by name, then the least, counts.
+    """
+    failed = dead.join(good.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("engine", F.lit("")).alias("engine"), text("error").alias("error"))).alias("x"))
+    none = {"engines": F.lit(0), "engine_names": F.lit(""), "expected_rows": F.lit(0), "signal": F.lit(0), "useful": F.lit(False), "fallback": F.lit(False), "template": F.lit("DESCONOCIDA"), "confidence": F.lit(0), "status": F.lit("ERROR"), "detail": F.lit("ERROR")}
+    issues = F.array().cast("array<struct<path:string,severity:string,kind:string,category:string,layer:string>>")
+    missing = F.array(F.coalesce(F.nullif(F.trim("x.error"), F.lit("")), F.lit("unreadable")))
+    return failed.select("doc_id", *(v.alias(k) for k, v in {**none, **_empty_plan()}.items()), issues.alias("issues"), missing.alias("missing"))
+
+
 def consensus_plans(found: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """One record for each document out of its candidates: every scalar by vote, rows aligned, lists united, the best free texts.
 
@@ -171,8 +190,7 @@ def consensus_plans(found: DataFrame, codes: DataFrame | None = None) -> DataFra
         F.count_distinct("engine").cast("int").alias("engines"), F.max("useful").alias("useful"), F.max("signal").alias("signal"), F.min_by("template", F.struct(F.col("template") == "DESCONOCIDA", "engine_idx")).alias("template"),
     )
     out = about.join(scalars, "doc_id", "left").join(merged_rows(ranked), "doc_id", "left").join(lists, "doc_id", "left").join(texts, "doc_id", "left")
-    empty = {**{k: F.lit("") for k in ("name", "career", "level", "code", "period", "impact", "vision")}, "trainings": F.array().cast(TRAINING), "theory": F.array().cast("array<string>"), "practice": F.array().cast("array<string>"), "diagnosis": F.struct(*(F.lit("").alias(k) for k in DIAGNOSIS))}
-    out = out.withColumns({k: F.coalesce(F.col(k), v) for k, v in empty.items()})
+    out = out.withColumns({k: F.coalesce(F.col(k), v) for k, v in _empty_plan().items()})
     if codes is not None:
         out = out.join(codes.select("doc_id", F.col("code").alias("h_code"), F.col("period").alias("h_period"), F.col("confidence").alias("code_confidence")), "doc_id", "left")
         out = out.withColumns({"code": F.coalesce("h_code", "code"), "period": F.coalesce("h_period", "period")}).drop("h_code", "h_period")

@@ -11,9 +11,10 @@ from ..operators import extraction as E
 from ..operators import geometry as G
 from ..operators import layout as L
 from ..operators import validation as V
-from ..operators.processing import section_activities
+from ..operators.processing import error_plans, question_answers, section_activities
 from ..shared import spread
-from .common import ORDER_LINES, order_lines, sql_clean, sql_normalize, sql_tokens, table
+from ..sources.files import split_failures
+from .common import ORDER_LINES, order_lines, sql_clean, sql_compact, sql_normalize, sql_tokens, table
 from .page_queries import _rows_text
 from .record_queries import _sql_issues, _validated
 from .text_queries import sql_aliases
@@ -230,6 +231,57 @@ SELECT o_orderkey AS id, max(i.kind) FILTER (path = 'docente.codigo_documento')
 FROM orders LEFT JOIN i ON i.id = o_orderkey GROUP BY o_orderkey"""
 
 
+# --- answers, agreement fields and failures ---
+
+_ANSWERED = """'PLAN INDIVIDUAL\\n¿Qué tan cómodo/a te sientes implementando nuevas metodologías de enseñanza en el aula?\\n• ' || coalesce(text, '') || '\\n¿Qué herramientas tecnológicas utilizas regularmente en tu docencia?\\n- Aula ' || coalesce(source, '')
+ || '\\n6. Actividades\\n¿Cuál es tu nivel académico actual (título registrado)?\\n: Magíster ' || doc_id || ' *\\n5. Indicadores ' || doc_id"""
+
+
+def form_answers(spark, d):
+    """Forms whose answers are whole documents, with bullets, printed remarks and headings that run into them."""
+    rows = spread(table(spark, d, "documents")).select("doc_id", question_answers(F.expr(_ANSWERED)).alias("a"))
+    of = lambda k: F.try_element_at("a", F.lit(k))
+    return rows.select("doc_id", F.md5(of("comodidad_metodologias")).alias("comfort"), F.length(of("comodidad_metodologias")).alias("n_comfort"), of("herramientas_tecnologicas").alias("tools"), of("nivel_academico_actual").alias("level"), F.size("a").alias("n"))
+
+
+_ENDINGS = r"(?is)\s+(?:(?:4\.?\s*)?Resumen\s+de\s+Capacitaci[oó]n(?:es)?\s+Propuestas?|(?:5\.?\s*)?Indicadores|(?:6\.?\s*)?Actividades|(?:7\.?\s*)?Impacto\s+esperado\s+en\s+el\s+docente|(?:8\.?\s*)?Visi[oó]n\s+a\s+largo\s+plazo|Formaci[oó]n\s+Docente).*$"
+FORM_ANSWERS = f"""WITH a AS (SELECT doc_id, source, regexp_replace(regexp_replace({sql_compact("coalesce(text, '')")}, '^[*{C.BULLETS}\\-–—:;,.\\s]+', ''), '[*{C.BULLETS}\\-–—\\s]+$', '') AS t FROM documents),
+b AS (SELECT doc_id, source, trim(regexp_replace(t, '{_ENDINGS}', '')) AS t FROM a)
+SELECT doc_id, md5(t) AS comfort, length(t)::INTEGER AS n_comfort, trim('Aula ' || coalesce(source, '')) AS tools, 'Magíster ' || doc_id || ' *' AS level, 3 AS n FROM b"""
+
+_HEAD = "CASE c_custkey % 6 WHEN 0 THEN 'VERSIÓN : 2.' || c_custkey WHEN 1 THEN 'Versión 3' WHEN 2 THEN 'conversiones: 4' ELSE '' END"
+_PERSON = "CASE c_custkey % 5 WHEN 0 THEN 'con número de  cédula 01020' || lpad(cast(c_custkey as varchar(20)), 6, '0') WHEN 1 THEN 'Cédula\\n: 99' || lpad(cast(c_custkey as varchar(20)), 8, '0') WHEN 2 THEN 'teléfono de la institución 0999999999' WHEN 3 THEN 'Cédula: 12345, C.I. 0102030405' ELSE '' END"
+_POST = "CASE c_custkey % 4 WHEN 0 THEN 'Cargo: Rector' WHEN 1 THEN 'CARGO : COORDINADORA de ' || c_mktsegment || '; x' WHEN 2 THEN 'se encuentra vinculado (a) como jefe de ' || c_mktsegment || ', en' ELSE 'Cargo: Profesora titular' END"
+
+
+def agreement_fields(spark, d):
+    """Version, a person's number and position out of agreements that name them in several ways, or something like them."""
+    text = F.concat(F.lit("ACUERDO\n"), *(F.concat(F.expr(e.replace("varchar(20)", "string")), F.lit("\n")) for e in (_HEAD, _PERSON, _POST)))
+    rows = spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("doc_id"), text.alias("text"), F.lit("DIGITAL").alias("method"), F.lit("a.pdf").alias("file_name"))
+    return E.agreements(rows).select("doc_id", "version", "id_number", F.lower("position").alias("position"))
+
+
+AGREEMENT_FIELDS = """SELECT c_custkey AS doc_id, CASE c_custkey % 6 WHEN 0 THEN '2.' || c_custkey WHEN 1 THEN '3' ELSE '' END AS version,
+ CASE c_custkey % 5 WHEN 0 THEN '01020' || lpad(c_custkey::VARCHAR, 6, '0') WHEN 1 THEN '99' || lpad(c_custkey::VARCHAR, 8, '0') ELSE '' END AS id_number,
+ CASE c_custkey % 4 WHEN 0 THEN 'docente' WHEN 1 THEN 'coordinadora de ' || lower(c_mktsegment) WHEN 2 THEN 'docente' ELSE 'profesora' END AS position FROM customer"""
+
+
+def dead_letters(spark, d):
+    """Documents read by two engines that fail or find too little; those that neither reads become records of an error."""
+    docs = table(spark, d, "documents")
+    n = F.col("doc_id")
+    one = docs.select("doc_id", F.lit("DIGITAL_LINEAL").alias("engine"), F.when(n % 4 == 0, "corto").when(n % 4 == 1, None).otherwise(F.col("text")).alias("text"), F.when(n % 6 == 1, F.concat(F.lit("OSError: "), n.cast("string"))).alias("error"))
+    two = docs.select("doc_id", F.lit("OCR"), F.when(n % 8 == 0, F.col("text")).otherwise(""), F.when(n % 3 == 0, "timeout"))
+    good, dead = split_failures(one.union(two))
+    return error_plans(dead, good).select("doc_id", "status", "detail", "confidence", F.array_join("missing", ";").alias("missing"), F.size("trainings").alias("n_trainings"), "name")
+
+
+DEAD_LETTERS = """WITH r AS (SELECT doc_id, 'DIGITAL_LINEAL' AS engine, CASE doc_id % 4 WHEN 0 THEN 'corto' WHEN 1 THEN NULL ELSE text END AS t, CASE WHEN doc_id % 6 = 1 THEN 'OSError: ' || doc_id END AS e FROM documents
+ UNION ALL SELECT doc_id, 'OCR', CASE WHEN doc_id % 8 = 0 THEN text ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN 'timeout' END FROM documents),
+g AS (SELECT *, e IS NULL AND length(trim(coalesce(t, ''))) >= 80 AS good FROM r)
+SELECT doc_id, 'ERROR' AS status, 'ERROR' AS detail, 0 AS confidence, arg_min(coalesce(e, 'too little text'), engine) AS missing, 0 AS n_trainings, '' AS name FROM g GROUP BY doc_id HAVING NOT bool_or(good)"""
+
+
 QUERIES = {
     "text_items": (text_items, TEXT_ITEMS),
     "page_scores": (page_scores, PAGE_SCORES),
@@ -241,4 +293,7 @@ QUERIES = {
     "row_readings": (row_readings, ROW_READINGS),
     "record_keys": (record_keys, RECORD_KEYS),
     "problem_lookup": (problem_lookup, PROBLEM_LOOKUP),
+    "form_answers": (form_answers, FORM_ANSWERS),
+    "agreement_fields": (agreement_fields, AGREEMENT_FIELDS),
+    "dead_letters": (dead_letters, DEAD_LETTERS),
 }

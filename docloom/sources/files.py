@@ -55,8 +55,8 @@ def readings(files: DataFrame, engine: str, read: Callable[[bytes], tuple[str, i
 
 
 def split_failures(rows: DataFrame, least: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Readings with text enough, and dead letters by path."""
-    good = F.col("error").isNull() & (F.length(F.trim("text")) >= least)
+    """Readings with text enough, and dead letters by path; a null text is too little."""
+    good = F.col("error").isNull() & F.coalesce(F.length(F.trim("text")) >= least, F.lit(False))
     return rows.where(good).drop("error"), rows.where(~good).select("doc_id", "engine", F.coalesce("error", F.lit("too little text")).alias("error"))
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions.quality import is_usable_layer, positional_signal
 from docloom.functions.similarity import alias_score
-from docloom.operators import extraction, geometry, layout
+from docloom.operators import extraction, geometry, layout, processing
+from docloom.sources.files import READING, split_failures
 
 ITEM = "doc_id string, page int, run int, text string, x double, baseline double, width double, height double, page_height double"
 
@@ -61,3 +62,21 @@ def test_the_table_of_a_page_by_its_words_in_any_order(spark):
     out = geometry.page_regions(spark.createDataFrame(lines, schema)).collect()
     assert [(r["region"], r["top"], r["height"]) for r in out] == [("table", 97.0, 205.0)]
     assert geometry.page_regions(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_documents_that_no_engine_reads_become_error_records(spark):
+    long = "palabra " * 20
+    rows = [("a", "OCR", "", 0, "ERROR", "b: x"), ("a", "DIGITAL", None, 0, "D", None), ("b", "OCR", long, 1, "OCR", None), ("b", "DIGITAL", "", 0, "ERROR", "e"), ("c", "OCR", long, 0, "ERROR", " "), ("d", "OCR", "corto", 1, "OCR", None)]
+    good, dead = split_failures(spark.createDataFrame(rows, READING))
+    assert good.count() + dead.count() == len(rows)
+    out = {r["doc_id"]: r for r in processing.error_plans(dead, good).collect()}
+    assert {k: r["missing"] for k, r in out.items()} == {"a": ["too little text"], "c": ["unreadable"], "d": ["too little text"]}
+    assert all((r["status"], r["confidence"], r["trainings"], r["name"], r["diagnosis"]["tipo_formacion"], r["issues"]) == ("ERROR", 0, [], "", "", []) for r in out.values())
+    assert processing.error_plans(dead.limit(0), good).count() == 0
+
+
+def test_numbers_and_positions_of_agreements(spark):
+    texts = ["Capacitación en la institución 0999999999\nCargo: Rector", "CÉDULA： 0102030405678\ncargo: coordinador de redes | x", "cedula 123456789 y cédula: 1234567890\nVersion 1.2.3.", None, ""]
+    frame = spark.createDataFrame([(k, t, "DIGITAL", "a.pdf") for k, t in enumerate(texts)], "doc_id int, text string, method string, file_name string")
+    out = extraction.agreements(frame).orderBy("doc_id").collect()
+    assert [(r["id_number"] or "", r["position"], r["version"] or "") for r in out] == [("", "Docente", ""), ("0102030405678", "coordinador de redes", ""), ("1234567890", "Docente", "1.2.3"), ("", "Docente", ""), ("", "Docente", "")]
