@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text
+from ..shared import by_shuffle
 
 GRAM, LISTS = 3, 4
 
@@ -37,10 +38,10 @@ def search_all(texts: DataFrame, lists: DataFrame, frequencies: DataFrame, needl
     """(needle, key): the rows that hold each needle. needles: column needle; trimmed, in lower case, repeats once; empty ones match every row and are left to the caller, as are nulls."""
     wanted = needles.select(F.lower(F.trim("needle")).alias("needle")).where(F.coalesce(F.length("needle"), F.lit(0)) > 0).distinct()
     grams = wanted.select("needle", F.explode(F.when(F.length("needle") <= GRAM, F.array("needle")).otherwise(_grams("needle", GRAM))).alias("gram"))
-    rated = grams.join(frequencies, "gram", "left").groupBy("needle").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("x"))
+    rated = grams.join(by_shuffle(frequencies), "gram", "left").groupBy("needle").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("x"))
     rated = rated.where(F.get("x", 0)["df"] > 0)  # a gram that no row has ends the search
     chosen = rated.select("needle", F.least(F.size("x"), F.lit(LISTS)).alias("n"), F.explode(F.slice("x", 1, LISTS)).alias("g")).select("needle", "n", "g.gram")
-    met = chosen.join(lists, "gram").groupBy("needle", key).agg(F.count("*").alias("met"), F.first("n").alias("n")).where("met = n")
+    met = chosen.join(by_shuffle(lists), "gram").groupBy("needle", key).agg(F.count("*").alias("met"), F.first("n").alias("n")).where("met = n")
     whole = met.where(F.length("needle") <= GRAM).select("needle", key)
-    checked = met.where(F.length("needle") > GRAM).join(texts, key).where(F.contains("hay", "needle")).select("needle", key)
+    checked = met.where(F.length("needle") > GRAM).join(by_shuffle(texts), key).where(F.contains("hay", "needle")).select("needle", key)
     return whole.union(checked)
