@@ -14,6 +14,7 @@ from ..functions.codes import is_plan_code
 from ..functions.quality import text_quality, value_score
 from ..functions.similarity import edit_ratio_of_keys
 from ..functions.text import clean, normalize
+from ..shared import by_shuffle
 from .graph import components
 from .groups import per_group_stream
 
@@ -163,33 +164,48 @@ def folding(records: Iterable[dict]) -> Iterator[int]:
         yield at
 
 
+def _cuts(length: Column) -> tuple[Column, Column, Column]:
+    """For names of that length: the edits that a similar name may be away, the pieces to leave out, and the characters of a piece."""
+    edits = F.floor(length * ((1 - SIMILAR_NAME) / SIMILAR_NAME) + 1e-6).cast("int")
+    spare = F.when(length >= 3 * (edits + 4), 3).otherwise(0)
+    return edits, spare, F.greatest(F.lit(1), F.floor(length / (edits + 1 + spare))).cast("int")
+
+
 def name_pieces(named: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """named (column name, normalized) with column piece: pieces of each name, one of which any similar name holds unchanged.
 
     Longer names are cut into three more, of which the edits leave three more unchanged: the three
     most common ones are left out. known: (piece, times) of pieces elsewhere, which count, too.
     """
-    edits = F.ceil(F.length("name") * (1 - SIMILAR_NAME) / SIMILAR_NAME).cast("int") + 1
-    spare = F.when(F.length("name") >= 3 * (edits + 4), 3).otherwise(0)
-    size = F.greatest(F.lit(1), F.floor(F.length("name") / (edits + 1 + spare))).cast("int")  # 6 at most
+    edits, spare, size = _cuts(F.length("name"))
     cut = named.select("*", size.alias("size"), spare.alias("spare"), F.explode(F.sequence(F.lit(0), edits + spare)).alias("i")).withColumn("piece", F.expr("substring(name, i * size + 1, size)")).where("piece <> ''")
     own = cut.select("piece", F.lit(1).cast("long").alias("times"))
     times = (own if known is None else own.unionByName(known.select("piece", F.col("times").cast("long").alias("times")))).groupBy("piece").agg(F.sum("times").alias("times"))
-    ranked = cut.join(times, "piece").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("times"), "i")))
+    ranked = cut.join(by_shuffle(times), "piece").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("times"), "i")))
     return ranked.where("r > spare").select(*named.columns, "piece").distinct()
 
 
 def name_grams(named: DataFrame) -> DataFrame:
-    """named with column piece: all parts of one to six characters of each name."""
-    parts = "array_distinct(flatten(transform(sequence(1, least(6, length(name))), s -> transform(sequence(1, length(name) - s + 1), i -> substring(name, i, s)))))"
-    return named.select("*", F.explode(F.expr(parts)).alias("piece"))
+    """named with column piece: all parts of each name that are as long as the pieces of a name similar to it can be."""
+    length = F.length("name")
+    lengths = F.sequence(F.greatest(F.lit(1), F.floor(length * SIMILAR_NAME - 1e-6).cast("int")), F.ceil(length / SIMILAR_NAME + 1e-6).cast("int"))
+    sizes = named.withColumn("sizes", F.array_distinct(F.transform(lengths, lambda n: _cuts(n)[2])))
+    parts = "array_distinct(flatten(transform(filter(sizes, s -> s <= length(name)), s -> transform(sequence(1, length(name) - s + 1), i -> substring(name, i, s)))))"
+    return sizes.select(*named.columns, F.explode(F.expr(parts)).alias("piece"))
+
+
+def similar_names(a: str, b: str) -> Column:
+    """Whether two name columns have a ratio of SIMILAR_NAME; most are told apart by their lengths and a few edits."""
+    longest = f"greatest(length({a}), length({b}))"
+    most = f"cast(floor({longest} * {1 - SIMILAR_NAME:.6f} + 1e-6) as int)"
+    return F.expr(f"abs(length({a}) - length({b})) <= {most} AND levenshtein({a}, {b}, {most}) >= 0") & (edit_ratio_of_keys(F.col(a), F.col(b)) >= SIMILAR_NAME)
 
 
 def blocked(records: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids that could be duplicates, a before b: equal hash or code, or a name ratio of at least 0.86.
 
     A score of 0.93 needs a name ratio of 0.86 (the other terms being 1). Names that similar and of n
-    characters differ in at most n * 0.14 edits, so of that many pieces plus one at least one is found
+    characters differ in at most n * 0.14 / 0.86 edits, so of that many pieces plus one at least one is found
     unchanged in the other, shifted by no more than the edits: an equi-join on pieces loses no pair.
     """
     keyed = records.select("id", "seq", "hash", "code", normalize("name").alias("name"))
@@ -197,8 +213,8 @@ def blocked(records: DataFrame) -> DataFrame:
     pairs = [e.toDF("a", "sa", "k").join(e.toDF("b", "sb", "k"), "k").where("sa < sb").select("a", "b") for e in equal]
     named = keyed.where("name <> ''")
     cut, grams = name_pieces(named), name_grams(named)
-    near = cut.select(F.col("id").alias("a"), F.col("seq").alias("sa"), F.col("name").alias("na"), "piece").join(grams.select(F.col("id").alias("b"), F.col("seq").alias("sb"), F.col("name").alias("nb"), "piece"), "piece").where("a <> b").select("a", "b", "sa", "sb", "na", "nb").distinct()
-    near = near.where(edit_ratio_of_keys(F.col("na"), F.col("nb")) >= SIMILAR_NAME)
+    near = cut.select(F.col("id").alias("a"), F.col("seq").alias("sa"), F.col("name").alias("na"), "piece").join(by_shuffle(grams.select(F.col("id").alias("b"), F.col("seq").alias("sb"), F.col("name").alias("nb"), "piece")), "piece")
+    near = near.where(F.col("a") != F.col("b")).where(similar_names("na", "nb"))  # before repeats are found: few pairs are left
     near = near.select(F.when(F.col("sa") < F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("sa") < F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("b"))
     return pairs[0].union(pairs[1]).union(near).distinct()
 
@@ -228,7 +244,7 @@ def possible_links(records: DataFrame) -> DataFrame:
     """(a, b) whose components are those of all pairs that could match: equal hashes, codes and names tied to their least id; only distinct names are compared."""
     keyed = match_keys(records)
     least = {c: keyed.where(F.col(c) != "").groupBy(c).agg(F.min("id").alias("b")) for c in ("hash", "code", "name")}
-    edges = [keyed.join(least[c], c).select(F.col("id").alias("a"), "b") for c in least]
+    edges = [keyed.where(F.col(c) != "").join(by_shuffle(least[c]), c).select(F.col("id").alias("a"), "b") for c in least]
     names = least["name"].select(F.col("b").alias("id"), F.col("b").alias("seq"), F.lit("").alias("hash"), F.lit("").alias("code"), "name")
     return edges[0].union(edges[1]).union(edges[2]).union(blocked(names))
 
@@ -240,5 +256,5 @@ def consolidated_all(records: DataFrame) -> DataFrame:
     borrows comes from records of its component, so no match crosses components.
     """
     of = components(possible_links(records))
-    rows = records.join(of.select(F.col("node").alias("id"), "comp"), "id", "left")
+    rows = records.join(by_shuffle(of.select(F.col("node").alias("id"), "comp")), "id", "left")
     return consolidated(rows.withColumn("block", F.coalesce("comp", "id")).drop("comp"))
