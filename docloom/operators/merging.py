@@ -17,6 +17,7 @@ from ..functions.cleaners import is_alias_file, is_true, is_useful_plan, teacher
 from ..functions.codes import is_plan_code, period_of
 from ..functions.quality import text_quality, value_score
 from ..functions.text import clean, normalize, text
+from ..shared import by_shuffle
 from .groups import per_group_stream
 from .linkage import canonical_match
 from .processing import CAREERS, TRAINING, evaluated_plans
@@ -116,7 +117,7 @@ def merged_plans(records: DataFrame) -> DataFrame:
 
 def merged_by(records: DataFrame, found: DataFrame) -> DataFrame:
     """As :func:`merged_plans`, for groups that are known: found (id, kept_id)."""
-    rows = _prepared(records).join(found, "id")
+    rows = _prepared(records).join(by_shuffle(found), "id")
     id_type = records.schema["id"].dataType
     kind = T._parse_datatype_string(f"manual boolean, {', '.join(f'{k} string' for k in NAMED)}, code string, period string, diagnosis struct<{','.join(f'{k}:string' for k in DIAGNOSIS)}>, trainings {TRAINING}, theory array<string>, practice array<string>, files array<string>, n_records int")
 
@@ -145,7 +146,7 @@ def upserted_plans(store: DataFrame, batch: DataFrame) -> DataFrame:
     later = batch.withColumn("seq", F.col("seq") + last)
     both = store.withColumn("new", F.lit(False)).unionByName(later.withColumn("new", F.lit(True)))
     marks = both.select("id", F.col("new").alias("first_new"))
-    out = merged_plans(both.drop("new")).join(marks, "id")
+    out = merged_plans(both.drop("new")).join(by_shuffle(marks), "id")
     return out.withColumn("action", F.when(F.col("first_new"), "inserted").when(F.col("n_records") > 1, "updated").otherwise("stored")).drop("first_new")
 
 
