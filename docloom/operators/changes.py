@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.codes import is_plan_code, period_of
 from ..functions.text import text
-from ..shared import materialize
+from ..shared import by_shuffle, materialize
 from .merging import improved_plans, merged_plans
 from .processing import repaired_codes
 
@@ -44,7 +44,7 @@ def paths_of(schema: T.StructType, skipped: tuple[str, ...] = ()) -> dict[str, T
 def change_log(before: DataFrame, after: DataFrame, step: int, reasons: dict[str, str] | str, key: str = "id") -> DataFrame:
     """The log of one step: the paths whose values differ between two versions of the same records (unique keys). Columns that only one side has don't count; reasons: by path, or one for all."""
     old, new = paths_of(before.schema, (key,)), paths_of(after.schema, (key,))
-    both = before.select(key, F.struct(*(c for c in before.columns if c != key)).alias("b")).join(after.select(key, F.struct(*(c for c in after.columns if c != key)).alias("a")), key)
+    both = before.select(key, F.struct(*(c for c in before.columns if c != key)).alias("b")).join(by_shuffle(after.select(key, F.struct(*(c for c in after.columns if c != key)).alias("a"))), key)
     reason = (lambda p: reasons) if isinstance(reasons, str) else (lambda p: reasons.get(p, ""))
     row = lambda p: F.struct(F.lit(step).alias("step"), F.lit(p).alias("path"), _spelled(F.col(f"b.{p}"), old[p]).alias("before"), _spelled(F.col(f"a.{p}"), new[p]).alias("after"), F.lit(reason(p)).alias("reason"))
     rows = F.array(*(row(p) for p in old if p in new))
@@ -55,7 +55,7 @@ def replayed(records: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
     """The records after all changes of a log; the last step counts where several change a path. Columns as given."""
     last = log.groupBy(key, "path").agg(F.max_by("after", "step").alias("after"))
     by_path = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("path", "after"))).alias("_changes"))
-    joined = records.join(by_path, key, "left").where(~F.coalesce(F.map_contains_key("_changes", F.lit(MERGED)), F.lit(False)))
+    joined = records.join(by_shuffle(by_path), key, "left").where(~F.coalesce(F.map_contains_key("_changes", F.lit(MERGED)), F.lit(False)))
 
     def value(path: str, kind: T.DataType) -> Column:
         return F.when(F.map_contains_key("_changes", F.lit(path)), _read(F.col("_changes")[path], kind)).otherwise(F.col(path))
@@ -77,7 +77,7 @@ def repaired_plans(records: DataFrame) -> DataFrame:
     votes = repaired_codes(source.select("id", "code", "text", "file_name", "region_text"), ["id"])
     take = (text("repaired") != "") & ~(F.coalesce("manual", F.lit(False)) & is_plan_code("code"))
     period = F.when(take, period_of("repaired")).when(is_plan_code("code"), F.coalesce(F.nullif(text("period"), F.lit("")), period_of("code"))).otherwise(F.col("period"))
-    out = records.join(votes, "id", "left")
+    out = records.join(by_shuffle(votes), "id", "left")
     return out.withColumns({"period": period, "code": F.when(take, F.col("repaired")).otherwise(F.col("code"))})
 
 
