@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaners import is_useful_plan
 from ..functions.text import normalize
-from ..shared import materialize
+from ..shared import by_shuffle, materialize
 from .changes import repaired_plans
 from .merging import SETTLED, improved_plans, merged_plans, stored_evaluation
 from .validation import DIAGNOSIS
@@ -25,7 +25,7 @@ def _pass(store: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFrame]:
     """The store after one pass, and (id, kept_id) of its merging."""
     merged = materialize(merged_plans(store), "migrated-merged")
     kept = merged.select(F.col("id").alias("kept_id"), F.explode("merged_ids").alias("id"))
-    lead = merged.drop("files", "merged_ids", "n_records").join(store.select("id", "seq", "hash", "file_name", "remarks", "status", "rescued"), "id")
+    lead = merged.drop("files", "merged_ids", "n_records").join(by_shuffle(store.select("id", "seq", "hash", "file_name", "remarks", "status", "rescued")), "id")
     better = repaired_plans(improved_plans(lead)).drop("repaired")
     useful = is_useful_plan(F.col("name"), F.col("career"), F.array(*(F.col(f"diagnosis.{k}") for k in DIAGNOSIS)), F.col("trainings"))
     back = (F.col("status") == "NO_ES_PLAN") & useful
@@ -50,12 +50,12 @@ def migrated_plans(store: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFr
     now, of = materialize(start, "store"), start.select("id", F.col("id").alias("kept_id"))
     while True:
         then, (now, kept) = now, _pass(now, as_of_year)
-        of = materialize(of.join(kept.toDF("next", "kept_id"), "kept_id").select("id", F.col("next").alias("kept_id")), "kept")
-        both = then.select("id", F.to_json(row()).alias("then")).join(now.select("id", F.to_json(row()).alias("now")), "id", "left")
+        of = materialize(of.join(by_shuffle(kept.toDF("next", "kept_id")), "kept_id").select("id", F.col("next").alias("kept_id")), "kept")
+        both = then.select("id", F.to_json(row()).alias("then")).join(by_shuffle(now.select("id", F.to_json(row()).alias("now"))), "id", "left")
         if both.where("now is null or then <> now").isEmpty():
             break
     old = start.select("id", row().alias("old"))
     new = now.select(F.col("id").alias("kept_id"), row().alias("new"))
-    out = old.join(of, "id").join(new, "kept_id")
+    out = old.join(by_shuffle(of), "id").join(by_shuffle(new), "kept_id")
     action = F.when(F.col("id") != F.col("kept_id"), "merged").when(F.to_json("old") != F.to_json("new"), "changed").otherwise("same")
     return now, out.select("id", "kept_id", action.alias("action"), "old", "new")
