@@ -25,10 +25,10 @@ def some_records(spark):
 
 def test_names_are_compared_through_long_pieces_by_a_shuffle(spark):
     rows = some_records(spark)
-    assert "Broadcast" not in plan(records.possible_links(rows.withColumn("hash", F.md5("name"))))
+    assert "BroadcastHashJoin" not in plan(records.possible_links(rows))
     named = records.match_keys(rows).select("id", "name")
     assert {len(r["piece"]) for r in records.name_pieces(named).collect()} == {4}  # 40 characters, 6 edits, 3 pieces to spare
-    assert {len(r["piece"]) for r in records.name_grams(named).collect()} == {4, 5}
+    assert {len(r["piece"]) for r in records.name_grams(named).collect()} == {3, 4}
 
 
 def test_similar_names_of_any_length_share_a_piece(spark):
@@ -70,3 +70,19 @@ def test_keys_of_a_batch_are_not_broadcast(spark):
 def test_rows_of_a_migrated_store_are_not_broadcast(spark):
     store = some_records(spark).limit(9).withColumns({"remarks": F.array(F.lit("otra")), "status": F.lit("REVISAR")})
     assert "Broadcast" not in plan(migration.migrated_plans(store, 2026)[1])
+
+
+def test_pairs_of_groups_are_dealt_over_tasks(spark):
+    for name in ("token_overlap", "edit_similarity"):
+        assert "Broadcast" not in plan(catalogue.queries()[name](spark, FOLDER))
+
+
+def test_many_equal_texts_give_every_pair(spark, tmp_path):
+    n = 2100  # three lists of ids
+    spark.range(n).selectExpr("id AS p_partkey", "'a ring' AS p_name", "'SMALL' AS p_type", "'Brand#1' AS p_brand", "1 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    out = catalogue.queries()["token_overlap"](spark, str(tmp_path))
+    assert out.agg(F.count("*"), F.count_distinct("a", "b"), F.max(F.col("a") >= F.col("b")), F.min("rows_overlap")).first()[:] == (n * (n - 1) // 2, n * (n - 1) // 2, False, 1.0)
+
+
+def test_options_are_not_broadcast_for_linking(spark):
+    assert "Broadcast" not in plan(catalogue.queries()["link_argmax"](spark, FOLDER))
