@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import edit_ratio_of_keys, overlap_of_tokens
 from ..functions.text import normalize, tokens
+from ..shared import by_shuffle
 
 # Weights and thresholds of the link score.
 TEACHER, TRAINING, PERIOD = 0.55, 0.40, 0.05
@@ -53,7 +54,7 @@ def match_training(records: DataFrame, options: DataFrame) -> DataFrame:
     def ordered(df: DataFrame, name: str) -> DataFrame:
         """Column names as the column called name, rare tokens first."""
         rest = [c for c in df.columns if c != "names"]
-        each = df.select(*df.columns, F.explode("names").alias("token")).join(seen, "token")
+        each = df.select(*df.columns, F.explode("names").alias("token")).join(by_shuffle(seen), "token")
         return each.groupBy(*df.columns).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")).select(*rest, F.transform("order", lambda x: x["token"]).alias(name))
 
     r, o = ordered(r, "a"), ordered(o, "b")
@@ -61,7 +62,7 @@ def match_training(records: DataFrame, options: DataFrame) -> DataFrame:
     def scored(left: DataFrame, least: Column, least_of_options: float) -> DataFrame:
         """record_id and best (score, negative ordinal, option_id, overlaps) over the options that may have so much of the teacher in common."""
         keyed = left.select("*", F.explode(_keys(F.col("a"), least)).alias("key"))
-        pairs = keyed.join(o.select("*", F.explode(_keys(F.col("b"), F.lit(least_of_options))).alias("key")), "key")
+        pairs = keyed.join(by_shuffle(o.select("*", F.explode(_keys(F.col("b"), F.lit(least_of_options))).alias("key"))), "key")
         teacher, training = overlap_of_tokens(F.col("a"), F.col("b")), overlap_of_tokens(F.col("ta"), F.col("tb"))
         period = F.when((F.col("r_period") == F.col("o_period")) & (F.col("r_period") != ""), PERIOD).otherwise(0.0)
         pairs = pairs.select("record_id", "option_id", "ordinal", teacher.alias("s_teacher"), training.alias("s_training"), period.alias("s_period"))
@@ -73,7 +74,7 @@ def match_training(records: DataFrame, options: DataFrame) -> DataFrame:
     first = first.where(good)
     # an option with less of the teacher in common scores less than this
     bound = TEACHER * LEAST_TEACHER + TRAINING + PERIOD + 1e-6
-    doubtful = r.join(first.where(F.col("best.score") <= bound).select(F.col("record_id").alias("_id"), F.col("best.score").alias("reached")), F.col("record_id").eqNullSafe(F.col("_id")))
+    doubtful = r.join(by_shuffle(first.where(F.col("best.score") <= bound).select(F.col("record_id").alias("_id"), F.col("best.score").alias("reached"))), F.col("record_id").eqNullSafe(F.col("_id")))
     hiding = scored(doubtful.drop("_id"), F.greatest(F.lit(0.0), (F.col("reached") - 1e-6 - TRAINING - PERIOD) / TEACHER), (LEAST_SCORE - 1e-6 - TRAINING - PERIOD) / TEACHER)
     best = first.union(hiding).groupBy("record_id").agg(F.max("best").alias("best"))
     return best.where(good).select("record_id", "best.option_id", "best.score")
