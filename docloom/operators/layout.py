@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import MONTHS
 from ..functions.similarity import score_of_tokens, with_aliases
-from ..functions.text import clean, let, normalize, split_list, text, tokens
+from ..functions.text import clean, let, normalize, number, split_list, text, tokens
 from .extraction import KIND_WORDS
 
 # Tokens that stand for each other when activities are matched to trainings.
@@ -90,4 +90,4 @@ def record_key(name: Column, code: Column, file_name: Column) -> Column:
 
 def manual_training(name: Column, hours: Column, start: Column, end: Column, kind: Column, theory: Column, practice: Column) -> Column:
     """A training row typed by hand: texts trimmed, hours not below zero, lists split."""
-    return F.struct(F.trim(text(name)).alias("name"), F.greatest(F.lit(0.0), F.coalesce(text(hours).try_cast("double"), F.lit(0.0))).alias("hours"), F.trim(text(start)).alias("start"), F.trim(text(end)).alias("end"), F.trim(text(kind)).alias("kind"), split_list(theory).alias("theory"), split_list(practice).alias("practice"))
+    return F.struct(F.trim(text(name)).alias("name"), F.greatest(F.lit(0.0), F.coalesce(number(text(hours), "double"), F.lit(0.0))).alias("hours"), F.trim(text(start)).alias("start"), F.trim(text(end)).alias("end"), F.trim(text(kind)).alias("kind"), split_list(theory).alias("theory"), split_list(practice).alias("practice"))
