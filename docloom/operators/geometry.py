@@ -6,12 +6,13 @@ The greedy steps depend on the order of the words; they run on one page at a tim
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SPACE, clean, normalize, text
+from ..functions.text import SPACE, clean, normalize, number, text
 from .groups import per_group
 
 PAGE = ["doc_id", "page"]
@@ -83,15 +84,21 @@ def cluster_lines(centers: list[float], tolerances: list[float]) -> list[int]:
     return [place[k] for k in of]
 
 
+def _lines_of(centers: pa.Array, tolerances: pa.Array) -> pa.Array:
+    """:func:`cluster_lines` of pages."""
+    return pa.array(map(cluster_lines, centers.to_pylist(), tolerances.to_pylist()), pa.list_(pa.int32()))
+
+
 def visual_lines(words: DataFrame, tolerance: float | None = None) -> DataFrame:
     """Adds visual_line (0-based, downwards). tolerance None: by the height of each word, 2.5 to 7."""
 
-    def lined(found: list[dict]) -> list[dict]:
-        near = [tolerance if tolerance is not None else min(7.0, max(2.5, (w["height"] or 10.0) * 0.55)) for w in found]
-        return [dict(w, visual_line=n) for w, n in zip(found, cluster_lines([w["center_y"] for w in found], near))]
-
-    shown = words.where(F.trim(text("text")) != "")
-    return per_group(shown, PAGE, ["center_y", "left"], lined, T.StructType([*words.schema.fields, T.StructField("visual_line", T.IntegerType())]))
+    # only heights and tolerances go to Python; pages that are dealt already are not shuffled again
+    near = F.lit(tolerance) if tolerance is not None else F.least(F.lit(7.0), F.greatest(F.lit(2.5), F.coalesce(F.nullif("height", F.lit(0.0)), F.lit(10.0)) * 0.55))
+    rest = [c for c in words.columns if c not in PAGE]
+    word = F.struct("center_y", "left", near.alias("near"), F.struct(*rest).alias("word"))
+    pages = words.where(F.trim(text("text")) != "").groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("x"))
+    each = pages.select(*PAGE, "x", F.arrow_udf(_lines_of, T.ArrayType(T.IntegerType()))("x.center_y", "x.near").alias("n")).select(*PAGE, F.explode(F.arrays_zip("x", "n")).alias("e"))
+    return each.select(*(F.col(c) if c in PAGE else F.col(f"e.x.word.{c}").alias(c) for c in words.columns), F.col("e.n").alias("visual_line"))
 
 
 def line_text(lined: DataFrame, line: str = "visual_line") -> DataFrame:
@@ -114,8 +121,8 @@ def pick_anchors(candidates: list[tuple[float, float]]) -> list[int]:
 
 def row_anchors(words: DataFrame) -> DataFrame:
     """Words that number the rows of a table: 1 to 30, in the left 15 per cent of the width (column page_width)."""
-    number = F.regexp_extract(F.trim("text"), r"\A([0-9]{1,2})\z", 1).try_cast("int")
-    near = words.withColumn("number", number).where((F.col("center_x") / F.col("page_width") <= ANCHOR_REACH) & F.col("number").between(1, 30))
+    ordinal = number(F.regexp_extract(F.trim("text"), r"\A([0-9]{1,2})\z", 1))
+    near = words.withColumn("number", ordinal).where((F.col("center_x") / F.col("page_width") <= ANCHOR_REACH) & F.col("number").between(1, 30))
 
     picked = lambda found: [found[k] for k in pick_anchors([(w["center_y"], w["confidence"]) for w in found])]
     return per_group(near, PAGE, ["center_y", "left"], picked, near.schema)
@@ -174,11 +181,11 @@ def tsv_words(pages: DataFrame) -> DataFrame:
     """
     line = pages.select("doc_id", "left", "top", F.posexplode(F.split(F.trim(text("tsv")), r"\r?\n")).alias("at", "line")).where("at > 0")
     cells = line.withColumn("c", F.split("line", "\t")).where(F.size("c") >= 12)
-    number = lambda k: F.coalesce(F.get("c", k).try_cast("double"), F.lit(0.0))
-    whole = lambda k: number(k).cast("int")
+    value = lambda k: F.coalesce(number(F.get("c", k), "double"), F.lit(0.0))
+    whole = lambda k: value(k).cast("int")
     words = cells.select(
         "doc_id", whole(1).alias("page"), whole(2).alias("block"), whole(3).alias("paragraph"), whole(4).alias("line"), whole(5).alias("word"), F.trim(F.array_join(F.slice("c", 12, F.size("c")), "\t")).alias("text"),
-        (number(6) + F.col("left")).alias("left"), (number(7) + F.col("top")).alias("top"), number(8).alias("width"), number(9).alias("height"), F.get("c", 10).try_cast("double").alias("confidence"),
+        (value(6) + F.col("left")).alias("left"), (value(7) + F.col("top")).alias("top"), value(8).alias("width"), value(9).alias("height"), number(F.get("c", 10), "double").alias("confidence"),
     )
     return with_box(words.where("text <> '' and confidence >= -1"))
 
