@@ -80,7 +80,8 @@ def trainings_view(plans: DataFrame) -> DataFrame:
 
 def issues_view(plans: DataFrame) -> DataFrame:
     """One row for each issue."""
-    return plans.select("id", "name", F.explode("issues").alias("x")).select("id", "name", "x.*")
+    found = F.transform("issues", lambda x: x)  # of a plain column Spark asks first whether it is empty, which works it out anew
+    return plans.select("id", "name", F.explode(found).alias("x")).select("id", "name", "x.*")
 
 
 def engines_view(evidence: DataFrame) -> DataFrame:

@@ -36,3 +36,11 @@ def test_edges_of_the_words_of_a_row(spark):
     got = [tuple(r["x"]) for r in rows.select(table_row("t").alias("x")).collect()]
     assert got == [(1, "Redes", 40, "mayo", "junio TALLERES", "CURSO"), (2, "Redesdesde x", 30, "mayo", "junio", "TALLER")]
     assert rows.select(find_kind("t").alias("k")).collect()[0]["k"] == "CURSO"
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_issues_are_not_worked_out_to_ask_whether_there_are_any(spark):
+    assert "Filter" not in optimized(catalogue.queries()["issue_map"](spark, FOLDER))
