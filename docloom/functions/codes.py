@@ -136,6 +136,11 @@ def spanish_date(c: Column | str) -> Column:
 
 def loose_date(c: Column | str) -> Column:
     """struct(year, month, day) of a planned date, without a calendar check: ISO, "d de mes de Y", "mes d de Y", "mes Y" (day 1), "Y" (1 January); null if none."""
+    return let(normalize(c), loose_date_of)
+
+
+def loose_date_of(key: Column) -> Column:
+    """As :func:`loose_date`, of a normalized text."""
     of = lambda t, pattern, y, m, d: F.struct(
         number(F.regexp_extract(t, pattern, y)).alias("year"),
         (month_number(F.regexp_extract(t, pattern, m)) if m else F.lit(1)).cast("int").alias("month"),
@@ -150,7 +155,7 @@ def loose_date(c: Column | str) -> Column:
         (rf"\b{name} (?:del? )?(20[0-9]{{2}})\b", 2, 1, 0),
         (r"\b(20[0-9]{2})\b", 1, 0, 0),
     ]
-    return let(normalize(c), lambda t: F.coalesce(*(F.when(t.rlike(p), of(t, p, y, m, d)) for p, y, m, d in tries)))
+    return F.coalesce(*(F.when(key.rlike(p), of(key, p, y, m, d)) for p, y, m, d in tries))
 
 
 def date_number(d: Column) -> Column:

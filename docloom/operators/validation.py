@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import date_number, is_plan_code, loose_date, period_of
+from ..functions.codes import date_number, is_plan_code, loose_date_of, period_of
 from ..functions.quality import FOREIGN, has_phrase
 from ..functions.text import built_once, clean, js_round, let, normalize, number
 
@@ -30,28 +31,31 @@ class Rule:
     severity: str = ERROR
 
     def issue(self) -> Column:
+        """An array of the one issue; null where the rule does not hold."""
         parts = (self.path, self.severity, self.kind, self.category, self.layer)
-        return F.when(self.when, F.struct(*(F.lit(v).alias(n) for v, n in zip(parts, ("path", "severity", "kind", "category", "layer")))))
+        return F.when(self.when, F.array(F.struct(*(F.lit(v).alias(n) for v, n in zip(parts, ("path", "severity", "kind", "category", "layer"))))))
 
 
 def warning(path: str, when: Column, category: str, layer: str) -> Rule:
     return Rule(path, when, "warning", category, layer, WARNING)
 
 
-def first_per_path(issues: Column) -> Column:
-    """Issues without nulls; of those with the same path and severity the first."""
-    name = lambda x: F.concat_ws(" ", x["severity"], x["path"])
-    return let(F.array_compact(issues), lambda found: let(F.transform(found, name), lambda names: F.filter(found, lambda x, i: F.array_position(names, name(x)) == i + 1)))
+def issues(rules: list[Rule], passed: tuple[Rule, ...] = ()) -> Column:
+    """The issues of a row under the rules, as an array; of those with the same path and severity only the first. passed: rules that were looked at before."""
+    out, passed = [], [*passed]
+    for (path, severity), run in groupby(rules, lambda r: (r.path, r.severity)):
+        same = list(run)
+        found = F.coalesce(*(r.issue() for r in same), F.array().cast(f"array<{ISSUE}>"))
+        for earlier in (r for r in passed if (r.path, r.severity) == (path, severity)):
+            found = F.when(F.coalesce(earlier.when, F.lit(False)), F.array().cast(f"array<{ISSUE}>")).otherwise(found)
+        out.append(found)
+        passed += same
+    return F.concat(*out)
 
 
-def issues(rules: list[Rule]) -> Column:
-    """The issues of a row under the rules, as an array."""
-    return first_per_path(F.array(*(r.issue() for r in rules)))
-
-
-def _mixed(t: Column, key: Column, longest: int) -> Column:
-    """As quality.has_mixed_content, for a cleaned text and its key."""
-    return (F.length(t) > longest) | key.rlike(FOREIGN)
+def _mixed(x: Column, longest: int) -> Column:
+    """As quality.has_mixed_content, for a reading."""
+    return (F.length(x["text"]) > longest) | x["key"].rlike(FOREIGN)
 
 
 def reading(c: Column | str) -> Column:
@@ -59,13 +63,13 @@ def reading(c: Column | str) -> Column:
     return F.struct(clean(c).alias("text"), normalize(c).alias("key"))
 
 
-def list_reading(c: Column | str) -> Column:
-    """The reading of a list's items that are not empty, joined; no item is no text."""
-    return reading(F.array_join(F.filter(F.transform(c, lambda x: clean(x)), lambda x: x != ""), " · "))
+def listed(c: Column | str) -> Column:
+    """A list's items that are not empty, joined; no item is no text."""
+    return F.array_join(F.filter(F.transform(c, lambda x: clean(x)), lambda x: x != ""), " · ")
 
 
 def required_text(path: str, x: Column, longest: int, layer: str = "campos") -> list[Rule]:
-    return [Rule(path, x["text"] == "", layer=layer), Rule(path, _mixed(x["text"], x["key"], longest), "invalid", layer="semantica")]
+    return [Rule(path, x["text"] == "", layer=layer), Rule(path, _mixed(x, longest), "invalid", layer="semantica")]
 
 
 def code_rules(path: str, x: Column, template: Column) -> list[Rule]:
@@ -74,8 +78,8 @@ def code_rules(path: str, x: Column, template: Column) -> list[Rule]:
     return [
         warning(path, (t == "") & old, "plantilla", "plantilla"),
         Rule(path, (t == "") & ~old, layer="lectura"),
-        Rule(path, (t != "") & ~is_plan_code(t) & zero, "invalid", "contenido"),
-        Rule(path, (t != "") & ~is_plan_code(t) & ~zero, "invalid"),
+        Rule(path, (t != "") & zero & ~is_plan_code(t), "invalid", "contenido"),
+        Rule(path, (t != "") & ~zero & ~is_plan_code(t), "invalid"),
     ]
 
 
@@ -103,18 +107,18 @@ def hours_rules(path: str, hours: Column) -> list[Rule]:
 def name_rules(path: str, x: Column) -> list[Rule]:
     t, key = x["text"], x["key"]
     mixed = has_phrase(key, "desde", "hasta", "aprobacion", "horas de capacitacion", "hora de capacitacion", "fecha de propuesta")
-    return [Rule(path, t == ""), Rule(path, mixed | _mixed(t, key, 220), "invalid", layer="semantica")]
+    return [Rule(path, t == ""), Rule(path, mixed | _mixed(x, 220), "invalid", layer="semantica")]
 
 
 def date_rules(path: str, x: Column, d: Column, as_of_year: int) -> list[Rule]:
     """d: the date that the value names, as loose_date gives it. as_of_year stands for the present: years more than ten later are doubtful."""
     t, key = x["text"], x["key"]
-    polluted = _mixed(t, key, 140) | has_phrase(key, "aprobacion", "horas de capacitacion", "hora de capacitacion")
+    polluted = _mixed(x, 140) | has_phrase(key, "aprobacion", "horas de capacitacion", "hora de capacitacion")
     return [
         Rule(path, t == ""),
         Rule(path, (t != "") & polluted, "invalid", layer="semantica"),
-        warning(path, (t != "") & ~polluted & d.isNull(), "lectura", "campos"),
-        Rule(path, ~polluted & (d["year"] > as_of_year + 10), "invalid", "contenido", "semantica"),
+        warning(path, (t != "") & d.isNull() & ~polluted, "lectura", "campos"),
+        Rule(path, (d["year"] > as_of_year + 10) & ~polluted, "invalid", "contenido", "semantica"),
     ]
 
 
@@ -127,18 +131,19 @@ def date_order_rule(path: str, start: Column, end: Column) -> Rule:
 def kind_rules(path: str, x: Column) -> list[Rule]:
     t, key = x["text"], x["key"]
     known = key.rlike("|".join(TRAINING_KINDS))
-    return [Rule(path, t == ""), Rule(path, _mixed(t, key, 60) | ~known, "invalid", layer="semantica")]
+    return [Rule(path, t == ""), Rule(path, _mixed(x, 60) | ~known, "invalid", layer="semantica")]
 
 
 def list_rules(path: str, x: Column) -> list[Rule]:
-    """x: as list_reading gives it."""
-    return [Rule(path, x["text"] == "", layer="estructura"), Rule(path, _mixed(x["text"], x["key"], 1600), "invalid", layer="semantica")]
+    """x: the reading of what :func:`listed` gives."""
+    return [Rule(path, x["text"] == "", layer="estructura"), Rule(path, _mixed(x, 1600), "invalid", layer="semantica")]
 
 
 def training_reading(t: Column) -> Column:
     """What the rules look at in one training (struct name, hours, start, end, kind)."""
-    dates = F.struct(loose_date(t["start"]).alias("start"), loose_date(t["end"]).alias("end"))
-    return F.struct(*(reading(t[k]).alias(k) for k in ("name", "start", "end", "kind")), t["hours"].alias("hours"), dates.alias("dates"))
+    read = F.struct(*(reading(t[k]).alias(k) for k in ("name", "start", "end", "kind")))
+    dates = lambda x: F.struct(loose_date_of(x["start"]["key"]).alias("start"), loose_date_of(x["end"]["key"]).alias("end"))
+    return let(read, lambda x: F.struct(*(x[k].alias(k) for k in ("name", "start", "end", "kind")), t["hours"].alias("hours"), dates(x).alias("dates")))
 
 
 def training_issues(x: Column, index: Column, as_of_year: int) -> Column:
@@ -215,9 +220,10 @@ def validated_plans(plans: DataFrame, as_of_year: int) -> DataFrame:
     Rows with status ERROR keep it and get no issue.
     """
     c = F.col
-    read = plans.withColumns(dict(zip(("_read", "_rows"), _plan_reading())))
+    of_lists = plans.withColumns({f"_{k}": listed(k) for k in ("theory", "practice")})
+    read = of_lists.withColumns(dict(zip(("_read", "_rows"), _plan_reading())))
     out = read.withColumn("issues", F.when(c("status") == "ERROR", F.array().cast(f"array<{ISSUE}>")).otherwise(_plan_issues(as_of_year)))
-    return with_status(out, F.lit(5 + len(DIAGNOSIS) + 4) + F.greatest(F.lit(1), F.size("_rows") * 5)).drop("_read", "_rows")
+    return with_status(out, F.lit(5 + len(DIAGNOSIS) + 4) + F.greatest(F.lit(1), F.size("_rows") * 5)).drop("_theory", "_practice", "_read", "_rows")
 
 
 _READ = ("name", "career", "level", "code", "period", "impact", "vision", *DIAGNOSIS)
@@ -225,15 +231,18 @@ _READ = ("name", "career", "level", "code", "period", "impact", "vision", *DIAGN
 
 @built_once
 def _plan_reading() -> tuple[Column, Column]:
-    """A plan's values with what its rules ask of them, and those of its trainings."""
-    values = {k: F.col(f"diagnosis.{k}" if k in DIAGNOSIS else k) for k in _READ}
-    lists = {k: list_reading(k) for k in ("theory", "practice")}
-    return F.struct(*(reading(v).alias(k) for k, v in values.items()), *(v.alias(k) for k, v in lists.items())), F.transform(F.coalesce("trainings", F.array()), training_reading)
+    """A plan's values with what its rules ask of them (null for those of no issue), and those of its trainings.
+
+    A bare struct would not do: Spark works out its fields anew wherever a rule reads them.
+    """
+    values = {**{k: F.col(f"diagnosis.{k}" if k in DIAGNOSIS else k) for k in _READ}, **{k: F.col(f"_{k}") for k in ("theory", "practice")}}
+    read = F.struct(*(reading(v).alias(k) for k, v in values.items()))
+    return F.when(~F.coalesce(F.col("status") == "ERROR", F.lit(False)), read), F.transform(F.coalesce("trainings", F.array()), training_reading)
 
 
 @built_once
 def _plan_issues(as_of_year: int) -> Column:
-    """All issues of a plan out of its readings, the first of each path."""
+    """All issues of a plan out of its readings, the first of each path; those of trainings have paths of their own."""
     c = F.col
     x = {k: c(f"_read.{k}") for k in (*_READ, "theory", "practice")}
     count = F.size("_rows")
@@ -256,7 +265,7 @@ def _plan_issues(as_of_year: int) -> Column:
         warning("_plantilla", c("template") == "ANTIGUA", "plantilla", "plantilla"),
     ]
     of_rows = F.flatten(F.transform("_rows", lambda t, i: training_issues(t, i, as_of_year)))
-    return first_per_path(F.concat(F.array(*(r.issue() for r in head)), of_rows, F.array(*(r.issue() for r in tail))))
+    return F.concat(issues(head), of_rows, issues(tail, (*head,)))
 
 
 def with_status(rows: DataFrame, total: Column) -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from docloom import catalogue, shared
-from docloom.functions.text import number
+from docloom.functions.text import TIDY, number
+from docloom.operators import validation
 from docloom.operators.extraction import find_kind, table_row
 
 FOLDER = "/root/testdata/sf0.001"
@@ -44,3 +45,21 @@ def optimized(df) -> str:
 
 def test_issues_are_not_worked_out_to_ask_whether_there_are_any(spark):
     assert "Filter" not in optimized(catalogue.queries()["issue_map"](spark, FOLDER))
+
+
+def test_values_of_a_plan_are_read_once(spark):
+    plan = optimized(catalogue.queries()["confidence_status"](spark, FOLDER))
+    assert len(plan.split("\\A(?:[!-~")) < 40  # 20 texts and the lists' items; before, each rule read them anew
+
+
+def test_first_issue_of_a_path_and_severity(spark):
+    holds = lambda path, category, severity=validation.ERROR: validation.Rule(path, F.lit(True), category=category, severity=severity)
+    rules = [holds("a", "1"), holds("a", "2"), holds("b", "3"), holds("b", "4", validation.WARNING), holds("a", "5"), validation.Rule("c", F.lit(None).cast("boolean")), holds("c", "6")]
+    got = spark.range(1).select(validation.issues(rules).alias("i"), validation.issues(rules[4:], tuple(rules[:4])).alias("rest")).first()
+    assert [x["category"] for x in got["i"]] == ["1", "3", "4", "6"] and [x["category"] for x in got["rest"]] == ["6"]
+
+
+def test_tidy_texts(spark):
+    texts = {"": True, "a": True, "a b": True, "á b-c": True, " a": False, "a ": False, "a  b": False, "a\nb": False, "a b": False, "a­b": False, "–": False, " ": False, "😀": False}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(TIDY).alias("x")).collect()
+    assert {r["t"]: r["x"] for r in rows} == texts
