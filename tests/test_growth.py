@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom import catalogue, shared
 from docloom.functions.text import TIDY, number
-from docloom.operators import validation
+from docloom.operators import consensus, validation
 from docloom.operators.extraction import find_kind, table_row
 
 FOLDER = "/root/testdata/sf0.001"
@@ -63,3 +63,12 @@ def test_tidy_texts(spark):
     texts = {"": True, "a": True, "a b": True, "á b-c": True, " a": False, "a ": False, "a  b": False, "a\nb": False, "a b": False, "a­b": False, "–": False, " ": False, "😀": False}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(TIDY).alias("x")).collect()
     assert {r["t"]: r["x"] for r in rows} == texts
+
+
+def test_keys_of_aligned_rows_are_split_once(monkeypatch):
+    calls = []
+    split = consensus._tokens
+    monkeypatch.setattr(consensus, "_tokens", lambda key: calls.append(key) or split(key))
+    rows = [{"order": k, "key": f"curso tema{k}", "name": "a", "hours": 1.0, "start": "b", "end": "c", "kind": "d"} for k in range(9)]
+    assert consensus.align_rows([("A", 6, rows), ("B", 6, rows)]) == [[(0, k), (1, k)] for k in range(9)]
+    assert len(calls) == 18
