@@ -88,8 +88,13 @@ USABLE_LENGTH, USABLE_SIGNAL = 550, 5
 
 def positional_signal(c: Column | str) -> Column:
     """How much a text layer with positions looks like a plan, 0 to 11."""
+    return let(normalize(c), positional_signal_of_key)
 
-    def points(key: Column, alternatives: tuple) -> Column:
+
+def positional_signal_of_key(key: Column) -> Column:
+    """:func:`positional_signal` of a normalized text."""
+
+    def points(alternatives: tuple) -> Column:
         out = F.lit(0)
         for weight, phrases in reversed(alternatives):
             holds = F.lit(True)
@@ -98,12 +103,17 @@ def positional_signal(c: Column | str) -> Column:
             out = F.when(holds, weight).otherwise(out)
         return out
 
-    return let(normalize(c), lambda key: sum((points(key, a) for a in POSITIONAL_SIGNALS), F.lit(0)))
+    return sum((points(a) for a in POSITIONAL_SIGNALS), F.lit(0))
 
 
 def is_usable_layer(c: Column | str) -> Column:
     """Whether a text layer with positions is long enough and looks like a plan."""
-    return (F.length(clean(c)) >= USABLE_LENGTH) & (positional_signal(c) >= USABLE_SIGNAL)
+    return usable_layer(F.length(clean(c)), positional_signal(c))
+
+
+def usable_layer(length: Column, signal: Column) -> Column:
+    """:func:`is_usable_layer` by the length of the cleaned text and its signal."""
+    return (length >= USABLE_LENGTH) & (signal >= USABLE_SIGNAL)
 
 
 def markers(c: Column | str, patterns: tuple[str, ...]) -> Column:

@@ -28,22 +28,37 @@ def _count(c: Column, pattern: str) -> Column:
 
 def table_score(c: Column | str, n_words: Column | int | None = None) -> Column:
     """How much a region looks like the training table: row numbers, kinds, dates and months, numbers, words (n_words: its word boxes, else the words of its text)."""
+    words = word_count(clean(c)) if n_words is None else n_words if isinstance(n_words, Column) else F.lit(n_words)
+    return let(normalize(c), lambda key: table_score_of_key(key, words))
+
+
+def word_count(cleaned: Column) -> Column:
+    """Words of a cleaned text."""
+    return _count(cleaned, r"\S++")
+
+
+def table_score_of_key(key: Column, words: Column) -> Column:
+    """:func:`table_score` of a normalized text, whose words stand behind one blank each but for the first."""
     kinds = "|".join(k.replace("Ó", "O").lower() for k in KIND_WORDS if k != "CAPACITACIÓN")
-    words = _count(clean(c), r"\S+") if n_words is None else n_words if isinstance(n_words, Column) else F.lit(n_words)
 
-    def scored(key: Column) -> Column:
-        numbers, hours = _count(key, r"(?:\A| )[0-9]{1,2}(?= )"), _count(key, r"(?:\A| )[0-9]{1,4}(?: horas?| h)?(?= |\z)")
-        dates = _count(key, r"(?<![a-z0-9])(?:desde|hasta|" + "|".join(MONTHS) + r")(?![a-z0-9])")
-        score = numbers * 4 + _count(key, rf"(?<![a-z0-9])(?:{kinds})(?![a-z0-9])") * 5 + dates * 2 + F.least(F.lit(12), hours)
+    def scored(behind: Column) -> Column:
+        numbers, hours = _count(behind, " [0-9]{1,2}(?= )"), _count(behind, r" [0-9]{1,4}(?= |\z)")
+        dates = _count(behind, " (?:desde|hasta|" + "|".join(MONTHS) + r")(?= |\z)")
+        score = numbers * 4 + _count(behind, rf" (?:{kinds})(?= |\z)") * 5 + dates * 2 + F.least(F.lit(12), hours)
         return F.when(key == "", 0.0).otherwise(score + F.least(F.lit(15.0), words / 8))
 
-    return let(normalize(c), scored)
+    return let(F.concat(F.lit(" "), key), scored)
 
 
 def activity_score(c: Column | str) -> Column:
     """How much a region looks like an activity section: its length, and both of its headings."""
-    half = lambda key, word: F.when(key.contains(word), 8).otherwise(0)
-    return let(normalize(c), lambda key: F.when(key == "", 0.0).otherwise(F.least(F.lit(20.0), F.length(key) / 30) + half(key, "teorica") + half(key, "practica")))
+    return let(normalize(c), activity_score_of_key)
+
+
+def activity_score_of_key(key: Column) -> Column:
+    """:func:`activity_score` of a normalized text."""
+    half = lambda word: F.when(key.contains(word), 8).otherwise(0)
+    return F.when(key == "", 0.0).otherwise(F.least(F.lit(20.0), F.length(key) / 30) + half("teorica") + half("practica"))
 
 
 def best_pass(passes: DataFrame, keys: list[str], score: Column) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cleaners as C
-from ..functions.quality import is_usable_layer, positional_signal
-from ..functions.text import display, split_list
+from ..functions.quality import positional_signal_of_key, usable_layer
+from ..functions.text import clean, display, normalize, split_list
 from ..operators import extraction as E
 from ..operators import geometry as G
 from ..operators import layout as L
@@ -60,8 +60,12 @@ _PAGE_TEXT = """CASE doc_id % 6
 
 
 def page_scores(spark, d):
-    rows = spread(table(spark, d, "documents")).select("doc_id", F.expr(_PAGE_TEXT).alias("x"))
-    return rows.select("doc_id", L.table_score("x").alias("table_score"), F.round(L.activity_score("x"), 6).alias("activity_score"), C.looks_like_table("x").alias("is_table"), positional_signal("x").alias("signal"), is_usable_layer("x").alias("usable"))
+    """Scores of whole texts; each text is cleaned and normalized once for all of them."""
+    texts = spread(table(spark, d, "documents")).select("doc_id", F.expr(_PAGE_TEXT).alias("x"))
+    rows = texts.select("doc_id", clean("x").alias("x"), normalize("x").alias("key"))
+    x, key = F.col("x"), F.col("key")
+    signal = positional_signal_of_key(key)
+    return rows.select("doc_id", L.table_score_of_key(key, L.word_count(x)).alias("table_score"), F.round(L.activity_score_of_key(key), 6).alias("activity_score"), C.key_looks_like_table(key).alias("is_table"), signal.alias("signal"), usable_layer(F.length(x), signal).alias("usable"))
 
 
 _TABLE_MONTHS = "'enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre'"
