@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codes import MONTHS
-from ..functions.similarity import score_of_tokens, with_aliases
-from ..functions.text import clean, let, normalize, number, split_list, text, tokens
+from ..functions.text import clean, let, normalize, number, split_list, text
 from .extraction import KIND_WORDS
 
 # Tokens that stand for each other when activities are matched to trainings.
@@ -67,24 +70,55 @@ def best_pass(passes: DataFrame, keys: list[str], score: Column) -> DataFrame:
     return passes.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def assigned_activities(trainings: Column, activities: Column, groups: list[tuple[str, ...]] | None = None) -> Column:
-    """For each training (struct with name) struct(items, shared): the activity that fits best, the first on ties; all of them, marked as shared, where none fits."""
-    aliases = ACTIVITY_ALIASES if groups is None else groups
-    expanded = lambda c: with_aliases(tokens(c, 1), aliases)
-    chosen = lambda best: F.when(F.coalesce(best["score"], F.lit(0)) > 0, F.struct(F.array(best["a"]).alias("items"), F.lit(False).alias("shared"))).otherwise(F.struct(activities.alias("items"), F.lit(True).alias("shared")))
+def _best_fitting(groups: list[tuple[str, ...]]) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """For each of some normalized names the place of the normalized activity that shares most with it (tokens, alias groups), the first on ties; -1 where none shares anything."""
+
+    def expanded(key: str) -> frozenset[str]:
+        found = {t for t in key.split() if len(t) > 1}
+        for group in groups:
+            if not found.isdisjoint(group):
+                found.update(group)
+        return frozenset(found)
+
+    def best(names: pa.Array, activities: pa.Array) -> pa.Array:
+        known: dict[str, frozenset[str]] = {}  # texts of this batch, most of which come again
+
+        def tokens_of(key: str) -> frozenset[str]:
+            if key not in known:
+                known[key] = expanded(key)
+            return known[key]
 
-    def assigned(listed: Column) -> Column:
-        scored = lambda own: F.transform(listed, lambda x, i: F.struct(score_of_tokens(own, x["tokens"]).alias("score"), (-i).alias("o"), x["a"].alias("a")))
-        return F.transform(trainings, lambda t: let(let(expanded(t["name"]), lambda own: F.array_max(scored(own))), chosen))
+        def places(own: list[str], listed: list[str]) -> list[int]:
+            holding: dict[str, list[int]] = {}
+            for i, key in enumerate(listed):
+                for t in tokens_of(key):
+                    holding.setdefault(t, []).append(i)
+            out = []
+            for key in own:
+                scores: dict[int, int] = {}
+                for t in tokens_of(key):
+                    for i in holding.get(t, ()):
+                        scores[i] = scores.get(i, 0) + (1 if len(t) <= 2 else 2)
+                out.append(min(scores, key=lambda i: (-scores[i], i)) if scores else -1)
+            return out
 
-    return let(F.transform(activities, lambda a: F.struct(a.alias("a"), expanded(a).alias("tokens"))), assigned)
+        rows = zip(names.to_pylist(), activities.to_pylist())
+        return pa.array((None if own is None else places(own, listed or []) for own, listed in rows), pa.list_(pa.int32()))
+
+    return best
+
+
+def assigned_activities(trainings: Column, activities: Column, groups: list[tuple[str, ...]] | None = None) -> Column:
+    """For each training (struct with name) struct(items, shared): the activity that fits best, the first on ties; all of them, marked as shared, where none fits."""
+    best = F.arrow_udf(_best_fitting(ACTIVITY_ALIASES if groups is None else groups), T.ArrayType(T.IntegerType()))
+    found = best(F.transform(trainings, lambda t: normalize(t["name"])), F.transform(activities, normalize))
+    return F.transform(found, lambda k: F.when(k >= 0, F.struct(F.array(F.get(activities, k)).alias("items"), F.lit(False).alias("shared"))).otherwise(F.struct(activities.alias("items"), F.lit(True).alias("shared"))))
 
 
 def training_activities(trainings: Column, listed: Column, groups: list[tuple[str, ...]] | None = None) -> Column:
     """For each training struct(theory, practice, shared): what fits it of both lists (listed: struct of theory and practice), by :func:`assigned_activities`; shared where one of the two lists is."""
-    both = F.struct(assigned_activities(trainings, listed["theory"], groups).alias("theory"), assigned_activities(trainings, listed["practice"], groups).alias("practice"))
     row = lambda t, p: F.struct(t["items"].alias("theory"), p["items"].alias("practice"), (t["shared"] | p["shared"]).alias("shared"))
-    return let(both, lambda x: F.zip_with(x["theory"], x["practice"], row))
+    return F.zip_with(assigned_activities(trainings, listed["theory"], groups), assigned_activities(trainings, listed["practice"], groups), row)
 
 
 def clamped(left: Column, top: Column, width: Column, height: Column, page_width: Column, page_height: Column) -> Column:

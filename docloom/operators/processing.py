@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaners import BLANKS, answer, diagnosis, is_useful_plan, section_text, teacher_name, training_name
 from ..functions.codes import code_candidates, period_of
 from ..functions.quality import field_quality, signal_score, text_quality
-from ..functions.text import built_once, clean, compact, js_round, normalize, number, smart_case, text
+from ..functions.text import built_once, clean, compact, js_round, let, normalize, number, smart_case, text
 from ..shared import materialize
 from . import extraction as E
 from .consensus import aligned_rows, best_text, cell_vote, code_vote, engine_weight, list_union, ranked_engines, vote
@@ -286,10 +286,11 @@ def section_activities(c: Column | str) -> Column:
     theory, practice = F.regexp_extract(bare, r"(?isu)Te[oó]ricas?\s*(.*?)(?=Pr[aá]cticas?|\z)", 1), F.regexp_extract(bare, r"(?isu)Pr[aá]cticas?\s*(.*)\z", 1)
 
     def items(part: Column) -> Column:
-        lines = F.transform(F.split(part, r"\n|(?=\s[-=•▪◦●■□◆◇▶►]\s*)"), lambda x: F.regexp_replace(compact(x), r"\A[-=•▪◦●■□◆◇▶►*\"']+\s*", ""))
+        lines = F.transform(F.split(part, r"\n|(?=\s[-=•▪◦●■□◆◇▶►])"), lambda x: F.regexp_replace(compact(x), r"\A[-=•▪◦●■□◆◇▶►*\"']+\s*", ""))
         return F.array_distinct(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"\A[0-9]+\.?\s")))
 
-    return F.struct(items(theory).alias("theory"), items(practice).alias("practice"))
+    # as a bare struct, Spark would copy each list to every place that reads it
+    return let(F.struct(items(theory).alias("theory"), items(practice).alias("practice")), lambda x: x)
 
 
 def with_regions(found: DataFrame, regions: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Long texts: answers at the right place, cleaned values as they are, each text worked on once."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from docloom import catalogue
+from docloom.functions.similarity import alias_score
 from docloom.functions.text import clean, compact, normalize
-from docloom.operators import processing
+from docloom.operators import layout, processing
 
 FOLDER = "/root/testdata/sf0.001"
 ASKED = {
@@ -39,3 +42,23 @@ def test_page_scores_work_on_each_text_once(spark):
     scores = catalogue.queries()["page_scores"](spark, FOLDER)
     assert scores._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9]") <= 2  # one pattern may name it twice
     assert scores.where(F.col("signal") > 0).count() > 0
+
+
+def test_activity_lists_are_read_once(spark):
+    plan = catalogue.queries()["activity_assignment"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Pr[aá]cticas?") == 2  # where the first list ends and the second begins
+
+
+def test_activities_fit_as_their_scores_say(spark):
+    rng = random.Random(2)
+    words = ["ia", "datos", "Inteligencia", "hacking", "seguridad", "fibra", "a", "x1", "código", "", "redes", "normas  APA"]
+    text = lambda: None if rng.random() < 0.05 else " ".join(rng.choices(words, k=rng.randrange(4)))
+    rows = [(k, [(text(),) for _ in range(rng.randrange(5))], [text() for _ in range(rng.randrange(5))]) for k in range(60)] + [(60, None, ["a"]), (61, [("ia",)], None)]
+    frame = spark.createDataFrame(rows, "k int, t array<struct<name:string>>, a array<string>")
+    got = {r["k"]: r["x"] for r in frame.select("k", layout.assigned_activities(F.col("t"), F.col("a")).alias("x")).collect()}
+    pairs = frame.select("k", F.posexplode("t").alias("i", "t"), "a").select("k", "i", "t", F.posexplode("a").alias("j", "a"))
+    scored = {(r["k"], r["i"], r["j"]): r["s"] for r in pairs.select("k", "i", "j", alias_score("t.name", "a", layout.ACTIVITY_ALIASES).alias("s")).collect()}
+    for k, trainings, listed in rows[:60]:
+        best = [max(((scored[k, i, j], -j) for j in range(len(listed))), default=(0, 0)) for i in range(len(trainings))]
+        assert [(x["items"], x["shared"]) for x in got[k]] == [([listed[-j]], False) if s else (listed, True) for s, j in best]
+    assert got[60] is None and [(x["items"], x["shared"]) for x in got[61]] == [(None, True)]
