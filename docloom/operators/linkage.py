@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.similarity import edit_ratio_of_keys, overlap_of_tokens
 from ..functions.text import normalize, tokens
-from ..shared import by_shuffle
+from ..shared import by_shuffle, materialize
 
 # Weights and thresholds of the link score.
 TEACHER, TRAINING, PERIOD = 0.55, 0.40, 0.05
 LEAST_TEACHER, LEAST_TRAINING, LEAST_SCORE = 0.65, 0.5, 0.62
 CANONICAL = 0.88
+#: Overlaps of teachers down to which options are looked for, one after the other; parts into which options are dealt to be ranked (1,024 at most), and bits of a rank.
+TIERS = (0.9, 0.8, LEAST_TEACHER)
+RANK_PARTS, RANK_BITS = 64, 43
 
 
 def training_options(plans: DataFrame) -> DataFrame:
@@ -36,48 +41,97 @@ def _keys(names: Column, least: Column) -> Column:
     return F.when(common <= 1, F.concat(pairs, names)).otherwise(pairs)
 
 
+def _pair_value(bonus: float) -> Column:
+    """What a pair of token sets is worth: its score in millionths and, below that, the option's rank, the first the highest. A hash aggregate keeps the greatest of such longs without sorting the pairs."""
+    score = overlap_of_tokens(F.col("a"), F.col("b")) * TEACHER + overlap_of_tokens(F.col("ta"), F.col("tb")) * TRAINING + bonus
+    return F.shiftleft((F.round(score, 6) * 1_000_000 + 0.5).cast("long"), RANK_BITS) + (F.lit((1 << RANK_BITS) - 1) - F.col("rank"))
+
+
+def _score_of(value: Column) -> Column:
+    return F.shiftright(value, RANK_BITS) / 1_000_000
+
+
+def _lesser(n: Column, least: float) -> Column:
+    """The largest overlap below least that a name of n tokens can have with an option; column sizes: how many tokens options have."""
+
+    def below(size: Column) -> Column:
+        longer = F.greatest(n, size)
+        return F.least(n, size, F.ceil(longer * least - 1e-6) - 1) / longer
+
+    return F.array_max(F.transform("sizes", below))
+
+
 def match_training(records: DataFrame, options: DataFrame) -> DataFrame:
     """The best option of each record, if good enough: record_id, option_id, score.
 
     records: record_id, teacher, training, period; options: option_id, ordinal, teacher, training,
     period. The best option over all is chosen first (earliest ordinal on ties) and the thresholds
-    applied then: a poor best hides a good second. Only pairs that could decide are compared, by an
-    equi-join on pairs of rare tokens: first those whose teachers overlap enough for a link; then, for
-    records whose link an option with a lesser overlap could still hide, those that reach its score.
-    No pair that could win or hide is lost. The best is kept by an aggregate that combines before the
-    shuffle. A null id stays null, and all records without an id are one.
+    applied then: a poor best hides a good second. Records of the same tokens are one set, and so are
+    options, of which the first counts; what the period adds is looked at apart, among the options of
+    that period. Only pairs that could decide are compared, by an equi-join on pairs of rare tokens:
+    first those whose teachers have nearly all in common, then, for sets that a lesser overlap could
+    still win, those with less; then, for records whose link an option of too small an overlap could
+    hide, those that reach its score. No pair that could win or hide is lost. A null id stays null, and
+    all records without an id are one.
     """
-    r = records.select("record_id", F.col("period").alias("r_period"), tokens("teacher", 1).alias("names"), tokens("training", 1).alias("ta"))
-    o = options.select("option_id", "ordinal", F.col("period").alias("o_period"), tokens("teacher", 1).alias("names"), tokens("training", 1).alias("tb"))
-    seen = r.select(F.explode("names").alias("token")).union(o.select(F.explode("names").alias("token"))).groupBy("token").agg(F.count("*").alias("df"))
-
-    def ordered(df: DataFrame, name: str) -> DataFrame:
-        """Column names as the column called name, rare tokens first."""
-        rest = [c for c in df.columns if c != "names"]
-        each = df.select(*df.columns, F.explode("names").alias("token")).join(by_shuffle(seen), "token")
-        return each.groupBy(*df.columns).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")).select(*rest, F.transform("order", lambda x: x["token"]).alias(name))
-
-    r, o = ordered(r, "a"), ordered(o, "b")
-
-    def scored(left: DataFrame, least: Column, least_of_options: float) -> DataFrame:
-        """record_id and best (score, negative ordinal, option_id, overlaps) over the options that may have so much of the teacher in common."""
-        keyed = left.select("*", F.explode(_keys(F.col("a"), least)).alias("key"))
-        pairs = keyed.join(by_shuffle(o.select("*", F.explode(_keys(F.col("b"), F.lit(least_of_options))).alias("key"))), "key")
+    read = lambda df, a, b: df.withColumns({a: F.array_sort(tokens("teacher", 1)), b: F.array_sort(tokens("training", 1))}).where(F.size(a) > 0)
+    r = read(records, "a", "ta").select("record_id", "period", "a", "ta")
+    o = read(options, "b", "tb").select("option_id", "ordinal", "period", "b", "tb")
+    place = [F.asc_nulls_last("ordinal"), F.desc_nulls_last("option_id")]
+    o = materialize(o.repartitionByRange(RANK_PARTS, *place).sortWithinPartitions(*place).withColumn("rank", F.monotonically_increasing_id()), "options")
+    sets = materialize(r.select("a", "ta").distinct().withColumn("set_id", F.monotonically_increasing_id()), "token-sets")
+    rows = materialize(r.join(by_shuffle(sets), ["a", "ta"]).select("record_id", "period", "set_id"), "records")
+    first_of = lambda *keys: o.groupBy("b", "tb", *keys).agg(F.min("rank").alias("rank"))
+
+    names = sets.select("a").union(o.select("b")).distinct().select(F.col("a").alias("names"), F.explode("a").alias("token"))
+    seen = names.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = names.join(by_shuffle(seen), "token").groupBy("names").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("x"))
+    ordered = materialize(ordered.select("names", F.transform("x", lambda x: x["token"]).alias("rare")), "rare-first")
+    rare_first = lambda df, c: df.join(by_shuffle(ordered.withColumnRenamed("names", c)), c).drop(c).withColumnRenamed("rare", c)
+    sets, whole, dated = (materialize(rare_first(df, c), "ordered-sets") for df, c in ((sets, "a"), (first_of(), "b"), (first_of("period").where("period <> ''"), "b")))
+    sizes = whole.agg(F.collect_set(F.size("b")).alias("sizes"))
+
+    def scored(left: DataFrame, right: DataFrame, ids: list[str], least: Column, least_of_options: float, bonus: float) -> DataFrame:
+        """ids and best over the options that may have so much of the teacher in common."""
+        keyed = left.select(*ids, "a", "ta", F.explode(_keys(F.col("a"), least)).alias("key"))
+        pairs = keyed.join(by_shuffle(right.withColumn("key", F.explode(_keys(F.col("b"), F.lit(least_of_options))))), ["key", *ids[1:]])
+        return pairs.select(*ids, _pair_value(bonus).alias("best")).groupBy(*ids).agg(F.max("best").alias("best"))
+
+    def searched(left: DataFrame, right: DataFrame, ids: list[str], bonus: float) -> DataFrame:
+        """ids and best over the options that have enough of the teacher in common. left: ids, a, ta, and the best known before."""
+        found = []
+        for least in TIERS:
+            found.append(materialize(scored(left, right, ids, F.lit(least), least, bonus), "scored"))
+            left = left.join(by_shuffle(found[-1].withColumnRenamed("best", "more")), ids, "left").withColumn("best", F.greatest("best", "more")).drop("more")
+            bound = _lesser(F.size("a"), least) * TEACHER + TRAINING + bonus + 2e-6
+            left = left.crossJoin(F.broadcast(sizes)).where(F.col("best").isNull() | (_score_of(F.col("best")) <= bound)).drop("sizes")
+        return functools.reduce(DataFrame.union, found).groupBy(*ids).agg(F.max("best").alias("best"))
+
+    def rated(rows: DataFrame, of_sets: DataFrame, of_periods: DataFrame) -> DataFrame:
+        """record_id and best (value, option_id, overlaps) out of the best of its sets."""
+        each = rows.join(by_shuffle(of_sets), "set_id", "left").join(by_shuffle(of_periods.withColumnRenamed("best", "more")), ["set_id", "period"], "left")
+        each = each.select("record_id", "set_id", F.greatest("best", "more").alias("value")).where("value is not null").withColumn("rank", F.lit((1 << RANK_BITS) - 1) - F.col("value").bitwiseAND(F.lit((1 << RANK_BITS) - 1)))
+        each = each.join(by_shuffle(o.select("rank", "option_id", "b", "tb")), "rank").join(by_shuffle(sets), "set_id")
         teacher, training = overlap_of_tokens(F.col("a"), F.col("b")), overlap_of_tokens(F.col("ta"), F.col("tb"))
-        period = F.when((F.col("r_period") == F.col("o_period")) & (F.col("r_period") != ""), PERIOD).otherwise(0.0)
-        pairs = pairs.select("record_id", "option_id", "ordinal", teacher.alias("s_teacher"), training.alias("s_training"), period.alias("s_period"))
-        score = F.round(F.col("s_teacher") * TEACHER + F.col("s_training") * TRAINING + F.col("s_period"), 6)
-        return pairs.groupBy("record_id").agg(F.max(F.struct(score.alias("score"), (-F.col("ordinal")).alias("place"), "option_id", "s_teacher", "s_training")).alias("best"))
-
-    first = scored(r, F.lit(LEAST_TEACHER), LEAST_TEACHER)
-    good = (F.col("best.s_teacher") >= LEAST_TEACHER) & (F.col("best.s_training") >= LEAST_TRAINING) & (F.col("best.score") >= LEAST_SCORE)
-    first = first.where(good)
+        return each.groupBy("record_id").agg(F.max(F.struct("value", "option_id", teacher.alias("s_teacher"), training.alias("s_training"))).alias("best"))
+
+    of_sets = materialize(searched(sets.withColumn("best", F.lit(None).cast("long")), whole, ["set_id"], 0.0), "best-of-sets")
+    periods = rows.where("period <> ''").select("set_id", "period").distinct().join(by_shuffle(sets), "set_id").join(by_shuffle(of_sets), "set_id", "left")
+    score = _score_of(F.col("best.value"))
+    good = (F.col("best.s_teacher") >= LEAST_TEACHER) & (F.col("best.s_training") >= LEAST_TRAINING) & (score >= LEAST_SCORE)
+    first = materialize(rated(rows, of_sets, searched(periods, dated, ["set_id", "period"], PERIOD)).where(good), "linked")
     # an option with less of the teacher in common scores less than this
     bound = TEACHER * LEAST_TEACHER + TRAINING + PERIOD + 1e-6
-    doubtful = r.join(by_shuffle(first.where(F.col("best.score") <= bound).select(F.col("record_id").alias("_id"), F.col("best.score").alias("reached"))), F.col("record_id").eqNullSafe(F.col("_id")))
-    hiding = scored(doubtful.drop("_id"), F.greatest(F.lit(0.0), (F.col("reached") - 1e-6 - TRAINING - PERIOD) / TEACHER), (LEAST_SCORE - 1e-6 - TRAINING - PERIOD) / TEACHER)
-    best = first.union(hiding).groupBy("record_id").agg(F.max("best").alias("best"))
-    return best.where(good).select("record_id", "best.option_id", "best.score")
+    doubtful = rows.join(by_shuffle(first.where(score <= bound).select(F.col("record_id").alias("_id"), score.alias("reached"))), F.col("record_id").eqNullSafe(F.col("_id"))).drop("_id")
+    least = F.greatest(F.lit(0.0), (F.col("reached") - 1e-6 - TRAINING - PERIOD) / TEACHER)
+
+    def hiding(right: DataFrame, ids: list[str], bonus: float) -> DataFrame:
+        left = doubtful.groupBy(*ids).agg(F.min("reached").alias("reached")).join(by_shuffle(sets), "set_id")
+        return scored(left, right, ids, least, (LEAST_SCORE - 1e-6 - TRAINING - PERIOD) / TEACHER, bonus)
+
+    hidden = rated(doubtful, hiding(whole, ["set_id"], 0.0), hiding(dated, ["set_id", "period"], PERIOD))
+    best = first.union(hidden).groupBy("record_id").agg(F.max("best").alias("best"))
+    return best.where(good).select("record_id", "best.option_id", score.alias("score"))
 
 
 def canonical_match(names: DataFrame, dimension: list[str], least: float = CANONICAL) -> DataFrame:

@@ -1,10 +1,12 @@
 """What a plan's parsing and linking read is worked out once, however many places read it; what they find does not change."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from docloom.functions import codes, text
 from docloom.functions.quality import signal_score
-from docloom.operators import extraction
+from docloom.operators import extraction, linkage
 
 
 def optimized(df) -> str:
@@ -55,3 +57,48 @@ def test_sections_prefer_their_end_labels(spark):
 def test_signals_are_whole_words(spark):
     rows = texts(spark, "PRO-251", "pro 2510", "xpro 251", "a Pro  251 b", "nombre docente\npro 251", None)
     assert [r["s"] for r in rows.select(signal_score("text", {"pro 251": 3, "nombre docente": 1}).alias("s")).collect()] == [3, 0, 0, 3, 4, 0]
+
+
+def brute_links(records, options):
+    """The best option of each id by comparing all, thresholds afterwards."""
+    words = lambda t: {x for x in t.split() if len(x) > 1}
+    overlap = lambda a, b: len(a & b) / max(len(a), len(b)) if a and b else 0.0
+    best = {}
+    for rid, teacher, training, period in records:
+        for oid, ordinal, o_teacher, o_training, o_period in options:
+            a, b = overlap(words(teacher), words(o_teacher)), overlap(words(training), words(o_training))
+            score = round(a * 0.55 + b * 0.40 + (0.05 if period and period == o_period else 0.0), 6)
+            best[rid] = max(best.get(rid, (-1.0,)), (score, -ordinal, oid, a, b))
+    return {rid: (x[2], x[0]) for rid, x in best.items() if x[0] >= 0.62 and x[3] >= 0.65 and x[4] >= 0.5}
+
+
+def random_links(rng, n, ids):
+    some = lambda of, least, most: " ".join(rng.sample(of, rng.randint(least, most)))
+    names, courses, periods = [f"n{k}" for k in range(9)], [f"c{k}" for k in range(5)], ["2024-01", "2024-02", "", None]
+    records = [(rng.choice(ids), some(names, 0, 7), some(courses, 0, 4), rng.choice(periods)) for _ in range(n)]
+    options = [(f"o{k}", rng.randint(0, 9), some(names, 0, 8), some(courses, 0, 4), rng.choice(periods)) for k in range(n)]
+    return records, options
+
+
+def test_links_are_those_of_a_full_comparison(spark):
+    rng = random.Random(4)
+    for n, ids in ((60, [None, *range(80)]), (150, range(400)), (1, [1])):
+        records, options = random_links(rng, n, ids)
+        r, o = spark.createDataFrame(records, "record_id int, teacher string, training string, period string"), spark.createDataFrame(options, "option_id string, ordinal int, teacher string, training string, period string")
+        got = linkage.match_training(r, o).collect()
+        assert {x["record_id"]: (x["option_id"], x["score"]) for x in got} == brute_links(records, options) and len(got) == len({x["record_id"] for x in got})
+
+
+def test_records_of_the_same_tokens_are_compared_once(spark):
+    n = 3000  # nine million pairs of rows
+    r = spark.range(n).select(F.col("id").alias("record_id"), F.lit("Ana Maria Paz").alias("teacher"), F.lit("Redes").alias("training"), F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("period"))
+    o = spark.range(n).select(F.concat(F.lit("o"), F.col("id").cast("string")).alias("option_id"), (n - F.col("id")).alias("ordinal"), F.lit("paz ANA maria").alias("teacher"), F.lit("redes").alias("training"), F.concat(F.lit("p"), (F.col("id") % 5).cast("string")).alias("period"))
+    got = linkage.match_training(r, o).groupBy((F.col("record_id") % 7).alias("k")).agg(F.count("*").alias("n"), F.min("option_id").alias("a"), F.max("option_id").alias("b"), F.min("score").alias("s"), F.max("score").alias("t")).collect()
+    want = {k: (f"o{n - 5 + k}", 1.0) if k < 5 else ("o2999", 0.95) for k in range(7)}
+    assert {x["k"]: (x["a"], x["s"]) for x in got} == want and all(x["a"] == x["b"] and x["s"] == x["t"] for x in got) and sum(x["n"] for x in got) == n
+
+
+def test_pairs_are_not_sorted_to_find_the_best(spark):
+    rows = spark.createDataFrame([(1, ["a"], ["b"], ["a"], ["b"], 0)], "set_id long, a array<string>, ta array<string>, b array<string>, tb array<string>, rank long")
+    plan = rows.select("set_id", linkage._pair_value(0.0).alias("best")).groupBy("set_id").agg(F.max("best"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
