@@ -98,10 +98,10 @@ def code_candidates(c: Column | str) -> Column:
 
 def agreement_code(c: Column | str) -> Column:
     """First agreement code of a text, canonical; '' if there is none."""
-    part = lambda t, k: F.regexp_extract(t, AGREEMENT_CODE, k)
-    value = lambda t, k: F.coalesce(number(part(t, k)), F.lit(0))
-    spelled = lambda t: F.concat(part(t, 1), F.lit("-RGI2-"), value(t, 2).cast("string"), F.lit("-PRO-134-"), part(t, 3), F.lit("-"), F.lpad(value(t, 4).cast("string"), 2, "0"))
-    return let(F.upper(clean(c)), lambda t: F.when((part(t, 1) != "") & (value(t, 2) > 0), spelled(t)).otherwise(""))
+    part = lambda match, k: F.regexp_extract(match, AGREEMENT_CODE, k)
+    value = lambda match, k: F.coalesce(number(part(match, k)), F.lit(0))
+    spelled = lambda match: F.concat(part(match, 1), F.lit("-RGI2-"), value(match, 2).cast("string"), F.lit("-PRO-134-"), part(match, 3), F.lit("-"), F.lpad(value(match, 4).cast("string"), 2, "0"))
+    return let(F.regexp_extract(F.upper(clean(c)), AGREEMENT_CODE, 0), lambda match: F.when((match != "") & (value(match, 2) > 0), spelled(match)).otherwise(""))
 
 
 def is_plan_code(c: Column | str) -> Column:
@@ -131,13 +131,13 @@ def spanish_date(c: Column | str) -> Column:
     word = r"([0-9]{1,2})\s+(?:d[ií]as?\s+)?(?:del?\s+mes\s+)?de\s+([A-Za-zÁÉÍÓÚáéíóú]+|[0-9]{1,2})\s+del?\s+(?:a[ñn]o\s+)?(20[0-9]{2})"
     patterns = (rf"(?iu)a\s+los\s+{word}", rf"(?iu)(?<![0-9]){word}", r"(?<![0-9])([0-9]{1,2})[/\-]([0-9]{1,2})[/\-](20[0-9]{2})(?![0-9])")
 
-    def found(t: Column) -> Column:
-        part = lambda p, k: F.regexp_extract(t, p, k)
-        tries = F.array(*(F.struct(strict_date(number(part(p, 3)), month_number(part(p, 2)), number(part(p, 1))).alias("date"), part(p, 0).alias("original")) for p in patterns))
-        first = F.get(F.filter(tries, lambda x: x["date"].isNotNull()), 0)
-        return F.struct(F.coalesce(F.date_format(first["date"], "yyyy-MM-dd"), F.lit("")).alias("iso"), F.coalesce(first["original"], F.lit("")).alias("original"))
+    def found(t: Column, p: str) -> Column:
+        """The date of a pattern's first match; null if there is none. Parts are read from the match, not each from all of the text."""
+        part = lambda match, k: F.regexp_extract(match, p, k)
+        dated = lambda match: let(strict_date(number(part(match, 3)), month_number(part(match, 2)), number(part(match, 1))), lambda d: F.when(d.isNotNull(), F.struct(F.date_format(d, "yyyy-MM-dd").alias("iso"), match.alias("original"))))
+        return let(F.regexp_extract(t, p, 0), lambda match: F.when(match != "", dated(match)))
 
-    return let(clean(c), found)
+    return let(clean(c), lambda t: F.coalesce(*(found(t, p) for p in patterns), F.struct(F.lit("").alias("iso"), F.lit("").alias("original"))))
 
 
 def loose_date(c: Column | str) -> Column:

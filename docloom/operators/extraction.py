@@ -276,36 +276,43 @@ ID_NUMBER = r"(?iu)c[eé]dula\s*[:：]?\s*([0-9]{10,13})"
 POSITION = r"(?iu)cargo\s*[:：]\s*(docente|profesora?|coordinadora?[^|,;]*)"
 
 
-def clause(c: Column | str, kind: str) -> Column:
-    """What a clause of an agreement names, in title case; '' without the clause."""
-    return smart_case(F.regexp_extract(compact(c), CLAUSES[kind], 1))
+def clause(line: Column | str, kind: str) -> Column:
+    """What a clause of an agreement (its text on one line) names, in title case; '' without the clause."""
+    return smart_case(F.regexp_extract(line, CLAUSES[kind], 1))
 
 
-def cover_value(c: Column | str, label: str, stops: tuple[str, ...]) -> Column:
-    """A label's value on the cover; a title of the form is none."""
-    value = smart_case(label_value(c, label, stops))
+def cover_value(rows: Column, label: str, stops: tuple[str, ...]) -> Column:
+    """A label's value on the cover (:func:`read_lines`); a title of the form is none."""
+    value = smart_case(label_value_of(rows, label, stops))
     return let(value, lambda v: F.when(normalize(v).rlike("acuerdo|institucional"), "").otherwise(v))
 
 
 def either(*values: Column) -> Column:
-    """The first value that is not empty; '' if all are."""
-    return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
+    """The first value that is not empty, later ones not looked at; '' if all are."""
+    out = F.lit("")
+    for value in reversed(values):
+        out = _or_else(value, out)
+    return out
 
 
-def agreements(readings: DataFrame) -> DataFrame:
-    """Agreement fields of readings (doc_id, text, method, file_name)."""
-    t = F.col("text")
-    date = spanish_date(t)
-    code = F.coalesce(F.nullif(agreement_code(t), F.lit("")), F.nullif(agreement_code("file_name"), F.lit("")), F.lit(""))
+def _or_else(value: Column, other: Column) -> Column:
+    return let(value, lambda v: F.when(v != "", v).otherwise(other))
+
+
+def agreements(readings: DataFrame, *more: Column) -> DataFrame:
+    """Agreement fields of readings (doc_id, text, method, file_name); more: columns to carry along."""
+    read = readings.withColumns({"_line": compact("text"), "_lines": read_lines("text"), "_date": spanish_date("text"), "_code": either(agreement_code("text"), agreement_code("file_name"))})
+    t, line, value = F.col("text"), F.col("_line"), lambda *labels: smart_case(label_value_of(F.col("_lines"), *labels))
+    cover = lambda *labels: cover_value(F.col("_lines"), *labels)
     percent = number(F.regexp_replace(F.regexp_extract(t, r"([0-9]{1,3}(?:[.,][0-9]{1,2})?)\s*%", 1), ",", "."), "decimal(5,2)")
-    return readings.select(
-        "doc_id", code.alias("code"), period_of(code).alias("period"), date["iso"].alias("signed_on"), date["original"].alias("signed_text"),
-        F.regexp_extract(compact(t), VERSION, 1).alias("version"), F.regexp_extract(compact(t), ID_NUMBER, 1).alias("id_number"),
-        either(smart_case(label_value(t, "nombre del docente", ("cedula", "carrera", "cargo"))), cover_value(t, "docente", ("carrera", "capacitacion")), clause(t, "name")).alias("name"),
-        either(smart_case(label_value(t, "carrera", ("cedula", "nombre", "cargo", "capacitacion", "elaborado", "firma")))).alias("career"),
-        either(clause(t, "position"), smart_case(F.regexp_extract(compact(t), POSITION, 1)), F.lit("Docente")).alias("position"),
-        F.regexp_replace(either(label_value(t, "nombre de la capacitacion", ("fecha", "cedula")), cover_value(t, "capacitacion", ("elaborado", "firma", "unidad")), clause(t, "training")), r"\.+\z", "").alias("training"),
-        agreement_state(t, F.col("method")).alias("state"), percent.alias("percent"),
+    return read.select(
+        "doc_id", F.col("_code").alias("code"), period_of("_code").alias("period"), F.col("_date.iso").alias("signed_on"), F.col("_date.original").alias("signed_text"),
+        F.regexp_extract(line, VERSION, 1).alias("version"), F.regexp_extract(line, ID_NUMBER, 1).alias("id_number"),
+        either(value("nombre del docente", ("cedula", "carrera", "cargo")), cover("docente", ("carrera", "capacitacion")), clause(line, "name")).alias("name"),
+        either(value("carrera", ("cedula", "nombre", "cargo", "capacitacion", "elaborado", "firma"))).alias("career"),
+        either(clause(line, "position"), smart_case(F.regexp_extract(line, POSITION, 1)), F.lit("Docente")).alias("position"),
+        F.regexp_replace(either(label_value_of(F.col("_lines"), "nombre de la capacitacion", ("fecha", "cedula")), cover("capacitacion", ("elaborado", "firma", "unidad")), clause(line, "training")), r"\.+\z", "").alias("training"),
+        agreement_state(t, F.col("method")).alias("state"), percent.alias("percent"), *more,
     )
 
 

@@ -14,7 +14,7 @@ from ..functions.cleaners import BLANKS, answer, diagnosis, is_useful_plan, sect
 from ..functions.codes import code_candidates, period_of
 from ..functions.quality import field_quality, signal_of_key, signal_score, text_quality
 from ..functions.text import built_once, clean, compact, js_round, let, normalize, number, smart_case, text
-from ..shared import materialize
+from ..shared import by_shuffle, materialize
 from . import extraction as E
 from .consensus import aligned_rows, best_text, cell_vote, code_vote, engine_weight, list_union, ranked_engines, vote
 from .linkage import canonical_match, match_training
@@ -336,12 +336,12 @@ def processed_agreements(readings: DataFrame, options: DataFrame, least: int = 8
     options: as linkage.match_training takes them, and plan_id.
     """
     good = readings.where(F.length(F.trim(text("text"))) >= least)
-    fields = E.agreements(good).join(good.select("doc_id", signal_score("text", AGREEMENT_SIGNALS).alias("signal")), "doc_id")
+    fields = E.agreements(good, signal_score("text", AGREEMENT_SIGNALS).alias("signal"))
     support = E.support_flags(good, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_set("flag")).alias("support"))
-    found = materialize(fields.join(support, "doc_id", "left").withColumn("support", F.coalesce("support", F.array().cast("array<string>"))), "agreements")
+    found = materialize(fields.join(by_shuffle(support), "doc_id", "left").withColumn("support", F.coalesce("support", F.array().cast("array<string>"))), "agreements")
     links = match_training(found.select(F.col("doc_id").alias("record_id"), F.col("name").alias("teacher"), "training", "period"), options)
-    linked = links.join(options.select("option_id", F.col("plan_id").cast("string").alias("plan_id")), "option_id").select(F.col("record_id").alias("doc_id"), "option_id", "plan_id", js_round(F.col("score") * 100).cast("int").alias("link_confidence"))
-    out = found.join(linked, "doc_id", "left").withColumns({"linked": F.col("option_id").isNotNull(), "plan_id": F.coalesce("plan_id", F.lit("")), "percent": F.col("percent").cast("double")})
+    linked = links.join(by_shuffle(options.select("option_id", F.col("plan_id").cast("string").alias("plan_id"))), "option_id").select(F.col("record_id").alias("doc_id"), "option_id", "plan_id", js_round(F.col("score") * 100).cast("int").alias("link_confidence"))
+    out = found.join(by_shuffle(linked), "doc_id", "left").withColumns({"linked": F.col("option_id").isNotNull(), "plan_id": F.coalesce("plan_id", F.lit("")), "percent": F.col("percent").cast("double")})
     return evaluated_agreements(out)
 
 

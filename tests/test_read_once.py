@@ -102,3 +102,13 @@ def test_pairs_are_not_sorted_to_find_the_best(spark):
     rows = spark.createDataFrame([(1, ["a"], ["b"], ["a"], ["b"], 0)], "set_id long, a array<string>, ta array<string>, b array<string>, tb array<string>, rank long")
     plan = rows.select("set_id", linkage._pair_value(0.0).alias("best")).groupBy("set_id").agg(F.max("best"))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_fields_of_agreements_are_read_once(spark):
+    text = "Código: CGC-RGI2-7-PRO-134-2024-11\nNombre del docente: ANA PAZ\nCapacitación: Redes..\nEn Quito, a los 32 días del mes de mayo de 2024, a los 2 días del mes de mayo de 2024 y 3/4/2025, 3 de junio de 2024"
+    rows = spark.createDataFrame([(1, text, "OCR", "a.pdf"), (2, "El señor Ana Paz, con número de cédula 1, x 31/12/2024", "OCR", "CGC-RGI2-7-PRO-134-2024-11.pdf"), (3, None, "DIGITAL", None)], "doc_id int, text string, method string, file_name string")
+    found = extraction.agreements(rows)
+    assert optimized(found).count("UGPA|CGC") <= 12 and optimized(found).count("a\\s+los\\s+") <= 7  # before, 36 and 28 times
+    got = [(r["code"], r["signed_on"], r["signed_text"], r["name"], r["training"]) for r in found.orderBy("doc_id").collect()]
+    code = "CGC-RGI2-7-PRO-134-2024-11"
+    assert got == [(code, "2025-04-03", "3/4/2025", "Ana Paz", "Redes"), (code, "2024-12-31", "31/12/2024", "Ana Paz", ""), ("", "", "", "", "")]
