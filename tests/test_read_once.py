@@ -4,9 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from docloom.functions import codes, text
+from docloom.functions import codes, similarity, text
 from docloom.functions.quality import signal_score
 from docloom.operators import extraction, linkage
+from docloom.plans import text_queries
 
 
 def optimized(df) -> str:
@@ -112,3 +113,35 @@ def test_fields_of_agreements_are_read_once(spark):
     got = [(r["code"], r["signed_on"], r["signed_text"], r["name"], r["training"]) for r in found.orderBy("doc_id").collect()]
     code = "CGC-RGI2-7-PRO-134-2024-11"
     assert got == [(code, "2025-04-03", "3/4/2025", "Ana Paz", "Redes"), (code, "2024-12-31", "31/12/2024", "Ana Paz", ""), ("", "", "", "", "")]
+
+
+def test_distances_of_all_pairs():
+    rng = random.Random(5)
+    some = lambda n, most: ["", "a", *("".join(rng.choice("abcñ 😀") for _ in range(rng.randint(0, most))) for _ in range(n))]
+    for patterns, texts in ((some(20, 64), some(30, 90)), (some(9, 80), some(9, 64)), (some(9, 80), some(9, 80)), ([], ["a"]), (["a"], [])):
+        got = similarity.edit_distances(patterns, texts)
+        assert got.tolist() == [[similarity._distances(p, [t])[0] for t in texts] for p in patterns]
+
+
+def test_names_of_a_group_are_compared_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_queries, "BLOCK", 10)
+    monkeypatch.setattr(text_queries, "PAIRS", 100)
+    monkeypatch.setattr(text_queries, "LISTED", 7)
+    monkeypatch.setattr(similarity, "BATCH_IDS", 100)
+    customers = [(k, f"Customer {k % 90}" if k % 9 else "", k % 3, "AUTO" if k % 9 else "") for k in range(300)]
+    suppliers = [(k, ["", "x", f"Supplier {k}", "customer 1 auto", "Customer " + "y" * 70][k % 5], k % 4) for k in range(40)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    out = text_queries.edit_similarity(spark, str(tmp_path))
+    key = lambda t: " ".join("".join(x if x.isalnum() else " " for x in t.lower()).split())
+
+    def ratio(a, b):
+        longest = max(len(a), len(b))
+        return round(1 - similarity._distances(a, [b])[0] / longest, 6) if a and b else 0.0
+
+    want = sorted((s, c, ratio(key(x), key(f"{y} {m}"))) for s, x, n in suppliers for c, y, k, m in customers if n == k)
+    assert sorted((r["s_suppkey"], r["c_custkey"], r["ratio"]) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "levenshtein" not in plan and plan.count("REPARTITION_BY_NUM") >= 2  # before, as few tasks as the bytes of names make
+    parts = [r[0] for r in out.select(F.spark_partition_id()).distinct().collect()]
+    assert len(parts) > 4  # there are nine parts of groups
